@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import exact_dedup, simhash, url_filters
+from siftline.llm import exact_dedup, packing, simhash, substring_dedup, url_filters
 from siftline.llm.common import table
 
 Rule = url_filters.Rule
@@ -53,13 +53,28 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1).withColumnRenamed("id", "doc_id")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"), window=20)
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op3_exact_dedup, op7_simhash)}
+    return {f.__name__: f for f in (op1_url_filters, op3_exact_dedup, op4_packing, op6_substring_dedup, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
