@@ -89,3 +89,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
             e.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct()
         )
     return found if found is not None else e.toDF("node", "component")
+
+
+def sorted_groups(batches, keys: list[str]):
+    """Frames of equal ``keys`` out of a sorted stream of frames; a group may span batches."""
+    import pandas as pd
+
+    held: list = []
+    name = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new = (pdf[keys].iloc[1:].to_numpy() != pdf[keys].iloc[:-1].to_numpy()).any(axis=1)
+        cuts = [0, *(new.nonzero()[0] + 1).tolist(), len(pdf)]
+        for a, b in zip(cuts, cuts[1:]):
+            this = tuple(pdf[k].iloc[a] for k in keys)
+            if held and this != name:
+                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+                held = []
+            name = this
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)

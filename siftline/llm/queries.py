@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import exact_dedup, packing, simhash, substring_dedup, url_filters
+from siftline.llm import embedding_dedup, exact_dedup, packing, quality, simhash, substring_dedup, url_filters
 from siftline.llm.common import table
 
 Rule = url_filters.Rule
@@ -73,8 +73,22 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.vector_components(table(spark, sf_dir, "embeddings"), cosine=0.93)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = quality.fitted(docs, labels)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    scored = quality.with_score(docs.select("doc_id", "text"), net)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op3_exact_dedup, op4_packing, op6_substring_dedup, op7_simhash)}
+    found = (op1_url_filters, op3_exact_dedup, op4_packing, op6_substring_dedup, op7_simhash, op8_embedding_dedup, op9_quality)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
