@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import embedding_dedup, exact_dedup, packing, quality, simhash, substring_dedup, url_filters
+from siftline.llm import chat_format, embedding_dedup, exact_dedup, packing, quality, secret_scan, simhash, sp_codec, substring_dedup, url_filters
 from siftline.llm.common import table
 
 Rule = url_filters.Rule
@@ -41,6 +41,10 @@ FROM r
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark)).withColumnRenamed("id", "doc_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -63,6 +67,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1).withColumnRenamed("id", "doc_id")
 
 
+CHAT_SCHEMAS = {"reply": {"role": ("string", True), "text": ("string", True)}}
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_format.parse_messages(table(spark, sf_dir, "conversations"))
+    return chat_format.link(calls, results, CHAT_SCHEMAS)
+
+
+OP5_SQL = r"""
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+calls AS (SELECT conv_id, turn::VARCHAR AS call_id, turn * 1000 AS seq, role, text FROM m WHERE role IN ('user', 'system')),
+results AS (SELECT conv_id, (turn - 1)::VARCHAR AS call_id, turn * 1000 AS seq, text FROM m WHERE role = 'assistant'),
+first AS (SELECT conv_id, call_id, min(seq) AS seq, arg_min(text, (seq, text)) AS content FROM results GROUP BY ALL),
+linked AS (
+  SELECT c.conv_id, c.call_id, CASE WHEN f.seq IS NULL THEN 'no_result' WHEN f.seq < c.seq THEN 'early_result' ELSE 'linked' END AS status,
+    c.seq, 'reply' AS name, '{"role":' || to_json(c.role)::VARCHAR || ',"text":' || to_json(c.text)::VARCHAR || '}' AS arguments, f.content
+  FROM calls c LEFT JOIN first f ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.call_id = f.call_id),
+orphans AS (
+  SELECT r.conv_id, r.call_id, 'orphan_result' AS status, r.seq, NULL AS name, NULL AS arguments, r.text AS content
+  FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.call_id = r.call_id)),
+u AS (SELECT * FROM linked UNION ALL SELECT * FROM orphans)
+SELECT conv_id, call_id, status, 0 AS level, seq, name, true AS valid, '' AS problems,
+  '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
+    || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
+FROM u
+"""
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"), window=20)
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -86,10 +118,28 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = sp_codec.encode_rows(table(spark, sf_dir, "conversations"), public_tokenizers.path("piece_bpe_32k.model"), ["conv_id", "turn"], k=3)
+    return rows
+
+
 def queries() -> dict:
-    found = (op1_url_filters, op3_exact_dedup, op4_packing, op6_substring_dedup, op7_simhash, op8_embedding_dedup, op9_quality)
+    found = (
+        op1_url_filters,
+        op2_secret_scan,
+        op3_exact_dedup,
+        op4_packing,
+        op5_chat_format,
+        op6_substring_dedup,
+        op7_simhash,
+        op8_embedding_dedup,
+        op9_quality,
+        op10_sentencepiece,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
