@@ -13,6 +13,7 @@ its components, not all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -204,3 +205,119 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = connected_components(near_links(nodes, radius))
     labels = nodes.join(comp, nodes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("label"))
     return fps.join(labels, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("label")).alias("component_id"))
+
+
+# Wider groups: SimHash finds candidates, the shingles themselves decide.
+
+NEAREST = 4
+AHEAD = 64
+
+
+def _tables(n: int, reach: float, recall: float) -> list[int]:
+    """Masks of random bits: few enough bits that fingerprints ``reach`` apart share a bucket of some table, enough that buckets stay small."""
+    bits = max(10, min(40, math.ceil(math.log2(max(2, n))) - 2))
+    one = (1 - reach / 64) ** bits
+    rng = np.random.default_rng(7)
+    masks = []
+    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - one))):
+        masks.append(sum(1 << int(b) for b in rng.permutation(64)[:bits]))
+    return masks
+
+
+def candidate_pairs(nodes: DataFrame, distance: int = 14, reach: int = 10, recall: float = 0.95) -> DataFrame:
+    """``a, b, d`` (a < b): fingerprints of ``nodes`` that share a bucket and differ in at most ``distance`` bits.
+
+    In a bucket, in order of its fingerprints, each one is paired with its nearest among those that follow.
+    """
+    masks = _tables(nodes.count(), reach, recall)
+    spread = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])
+    keyed = nodes.select("rep", "fp", F.explode(spread).alias("m")).select(F.col("m.t").alias("t"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp", "rep")
+    dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for pdf in batches:
+            if rest is not None:
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            old = 0 if rest is None else len(rest)
+            t, key, rep = pdf["t"].to_numpy(), pdf["key"].to_numpy(), pdf["rep"].to_numpy()
+            fp = pdf["fp"].to_numpy().view(np.uint64)
+            n = len(pdf)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            live = np.arange(n)
+            for off in range(1, AHEAD + 1):
+                live = live[live + off < n]
+                live = live[(t[live] == t[live + off]) & (key[live] == key[live + off])]
+                if not len(live):
+                    break
+                new = live[live + off >= old]  # pairs among carried rows were reported with their batch
+                d = np.bitwise_count(fp[new] ^ fp[new + off]).astype(np.int64)
+                near = d <= distance
+                found.append((new[near], new[near] + off, d[near]))
+            if found:
+                i, j, d = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((j, d, i))
+                i, j, d = i[order], j[order], d[order]
+                first = np.searchsorted(i, i)
+                keep = np.arange(len(i)) - first < NEAREST
+                i, j, d = i[keep], j[keep], d[keep]
+                yield pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "d": d})
+            rest = pdf.iloc[max(0, n - AHEAD) :].reset_index(drop=True)
+
+    return dealt.mapInPandas(run, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``id, set``: the distinct k-word shingles of ``docs`` (``id, text``) as 32-bit hashes."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique((shingle_hashes(words(t), k) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in texts])
+
+    return docs.select("id", F.pandas_udf(of, "array<int>")("text").alias("set"))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``src, dst`` of the pairs (``a, b``) whose shingle sets have a Jaccard similarity of at least ``similarity``; two empty sets are alike."""
+    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    both = F.size(F.array_intersect("sa", "sb"))
+    either = F.size("sa") + F.size("sb") - both
+    return pairs.join(left, "a").join(right, "b").where((either == 0) | (both >= F.lit(similarity) * either)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, k: int = 3) -> DataFrame:
+    """``id, group_id``: documents with near copies, and the smallest id of their group.
+
+    Near copies share ``similarity`` of their ``shingle``-word shingles (Jaccard, words as in ``words``); candidates come from SimHash
+    fingerprints of ``k``-word shingles. First each document is verified against its nearest candidate, then every candidate pair whose ends are still in
+    different groups, so that a large group costs a few comparisons a member and not one for each pair. Documents without
+    near copies and null ids are not in the result. Null texts have no words; documents without words are alike.
+    """
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    fps = written(fingerprints(given, "id", "text", k), "simhash")
+    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-nodes")
+    same = fps.join(nodes, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("d"))
+    pairs = written(candidate_pairs(nodes).unionByName(same), "pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = written(shingle_sets(given.join(ends, "id", "left_semi"), shingle), "shingles")
+
+    both = pairs.union(pairs.select("b", "a", "d")).toDF("x", "y", "d")
+    best = both.groupBy("x").agg(F.min(F.struct("d", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
+    links = written(similar_pairs(best, sets, similarity), "links")
+    comp = connected_components(links)
+    ca, cb = comp.toDF("a", "ca"), comp.toDF("b", "cb")
+    other = (
+        pairs.select("a", "b")
+        .join(ca, "a", "left")
+        .join(cb, "b", "left")
+        .where("coalesce(ca, a) <> coalesce(cb, b)")
+        .select("a", "b")
+        .join(best, ["a", "b"], "left_anti")
+    )
+    more = written(links.unionByName(similar_pairs(other, sets, similarity)), "links")
+    return connected_components(more).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without near copies: of each group the smallest id stays; all columns stay, as do rows with a null id."""
+    gone = near_duplicate_groups(docs, id_col, text_col, **how).where("id <> group_id").select(F.col("id").alias("__sl_gone"))
+    return docs.join(gone, docs[id_col] == gone["__sl_gone"], "left_anti")
