@@ -64,7 +64,7 @@ def gate_0a(candidates: DataFrame, links: DataFrame, store: str) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    verdict = F.when(F.startswith("bare", F.lit("/")) | F.col("bare").isNull(), "unreadable").when(F.col("is_link") & F.col("resolves").isNull(), "unreadable").when(F.size(conditions) > 0, "refuses").otherwise("clear")
+    verdict = F.when(~F.startswith("bare", F.lit("/")) | F.col("bare").isNull(), "unreadable").when(F.col("is_link") & F.col("resolves").isNull(), "unreadable").when(F.size(conditions) > 0, "refuses").otherwise("clear")
     return j.select("candidate", verdict.alias("verdict"), conditions.alias("conditions"))
 
 

@@ -1,0 +1,299 @@
+"""Operators on small tables: edge rows, and invariants that hold for any rows."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from siftline.operators import coverage, gates, ledger, persistence, ratchet, roots, rules, suite, veto
+from siftline.sources import coverage as lcov
+from siftline.sources import manifests, repo_tree, sarif
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def files(spark, items):
+    data = [(p, t, "completed", (t or "")[:64], None) for p, t in items]
+    return spark.createDataFrame(data, "path string, text string, read_status string, head string, link_target string")
+
+
+# Ratchet
+
+
+def test_health(spark):
+    runs = spark.createDataFrame([(i, "t", 5) for i in range(5)] + [(5, "t", 0)], "run int, tool string, expected_targets int")
+    inv = spark.createDataFrame([(0, 0, True), (1, 0, True), (1, 1, False), (2, 0, True), (3, 0, True), (5, 0, True), (4, 0, None)], "run int, idx int, execution_successful boolean")
+    notes = spark.createDataFrame([(2, 0, 0, "warning", "w"), (3, 0, 0, "note", "n")], "run int, idx int, nth int, level string, message string")
+    art = spark.createDataFrame([(r, ["analysisTarget"]) for r in (0, 2, 3) for _ in range(4)], "run int, roles array<string>")
+    got = dict(rows(ratchet.run_health(runs, inv, notes, art), "run", "health"))
+    assert got == {0: "healthy", 1: "failed", 2: "degraded", 3: "healthy", 4: "failed", 5: "degraded"}
+
+
+def test_verdict_of_nothing_is_refused(spark):
+    none = spark.createDataFrame([], "run int, health string")
+    r = ratchet.verdict(none, none, none).first()
+    assert (r.verdict, r.exit_code) == ("refused", 2)
+
+
+def test_update_counts(spark):
+    old = spark.createDataFrame([(1, "a", "r", "", "s", "2020", None, "why"), (2, "a", "r", "", None, "2021", None, None), (3, "z", "r", "", None, "2020", None, None)], "seq int, fingerprint string, rule_id string, uri string, symbol string, first_seen string, expires string, justification string")
+    new = spark.createDataFrame([(1, "a", "r", "u"), (2, "b", "r", "u"), (3, "b", "r", "u")], "seq int, fingerprint string, rule_id string, uri string")
+    entries, counts = ratchet.update(new, old, "2026-01-01")
+    assert rows(entries, "fingerprint", "symbol", "first_seen", "justification") == [("a", "s", "2020", "why"), ("b", None, "2026-01-01", None)]
+    c = counts.first()
+    assert (c.added, c.carried, c.dropped, c.still_expired) == (1, 1, 1, 0)
+
+
+def test_sarif_wire_log(spark):
+    log = {
+        "runs": [
+            {
+                "tool": {"driver": {"name": "t", "rules": [{"id": "A", "defaultConfiguration": {"level": "error"}}]}},
+                "invocations": [{"toolExecutionNotifications": [{"message": {"text": "m"}}]}],
+                "artifacts": [{"location": {"uri": "x.py"}, "roles": ["analysisTarget"]}],
+                "results": [
+                    {"ruleIndex": 0, "message": {"text": "one"}, "locations": [{"physicalLocation": {"artifactLocation": {"index": 0}, "region": {"startLine": 4}}}]},
+                    {"ruleId": "B", "message": {"text": "two"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "/abs"}}}]},
+                    {"ruleIndex": 9, "message": {"text": "three"}},
+                    {"ruleId": "A", "level": "note", "suppressions": [{"kind": "external"}]},
+                ],
+            }
+        ]
+    }
+    logs = spark.createDataFrame([("a", json.dumps(log)), ("b", "{oops")], "log string, text string")
+    runs = sarif.runs(logs)
+    got = {r.seq: r for r in sarif.findings(runs).collect()}
+    assert (got[0].rule_id, got[0].level, got[0].uri, got[0].violation) == ("A", "error", "x.py", None)
+    assert got[1].level == "warning" and "not relative" in got[1].violation
+    assert "ruleIndex" in got[2].violation and "message" in got[3].violation and "suppression" in got[3].violation
+    assert rows(runs.where("violation is not null"), "log", "violation") == [("b", "not JSON")]
+    assert rows(sarif.invocations(runs), "execution_successful") == [(False,)]
+    assert rows(sarif.notifications(runs), "level", "message") == [("warning", "m")]
+
+
+def test_baseline_round_trip(spark):
+    lines = spark.createDataFrame([(1, '{"fingerprint":"f","rule_id":"r","uri":"u","first_seen":"2020"}'), (2, "  "), (3, "{bad"), (4, '{"rule_id":"r"}')], "seq int, value string")
+    base = sarif.read_baseline(lines)
+    assert rows(base.where("violation is not null"), "seq") == [(3,), (4,)]
+    assert [r.value for r in sarif.baseline_lines(base.where("violation is null")).collect()] == ['{"fingerprint":"f","rule_id":"r","uri":"u","first_seen":"2020"}']
+
+
+# Ledger
+
+
+def test_ledger_is_order_free_and_null_is_not_zero(spark):
+    ev = [("c", "H", 0.5, True), ("c", "H", -0.8, True), ("c", "B", 0.5, True), ("c", "R", 9.0, False), ("d", "X", -1.0, True)]
+    mk = lambda e: spark.createDataFrame([(c, f, "s", b, ok, True, False) for c, f, b, ok in e], "candidate string, family string, signal string, bans double, execution_successful boolean, positive_control_passed boolean, expired boolean")
+    a, b = (rows(ledger.family_sums(mk(e)), "candidate", "max_b", "max_r", "max_x", "part_h", "total_bans") for e in (ev, ev[::-1]))
+    assert a == b and a[0][1:5] == (0.5, None, None, -0.6) and abs(a[0][5] + 0.1) < 1e-12 and a[1][5] == -1.0
+    t = ledger.assign(ledger.family_sums(mk(ev)), spark.createDataFrame([], "candidate string, gates_0_to_2 string, gate_3f string"))
+    assert rows(t, "candidate", "tier", "not_evaluable") == [("c", 3, 10), ("d", 3, 10)]
+
+
+# Vetoes
+
+
+def corpus(spark, items, status="completed"):
+    return spark.createDataFrame([(p, "blob", t, status) for p, t in items], "path string, kind string, content string, read_status string")
+
+
+def test_literal_veto(spark):
+    c = spark.createDataFrame([(1, "a/one.py", None), (2, "a/two.py", "Sym"), (3, "Makefile", None)], "candidate int, path string, symbol string")
+    body = corpus(spark, [("a/one.py", "one.py"), ("b/x", "uses Sym"), ("c/y", "nothing")])
+    v = {r.candidate: (r.verdict, r.reason, r.first_file) for r in veto.literal_verdicts(c, body, "maximal").collect()}
+    assert v[1] == ("clear", None, None) and v[2] == ("vetoed", "reference", "b/x")
+    v = {r.candidate: (r.verdict, r.reason) for r in veto.literal_verdicts(c, body, "with_stem").collect()}
+    assert v == {1: ("clear", None), 2: ("clear", None), 3: ("clear", None)}
+    broken = body.unionByName(corpus(spark, [("d/z", None)], "truncated"))
+    assert {r.reason for r in veto.literal_verdicts(c, broken, "with_stem").collect()} == {"truncated"}
+    assert [r.needle for r in veto.derive_needles(c.where("candidate = 3"), "maximal").collect()] == ["Makefile"]
+
+
+def test_gram_index_equals_scan(spark):
+    body = corpus(spark, [(f"f{i}", f"abc{i} xyz {i * 7} é{i}") for i in range(60)])
+    needles = spark.createDataFrame([(str(x),) for x in ["abc1", "7", "é4", "zz", "xyz", "yz 4"]], "needle string")
+    a = rows(veto.containing(needles, body), "needle", "path", "offset")
+    assert a == rows(veto.containing(needles, body, exact_limit=0), "needle", "path", "offset") and a
+
+
+def test_recency(spark):
+    c = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "candidate int, path string")
+    touches = spark.createDataFrame([("p0", 100, 50), ("p1", 100 - 7 * 86400, 0), ("p2", 99 - 7 * 86400, -10**7), ("p3", 500, 0)], "path string, committed_at long, authored_at long")
+    status = spark.createDataFrame([(f"p{i}", i == 0) for i in range(5)], "path string, dirty boolean")
+    got = {r.candidate: r.reason for r in veto.recency_verdicts(c, touches, status, F.lit(False), F.lit(100)).collect()}
+    assert got == {0: "uncommitted_change", 1: "recent_commit", 2: None, 3: "recent_commit", 4: "no_commit_timestamp", 5: "unavailable"}
+
+
+def test_reachability(spark):
+    c = spark.createDataFrame([(1, "a/b/c.py"), (2, "x/y.whl"), (3, "z")], "candidate int, path string")
+    rooted = spark.createDataFrame([("a", "outer"), ("a/b", "inner")], "path string, reason string")
+    suffix = spark.createDataFrame([(".whl", "wheels")], "suffix string, reason string")
+    none = spark.createDataFrame([], "path string, reason string")
+    assert [r.reason for r in veto.reachability_verdicts(c, rooted, suffix, none).orderBy("candidate").collect()] == ["inner", "wheels", None]
+    gap = spark.createDataFrame([("m.yml", "unparseable")], "path string, reason string")
+    assert {r.reason for r in veto.reachability_verdicts(c, rooted, suffix, gap).collect()} == {"unparseable"}
+
+
+# Gates and rules
+
+
+def test_gate_0(spark):
+    e = spark.createDataFrame([("sub/.git", "dir", None, "completed"), ("w/.git", "file", "gitdir: x", "completed"), ("b/HEAD", "file", "ref: refs/heads/x\n", "completed"), ("b/objects", "dir", None, "completed"), ("b/refs", "dir", None, "completed"), (".git", "dir", None, "completed"), ("n/HEAD", "file", "hello", "completed")], "path string, kind string, content string, read_status string")
+    assert rows(gates.boundaries(e), "dir", "boundary") == [("b", "bare"), ("sub", "nested_clone"), ("w", "git_file")]
+    links = spark.createDataFrame([("/r/l", True), ("/r/d", False)], "path string, resolves boolean")
+    c = spark.createDataFrame([(1, "/r/l/x"), (2, "/r/l/"), (3, "/r/d"), (4, "/r/ok"), (5, "rel")], "candidate int, path string")
+    got = {r.candidate: (r.verdict, r.conditions) for r in gates.gate_0a(c, links, "present").collect()}
+    assert got[1] == ("refuses", ["linked_ancestor"]) and got[2] == ("refuses", ["trailing_separator_on_link", "resolving_link"])
+    assert got[3] == ("refuses", ["dangling_link_with_store"]) and got[4] == ("clear", []) and got[5][0] == "unreadable"
+    assert {r.verdict for r in gates.gate_0a(c.where("candidate = 3"), links, "absent").collect()} == {"clear"}
+
+
+def test_rules_stack_and_exclude(spark):
+    f = files(spark, [("db/0001_a.sql", "x"), ("db/0002_b.sql", "x"), ("LICENSE.txt", "x"), ("media/p.png", "x"), ("k.pem", "-----BEGIN PRIVATE KEY-----"), ("CNAME", "h"), ("odd.zzz", "???"), ("a.js", "y" * 300), (".env.example", ""), (".env", "A=1")])
+    got = {(r.path, r["class"]): r.evidence for r in rules.judge(f).collect()}
+    assert ("db/0001_a.sql", "1k") in got and ("LICENSE.txt", "1i") in got and ("media/p.png", "1g") in got and ("CNAME", "1l") in got
+    assert got[("k.pem", "1b")] == "PKCS#8 private key (PEM)" and ("odd.zzz", "1p") in got and got[("a.js", "1j")] == "minified"
+    assert (".env", "1b") in got and (".env.example", "1b") not in got
+    assert rows(rules.migrations(f), "path", "rank") == [("db/0001_a.sql", "earlier"), ("db/0002_b.sql", "newest")]
+
+
+def test_last_match_wins(spark):
+    r = rules.attribute_rules(spark, [("", 1, "*.c", "filter=lfs", True), ("", 2, "vendor/**", "filter=lfs", False), ("vendor", 1, "x.c", "filter=lfs", True)])
+    f = spark.createDataFrame([("a.c",), ("vendor/y.c",), ("vendor/x.c",)], "path string")
+    assert rows(rules.last_match(f, r), "path", "is_set") == [("a.c", True), ("vendor/x.c", True), ("vendor/y.c", False)]
+
+
+def test_survey_and_plan(spark):
+    f = files(spark, [(f"m{i}.tf", "") for i in range(12)] + [("k/a.yaml", "apiVersion: argoproj.io/v1")])
+    got = {r.system: (r.n_markers, len(r.shown)) for r in rules.survey(f).collect()}
+    assert got == {"terraform": (12, 8), "argocd": (1, 1)}
+    own = (rules.Rule("exact", ".keep/ledger.jsonl"),)
+    mk = lambda *p: spark.createDataFrame([(i, x) for i, x in enumerate(p)], "seq int, path string")
+    assert rules.review_plan(mk("e"), mk("d", ".keep/ledger.jsonl"), own).first().review == "refused_self_deletion"
+    assert rules.review_plan(mk("e"), mk("d"), own).first().review == "refused_co_occurrence"
+    assert rules.review_plan(mk(), mk("d"), own).first().review == "permitted"
+
+
+def test_gate_3f(spark):
+    f = files(spark, [("a.rs", "#[no_mangle]\npub fn go() {}\n\nfn other() {}"), ("b.py", "import pickle\npickle.load(f)\nfrom celery import x"), ("requirements.txt", "celery==5")])
+    c = spark.createDataFrame([(1, "a.rs", "m::go"), (2, "a.rs", "other"), (3, "b.py", None), (4, None, "x")], "candidate int, path string, symbol string")
+    got = rows(persistence.scan(c, f), "candidate", "condition", "marker", "line")
+    assert got == [(1, "abi_export", "#[no_mangle]", 1), (3, "queue_payload", "celery", 3), (3, "serializable", "pickle.load", 2)]
+
+
+# Coverage
+
+
+def test_lcov(spark):
+    text = "TN:x\nSF:./src/a.py\nFN:1,f\nFN:5,9,g,h\nFNDA:2,f\nDA:1,2\nDA:2,-\nend_of_record\nSF:src/a.py\nFNDA:3,f\nDA:2,1,abc\nend_of_record\n"
+    f, lines, bad = lcov.parse(spark.createDataFrame([("i", text)], "artifact string, text string"))
+    assert bad.count() == 0
+    functions, per_file = coverage.merge(f, lines)
+    assert rows(functions, "source", "name", "start_line", F.col("calls").cast("int")) == [("src/a.py", "f", 1, 5), ("src/a.py", "g,h", 5, 0)]
+    assert rows(per_file, "source", "lines_found", "lines_hit") == [("src/a.py", 2, 2)]
+    for broken in ("end_of_record", "DA:1,1", "SF:a\nDA:x,1\nend_of_record", "SF:a\nDA:1,1", "SF:\nend_of_record"):
+        assert lcov.parse(spark.createDataFrame([("i", broken)], "artifact string, text string"))[2].count() >= 1, broken
+
+
+def test_control_and_rescue(spark):
+    f = spark.createDataFrame([("lib/src/a.py", "m.go", 2), ("src/a.py", "x", 0), ("src/a.py", "y", 1)], "source string, name string, calls int")
+    per = spark.createDataFrame([("lib/src/a.py", 3), ("src/a.py", 1), ("b.py", 0)], "source string, lines_hit int")
+    assert rows(coverage.control(spark.createDataFrame([("go",)], "symbol string"), f), "passed") == [(True,)]
+    assert rows(coverage.control(spark.createDataFrame([("x",)], "symbol string"), f), "passed") == [(False,)]
+    assert rows(coverage.control(spark.createDataFrame([], "symbol string"), f), "passed") == [(False,)]
+    claims = spark.createDataFrame([("path", "a.py"), ("path", "b.py"), ("symbol", "go"), ("symbol", "")], "kind string, claim string")
+    yes = spark.createDataFrame([(True,)], "passed boolean")
+    assert rows(coverage.rescue(claims, f, per, yes), "kind", "claim", "source") == [("path", "a.py", "src/a.py"), ("symbol", "go", "lib/src/a.py")]
+    assert coverage.rescue(claims, f, per, yes.select(F.lit(False).alias("passed"))).count() == 0
+
+
+# Grading
+
+
+def test_grade(spark):
+    truth = spark.createDataFrame([("m", ["live.py"], ["go"], ["d1.py", "d2.py"], ["dead", ""])], "mutant string, live_paths array<string>, live_symbols array<string>, decoy_dead_paths array<string>, decoy_dead_symbols array<string>")
+    claims = spark.createDataFrame([("m", "s", "symbol", "pkg::go", None), ("m", "s", "symbol", "ago", None), ("m", "s", "path", "./d1.py", None), ("m", "s", "symbol", "x.dead", None)], "mutant string, sut string, kind string, claim string, declared_in string")
+    suts = spark.createDataFrame([("s", None), ("blind", ["other"]), ("refusing", None)], "sut string, reads array<string>")
+    got = {r.sut: r for r in suite.grade(claims, truth, suts).collect()}
+    assert (got["s"].grade, got["s"].false_removals, got["s"].decoys_found) == ("failed", ["go"], 1)
+    assert got["blind"].grade == "not_read" and got["blind"].decoys_total == 0
+    assert (got["refusing"].grade, got["refusing"].n_false, got["refusing"].decoys_found) == ("failed", 0, 0)
+    codes = {r.sut: r.exit_code for r in suite.exit_code(suite.suite_counts(suite.grade(claims, truth, suts))).collect()}
+    assert codes == {"s": 1, "blind": 2, "refusing": 1}
+
+
+def test_layers_only_remove_and_conserve(spark):
+    claims = spark.createDataFrame([("m", "s", "path", f"p{i}") for i in range(10)], "mutant string, sut string, kind string, claim string")
+    layer = lambda pick: claims.where(pick).withColumn("rule", F.lit("r"))
+    stack = [("a", layer("claim in ('p1','p2')")), ("b", layer("claim in ('p2','p3')").unionByName(layer("claim = 'p3'"))), ("c", layer("false"))]
+    left, dropped = suite.apply_layers(claims, stack)
+    assert left.count() == 7 and rows(dropped, "claim", "layer") == [("p1", "a"), ("p2", "a"), ("p3", "b")]
+    runs = suite.layer_runs(claims, dropped, ["a", "b", "c"])
+    assert rows(runs, "layer", "claimed", "dropped", "survived") == [("a", 10, 2, 8), ("b", 8, 1, 7), ("c", 7, 0, 7)]
+    bare = spark.createDataFrame([("m", "failed", ["x", "y"], 2)], "mutant string, grade string, false_removals array<string>, decoys_found int")
+    assert suite.violations(bare, bare, runs).count() == 0
+    worse = spark.createDataFrame([("m", "failed", ["x", "z"], 3)], bare.schema)
+    assert suite.violations(bare, worse, runs).count() == 2
+    assert suite.violations(bare, bare, runs.withColumn("survived", F.col("survived") - 1)).count() >= 3
+    names = spark.createDataFrame([("m", "p3"), ("m", "gone")], "mutant string, name string")
+    assert rows(suite.attribute(names, dropped), "name", "layer") == [("gone", None), ("p3", "b")]
+
+
+# Roots
+
+
+def test_manifests():
+    out = {(k, key): (tk, t) for _, _, k, key, tk, t, _ in manifests.scan("pkg/package.json", json.dumps({"main": "./i.js", "bin": {"x": "b.js"}, "exports": {".": {"import": ["./a.mjs", None]}}, "files": ["dist/*"], "scripts": {"t": "jest"}, "sideEffects": False}))}
+    assert out[("library_entry", "main")] == ("path", "pkg/i.js") and out[("executable", "bin.x")] == ("path", "pkg/b.js")
+    assert out[("library_entry", "exports...import[0]")] == ("path", "pkg/a.mjs") and out[("command", "scripts.t")] == ("command", "jest")
+    assert out[("packaged_file", "files[0]")][0] == "glob"
+    assert manifests.scan("package.json", "[1]")[0][2] == "error" and manifests.scan("package.json", "{", "completed")[0][2] == "error"
+    assert manifests.scan("package.json", None, "truncated")[0][6] == "truncated"
+    assert {r[2] for r in manifests.scan("Cargo.toml", '[package]\nname="x"\nbuild="build.rs"\n[lib]\ncrate-type=["cdylib"]\n[[bin]]\nname="y"')} == {"build_script", "library_entry", "consumer_outside_build", "executable"}
+    assert [r[5] for r in manifests.scan("Dockerfile", "FROM x\nCOPY --from=b a /a\nCOPY app \\\n  conf /srv\nRUN <<EOF\nCOPY no no\nEOF\nCMD [\"run\",\"it\"]")] == ["app", "conf", "run it"]
+    assert [r[5] for r in manifests.scan("setup.cfg", "[options.entry_points]\nconsole_scripts =\n  a = m:f\n")] == ["m:f"]
+    assert manifests.scan("cmd/x.go", "// c\npackage main\n")[0][5] == "cmd/x.go" and manifests.scan("x.go", "package y\n") == []
+
+
+def test_root_set(spark):
+    f = files(spark, [("package.json", '{"main":"i.js","dependencies":{"jest":"1"}}'), ("i.js", ""), ("a/__mocks__/r.js", ""), ("x.go", "//export Flush\nfunc Flush() {}"), ("requirements.txt", "Flask==1\npytest\n"), ("tests/test_a.py", "")])
+    declared = roots.declared_table(spark, [("a/**", "kept", "k", "accepted", None)])
+    found, gaps = roots.materialize(f, declared)
+    got = rows(found, "tier", "rule", "path")
+    assert ("A", "library_entry", "i.js") in got and ("B", "jest_manual_mock", "a/__mocks__/r.js") in got and ("B", "pytest_test_module", "tests/test_a.py") in got and ("C", "declared", "a/__mocks__/r.js") in got
+    assert ("A", "go_export", "x.go") in got
+    assert [r.detail for r in gaps.collect()] == ["no layout rules for flask"]
+    claims = spark.createDataFrame([("path", "i.js"), ("path", "a"), ("symbol", "lib.Flush")], "kind string, claim string")
+    assert rows(roots.rescues(claims, found), "claim") == [("i.js",), ("lib.Flush",)]
+
+
+def test_repo_tree_keeps_hidden_names(spark, tmp_path):
+    for p in (".github/workflows/ci.yml", ".env", "_config.yml", "__mocks__/redis.js", "src/blob.bin"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    (tmp_path / "big").write_bytes(b"x" * 100)
+    (tmp_path / "link").symlink_to("nowhere")
+    repo_tree.register(spark)
+    df = spark.read.format("repo_tree").option("root", str(tmp_path)).option("max_bytes", "50").load()
+    got = {r.path: (r.kind, r.read_status) for r in df.collect()}
+    assert got[".env"] == ("file", "completed") and got[".github/workflows/ci.yml"][0] == "file" and got["__mocks__/redis.js"][0] == "file" and got["_config.yml"][0] == "file"
+    assert got["big"] == ("file", "truncated") and got["link"] == ("symlink", "completed")
+
+
+def test_streaming_ratchet(spark, tmp_path):
+    from siftline.streaming.ratchet import watch
+
+    schema = "seq long, rule_id string, message string, uri string, partial_fingerprints map<string,string>"
+    spark.createDataFrame([(1, "a", "m", "u", None), (2, "b", "m", "u", None)], schema).write.parquet(str(tmp_path / "in"))
+    known = ratchet.with_fingerprint(spark.read.parquet(str(tmp_path / "in")).where("seq = 1"))
+    q = watch(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda s: known, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(60)
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "seq", "baseline_state") == [(2, "new")]
+
+
+@pytest.mark.parametrize("name", ["entry"])
+def test_entry(spark, name):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() >= 0 and set(e.oracle_sql()) <= set(e.queries())
