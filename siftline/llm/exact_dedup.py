@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import new_path
 
+#: Bits of the filter over hit digests, in pieces of 4 KiB: 2 MiB at most, however many hits there are.
+FILTER_BITS, PIECE_BITS = 1 << 24, 1 << 15
+
 
 class DigestIndex:
     """LSM index ``digest -> identifiers`` in a folder that all machines share.
@@ -63,6 +66,19 @@ class DigestIndex:
         return self.entries().where(F.col("digest") == F.lit(digest))
 
 
+def maybe_hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows whose ``digest`` may be among ``hits``: all that are, and of the others a share that grows with the number of hits.
+
+    The filter is a bitmap of bounded size that every machine gets; rows that fail it go no further than the task that read them.
+    """
+    place = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+    piece, bit = F.floor(place / PIECE_BITS).cast("int"), F.pmod(place, F.lit(PIECE_BITS))
+    pieces = hits.groupBy(piece.alias("__sl_piece")).agg(F.bitmap_construct_agg(bit).alias("__sl_bits"))
+    byte = F.conv(F.hex(F.expr("substring(__sl_bits, cast(__sl_bit div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    found = rows.withColumns({"__sl_piece": piece, "__sl_bit": bit}).join(F.broadcast(pieces), "__sl_piece")
+    return found.where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("__sl_bit", F.lit(8)))), F.lit(2)) == 1).drop("__sl_piece", "__sl_bit", "__sl_bits")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row per row of ``docs``: ``id, digest (binary), keep_id, group_size, kept``.
 
@@ -81,14 +97,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flushed = index.flush(rows.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")))
     merged = index.compact()
 
-    # Byte verification of hits: equal bytes collapse in each task before they move.
+    # Byte verification of hits: equal bytes collapse in each task before they move; what passes the filter by chance is alone with its digest.
     hit = merged.where("n > 1").select("digest")
     again = rows.select("id", "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
-    texts = (
-        again.join(hit, "digest", "left_semi")
-        .groupBy("digest", "text")
-        .agg(F.min("id").alias("smallest"), F.max("id").alias("largest"), F.count(F.lit(1)).alias("n"))
-    )
+    texts = maybe_hit(again, hit).groupBy("digest", "text").agg(F.min("id").alias("smallest"), F.max("id").alias("largest"), F.count(F.lit(1)).alias("n"))
     # A digest with several texts (a collision) keeps the text in its key; others need the digest only.
     verdict = texts.groupBy("digest").agg(
         F.count(F.lit(1)).alias("texts"),
