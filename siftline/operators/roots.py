@@ -76,11 +76,9 @@ def layout_rules(path: Column) -> list[tuple[str, str, Column]]:
         ("rails", "rails_routes", path == "config/routes.rb"),
         ("rails", "rails_initializer", F.startswith(path, F.lit("config/initializers/")) & ruby),
         ("rails", "rails_job", F.startswith(path, F.lit("app/jobs/")) & ruby),
-        ("django", "django_migration", path.rlike(r"(^|/)migrations/[^/]+\.py$")),
-        ("django", "django_command", path.rlike(r"(^|/)management/commands/[^/]+\.py$")),
-        ("django", "django_templatetag", path.rlike(r"(^|/)templatetags/[^/]+\.py$")),
-        ("django", "django_app_module", base.isin("apps.py", "models.py", "admin.py", "urls.py", "signals.py")),
-        ("django", "django_manage", base == "manage.py"),
+        ("django", "django_settings", (base == "settings.py") | (F.endswith(path, F.lit(".py")) & (paths.basename(paths.parent(path)) == "settings"))),
+        ("django", "django_command", path.rlike(r"(^|/)management/commands/[^/]+\.py$") & (base != "__init__.py")),
+        ("django", "django_urlconf", base == "urls.py"),
     ]
 
 
@@ -93,6 +91,22 @@ def convention_roots(files: DataFrame, detected: DataFrame) -> DataFrame:
     return j.select(F.lit("B").alias("tier"), "rule", "framework", "evidence", "path", none.alias("symbol"), F.lit("path").alias("target"), F.col("via").alias("detail")).toDF(*COLUMNS).dropDuplicates(["path", "rule"])
 
 
+def installed_apps(files: DataFrame, detected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """App configurations of Django: the classes in ``apps.py`` of the tree, and settings whose list of apps is not all literal, as gaps."""
+    django = detected.where("framework = 'django'").select(F.col("evidence").alias("detected_in"))
+    none = F.lit(None).cast("string")
+    names = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?m)^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)\s*\([^)]*AppConfig[^)]*\)"), F.lit(1))
+    apps = files.where(paths.basename(F.col("path")) == "apps.py").select("path", F.explode(names).alias("symbol"))
+    found = apps.crossJoin(F.broadcast(django.limit(1)))  # one row: a framework is detected once
+    rows = found.select(F.lit("B").alias("tier"), F.lit("django_app_config").alias("rule"), F.lit("django").alias("origin"), F.col("detected_in").alias("origin_file"), "path", "symbol", F.lit("symbol").alias("target"), none.alias("detail")).toDF(*COLUMNS)
+    body = F.regexp_extract(F.coalesce("text", F.lit("")), r"(?s)INSTALLED_APPS\s*(?:\+)?=\s*[\[(](.*?)[\])]", 1)
+    bare = F.regexp_replace(F.regexp_replace(body, "#[^\n]*", ""), "[\"'][^\"'\n]*[\"']|[,\\s]", "")
+    settings = files.where((paths.basename(F.col("path")) == "settings.py") & F.contains("text", F.lit("INSTALLED_APPS")))
+    literal = F.col("text").rlike(r"(?s)INSTALLED_APPS\s*=\s*[\[(]")
+    gaps = settings.where(~literal | (bare != "")).crossJoin(F.broadcast(django.limit(1))).select(F.lit("B").alias("tier"), F.col("path").alias("origin_file"), F.lit("INSTALLED_APPS is not all literal").alias("detail"))
+    return rows, gaps
+
+
 def known_unknowns(detected: DataFrame) -> DataFrame:
     return detected.where(~F.col("framework").isin(*LAYOUTS)).select(F.lit("B").alias("tier"), F.col("evidence").alias("origin_file"), F.concat(F.lit("no layout rules for "), "framework").alias("detail"))
 
@@ -131,11 +145,11 @@ def lint(files: DataFrame, declared: DataFrame, now: str) -> DataFrame:
     return j.select("idx", "pathspec", reason.alias("reason")).where("reason is not null")
 
 
-# What a source line says about the item behind it.
+# What a source line says about the name in it or the item behind it.
 MARKERS = (
-    ("go", "go_linkname", r"^//go:linkname\s+(\S+)"), ("go", "go_export", r"^//export\s+(\S+)"), ("go", "go_embed", r"^//go:embed\s+(\S+)"),
-    ("rs", "no_mangle", r"^\s*#\[(?:unsafe\()?no_mangle\)?\]"), ("rs", "rust_used", r"^\s*#\[used\]"), ("rs", "rust_ctor", r"^\s*#\[(?:ctor|distributed_slice|linkme)"),
-    ("rs", "rust_test", r"^\s*#\[(?:tokio::)?test\]"), ("pth", "pth_import", r"^import\s+(\S+)"),
+    ("go", "go_linkname", r"^\s*//go:linkname\s+(\S+)"), ("go", "go_linkname", r"^\s*//go:linkname\s+\S+\s+(\S+)"), ("go", "go_export", r"^\s*//export\s+(\S+)"),
+    ("rs", "rust_no_mangle", r"^\s*#\[(?:no_mangle|unsafe\(no_mangle\))\]"), ("rs", "rust_used", r"^\s*#\[(?:used|unsafe\(used\))\]"), ("rs", "rust_ctor", r"^\s*#\[ctor(?:::ctor)?\]"),
+    ("rs", "rust_export_name", r"^\s*#\[(?:unsafe\()?export_name\s*=\s*\"([^\"]+)\""), ("rs", "rust_export_name", r"^\s*#\[(?:unsafe\()?export_name"), ("pth", "python_pth", r"^\s*import\s+([^;\s]+)"),
 )
 
 
@@ -144,7 +158,7 @@ def source_roots(files: DataFrame) -> DataFrame:
     ext = paths.extension(F.col("path"))
     numbered = files.where(ext.isin("go", "rs", "pth")).select("path", ext.alias("ext"), F.split("text", "\n").alias("lines")).select("path", "ext", "lines", F.posexplode("lines").alias("i", "line"))
     item = F.regexp_extract(F.array_join(F.slice("lines", F.col("i") + 2, F.lit(6)), "\n"), r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?(?:async\s+)?(?:fn|static|const)\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)", 1)
-    rows = [F.when((F.col("ext") == e) & F.col("line").rlike(r), F.struct(F.lit(m).alias("rule"), (F.regexp_extract("line", r, 1) if "(\\S+)" in r else item).alias("symbol"))) for e, m, r in MARKERS]
+    rows = [F.when((F.col("ext") == e) & F.col("line").rlike(r), F.struct(F.lit(m).alias("rule"), (F.regexp_replace(F.regexp_extract("line", r, 1), r"^.*[./]", "") if "S+)" in r or "]+)" in r else item).alias("symbol"))) for e, m, r in MARKERS]
     hit = numbered.select("path", "i", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("r"))
     return hit.select(
         F.lit("A").alias("tier"), "r.rule", F.concat(F.lit("line "), F.col("i") + 1).alias("origin"), F.col("path").alias("origin_file"), "path", F.nullif("r.symbol", F.lit("")).alias("symbol"),
@@ -171,10 +185,11 @@ def materialize(files: DataFrame, declared: DataFrame | None = None) -> tuple[Da
     whole = errors.agg(F.count(F.lit(1)).alias("bad"))
     tier_a = resolve(manifest, files).crossJoin(F.broadcast(whole)).where("bad = 0").drop("bad")  # one row
     detected = detect(files)
-    every = tier_a.unionByName(source_roots(files)).unionByName(convention_roots(files, detected))
+    apps, unresolved = installed_apps(files, detected)
+    every = tier_a.unionByName(source_roots(files)).unionByName(convention_roots(files, detected)).unionByName(apps)
     if declared is not None:
         every = every.unionByName(declared_roots(files, declared))
-    return every.distinct(), errors.unionByName(known_unknowns(detected))
+    return every.distinct(), errors.unionByName(known_unknowns(detected)).unionByName(unresolved)
 
 
 def rescues(claims: DataFrame, roots: DataFrame) -> DataFrame:
@@ -185,3 +200,14 @@ def rescues(claims: DataFrame, roots: DataFrame) -> DataFrame:
     s = s.join(roots.where("symbol is not null").withColumn("key", F.col("symbol")), "key").drop("key")
     both = p.select("kind", "claim", *COLUMNS).unionByName(s.select("kind", "claim", *COLUMNS))
     return both.groupBy("kind", "claim").agg(F.min_by("rule", order).alias("rule"))
+
+
+def printseeds(roots: DataFrame) -> DataFrame:
+    """``line``: tab-separated roots, in order, with backslashes, line breaks and tabs escaped."""
+    def escaped(c: str) -> Column:
+        x = F.coalesce(F.col(c), F.lit(""))
+        for raw, said in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            x = F.replace(x, F.lit(raw), F.lit(said))
+        return x
+
+    return roots.orderBy("tier", "path", "rule", "origin", "symbol").select(F.concat_ws("\t", *[escaped(c) for c in COLUMNS]).alias("line"))

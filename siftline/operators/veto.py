@@ -140,11 +140,12 @@ def first_veto(candidates: DataFrame, verdicts: list[tuple[str, DataFrame]]) ->
     return j.select("candidate", first["gate"].alias("gate"), first["reason"].alias("reason"))
 
 
-# What enumerates a directory when a program runs (fixed values; matched without regard to the case of A-Z).
+# What enumerates a directory when a program runs; matched without regard to the case of A-Z.
 ENUMERATIONS = (
-    "os.listdir", "os.scandir", "os.walk", "glob.glob", "glob.iglob", ".iterdir(", ".rglob(", "pkgutil.iter_modules", "pkgutil.walk_packages", "importlib.import_module", "__import__(",
-    "entry_points(", "readdir(", "readdirsync", "glob(", "globsync", "import.meta.glob", "require.context", "require(", "import(", "filepath.walk", "filepath.glob", "os.readdir", "fs::read_dir",
-    "walkdir", "dir.glob", "dir[", "dir.entries", "scandir(", "opendir(", "autoload",
+    "**/", "/**", "glob(", "iglob(", "globsync(", "globby(", "fast-glob", "import.meta.glob", "readdir", "read_dir", "scandir", "listdir", "opendir", "walk(", "os.walk", "filepath.walk", "walkdir",
+    "walk_dir", "dir[", "dir.glob", "dir.entries", "dir.children", "dir.foreach", "dir.each_child", "require.context", "importlib.resources", "pkgutil.iter_modules", "pkg_resources", "go:embed",
+    "embed.fs", "include_str!", "include_bytes!", "include_dir!", "bundle.module", "bundle.main", "nsbundle", "contentsofdirectory", "listfiles(", "files.walk", "files.list", "getresources(",
+    "getfiles(", "enumeratefiles", "getdirectories(",
 )
 
 

@@ -16,7 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SHAPE = "path string, tier string, kind string, key string, target_kind string, target string, detail string"
-IMPLICIT_PYTHON = ("__main__.py", "conftest.py", "manage.py", "setup.py", "sitecustomize.py", "wsgi.py")
+# Names that a Python tool loads by convention -> (key, kind, tier).
+IMPLICIT_PYTHON = {
+    "__main__.py": ("python:dash-m", "executable", "A"),
+    "conftest.py": ("pytest:conftest", "dev_target", "A"),
+    "wsgi.py": ("wsgi:callable", "library_entry", "B"),
+    "asgi.py": ("asgi:callable", "library_entry", "B"),
+    "manage.py": ("django:manage", "executable", "B"),
+    "celery.py": ("celery:app", "library_entry", "B"),
+}
 
 
 class Bad(Exception):
@@ -171,6 +179,33 @@ def go_source(out: Out, text: str) -> None:
             return
 
 
+def go_mod(out: Out, text: str) -> None:
+    """The module path, and the local directories that replace others."""
+    block = ""
+    for line in text.splitlines():
+        line = line.split("//")[0].strip()
+        if not line:
+            continue
+        if block:
+            word, rest = (block, line) if line != ")" else ("", "")
+            block = block if line != ")" else ""
+        else:
+            word, _, rest = line.partition(" ")
+            if rest.strip() == "(":
+                block = word
+                continue
+        if word == "module":
+            out.put("module", "module", rest.strip().strip('"'), "reference")
+        elif word == "replace" and "=>" in rest:
+            target = rest.split("=>")[1].split()
+            if not target:
+                raise Bad("a replacement without a target")
+            if target[0].startswith(("./", "../")):
+                out.put("workspace_member", "replace", target[0])
+    if block:
+        raise Bad(f"a {block} block without its end")
+
+
 def dockerfile(out: Out, text: str) -> None:
     """What COPY and ADD take from the context, and what ENTRYPOINT and CMD run; here-documents are skipped."""
     pending, ends, joined = "", [], []
@@ -232,14 +267,15 @@ def scanner(path: str):
         return workflow
     if name == "Dockerfile" or name.startswith("Dockerfile.") or name == "Containerfile":
         return dockerfile
-    return {"package.json": package_json, "pyproject.toml": pyproject, "Cargo.toml": cargo, "setup.cfg": setup_cfg}.get(name) or (go_source if name.endswith(".go") else None)
+    return {"package.json": package_json, "pyproject.toml": pyproject, "Cargo.toml": cargo, "setup.cfg": setup_cfg, "go.mod": go_mod}.get(name) or (go_source if name.endswith(".go") else None)
 
 
 def scan(path: str, text: str | None, status: str = "completed") -> list[tuple]:
     """All rows of one file."""
     out = Out(path)
     if posixpath.basename(path) in IMPLICIT_PYTHON:
-        out.put("implicit", "name", posixpath.basename(path))
+        key, kind, tier = IMPLICIT_PYTHON[posixpath.basename(path)]
+        out.rows.append((path, tier, kind, key, "path", path, ""))
     read = scanner(path)
     if read is None:
         return out.rows
@@ -257,7 +293,7 @@ def scan(path: str, text: str | None, status: str = "completed") -> list[tuple]:
 def manifest_roots(files: DataFrame) -> DataFrame:
     """Rows of all manifests of ``files(path, text, read_status)``; only files that some scanner reads reach Python."""
     wanted = files.where(
-        r"path rlike '(^|/)(package\\.json|pyproject\\.toml|Cargo\\.toml|setup\\.cfg|Dockerfile[^/]*|Containerfile|[^/]*\\.go|__main__\\.py|conftest\\.py|manage\\.py|setup\\.py|sitecustomize\\.py|wsgi\\.py)$'"
+        r"path rlike '(^|/)(package\\.json|pyproject\\.toml|Cargo\\.toml|setup\\.cfg|Dockerfile[^/]*|Containerfile|[^/]*\\.go|__main__\\.py|conftest\\.py|manage\\.py|celery\\.py|asgi\\.py|wsgi\\.py|go\\.mod)$'"
         r" or path rlike '^\\.github/workflows/[^/]+\\.ya?ml$'"
     ).select("path", "text", "read_status")
 

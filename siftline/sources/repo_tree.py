@@ -14,11 +14,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = (
-    "path string, kind string, size bigint, content binary, read_status string, read_detail string, link_target string, is_tracked boolean, under_skip boolean"
+    "path string, kind string, size bigint, content binary, read_status string, read_detail string, link_target string, is_tracked boolean, under_skip10 boolean, under_skip13 boolean"
 )
 MAX_BYTES = 64 * 1024 * 1024
-# Directories that most scans leave out.
-SKIPPED = (".git", "node_modules", "target", "dist", "build", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache")
+# Directories that the manifest scans and the convention scans leave out.
+SKIP_MANIFESTS = (".git", "node_modules", "target", "vendor", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache")
+SKIP_CONVENTIONS = (".git", ".hg", "node_modules", "target", "dist", "build", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache", ".next")
 #: Settings of the caller's shell that would point git at another repository.
 SCRUBBED = ("GIT_DIR", "GIT_WORK_TREE", "GIT_INDEX_FILE", "GIT_OBJECT_DIRECTORY", "GIT_COMMON_DIR", "GIT_NAMESPACE")
 
@@ -58,7 +59,8 @@ class TreeReader(DataSourceReader):
     def read(self, partition):
         for rel in partition.paths:
             full = os.path.join(self.root, rel)
-            skip = any(p in SKIPPED for p in rel.split("/")[:-1])
+            above = rel.split("/")[:-1]
+            skip = [any(p in names for p in above) for names in (SKIP_MANIFESTS, SKIP_CONVENTIONS)]
             tracked = None if self.tracked is None else rel in self.tracked
             kind, size, content, status, detail, target = "file", None, None, "completed", None, None
             try:
@@ -76,7 +78,7 @@ class TreeReader(DataSourceReader):
                         content = f.read()
             except OSError as e:
                 status, detail = "errored", str(e)
-            yield (rel, kind, size, content, status, detail, target, tracked, skip)
+            yield (rel, kind, size, content, status, detail, target, tracked, *skip)
 
 
 class RepoTree(DataSource):
@@ -95,3 +97,34 @@ class RepoTree(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RepoTree)
+
+
+def git_facts(spark: SparkSession, root: str, paths: list[str]):
+    """``path, tracked, ignored, ignore_source, ignore_line, ignore_pattern, dirty, committed_at, authored_at`` and one row ``head_on_remote, shallow``.
+
+    A few git processes for all paths. Null means that git gave no answer, which no gate takes for a no.
+    """
+    env = {k: v for k, v in os.environ.items() if k not in SCRUBBED}
+    tracked, dirty = git(root, "ls-files", "-z"), git(root, "status", "--porcelain=v1", "-z", "--no-renames", "--untracked-files=no")
+    known = None if tracked is None else set(tracked.split("\0"))
+    changed = None if dirty is None else {x[3:] for x in dirty.split("\0") if x}
+    asked = subprocess.run(["git", "-C", root, "check-ignore", "-vz", "--no-index", "--stdin", "--non-matching"], input="\0".join(paths).encode() + b"\0", capture_output=True, env=env, check=False)
+    fields = asked.stdout.decode("utf-8", "surrogateescape").split("\0")[:-1] if asked.returncode in (0, 1) else []
+    rules = {fields[i + 3]: fields[i : i + 3] for i in range(0, len(fields) - 3, 4)}
+    log = git(root, "log", "--format=%x01%ct %at", "--name-only", "-z", "--no-renames")
+    touched: dict[str, tuple[int, int]] = {}
+    for commit in (log or "").split("\x01")[1:]:
+        stamp, _, names = commit.partition("\0")
+        when = tuple(map(int, stamp.split()))
+        for name in names.replace("\n", "").split("\0"):
+            if name:
+                touched[name] = max(touched.get(name, when), when, key=max)
+    rows = []
+    for p in paths:
+        source, line, pattern = rules.get(p, ("", "", ""))
+        ignored = None if not rules else bool(pattern) and not pattern.startswith("!")
+        rows.append((p, None if known is None else p in known, ignored, source or None, int(line) if line else None, pattern or None, None if changed is None else p in changed, *touched.get(p, (None, None))))
+    facts = spark.createDataFrame(rows, "path string, tracked boolean, ignored boolean, ignore_source string, ignore_line int, ignore_pattern string, dirty boolean, committed_at long, authored_at long")
+    remote, shallow = git(root, "branch", "-r", "--contains", "HEAD"), git(root, "rev-parse", "--is-shallow-repository")
+    head = spark.createDataFrame([(None if remote is None else bool(remote.strip()), None if shallow is None else shallow.strip() == "true")], "head_on_remote boolean, shallow boolean")
+    return facts, head

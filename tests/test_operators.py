@@ -297,3 +297,78 @@ def test_entry(spark, name):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() >= 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+# Scanners, analyzers, whole plans
+
+
+def test_reachability_scanners(spark):
+    from siftline.sources import reachability as r
+
+    assert r.string_literals("a 'x' \"y\\\"z\" `w` 'open\n'next'") == ["x", "yz", "w", "next"]
+    assert r.path_tokens('run (a/b.sh); -x/y /abs "c/d" $E/f http://x/y') == ["a/b.sh", "c/d"]
+    assert r.shell_split("a 'b c' \"d\\\"e\" f\\ g ''") == ["a", "b c", 'd"e', "f g", ""]
+    assert [r.rooted_pattern(p) for p in (".", "a/*.py", "*.whl", "../x", "/x", "$A/b", "./", "**", "a//b/")] == [("path", ""), ("path", "a"), ("suffix", ".whl"), None, None, None, None, ("path", ""), ("path", "a/b")]
+    f = [("ci/x.yml", "jobs:\n  a:\n    run: sh tools/go.sh\n  paths: [data/raw/*]\n"), ("bad.yml", "a: [\n"), ("app/load.py", "for p in os.listdir('plugins'): pass\nopen('cfg/x.toml')"), ("app/plugins/p.py", ""), ("cfg/x.toml", ""), ("Dockerfile", "COPY --from=a b /b\nCOPY src \\\n  conf /srv\n")]
+    files = spark.createDataFrame([(p, t, "completed") for p, t in f], "path string, content string, read_status string")
+    rooted, suffixes, gaps = r.tables(files)
+    got = {x.path: x.reason for x in rooted.collect()}
+    assert {"app", "app/plugins", "cfg", "data/raw", "tools/go.sh", "src", "conf", "b"} <= set(got)
+    assert [x.path for x in gaps.collect()] == ["bad.yml"] and suffixes.count() == 0
+
+
+def test_analyzers(spark):
+    from siftline.sources import analyzers as a
+
+    mk = lambda *t: spark.createDataFrame([(f"m{i}", "s", x) for i, x in enumerate(t)], "mutant string, sut string, text string")
+    claims, bad = a.line_findings(mk("x.py:3: unused class 'C' (60% confidence)\nx.py:9: unreachable code after 'return' (100% confidence)\ny.py:1: unused class 'C' (60% confidence, 3 lines)\n", "nonsense", ""))
+    assert rows(claims, "mutant", "claim", "declared_in") == [("m0", "C", None)] and rows(bad, "mutant") == [("m1",)]
+    claims, bad = a.package_findings(mk(json.dumps([{"Name": "p", "Path": "x/p", "Funcs": [{"Name": "T.f", "Position": {"File": "p.go"}}]}]), "null", "", '[{"Callee": 1}]'))
+    assert rows(claims, "claim", "declared_in") == [("T.f", "p.go")] and rows(bad, "mutant") == [("m2",), ("m3",)]
+    result = lambda rule, text, uri: {"ruleId": rule, "message": {"text": text}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": uri}}}]}
+    log = {"runs": [{"tool": {"driver": {"name": "k"}}, "results": [result("k/files", "Unused file: a.js", "a.js"), result("k/types", "Unused type: T (ns)", "b.ts"), result("k/binaries", "Unlisted: x", "package.json")]}]}
+    claims, bad = a.log_findings(mk(json.dumps(log), '{"runs": []}', "x"))
+    assert rows(claims, "kind", "claim", "declared_in") == [("path", "a.js", None), ("symbol", "T", "b.ts")] and rows(bad, "mutant") == [("m1",), ("m2",)]
+    doc = {"summary": {"errors": 1, "warnings": 0, "fixed": 0}, "findings": [{"code": "shear/unlinked_files", "files": ["src/x.rs"]}]}
+    claims, bad = a.summary_findings(mk(json.dumps(doc), json.dumps({**doc, "summary": {"errors": 2, "warnings": 0, "fixed": 0}}), ""))
+    assert rows(claims, "claim") == [("src/x.rs",)] and rows(bad, "mutant") == [("m1",), ("m2",)]
+
+
+def test_whole_plans(spark):
+    from siftline.plans import evidence
+
+    log = {"runs": [{"tool": {"driver": {"name": "t"}}, "invocations": [{"executionSuccessful": True}], "results": [{"ruleId": "A", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "x.py"}}}]}]}]}
+    logs = spark.createDataFrame([("l", json.dumps(log))], "log string, text string")
+    none = spark.createDataFrame([], "seq int, fingerprint string, rule_id string, uri string, symbol string, first_seen string, expires string, justification string")
+    files_ = spark.createDataFrame([("x.py",)], "path string")
+    v = evidence.tighten(logs, none, files_, "2026-01-01", 0)["verdict"].first()
+    assert (v.verdict, v.degraded, v.n_new, v.exit_code) == ("new_findings", True, 1, 1)
+    v = evidence.tighten(spark.createDataFrame([("l", "{")], "log string, text string"), none, files_, "2026-01-01")["verdict"].first()
+    assert v.verdict == "refused"
+
+    tree = [("a.py", "import os"), ("b.py", "import used"), ("used.py", "x = 1"), ("dead.py", "y = 2"), ("LICENSE", "MIT"), ("conftest.py", "")]
+    data = [(p, "blob", t, t, t[:64], None, "completed") for p, t in tree]
+    f = spark.createDataFrame(data, "path string, kind string, content string, text string, head string, link_target string, read_status string")
+    claims = spark.createDataFrame([("m", "s", "path", p, None) for p in ("used.py", "dead.py", "LICENSE", "conftest.py")], "mutant string, sut string, kind string, claim string, declared_in string")
+    left, dropped = evidence.survivors(claims, f)
+    assert rows(left, "claim") == [("dead.py",)]
+    assert rows(dropped, "claim", "layer") == [("LICENSE", "gate1"), ("conftest.py", "roots"), ("used.py", "veto")]
+    said = evidence.explain("LICENSE", f, spark.createDataFrame([("LICENSE", True, False)], "path string, tracked boolean, ignored boolean"), True)
+    assert rows(said["classes"], "class") == [("1i",)] and rows(said["recoverability"], "class") == [("TRACKED_PUSHED",)] and said["tier"].first().tier == 3
+
+
+def test_git_facts(spark, tmp_path):
+    import subprocess
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / ".gitignore").write_text("*.log\n!keep.log\n")
+    (tmp_path / "a.py").write_text("x")
+    run("add", "a.py", ".gitignore")
+    run("commit", "-qm", "m")
+    (tmp_path / "a.py").write_text("y")
+    facts, head = repo_tree.git_facts(spark, str(tmp_path), ["a.py", "b.log", "keep.log", "new.py"])
+    got = {r.path: (r.tracked, r.ignored, r.dirty, r.committed_at is not None) for r in facts.collect()}
+    assert got == {"a.py": (True, False, True, True), "b.log": (False, True, False, False), "keep.log": (False, False, False, False), "new.py": (False, False, False, False)}
+    assert rows(rules.negations(facts, facts.withColumnsRenamed({"ignore_source": "source", "ignore_line": "line", "ignore_pattern": "pattern"})), "path") == [("keep.log",)]
+    assert tuple(head.first()) == (False, False)
