@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftline.functions import paths
 from siftline.functions.globs import attribute_regex
 from siftline.functions.text import any_of, ascii_lower
+from siftline.operators.generated import generated
 
 
 @dataclass(frozen=True)
@@ -323,9 +324,11 @@ def judge(files: DataFrame, attributes: DataFrame | None = None, own_artifacts:
     seq = sequence_key(paths.basename(path))
     in_migrations = F.arrays_overlap(F.split(ascii_lower(paths.parent(path)), "/"), F.array(*map(F.lit, MIGRATION_DIRECTORIES)))
     pair = lambda c, e: F.struct(F.lit(c).alias("class"), e.alias("evidence"))
+    made = generated(path, F.col("text"))
     law, session, upload = legal(path, F.col("text")), first_rule(path, SESSIONS), first_rule(path, UPLOADS)
     content = (
         F.when(F.col("attribute").isNotNull(), pair("1j", F.col("attribute")))
+        .when(made.isNotNull(), pair("1j", made))
         .when(minified(path, F.col("text")), pair("1j", F.lit("minified")))
         .when(seq.isNotNull(), pair("1k", seq["ordinal"]))
         .when(in_migrations, pair("1k", F.lit("migrations directory")))

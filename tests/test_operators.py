@@ -372,3 +372,12 @@ def test_git_facts(spark, tmp_path):
     assert got == {"a.py": (True, False, True, True), "b.log": (False, True, False, False), "keep.log": (False, False, False, False), "new.py": (False, False, False, False)}
     assert rows(rules.negations(facts, facts.withColumnsRenamed({"ignore_source": "source", "ignore_line": "line", "ignore_pattern": "pattern"})), "path") == [("keep.log",)]
     assert tuple(head.first()) == (False, False)
+
+
+def test_generated_by_content(spark):
+    from siftline.operators.generated import census, generated
+
+    f = files(spark, [("a.go", "// x\n// Code generated by y\n"), ("b.go", "package b\n"), ("c.XML", "<?xml?>\n<doc>\n<assembly>\nx\n</doc>\n"), ("d.rb", "# a\n# b\n# This file is automatically generated by Racc 1\n"), ("e.py", "x = 1"), ("p.yml", "a\nb\nrecorded_with: VCR 2\n")])
+    got = {r.path: r.g for r in f.select("path", generated(F.col("path"), F.col("text")).alias("g")).collect()}
+    assert got == {"a.go": "go", "b.go": None, "c.XML": "net_docfile", "d.rb": "racc", "e.py": None, "p.yml": "vcr_cassette"}
+    assert census()["rules"] == 26
