@@ -80,18 +80,19 @@ def suite_counts(report: DataFrame) -> DataFrame:
 
 
 def exit_code(counts: DataFrame) -> DataFrame:
-    """``sut, exit_code``: nothing graded refuses (2); a false removal or a missing pass fails (1)."""
-    return counts.select("sut", F.when(F.col("graded") == 0, 2).when(F.col("passed") == F.col("graded"), 0).otherwise(1).alias("exit_code"))
+    """``sut, exit_code``: nothing graded refuses (2), a false removal fails (1); missed decoys are recall and do not."""
+    return counts.select("sut", F.when(F.col("graded") == 0, 2).when(F.col("false_removals") == 0, 0).otherwise(1).alias("exit_code"))
 
 
-def naive_claims(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The reference cleaner, which must fail: a file is dead when no *other* file names it, a symbol when it occurs at most once.
+def naive_claims(parsed: DataFrame, symbols: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """The cleaner that must fail: a file is dead when no *other* parsed file names it or its stem, a symbol when it occurs at most once.
 
-    ``parsed(mutant, path, text)``, ``symbols(mutant, symbol, declared_in)``. Works within each class, whose files are few.
+    ``parsed(mutant, path, text)`` are the sources, ``candidates(mutant, path)`` the files that may be claimed (by default the sources; entry points are left
+    out by the caller), ``symbols(mutant, symbol, declared_in)``. Works within each class, whose files are few.
     """
     from siftline.functions.paths import basename, stem
 
-    a = parsed.select("mutant", F.col("path").alias("claim"), basename(F.col("path")).alias("base"), stem(F.col("path")).alias("stem"))
+    a = (parsed if candidates is None else candidates).select("mutant", F.col("path").alias("claim"), basename(F.col("path")).alias("base"), stem(F.col("path")).alias("stem"))
     b = parsed.select("mutant", F.col("path").alias("other"), "text")
     named = a.join(b, "mutant").where((F.col("claim") != F.col("other")) & (F.contains("text", F.col("base")) | F.contains("text", F.col("stem")))).select("mutant", "claim").distinct()
     dead = a.select("mutant", "claim").join(named, ["mutant", "claim"], "left_anti").select("mutant", F.lit("naive").alias("sut"), F.lit("path").alias("kind"), "claim", F.lit(None).cast("string").alias("declared_in"))

@@ -220,7 +220,7 @@ def test_grade(spark):
     assert got["blind"].grade == "not_read" and got["blind"].decoys_total == 0
     assert (got["refusing"].grade, got["refusing"].n_false, got["refusing"].decoys_found) == ("failed", 0, 0)
     codes = {r.sut: r.exit_code for r in suite.exit_code(suite.suite_counts(suite.grade(claims, truth, suts))).collect()}
-    assert codes == {"s": 1, "blind": 2, "refusing": 1}
+    assert codes == {"s": 1, "blind": 2, "refusing": 0}
 
 
 def test_layers_only_remove_and_conserve(spark):
@@ -381,3 +381,12 @@ def test_generated_by_content(spark):
     got = {r.path: r.g for r in f.select("path", generated(F.col("path"), F.col("text")).alias("g")).collect()}
     assert got == {"a.go": "go", "b.go": None, "c.XML": "net_docfile", "d.rb": "racc", "e.py": None, "p.yml": "vcr_cassette"}
     assert census()["rules"] == 26
+
+
+def test_controls(spark):
+    parsed = spark.createDataFrame([("m", "a.py", "import used; f(); f()"), ("m", "used.py", "def g(): pass"), ("m", "dead.py", "")], "mutant string, path string, text string")
+    symbols = spark.createDataFrame([("m", "g", "used.py"), ("m", "f", "a.py")], "mutant string, symbol string, declared_in string")
+    every = spark.createDataFrame([("m", "used.py"), ("m", "dead.py"), ("m", "data.txt")], "mutant string, path string")
+    claims = suite.naive_claims(parsed, symbols, every)
+    assert rows(claims, "kind", "claim") == [("path", "data.txt"), ("path", "dead.py"), ("symbol", "g")]
+    assert suite.refusing_claims(claims).count() == 0 and suite.refusing_claims(claims).columns == claims.columns
