@@ -38,6 +38,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siftline-{name}-{uuid.uuid4().hex}"
 
 
+#: Bits of a filter over keys, in pieces of 4 KiB: 2 MiB at most, however many keys there are.
+FILTER_BITS, PIECE_BITS = 1 << 24, 1 << 15
+
+
+def with_filter(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` and a boolean ``name``: may its ``key`` be among ``keys`` (one column)? False is certain, true is not; a null key is false.
+
+    The filter is a bitmap of bounded size that every machine gets, so the rows themselves do not move.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    piece = lambda c: F.floor(place(c) / PIECE_BITS).cast("int")
+    own = keys.columns[0]
+    pieces = keys.where(F.col(own).isNotNull()).groupBy(piece(F.col(own)).alias(f"{OWN}piece")).agg(F.bitmap_construct_agg(F.pmod(place(F.col(own)), F.lit(PIECE_BITS))).alias(f"{OWN}bits"))
+    bit = F.pmod(place(F.col(key)), F.lit(PIECE_BITS))
+    held = rows.withColumns({f"{OWN}at": F.when(F.col(key).isNotNull(), piece(F.col(key))), f"{OWN}bit": bit}).join(F.broadcast(pieces), F.col(f"{OWN}at") == F.col(f"{OWN}piece"), "left")
+    byte = F.conv(F.hex(F.expr(f"substring({OWN}bits, cast({OWN}bit div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    hit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(f"{OWN}bit", F.lit(8)))), F.lit(2)) == 1
+    return held.withColumn(name, F.coalesce(hit, F.lit(False))).select(*[F.col(f"`{c}`") for c in rows.columns], name)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone`` (one column); rows with a null key stay.
+
+    Rows that the filter clears stay where they were read; only the others meet ``gone`` in a join.
+    """
+    asked = with_filter(rows, key, gone, f"{OWN}maybe")
+    clear, maybe = asked.where(f"not {OWN}maybe").drop(f"{OWN}maybe"), asked.where(f"{OWN}maybe").drop(f"{OWN}maybe")
+    named = gone.toDF(f"{OWN}gone")
+    return clear.unionByName(maybe.join(named, F.col(f"`{key}`") == F.col(f"{OWN}gone"), "left_anti"))
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -91,23 +122,38 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return found if found is not None else e.toDF("node", "component")
 
 
-def sorted_groups(batches, keys: list[str]):
-    """Frames of equal ``keys`` out of a sorted stream of frames; a group may span batches."""
+def sorted_chunks(batches, keys: list[str], least: int):
+    """Frames of at least ``least`` rows out of a sorted stream, cut only between groups of equal ``keys``; ``group`` numbers the groups."""
+    import numpy as np
     import pandas as pd
 
     held: list = []
-    name = None
+    size = 0
     for pdf in batches:
         if not len(pdf):
             continue
-        new = (pdf[keys].iloc[1:].to_numpy() != pdf[keys].iloc[:-1].to_numpy()).any(axis=1)
-        cuts = [0, *(new.nonzero()[0] + 1).tolist(), len(pdf)]
-        for a, b in zip(cuts, cuts[1:]):
-            this = tuple(pdf[k].iloc[a] for k in keys)
-            if held and this != name:
-                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-                held = []
-            name = this
-            held.append(pdf.iloc[a:b])
+        held.append(pdf)
+        size += len(pdf)
+        if size < least:
+            continue
+        whole = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        new = _starts(whole, keys)
+        last = int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
+        if last:
+            yield whole.iloc[:last].assign(group=np.cumsum(new[:last])).reset_index(drop=True)
+        held = [whole.iloc[last:].reset_index(drop=True)]
+        size = len(held[0])
     if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        whole = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield whole.assign(group=np.cumsum(_starts(whole, keys))).reset_index(drop=True)
+
+
+def _starts(pdf, keys: list[str]):
+    import numpy as np
+
+    new = np.zeros(len(pdf), bool)
+    new[0] = True
+    for k in keys:
+        x = pdf[k].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new

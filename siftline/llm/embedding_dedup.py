@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import connected_components, sorted_groups, written
+from siftline.llm.common import connected_components, sorted_chunks, written
 
 BLOCK = 1024
-PER_BUCKET = 256
+SMALL = 64  # rows of a group whose pairs are formed together with those of others
+CHUNK = 8192  # rows verified at once
+PER_BUCKET = 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -75,38 +77,59 @@ def codes(vectors: np.ndarray, tables: int, k: int, seed: int) -> np.ndarray:
 
 def usable(vec: Column) -> Column:
     """Not null, some component not zero, all components finite."""
+    vec = vec.cast("array<double>")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce(vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _met_before(a: np.ndarray, b: np.ndarray, table: int, code: int) -> np.ndarray:
-    """For pairs of code rows [pair, table, probe]: do they meet at an earlier place than (table, code)?"""
+def _met_before(a: np.ndarray, b: np.ndarray, table: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For pairs of code rows [pair, table, probe]: do they meet at an earlier place than (table, code)? Own buckets are never -1."""
     out = np.zeros(len(a), bool)
-    for t in range(table + 1):
+    for t in range(a.shape[1]):
         ha, hb = a[:, t, 0], b[:, t, 0]
         at_a = (b[:, t, :] == ha[:, None]).any(axis=1)
         at_b = (a[:, t, :] == hb[:, None]).any(axis=1)
-        out |= (at_a | at_b) if t < table else (at_a & (ha < code)) | (at_b & (hb < code))
+        out |= np.where(t < table, at_a | at_b, (t == table) & ((at_a & (ha < code)) | (at_b & (hb < code))))
     return out
 
 
-def block_links(p: pd.DataFrame, table: int, code: int, pair: tuple[int, int], cosine: float, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``ids, counts, roots``-style sums of one pair of blocks of a bucket: id, links, and links (src, dst) that span."""
+def _close_pairs(vec: np.ndarray, group: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of one group with at least the cosine; groups are runs of rows.
+
+    Small groups are handled together, a distance between rows at a time; a large one by products of its slices.
+    """
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(start, len(group)))
+    for at, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        for x in range(at, at + n, 512):
+            i, j = np.nonzero(vec[x : min(x + 512, at + n)] @ vec[x : at + n].T >= cosine)
+            yield x + i[i < j], x + j[i < j]
+    live = np.flatnonzero(np.repeat(size <= SMALL, size))
+    for off in range(1, SMALL):
+        live = live[live + off < len(group)]
+        live = live[group[live] == group[live + off]]
+        if not len(live):
+            break
+        for x in range(0, len(live), 1 << 16):
+            i = live[x : x + (1 << 16)]
+            near = np.einsum("ij,ij->i", vec[i], vec[i + off]) >= cosine
+            yield i[near], i[near] + off
+
+
+def links_of(p: pd.DataFrame, cosine: float, shape: tuple[int, int]) -> pd.DataFrame:
+    """``id, links, root``: sums of links, and links (root, id) that span, of rows sorted by their group, all vectors equally long."""
     vec = unit(np.stack(p["vec"].to_numpy()).astype(float))
-    held = np.stack([np.frombuffer(c, "<i8") for c in p["codes"]]).reshape(len(p), *shape)
-    block, copies, ids = p["block"].to_numpy(), p["n"].to_numpy(), p["rep"].to_numpy()
-    left, right = np.flatnonzero(block == pair[0]), np.flatnonzero(block == pair[1])
-    home = held[:, table, 0] == code
+    held = np.stack(p["codes"].to_numpy()).reshape(len(p), *shape)
+    table, code, block = p["tab"].to_numpy(), p["code"].to_numpy(), p["block"].to_numpy()
+    copies, ids, apart = p["n"].to_numpy(), p["rep"].to_numpy(), (p["lo"] != p["hi"]).to_numpy()
+    home = held[np.arange(len(p)), table, 0] == code
     count, label = np.zeros(len(p), np.int64), np.arange(len(p))
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        i, j = np.nonzero(vec[rows] @ vec[right].T >= cosine)
-        i, j = rows[i], right[j]
-        ok = (home[i] | home[j]) & ((ids[i] < ids[j]) if pair[0] == pair[1] else (i != j))
+    for i, j in _close_pairs(vec, p["group"].to_numpy(), cosine):
+        ok = (home[i] | home[j]) & ~(apart[i] & (block[i] == block[j]))  # pairs within a block are its own group's
         i, j = i[ok], j[ok]
-        for s in range(0, len(i), 1 << 17):
-            a, b = i[s : s + (1 << 17)], j[s : s + (1 << 17)]
-            new = ~_met_before(held[a], held[b], table, code)
+        for s in range(0, len(i), 1 << 16):
+            a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+            new = ~_met_before(held[a], held[b], table[a], code[a])
             a, b = a[new], b[new]
             np.add.at(count, a, copies[b])
             np.add.at(count, b, copies[a])
@@ -121,8 +144,10 @@ def block_links(p: pd.DataFrame, table: int, code: int, pair: tuple[int, int], c
                 np.minimum.at(label, b, low)
     for _ in range(len(label).bit_length()):
         label = label[label]
-    moved = np.flatnonzero(label != np.arange(len(p)))
-    return ids, count, ids[label[moved]], ids[moved]
+    hit, moved = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(p)))
+    return pd.DataFrame(
+        {"id": np.concatenate((ids[hit], ids[moved])), "links": np.concatenate((count[hit], np.zeros(len(moved), np.int64))), "root": [None] * len(hit) + ids[label[moved]].tolist()}
+    )
 
 
 def vector_components(
@@ -142,7 +167,7 @@ def vector_components(
     taken to be unique. An empty table gives an empty result.
     """
     label = F.col(label_col) if label_col else F.lit(0)
-    rows = vectors.select(F.col(id_col).alias("id"), label.alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = vectors.select(F.col(id_col).alias("id"), label.alias("label"), F.col(vec_col).alias("vec"))
     good = rows.where(usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull())
     merged = written(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
     stats = merged.groupBy("label", F.size("vec").alias("dim")).count().agg(F.max("count"), F.max("dim")).first()
@@ -158,31 +183,33 @@ def vector_components(
                 part = pdf.iloc[at : at + 2000]
                 for _, p in part.groupby(part["vec"].map(len)):
                     c = codes(unit(np.stack(p["vec"].to_numpy()).astype(float)), tables, k, seed)
-                    raw = [x.tobytes() for x in c]
-                    for t in range(tables):
-                        for q in range(probes):
-                            fresh = c[:, t, q] >= 0
-                            for e in range(q):
-                                fresh &= c[:, t, q] != c[:, t, e]
-                            yield pd.DataFrame(
-                                {"tab": t, "code": c[fresh, t, q], "home": q == 0, "label": p["label"][fresh], "rep": p["rep"][fresh], "n": p["n"][fresh],
-                                 "vec": p["vec"][fresh], "codes": [r for r, f in zip(raw, fresh) if f]}
-                            )
+                    for q in range(1, probes):  # a bucket is visited once
+                        c[:, :, q][(c[:, :, q, None] == c[:, :, :q]).any(axis=2)] = -1
+                    out = p[["rep"]].copy()
+                    out["codes"] = list(c.reshape(len(p), -1))
+                    yield out
 
     kinds = {f.name: f.dataType.simpleString() for f in merged.schema}
     id_kind = kinds["rep"]
-    shape = f"tab int, code long, home boolean, label {kinds['label']}, rep {id_kind}, n long, vec array<double>, codes binary"
-    entries = merged.select("label", "rep", "n", "vec").mapInPandas(place, shape).withColumn("dim", F.size("vec"))
+    placed = written(merged.select("rep", "vec").mapInPandas(place, f"rep {id_kind}, codes array<long>").withColumnRenamed("rep", "id"), "vector-codes")
+    rows_of = merged.join(placed, merged["rep"] == placed["id"]).drop("id").withColumn("dim", F.size("vec"))
+    # Buckets are counted by codes alone; vectors move only for buckets in which two meet.
     key = ["tab", "label", "dim", "code"]
+    entries = (
+        rows_of.select("label", "dim", "rep", F.posexplode("codes").alias("pos", "code"))
+        .where("code >= 0")
+        .select("label", "dim", "rep", F.floor(F.col("pos") / probes).cast("int").alias("tab"), "code", (F.col("pos") % probes == 0).alias("home"))
+    )
     sizes = (
         entries.groupBy(key)
         .agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("lived"))
         .where("rows > 1 and lived")
         .select(*key, F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     )
+    alive = entries.join(sizes, key).select("tab", "code", "blocks", "rep")
     # A row meets every block of its bucket: as the lower half of a pair of blocks, or as the upper one.
     dealt = (
-        entries.join(sizes, key)
+        alive.join(rows_of.select("label", "dim", "rep", "n", "vec", "codes"), "rep")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("block", "other"))
@@ -191,18 +218,9 @@ def vector_components(
     group = [*key, "lo", "hi"]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[pd.DataFrame] = []
-        for p in sorted_groups(batches, group):
-            p = p.reset_index(drop=True)
-            ids, count, src, dst = block_links(p, int(p["tab"][0]), int(p["code"][0]), (int(p["lo"][0]), int(p["hi"][0])), cosine, (tables, probes))
-            hit = count > 0
-            out.append(pd.DataFrame({"id": ids[hit], "links": count[hit], "root": None}))
-            out.append(pd.DataFrame({"id": dst, "links": 0, "root": src}))
-            if len(out) > 400:
-                yield pd.concat(out, ignore_index=True)
-                out = []
-        if out:
-            yield pd.concat(out, ignore_index=True)
+        for whole in sorted_chunks(batches, group, CHUNK):
+            for _, p in whole.groupby("dim"):
+                yield links_of(p.reset_index(drop=True), cosine, (tables, probes))
 
     partial = written(
         dealt.select(*group, "block", "rep", "n", "vec", "codes").repartition(*group).sortWithinPartitions(*group, "rep").mapInPandas(verify, f"id {id_kind}, links long, root {id_kind}"),
