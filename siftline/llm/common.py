@@ -65,7 +65,7 @@ def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """
     asked = with_filter(rows, key, gone, f"{OWN}maybe")
     clear, maybe = asked.where(f"not {OWN}maybe").drop(f"{OWN}maybe"), asked.where(f"{OWN}maybe").drop(f"{OWN}maybe")
-    named = gone.toDF(f"{OWN}gone")
+    named = gone.toDF(f"{OWN}gone").hint("merge")  # one plan at every size
     return clear.unionByName(maybe.join(named, F.col(f"`{key}`") == F.col(f"{OWN}gone"), "left_anti"))
 
 

@@ -16,10 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import new_path
-
-#: Bits of the filter over hit digests, in pieces of 4 KiB: 2 MiB at most, however many hits there are.
-FILTER_BITS, PIECE_BITS = 1 << 24, 1 << 15
+from siftline.llm.common import new_path, with_filter, without
 
 
 class DigestIndex:
@@ -67,16 +64,8 @@ class DigestIndex:
 
 
 def maybe_hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows whose ``digest`` may be among ``hits``: all that are, and of the others a share that grows with the number of hits.
-
-    The filter is a bitmap of bounded size that every machine gets; rows that fail it go no further than the task that read them.
-    """
-    place = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    piece, bit = F.floor(place / PIECE_BITS).cast("int"), F.pmod(place, F.lit(PIECE_BITS))
-    pieces = hits.groupBy(piece.alias("__sl_piece")).agg(F.bitmap_construct_agg(bit).alias("__sl_bits"))
-    byte = F.conv(F.hex(F.expr("substring(__sl_bits, cast(__sl_bit div 8 as int) + 1, 1)")), 16, 10).cast("long")
-    found = rows.withColumns({"__sl_piece": piece, "__sl_bit": bit}).join(F.broadcast(pieces), "__sl_piece")
-    return found.where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("__sl_bit", F.lit(8)))), F.lit(2)) == 1).drop("__sl_piece", "__sl_bit", "__sl_bits")
+    """Rows whose ``digest`` may be among ``hits``: all that are, and of the others a share that grows with the number of hits."""
+    return with_filter(rows, "digest", hits, "__sl_hit").where("__sl_hit").drop("__sl_hit")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -130,5 +119,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """``docs`` without exact copies; all columns stay. Identifiers are taken to be unique."""
-    gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col("id").alias("__sl_gone"))
-    return docs.join(gone, docs[id_col] == gone["__sl_gone"], "left_anti")
+    gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select("id")
+    return without(docs, id_col, gone)

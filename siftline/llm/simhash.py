@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import connected_components, written
+from siftline.llm.common import connected_components, with_filter, without, written
 
 SEED = 42
 #: bytes.translate table that lower-cases A-Z only.
@@ -215,7 +215,7 @@ AHEAD = 64
 
 def _tables(n: int, reach: float, recall: float) -> list[int]:
     """Masks of random bits: few enough bits that fingerprints ``reach`` apart share a bucket of some table, enough that buckets stay small."""
-    bits = max(10, min(40, math.ceil(math.log2(max(2, n))) - 2))
+    bits = max(10, min(40, math.ceil(math.log2(max(2, n))) - 4))
     one = (1 - reach / 64) ** bits
     rng = np.random.default_rng(7)
     masks = []
@@ -227,12 +227,13 @@ def _tables(n: int, reach: float, recall: float) -> list[int]:
 def candidate_pairs(nodes: DataFrame, distance: int = 14, reach: int = 10, recall: float = 0.95) -> DataFrame:
     """``a, b, d`` (a < b): fingerprints of ``nodes`` that share a bucket and differ in at most ``distance`` bits.
 
-    In a bucket, in order of its fingerprints, each one is paired with its nearest among those that follow.
+    In a bucket, in order of its fingerprints, each one is paired with those near it that follow; in a crowd, where these are more than ``NEAREST``,
+    with the nearest one: its members meet in many tables, and what spans them is enough.
     """
     masks = _tables(nodes.count(), reach, recall)
     spread = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])
-    keyed = nodes.select("rep", "fp", F.explode(spread).alias("m")).select(F.col("m.t").alias("t"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"), "fp", "rep")
-    dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    keyed = nodes.select("rep", "fp", F.explode(spread).alias("m")).select(F.xxhash64("m.t", F.col("fp").bitwiseAND(F.col("m.mask"))).alias("bucket"), "fp", "rep")
+    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "fp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -240,14 +241,14 @@ def candidate_pairs(nodes: DataFrame, distance: int = 14, reach: int = 10, recal
             if rest is not None:
                 pdf = pd.concat([rest, pdf], ignore_index=True)
             old = 0 if rest is None else len(rest)
-            t, key, rep = pdf["t"].to_numpy(), pdf["key"].to_numpy(), pdf["rep"].to_numpy()
+            bucket, rep = pdf["bucket"].to_numpy(), pdf["rep"].to_numpy()
             fp = pdf["fp"].to_numpy().view(np.uint64)
             n = len(pdf)
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             live = np.arange(n)
             for off in range(1, AHEAD + 1):
                 live = live[live + off < n]
-                live = live[(t[live] == t[live + off]) & (key[live] == key[live + off])]
+                live = live[bucket[live] == bucket[live + off]]
                 if not len(live):
                     break
                 new = live[live + off >= old]  # pairs among carried rows were reported with their batch
@@ -258,8 +259,8 @@ def candidate_pairs(nodes: DataFrame, distance: int = 14, reach: int = 10, recal
                 i, j, d = (np.concatenate(x) for x in zip(*found))
                 order = np.lexsort((j, d, i))
                 i, j, d = i[order], j[order], d[order]
-                first = np.searchsorted(i, i)
-                keep = np.arange(len(i)) - first < NEAREST
+                first, last = np.searchsorted(i, i), np.searchsorted(i, i, "right")
+                keep = (np.arange(len(i)) == first) | (last - first <= NEAREST)
                 i, j, d = i[keep], j[keep], d[keep]
                 yield pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "d": d})
             rest = pdf.iloc[max(0, n - AHEAD) :].reset_index(drop=True)
@@ -278,7 +279,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``src, dst`` of the pairs (``a, b``) whose shingle sets have a Jaccard similarity of at least ``similarity``; two empty sets are alike."""
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    left, right = sets.toDF("a", "sa").hint("merge"), sets.toDF("b", "sb").hint("merge")  # one plan at every size
     both = F.size(F.array_intersect("sa", "sb"))
     either = F.size("sa") + F.size("sb") - both
     return pairs.join(left, "a").join(right, "b").where((either == 0) | (both >= F.lit(similarity) * either)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -298,7 +299,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = fps.join(nodes, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("d"))
     pairs = written(candidate_pairs(nodes).unionByName(same), "pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(given.join(ends, "id", "left_semi"), shingle), "shingles")
+    # Sets of all that may be the end of a pair, without moving a text; a few more than are asked for do no harm.
+    sets = written(shingle_sets(with_filter(given, "id", ends, "__sl_end").where("__sl_end"), shingle), "shingles")
 
     both = pairs.union(pairs.select("b", "a", "d")).toDF("x", "y", "d")
     best = both.groupBy("x").agg(F.min(F.struct("d", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
@@ -319,5 +321,5 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without near copies: of each group the smallest id stays; all columns stay, as do rows with a null id."""
-    gone = near_duplicate_groups(docs, id_col, text_col, **how).where("id <> group_id").select(F.col("id").alias("__sl_gone"))
-    return docs.join(gone, docs[id_col] == gone["__sl_gone"], "left_anti")
+    gone = near_duplicate_groups(docs, id_col, text_col, **how).where("id <> group_id").select("id")
+    return without(docs, id_col, gone)
