@@ -16,6 +16,7 @@ import heapq
 import math
 import random
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -29,37 +30,58 @@ SPACE = "▁"
 #: White space runs go with the characters after them: no piece crosses from other characters into a run.
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 ZIPF = 100.0
-CACHE = 200_000
+CACHE = 50_000  # segments kept in each of two generations, about 1 KB each
 
 
 class Segment:
-    """Lattice of one segment: for each position its outgoing pieces, their shares of the mass below, and running sums."""
+    """Lattice of one segment, its edges in flat arrays: position i has the edges at[i]..at[i+1].
 
-    __slots__ = ("pieces", "ends", "logs", "sums", "mass")
+    An edge has a piece (below -1: the character spelt in bytes, ``spelt[-2 - piece]``), an end, the log of its share of the mass below i, and the running
+    sum of the shares.
+    """
+
+    __slots__ = ("at", "piece", "end", "log", "sum", "spelt", "mass", "length")
 
     def __init__(self, text: str, codec: Codec):
-        n = len(text)
+        n = self.length = len(text)
         beta = [0.0] * (n + 1)
-        self.pieces, self.ends, self.logs, self.sums = [()] * n, [()] * n, [()] * n, [()] * n
+        edges: list[list] = [[]] * n
+        self.spelt: list[list[int]] = []
+        pieces, begins, weight = codec.piece, codec.begins, codec.weight
         for i in range(n - 1, -1, -1):
             out = []
             for j in range(i + 1, min(n, i + codec.longest) + 1):
-                p = codec.piece.get(text[i:j])
+                part = text[i:j]
+                p = pieces.get(part)
                 if p is not None:
-                    out.append(((p,), j, codec.weight[p] + beta[j]))
+                    out.append((p, j, weight[p] + beta[j]))
+                if part not in begins:
+                    break
             if not out or out[0][1] != i + 1:
-                spelt = tuple(codec.byte[b] for b in text[i].encode("utf-8", "surrogatepass"))
-                out.insert(0, (spelt, i + 1, sum(codec.weight[p] for p in spelt) + beta[i + 1]))
+                spelt = [codec.byte[b] for b in text[i].encode("utf-8", "surrogatepass")]
+                self.spelt.append(spelt)
+                out.insert(0, (-1 - len(self.spelt), i + 1, sum(weight[p] for p in spelt) + beta[i + 1]))
             top = max(x[2] for x in out)
-            beta[i] = top + math.log(sum(math.exp(x[2] - top) for x in out))
-            logs = [x[2] - beta[i] for x in out]
-            total, sums = 0.0, []
-            for x in logs:
+            beta[i] = top + math.log(sum([math.exp(x[2] - top) for x in out]))
+            edges[i] = out
+        self.at, self.piece, self.end = array("i", [0]), array("i"), array("i")
+        self.log, self.sum = array("d"), array("d")
+        for i, out in enumerate(edges):
+            total = 0.0
+            for p, j, w in out:
+                x = w - beta[i]
                 total += math.exp(x)
-                sums.append(total)
-            self.pieces[i], self.ends[i], self.logs[i], self.sums[i] = tuple(x[0] for x in out), tuple(x[1] for x in out), tuple(logs), tuple(sums)
+                self.piece.append(p)
+                self.end.append(j)
+                self.log.append(x)
+                self.sum.append(total)
+            self.at.append(len(self.piece))
         self.mass = beta[0]
 
+    def ids(self, edge: int) -> list[int]:
+        p = self.piece[edge]
+        return [p] if p >= 0 else self.spelt[-2 - p]
+
 
 class Codec:
     """Encode, decode and sample with one SentencePiece model."""
@@ -78,17 +100,19 @@ class Codec:
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
                 self.piece[self.sp.id_to_piece(i)] = i
         self.longest = max(map(len, self.piece))
+        self.begins = {p[:n] for p in self.piece for n in range(1, len(p))}  # what a longer piece begins with
         self.known: dict[str, Segment] = {}
+        self.older: dict[str, Segment] = {}
 
     def segments(self, text: str) -> list[Segment]:
         out = []
         for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
             got = self.known.get(s)
             if got is None:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                got = Segment(s, self)
+                got = self.older.get(s) or Segment(s, self)
                 if len(s) < 64:
+                    if len(self.known) >= CACHE:  # what is still in use is taken along from the older half
+                        self.known, self.older = {}, self.known
                     self.known[s] = got
             out.append(got)
         return out
@@ -113,29 +137,29 @@ class Codec:
             logs: list[float] = []
             while s < len(segs):
                 seg = segs[s]
-                sums, own = seg.sums[i], seg.logs[i]
-                if len(sums) == 1:
-                    c = 0
+                lo, hi = seg.at[i], seg.at[i + 1]
+                if hi - lo == 1:
+                    c = lo
                 else:
-                    c = min(bisect_right(sums, pick.random() * sums[-1]), len(sums) - 1)
-                    places.append((s, i, phi, path, c))
-                    counts.append(len(own))
-                    logs += own[:c]
+                    c = min(bisect_right(seg.sum, pick.random() * seg.sum[hi - 1], lo, hi), hi - 1)
+                    places.append((s, i, phi, path))
+                    counts.append(hi - lo)
+                    logs += seg.log[lo:c]
                     logs.append(-math.inf)
-                    logs += own[c + 1 :]
-                phi += own[c]
-                path = (path, seg.pieces[i][c])
-                i = seg.ends[i][c]
-                if i == len(seg.ends):
+                    logs += seg.log[c + 1 : hi]
+                phi += seg.log[c]
+                path = (path, seg, c)
+                i = seg.end[c]
+                if i == seg.length:
                     s, i = s + 1, 0
             ids: list[int] = []
             link = path
             parts = []
             while link is not None:
-                link, p = link
-                parts.append(p)
-            for p in reversed(parts):
-                ids += p
+                link, seg, c = link
+                parts.append((seg, c))
+            for seg, c in reversed(parts):
+                ids += seg.ids(c)
             found.append((ids, phi, value))
             if places and want:
                 base = np.repeat(np.array([p[2] for p in places]), counts)
@@ -150,13 +174,13 @@ class Codec:
                     if cut[b] == -np.inf:
                         break
                     at = int(np.searchsorted(ends, b, "right"))
-                    s2, i2, phi2, path2, _ = places[at]
-                    c = b - (int(ends[at]) - counts[at])
+                    s2, i2, phi2, path2 = places[at]
                     seg = segs[s2]
-                    j = seg.ends[i2][c]
+                    c = seg.at[i2] + b - (int(ends[at]) - counts[at])
+                    j = seg.end[c]
                     tie += 1
-                    nxt = (s2 + 1, 0) if j == len(seg.ends) else (s2, j)
-                    heapq.heappush(heap, (-float(cut[b]), tie, *nxt, phi2 + seg.logs[i2][c], (path2, seg.pieces[i2][c])))
+                    nxt = (s2 + 1, 0) if j == seg.length else (s2, j)
+                    heapq.heappush(heap, (-float(cut[b]), tie, *nxt, phi2 + seg.log[c], (path2, seg, c)))
         return found, -math.inf
 
 

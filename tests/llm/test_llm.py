@@ -433,12 +433,12 @@ def codec():
 
 def all_segmentations(seg):
     def walk(i):
-        if i == len(seg.ends):
+        if i == seg.length:
             yield (), 0.0
             return
-        for ids, j, p in zip(seg.pieces[i], seg.ends[i], seg.logs[i]):
-            for rest, q in walk(j):
-                yield ids + rest, p + q
+        for e in range(seg.at[i], seg.at[i + 1]):
+            for rest, q in walk(seg.end[e]):
+                yield (*seg.ids(e), *rest), seg.log[e] + q
 
     return dict(walk(0))
 
