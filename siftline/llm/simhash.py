@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import connected_components, with_filter, without, written
+from siftline.llm.common import connected_components, sorted_chunks, with_filter, without, written
 
 SEED = 42
 #: bytes.translate table that lower-cases A-Z only.
@@ -207,74 +207,90 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(labels, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("label")).alias("component_id"))
 
 
-# Wider groups: SimHash finds candidates, the shingles themselves decide.
+# Wider groups: shared rare shingles find the candidates, whole shingle sets decide.
 
-NEAREST = 4
-AHEAD = 64
+SAMPLE, SEEN, COMMON = 8000, 4, 200_000  # documents sampled for common shingles, times seen there, shingles held
 
 
-def _tables(n: int, reach: float, recall: float) -> list[int]:
-    """Masks of random bits: few enough bits that fingerprints ``reach`` apart share a bucket of some table, enough that buckets stay small."""
-    bits = max(10, min(40, math.ceil(math.log2(max(2, n))) - 4))
-    one = (1 - reach / 64) ** bits
-    rng = np.random.default_rng(7)
-    masks = []
-    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - one))):
-        masks.append(sum(1 << int(b) for b in rng.permutation(64)[:bits]))
-    return masks
+def _hashes(text: str | None, k: int) -> np.ndarray:
+    """The distinct k-word shingles as sorted unsigned 64-bit hashes."""
+    return np.unique(shingle_hashes(words(text), k))
 
 
-def candidate_pairs(nodes: DataFrame, distance: int = 14, reach: int = 10, recall: float = 0.95) -> DataFrame:
-    """``a, b, d`` (a < b): fingerprints of ``nodes`` that share a bucket and differ in at most ``distance`` bits.
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """``id, set``: the distinct k-word shingles of ``docs`` (``id, text``) as 64-bit hashes."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_hashes(t, k).view(np.int64) for t in texts])
+
+    return docs.select("id", F.pandas_udf(of, "array<long>")("text").alias("set"))
+
+
+def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes (sorted) that repeat in a sample of about ``SAMPLE`` documents, and how often; bounded by the sample."""
+    some = max(1, docs.count() // SAMPLE)
+    sets = shingle_sets(docs.where(F.pmod(F.xxhash64("id"), F.lit(some)) == 0), k)
+    seen = sets.select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN).toPandas()
+    seen = seen.nlargest(COMMON, "n")
+    h, n = seen["h"].to_numpy(np.int64).view(np.uint64), seen["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def heads(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """``id, copy, n, head``: a digest of the shingle set, its size, and its first members in an order that all documents share.
 
-    In a bucket, in order of its fingerprints, each one is paired with those near it that follow; in a crowd, where these are more than ``NEAREST``,
-    with the nearest one: its members meet in many tables, and what spans them is enough.
+    Two sets with a Jaccard similarity of at least ``similarity`` share one of their first ``n - ceil(similarity * n) + 1`` members
+    in any common order. The order is by the count in a sample, then by hash, so that what a source repeats comes last; the
+    sample decides how many candidates there are, and none is lost by it.
     """
-    masks = _tables(nodes.count(), reach, recall)
-    spread = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])
-    keyed = nodes.select("rep", "fp", F.explode(spread).alias("m")).select(F.xxhash64("m.t", F.col("fp").bitwiseAND(F.col("m.mask"))).alias("bucket"), "fp", "rep")
-    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "fp")
+    common, times = common_shingles(docs, k)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-        for pdf in batches:
-            if rest is not None:
-                pdf = pd.concat([rest, pdf], ignore_index=True)
-            old = 0 if rest is None else len(rest)
-            bucket, rep = pdf["bucket"].to_numpy(), pdf["rep"].to_numpy()
-            fp = pdf["fp"].to_numpy().view(np.uint64)
-            n = len(pdf)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            live = np.arange(n)
-            for off in range(1, AHEAD + 1):
-                live = live[live + off < n]
-                live = live[bucket[live] == bucket[live + off]]
-                if not len(live):
-                    break
-                new = live[live + off >= old]  # pairs among carried rows were reported with their batch
-                d = np.bitwise_count(fp[new] ^ fp[new + off]).astype(np.int64)
-                near = d <= distance
-                found.append((new[near], new[near] + off, d[near]))
-            if found:
-                i, j, d = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((j, d, i))
-                i, j, d = i[order], j[order], d[order]
-                first, last = np.searchsorted(i, i), np.searchsorted(i, i, "right")
-                keep = (np.arange(len(i)) == first) | (last - first <= NEAREST)
-                i, j, d = i[keep], j[keep], d[keep]
-                yield pd.DataFrame({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "d": d})
-            rest = pdf.iloc[max(0, n - AHEAD) :].reset_index(drop=True)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        copy, size, head = [], [], []
+        for t in texts:
+            h = _hashes(t, k)
+            copy.append(xxhash.xxh3_128_digest(h.tobytes()))
+            size.append(len(h))
+            if len(common) and len(h):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                h = h[np.argsort(np.where(common[at] == h, times[at], 0), kind="stable")]
+            head.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+        return pd.DataFrame({"copy": copy, "n": size, "head": head})
 
-    return dealt.mapInPandas(run, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+    made = docs.select("id", F.pandas_udf(of, "copy binary, n int, head array<long>")("text").alias("h"))
+    return made.select("id", "h.copy", "h.n", "h.head")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``id, set``: the distinct k-word shingles of ``docs`` (``id, text``) as 32-bit hashes."""
+def rest_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` (a < b): ids of ``entries`` (``token, id, n, at, c``) that share a token, differ in c, and whose sizes and places allow the similarity."""
+    share = similarity / (1 + similarity)
+    dealt = entries.repartition("token").sortWithinPartitions("token", "n")
 
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique((shingle_hashes(words(t), k) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in texts])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in sorted_chunks(batches, ["token"], 20_000):
+            group, rep, c = pdf["group"].to_numpy(), pdf["id"].to_numpy(), pdf["c"].to_numpy()
+            n, left = pdf["n"].to_numpy(np.int64), (pdf["n"] - pdf["at"]).to_numpy(np.int64)
+            found: list[pd.DataFrame] = []
+            held, off, live = 0, 0, np.arange(len(pdf))
+            while len(live):
+                off += 1
+                live = live[live + off < len(pdf)]
+                to = live + off
+                live = live[(group[live] == group[to]) & (n[live] >= similarity * n[to] - 1e-9)]  # sizes ascend
+                to = live + off
+                fit = (c[live] != c[to]) & (np.minimum(left[live], left[to]) >= share * (n[live] + n[to]) - 1e-9)
+                if fit.any():
+                    x, y = rep[live[fit]], rep[to[fit]]
+                    found.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}))
+                    held += len(x)
+                if held > 500_000:
+                    yield pd.concat(found).drop_duplicates()
+                    found, held = [], 0
+            if found:
+                yield pd.concat(found).drop_duplicates()
 
-    return docs.select("id", F.pandas_udf(of, "array<int>")("text").alias("set"))
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -285,37 +301,40 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "a").join(right, "b").where((either == 0) | (both >= F.lit(similarity) * either)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, k: int = 3) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id, group_id``: documents with near copies, and the smallest id of their group.
 
-    Near copies share ``similarity`` of their ``shingle``-word shingles (Jaccard, words as in ``words``); candidates come from SimHash
-    fingerprints of ``k``-word shingles. First each document is verified against its nearest candidate, then every candidate pair whose ends are still in
-    different groups, so that a large group costs a few comparisons a member and not one for each pair. Documents without
-    near copies and null ids are not in the result. Null texts have no words; documents without words are alike.
+    Near copies share ``similarity`` of their ``shingle``-word shingles (Jaccard, words as in ``words``), and no pair of them is missed:
+    candidates share one of the rarest shingles of both (see ``heads``). Equal sets are merged before. First each document is verified against
+    the smallest id it meets, then every candidate pair whose ends are still in different groups, so that a large group costs a few
+    comparisons a member and not one for each pair. Documents without near copies and null ids are not in the result. Null
+    texts have no words; documents without words are alike.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    fps = written(fingerprints(given, "id", "text", k), "simhash")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-nodes")
-    same = fps.join(nodes, "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("d"))
-    pairs = written(candidate_pairs(nodes).unionByName(same), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # Sets of all that may be the end of a pair, without moving a text; a few more than are asked for do no harm.
-    sets = written(shingle_sets(with_filter(given, "id", ends, "__sl_end").where("__sl_end"), shingle), "shingles")
-
-    both = pairs.union(pairs.select("b", "a", "d")).toDF("x", "y", "d")
-    best = both.groupBy("x").agg(F.min(F.struct("d", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
-    links = written(similar_pairs(best, sets, similarity), "links")
-    comp = connected_components(links)
-    ca, cb = comp.toDF("a", "ca"), comp.toDF("b", "cb")
-    other = (
-        pairs.select("a", "b")
-        .join(ca, "a", "left")
-        .join(cb, "b", "left")
-        .where("coalesce(ca, a) <> coalesce(cb, b)")
-        .select("a", "b")
-        .join(best, ["a", "b"], "left_anti")
+    made = written(heads(given, shingle, similarity).withColumn("row", F.xxhash64("id", "copy")), "heads")
+    nodes = made.groupBy("copy").agg(F.min("id").alias("rep"))
+    same = written(made.select("id", "copy", "row").join(nodes.hint("merge"), "copy").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"), "row"), "copies")
+    keyed = without(made, "row", same.select("row")).select("id", "n", F.posexplode("head").alias("at", "token"))
+
+    met = written(keyed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n", "at")).alias("first")).where("m > 1").drop("m"), "tokens")
+    entries = written(with_filter(keyed, "token", met.select("token"), "__sl_met").where("__sl_met").drop("__sl_met").join(met.hint("merge"), "token"), "entries")
+    fits = (F.least("n", "first.n") >= similarity * F.greatest("n", "first.n") - 1e-9) & (
+        F.least(F.col("n") - F.col("at"), F.col("first.n") - F.col("first.at")) >= similarity / (1 + similarity) * (F.col("n") + F.col("first.n")) - 1e-9
     )
-    more = written(links.unionByName(similar_pairs(other, sets, similarity)), "links")
+    best = written(entries.where((F.col("id") > F.col("first.id")) & fits).groupBy("id").agg(F.min("first.id").alias("a")).select("a", F.col("id").alias("b")), "pairs")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        # Sets of all that may be the end of a pair, without moving a text; a few more than are asked for do no harm.
+        sets = written(shingle_sets(with_filter(given, "id", ends, "__sl_end").where("__sl_end"), shingle), "shingles")
+        return written(similar_pairs(pairs, sets, similarity), "links")
+
+    links = alike(best)
+    comp = connected_components(links).toDF("id", "c")
+    told = written(entries.drop("first").join(comp.hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id")), "entries")
+    mixed = told.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token")
+    rest = written(rest_pairs(told.join(mixed.hint("merge"), "token"), similarity).join(best, ["a", "b"], "left_anti"), "pairs")
+    more = links.unionByName(alike(rest)).unionByName(same.select("src", "dst"))
     return connected_components(more).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 

@@ -326,6 +326,38 @@ def test_near_duplicate_groups(spark, texts):
     assert simhash.drop_near_copies(empty(docs_of(spark, texts))).count() == 0
 
 
+def template_pages(rng, pages, planted):
+    """Pages of one source: 60 words of their own between two halves of a template; and near copies of the first ``planted``."""
+    top, end = prose(rng, 110), prose(rng, 110)
+    own = [prose(rng, 60).split() for _ in range(pages)]
+    page = lambda w: f"{top} {' '.join(w)} {end}"
+    return [page(w) for w in own] + [page(w[:29] + ["new"] + w[30:]) for w in own[:planted]]
+
+
+def test_near_copies_in_a_crowd_are_all_found(spark):
+    pages, planted = 3000, 200
+    docs = docs_of(spark, template_pages(random.Random(11), pages, planted))
+    got = {r.id: r.group_id for r in simhash.near_duplicate_groups(docs).collect()}
+    assert got == {i: i % pages for i in (*range(planted), *range(pages, pages + planted))}
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    rng = random.Random(12)
+    texts, want = [], {}
+    while len(want) < 2 * 400:
+        n = rng.choice([30, 100, 300])
+        w = prose(rng, n).split()
+        v = w[:]
+        for i in rng.sample(range(n), max(1, n // 48)):
+            v[i] = "new"
+        x, y = (set(simhash.shingle_hashes(u, 5).tolist()) for u in ([c.encode() for c in w], [c.encode() for c in v]))
+        if 0.8 <= len(x & y) / len(x | y) < 0.87:
+            want |= {len(texts): len(texts), len(texts) + 1: len(texts)}
+            texts += [" ".join(w), " ".join(v)]
+    got = {r.id: r.group_id for r in simhash.near_duplicate_groups(docs_of(spark, texts)).collect()}
+    assert got == want
+
+
 def test_components(spark):
     mk = lambda e: spark.createDataFrame(e, "src long, dst long")
     path = [(i, i + 1) for i in range(40)]
