@@ -1,10 +1,10 @@
 """Packing: lexical retrieval by a sharded BM25 inverted index.
 
-A shard is a run of documents of one input partition, closed at ``shard_docs`` documents or ``shard_tokens``
-tokens; its index maps token ids to postings with their BM25 weights. A seed document opens a window; its unused neighbours
-by BM25 fill it greedily, whole ones first. When none fits, the best one is cut, fills the window to the last
-place, and seeds the next window with its rest. No shuffle is needed, memory is bounded by the shard, and a lost
-task repeats the same windows from the same rows.
+Texts are encoded once and their ids written. Document frequencies and the mean length are those of the whole corpus. Documents are then
+dealt and sorted by their rarest terms, so that related ones come together from wherever they lie. A shard is a run in this order,
+closed at ``shard_docs`` documents or ``shard_tokens`` tokens; its index maps token ids to postings with their BM25 weights. A seed
+document opens a window; its unused neighbours by BM25 fill it greedily, whole ones first. When none fits, the best one is cut, fills the
+window to the last place, and seeds the next window with its rest. Memory is bounded by the shard and the vocabulary.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.common import written
+
 # Fixed value: the public pattern by which byte-level BPE cuts a text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -67,21 +69,40 @@ class Encoder:
         return ids
 
 
+class Corpus:
+    """Number of documents, their mean length, and the document frequency of each term (``terms`` sorted)."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean, self.terms, self.counts = n, mean, terms, df
+
+    def df(self, terms: np.ndarray) -> np.ndarray:
+        return self.counts[np.searchsorted(self.terms, terms)]
+
+    def rarest(self, ids: np.ndarray) -> tuple[int, int]:
+        """The two rarest of a document's terms that others have, too; -1: none."""
+        terms = np.unique(ids)
+        df = self.df(terms)
+        terms, df = terms[df > 1], df[df > 1]
+        least = terms[np.argsort(df, kind="stable")[:2]].tolist()
+        return tuple([*least, -1, -1][:2])
+
+
 class Bm25:
-    """Inverted index over the token ids of some documents."""
+    """Inverted index over the token ids of some documents; frequencies and mean length are the corpus', or their own without one."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, corpus: Corpus | None = None):
         self.n = len(docs)
         found = [np.unique(d, return_counts=True) for d in docs]
         self.terms = [t for t, _ in found]
         length = np.array([len(d) for d in docs], float)
-        norm = k1 * (1 - b + b * length / max(length.mean() if self.n else 0, 1))
+        norm = k1 * (1 - b + b * length / max(corpus.mean if corpus else length.mean() if self.n else 0, 1))
         term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.uint32)
         doc = np.repeat(np.arange(self.n), [len(t) for t in self.terms])
         tf = np.concatenate([c for _, c in found]).astype(float) if found else np.zeros(0)
         order = np.argsort(term, kind="stable")
         self.vocab, start, df = np.unique(term[order], return_index=True, return_counts=True)
-        idf = np.log((self.n - df + 0.5) / (df + 0.5))  # a term in over half the documents does not tell them apart
+        every, among = (corpus.df(self.vocab), corpus.n) if corpus else (df, self.n)
+        idf = np.log((among - every + 0.5) / (every + 0.5))  # a term in over half the documents does not tell them apart
         self.start, self.df, self.idf = start, df, idf
         self.doc = doc[order]
         weight = tf * (k1 + 1) / (tf + norm[doc])
@@ -101,8 +122,8 @@ class Bm25:
 class Packer:
     """Fills windows; holds one open window besides the shard it is given."""
 
-    def __init__(self, window: int, base: int):
-        self.window, self.next = window, base
+    def __init__(self, window: int, base: int, corpus: Corpus | None = None):
+        self.window, self.next, self.corpus = window, base, corpus
         self.open: list[tuple] = []  # name, start, ids, tokens of the whole document
         self.used = 0
         self.rows: list[tuple] = []
@@ -128,10 +149,10 @@ class Packer:
 
     def shard(self, names: list, docs: list[np.ndarray]) -> None:
         """Place all documents of a shard."""
-        index = Bm25(docs)
+        index = Bm25(docs, corpus=self.corpus)
         length = np.array([len(d) for d in docs])
         unused = np.ones(len(docs), bool)
-        for first in range(len(docs)):  # seeds, in the order of the input
+        for first in range(len(docs)):  # seeds, in the order of the shard
             if not unused[first]:
                 continue
             seed = first
@@ -171,6 +192,43 @@ class Packer:
         return rows
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Two bytes an id where they suffice, otherwise four."""
+    return ids.astype("<u2").tobytes() if int(ids.max()) < 1 << 16 else ids.tobytes()
+
+
+def unpacked(ids: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
+
+
+def encoded(rows: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
+    """``id, n, ids, terms, df``: a row for each of ``rows`` (``id, text``), and one for each task with its terms and their document frequencies."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = Encoder(tokenizer)
+        end = np.array([end_id], "<u4")
+        df = np.zeros(1 << 16, np.int64)
+        for pdf in batches:
+            held = [np.concatenate((encode(t), end)) for t in pdf["text"]]
+            for ids in held:
+                if int(ids.max()) >= len(df):
+                    df = np.concatenate((df, np.zeros(int(ids.max()) + 1, np.int64)))
+                df[np.unique(ids)] += 1
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in held], "ids": [packed(x) for x in held], "terms": None, "df": None})
+        terms = np.flatnonzero(df)
+        yield pd.DataFrame({"id": [None], "n": [0], "ids": [None], "terms": [terms], "df": [df[terms]]})
+
+    return rows.mapInPandas(run, f"id {kind}, n long, ids binary, terms array<long>, df array<long>")
+
+
+def statistics(tokens: DataFrame) -> Corpus:
+    """Of all documents of ``encoded``; bounded by the vocabulary."""
+    n, mean = tokens.where("ids is not null").agg(F.count(F.lit(1)), F.avg("n")).first()
+    each = tokens.where("ids is null").select(F.explode(F.arrays_zip("terms", "df")).alias("z"))
+    found = each.groupBy("z.terms").agg(F.sum("z.df").alias("df")).orderBy("terms").toPandas()
+    return Corpus(n, mean or 0.0, found["terms"].to_numpy(np.int64), found["df"].to_numpy(np.int64))
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -184,24 +242,33 @@ def pack(
     """``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: a row for each piece.
 
     A document's tokens are its text's ids and then ``end_id``; a null text is empty and has the end id only. Every token
-    lies in exactly one piece. Sequences are full, but for the few last ones of an input partition, whose lengths are
+    lies in exactly one piece. Sequences are full, but for the few last ones of a task, whose lengths are
     powers of two. Ids and texts may repeat, ids may be null; an empty table gives an empty result. ``tokenizer`` is the path
     of a byte-level BPE file of the tokenizers library, readable on every machine. No other column is read.
     """
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    tokens = written(encoded(rows, tokenizer, end_id, kind), "tokens")
+    corpus = statistics(tokens)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held = [unpacked(x, n) for x, n in zip(pdf["ids"], pdf["n"])]
+            keys = [corpus.rarest(x) for x in held]
+            yield pdf.assign(a=[k[0] for k in keys], b=[k[1] for k in keys], crc=[zlib.crc32(x) for x in pdf["ids"]])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer)
-        packer = Packer(window, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
+        packer = Packer(window, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, corpus)
         names: list = []
         held: list[np.ndarray] = []
-        end = np.array([end_id], "<u4")
         columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         size = 0
         for pdf in batches:
-            for name, text in zip(pdf["id"], pdf["text"]):
+            for name, ids, n in zip(pdf["id"], pdf["ids"], pdf["n"]):
                 names.append(name)
-                held.append(np.concatenate((encode(text), end)))
-                size += len(held[-1])
+                held.append(unpacked(ids, n))
+                size += n
                 if len(held) >= shard_docs or size >= shard_tokens:
                     packer.shard(names, held)
                     names, held, size = [], [], 0
@@ -210,6 +277,6 @@ def pack(
         packer.finish()
         yield pd.DataFrame(packer.take(), columns=columns)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    order = ["a", "b", "crc", "id"]  # copies come together; the id lets a common key be dealt to several tasks
+    dealt = tokens.where("ids is not null").select("id", "n", "ids").mapInPandas(keyed, f"id {kind}, n long, ids binary, a long, b long, crc long")
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "n", "ids").mapInPandas(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -185,6 +185,29 @@ def test_bm25_prefers_shared_rare_terms():
     assert abs(s[1] - want) < 1e-9
 
 
+def test_packing_retrieves_from_the_whole_corpus(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, 40) for _ in range(300)]
+    docs = docs_of(spark, texts + texts).repartition(1).sortWithinPartitions("doc_id")  # a copy is 300 rows from its original
+    rows = packing.pack(docs, queries.tokenizer_path(), window=512, shard_docs=32).toPandas()
+    where = rows.groupby("id")["sequence_id"].agg(set)
+    near = sum(any(abs(x - y) <= 1 for x in where[i] for y in where[i + 300]) for i in range(300))
+    assert near >= 270, near
+
+
+def test_statistics_are_those_of_the_corpus(spark):
+    texts = ["one two", "one three", "one four five", None]
+    tokens = common.written(packing.encoded(docs_of(spark, texts).repartition(3).selectExpr("doc_id as id", "text"), queries.tokenizer_path(), 1, "bigint"), "test")
+    corpus, encode = packing.statistics(tokens), packing.Encoder(queries.tokenizer_path())
+    sets = [{1, *encode(t).tolist()} for t in texts]
+    assert dict(zip(corpus.terms.tolist(), corpus.counts.tolist())) == collections.Counter(x for s in sets for x in s)
+    assert (corpus.n, corpus.mean) == (4, sum(len(encode(t)) + 1 for t in texts) / 4)
+    some = [np.array([*encode(t), 1], "<u4") for t in texts[:2]]  # a shard of two
+    index = packing.Bm25(some, corpus=corpus)
+    df = corpus.df(index.vocab)
+    assert np.allclose(index.idf, np.log((4 - df + 0.5) / (df + 0.5)))
+
+
 # op5
 
 
