@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import connected_components, sorted_chunks, with_filter, without, written
+from siftline.llm.common import connected_components, removed, sorted_chunks, with_filter, without, written
 
 SEED = 42
 #: bytes.translate table that lower-cases A-Z only.
@@ -312,12 +312,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     made = written(heads(given, shingle, similarity).withColumn("row", F.xxhash64("id", "copy")), "heads")
-    nodes = made.groupBy("copy").agg(F.min("id").alias("rep"))
+    nodes = made.groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     same = written(made.select("id", "copy", "row").join(nodes.hint("merge"), "copy").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"), "row"), "copies")
     keyed = without(made, "row", same.select("row")).select("id", "n", F.posexplode("head").alias("at", "token"))
 
-    met = written(keyed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n", "at")).alias("first")).where("m > 1").drop("m"), "tokens")
-    entries = written(with_filter(keyed, "token", met.select("token"), "__sl_met").where("__sl_met").drop("__sl_met").join(met.hint("merge"), "token"), "entries")
+    met = written(keyed.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "tokens")
+    meet = written(with_filter(keyed, "token", met, "__sl_met").where("__sl_met").drop("__sl_met").join(met.hint("merge"), "token"), "entries")
+    removed(made)
+    first = meet.groupBy("token").agg(F.min(F.struct("id", "n", "at")).alias("first"))
+    entries = meet.join(first.hint("merge"), "token")
     fits = (F.least("n", "first.n") >= similarity * F.greatest("n", "first.n") - 1e-9) & (
         F.least(F.col("n") - F.col("at"), F.col("first.n") - F.col("first.at")) >= similarity / (1 + similarity) * (F.col("n") + F.col("first.n")) - 1e-9
     )
@@ -327,13 +330,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         # Sets of all that may be the end of a pair, without moving a text; a few more than are asked for do no harm.
         sets = written(shingle_sets(with_filter(given, "id", ends, "__sl_end").where("__sl_end"), shingle), "shingles")
-        return written(similar_pairs(pairs, sets, similarity), "links")
+        found = written(similar_pairs(pairs, sets, similarity), "links")
+        removed(sets)
+        return found
 
     links = alike(best)
     comp = connected_components(links).toDF("id", "c")
-    told = written(entries.drop("first").join(comp.hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id")), "entries")
+    told = written(meet.join(comp.hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id")), "entries")
+    removed(meet)
     mixed = told.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token")
     rest = written(rest_pairs(told.join(mixed.hint("merge"), "token"), similarity).join(best, ["a", "b"], "left_anti"), "pairs")
+    removed(told)
     more = links.unionByName(alike(rest)).unionByName(same.select("src", "dst"))
     return connected_components(more).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
