@@ -201,6 +201,13 @@ def unpacked(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
 
 
+def small(batches: Iterator[pd.DataFrame], most: int = 500) -> Iterator[pd.DataFrame]:
+    """The batches in parts, so that a worker holds the ids of few documents at once."""
+    for pdf in batches:
+        for at in range(0, len(pdf), most):
+            yield pdf.iloc[at : at + most].reset_index(drop=True)
+
+
 def encoded(rows: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
     """``id, n, ids, terms, df``: a row for each of ``rows`` (``id, text``), and one for each task with its terms and their document frequencies."""
 
@@ -208,7 +215,7 @@ def encoded(rows: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFram
         encode = Encoder(tokenizer)
         end = np.array([end_id], "<u4")
         df = np.zeros(1 << 16, np.int64)
-        for pdf in batches:
+        for pdf in small(batches):
             held = [np.concatenate((encode(t), end)) for t in pdf["text"]]
             for ids in held:
                 if int(ids.max()) >= len(df):
@@ -253,7 +260,7 @@ def pack(
     corpus = statistics(tokens)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in small(batches):
             held = [unpacked(x, n) for x, n in zip(pdf["ids"], pdf["n"])]
             keys = [corpus.rarest(x) for x in held]
             yield pdf.assign(a=[k[0] for k in keys], b=[k[1] for k in keys], crc=[zlib.crc32(x) for x in pdf["ids"]])
