@@ -121,7 +121,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    rows = sp_codec.encode_rows(table(spark, sf_dir, "conversations"), public_tokenizers.path("piece_bpe_32k.model"), ["conv_id", "turn"], k=3)
+    rows = sp_codec.encode_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], k=3)
     return rows
 
 

@@ -543,6 +543,15 @@ def test_round_trip(spark, texts, codec):
     assert sp_codec.encode_rows(empty(rows), model, ["doc_id"]).count() == 0
 
 
+def test_sentencepiece_query_has_every_document(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    out = queries.op10_sentencepiece(spark, sf)
+    assert out.columns == ["doc_id", "ids", "decoded", "samples"]
+    got = out.select("doc_id", F.size("ids").alias("n"), F.size("samples").alias("k"))
+    wrong = docs.join(got, "doc_id", "full").where("n is null or (length(trim(text)) > 0 and (n = 0 or k = 0))")
+    assert wrong.count() == 0
+
+
 # The registered queries and the pipeline
 
 
