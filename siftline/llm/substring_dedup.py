@@ -5,9 +5,10 @@ equal windows have equal anchors at equal offsets. Tasks count anchors in partia
 saturate at two; the merged sketch says of each cell whether it was hit twice. The estimate never falls below
 the true count of a window, so no repeated window is lost.
 
-Pass 2 hashes the windows whose anchor is estimated as repeated to 96 bits and groups exactly these: the
-smallest document of each window. Pass 3 deletes, in each document, the words of candidate windows that are not
-their corpus-wide first. All three passes read whole texts and stream; a window that a third of all documents
+Pass 2 takes the BLAKE2b digest (128 bits) of the words of every window whose anchor is estimated as repeated and groups exactly
+these: the smallest document of each window. Pass 3 deletes, in each document, the words of candidate windows that are not
+their corpus-wide first. Windows are told apart by these digests alone, never by the fast hashes, which only choose candidates: a collision of fast hashes
+lets more windows through and changes no result. All three passes read whole texts and stream; a window that a third of all documents
 share reaches the grouping as one row a task.
 
 The sketch is as wide as the input asks for, up to ``MAX_CELLS`` a row (two rows of bits: 64 MB at most
@@ -17,9 +18,11 @@ to broadcast). Beyond that it lets more windows through; results stay exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,87 +34,37 @@ MAX_CELLS = 1 << 28
 MIN_CELLS = 1 << 20
 SLICE = 1 << 18  # cells merged together
 PIECE = 1 << 20  # bytes hashed at once
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.default_rng(20).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_P = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, kept for the longest run seen."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.zeros(0, _U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            m = max(n, 2 * PIECE)
-            self.up, self.down = _powers(self.base, m), _powers(self.inverse, m)
-        return self.up, self.down
-
-
-_PP, _QQ = _Powers(_P), _Powers(_Q)
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> _U(29))) * _U(0xC4CEB9FE1A85EC53)
     return h ^ (h >> _U(32))
 
 
-def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every word and the words' starts."""
-    buf = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate(([True], _SPACE[buf], [True])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _PP.to(len(buf) + 1)
-    out = []
-    for t in _BYTE:
-        s = np.zeros(len(buf) + 1, _U)
-        np.cumsum(t[buf] * up[: len(buf)], out=s[1:])
-        out.append(_mix((s[ends] - s[starts]) * down[starts] + (ends - starts).astype(_U) * _U(_Q)))
-    return out[0], out[1], starts
-
-
-def _hash_words(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes of all words of some documents in a row, and each document's number of words."""
-    data = b"\n".join(datas)
-    offsets = np.cumsum([0, *(len(d) + 1 for d in datas)])
-    a, b, at, base = [], [], [], 0
-    while base < len(data):
-        end = min(base + PIECE, len(data))
-        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
-            end += 1
-        x, y, s = _hash_piece(data[base:end])
-        a.append(x)
-        b.append(y)
-        at.append(s + base)
-        base = end
-    if not a:
-        return np.zeros(0, _U), np.zeros(0, _U), np.zeros(len(datas), np.int64)
-    starts = np.concatenate(at)
-    bounds = np.searchsorted(starts, offsets)
-    return np.concatenate(a), np.concatenate(b), np.diff(bounds)
-
-
-def _rolled(h: np.ndarray, k: int, salt: int) -> np.ndarray:
-    """Hash of the k values from each place on; as long as h, the last k-1 meaningless."""
-    n = len(h)
-    up, down = _QQ.to(n + 1)
-    s = np.zeros(n + 1, _U)
-    np.cumsum(h * up[:n], out=s[1:])
-    out = np.zeros(n, _U)
-    if n >= k:
-        out[: n - k + 1] = (s[k:] - s[: n - k + 1]) * down[: n - k + 1]
-    return _mix(out + _U(salt))
+def _hash_words(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))
+
+
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k values from each place on; as long as h, the last k-1 meaningless. Runs are doubled, each time mixed anew."""
+    out, have = _mix(h + _U(3)), 1
+    while have < k:
+        step = min(have, k - have)
+        if len(out) <= step:
+            break
+        left = out * _U(_P)
+        left[:-step] ^= out[step:] + _U(have)
+        out, have = _mix(left), have + step
+    return out
+
+
+def _digests(words: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
+    """[window, 2]: 128 bits for each window of words. Words hold no space, so joined by spaces they can be read in one way only."""
+    held = b"".join([blake2b(b" ".join(words[i : i + window]), digest_size=16).digest() for i in at.tolist()])
+    return np.frombuffer(held, _U).reshape(-1, 2)
 
 
 def _sliding(op, x: np.ndarray, k: int) -> np.ndarray:
@@ -126,16 +79,17 @@ def _sliding(op, x: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Batch:
-    """Windows of some documents: per word place ``ok`` (a window starts there), ``h1, h2`` and the anchor."""
+    """Windows of some documents: their words in a row, and per word place ``ok`` (a window starts there) and the anchor."""
 
     def __init__(self, datas: list[bytes], window: int, gram: int):
-        w1, w2, self.n = _hash_words(datas)
+        each = [d.split() for d in datas]
+        self.n = np.array([len(w) for w in each], np.int64)
+        self.words = [x for w in each for x in w]
         self.first = np.concatenate(([0], np.cumsum(self.n)[:-1])) if len(self.n) else self.n
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         last = np.repeat(self.first + self.n, self.n)
-        self.ok = np.arange(len(w1)) + window <= last
-        self.h1, self.h2 = _rolled(w1, window, 1), _rolled(w2, window, 2)
-        self.grams = _rolled(w1, gram, 3) | _U(1)
+        self.ok = np.arange(len(self.words)) + window <= last
+        self.grams = _grams(_hash_words(self.words), gram) | _U(1)
         self.anchor = _sliding(np.minimum, self.grams, window - gram + 1)
         self.span = window - gram + 1
 
@@ -220,13 +174,14 @@ def _candidates(b: _Batch, rows: list[np.ndarray], bits: int) -> np.ndarray:
     return at
 
 
-def _firsts(b: _Batch, at: np.ndarray) -> np.ndarray:
-    """Mask over ``at``: the first window of its hash in its document."""
-    order = np.lexsort((at, b.h1[at], b.doc[at]))
-    d, h = b.doc[at][order], b.h1[at][order]
-    new = np.ones(len(at), bool)
-    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-    out = np.empty(len(at), bool)
+def _firsts(doc: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Mask over windows in the order of their places: the first of its digest in its document."""
+    keys = np.column_stack((doc.astype(_U), digest))
+    order = np.lexsort((np.arange(len(doc)), *keys.T))
+    sorted_keys = keys[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (sorted_keys[1:] != sorted_keys[:-1]).any(axis=1)
+    out = np.empty(len(doc), bool)
     out[order] = new
     return out
 
@@ -237,13 +192,16 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Words are runs of characters other than 20 and 09-0D. Every word is removed that lies in a window of
     ``window`` words whose sequence also starts earlier: in a document with a smaller id, or earlier in the same one. ``kept``
     joins the others by one space; ``spans`` are the removed runs (first word, number of words). Null and empty
-    texts have no words; a null id sorts after all others. Rows that share an id count as one place: what they have in
-    common is kept in each. An empty table gives an empty result.
+    texts have no words. Rows that share an id count as one place: what they have in common is kept in each. Rows without an id come after all
+    others, in the order of a hash of their texts; those with the same text are one place. Of the other columns none is read. An empty table gives
+    an empty result.
     """
     if not 0 < gram <= window:
         raise ValueError("a gram is no longer than the window")
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lost = F.col(id_col).isNull()  # long columns go through pandas without nulls, which would turn them into floats
+    tie = F.when(lost, F.xxhash64(text_col)).otherwise(0)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("key"), lost.alias("lost"), tie.alias("tie"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     want = 4 * size // (6 * (window - gram + 2) // 2)  # four cells for each anchor, at six bytes a word
     bits = max(MIN_CELLS, min(MAX_CELLS, 1 << max(0, want - 1).bit_length())).bit_length() - 1
@@ -252,19 +210,21 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sent.value
         for pdf in batches:
-            key = pdf["key"].to_numpy()
             for begin, _, b in _batches(pdf["text"], window, gram):
                 at = _candidates(b, rows, bits)
-                at = at[_firsts(b, at)]
-                yield pd.DataFrame({"h1": b.h1[at].view(np.int64), "h2": (b.h2[at] >> _U(32)).astype(np.uint32).view(np.int32), "key": key[begin + b.doc[at]]})
+                found = _digests(b.words, at, window)
+                new = _firsts(b.doc[at], found)
+                own = pdf.iloc[begin + b.doc[at[new]]]
+                yield pd.DataFrame({"window": [x.tobytes() for x in found[new]], "key": own["key"].to_numpy(), "lost": own["lost"].to_numpy(), "tie": own["tie"].to_numpy()})
 
     first = (
-        texts.select("key", "text")
-        .mapInPandas(emit, "h1 long, h2 int, key long")
-        .groupBy("h1", "h2")
-        .agg(F.min("key").alias("key"))
-        .groupBy("key")
-        .agg(F.collect_list("h1").alias("firsts"))
+        texts.select("key", "lost", "tie", "text")
+        .mapInPandas(emit, "window binary, key long, lost boolean, tie long")
+        .groupBy("window")
+        .agg(F.min(F.when(~F.col("lost"), F.col("key"))).alias("k"), F.min(F.when(F.col("lost"), F.col("tie"))).alias("t"))
+        .select("window", F.coalesce("k", F.lit(0)).alias("k"), F.col("k").isNull().alias("l"), F.when(F.col("k").isNull(), F.col("t")).otherwise(0).alias("t"))
+        .groupBy("k", "l", "t")
+        .agg(F.collect_list("window").alias("firsts"))
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,20 +233,18 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = []
             for begin, datas, b in _batches(pdf["text"], window, gram):
                 at = _candidates(b, rows, bits)
-                new = _firsts(b, at)
-                own = pdf["firsts"].iloc[begin : begin + len(datas)]
-                known = [np.asarray(x, np.int64).view(_U) if x is not None else np.zeros(0, _U) for x in own]
-                salt = lambda d, h: _mix(h + (d.astype(_U) + _U(1)) * _U(_P))
-                mine = salt(np.repeat(np.arange(len(known)), [len(x) for x in known]), np.concatenate(known) if known else np.zeros(0, _U))
-                stays = new & np.isin(salt(b.doc[at], b.h1[at]), mine)
+                found = _digests(b.words, at, window)
+                stays = _firsts(b.doc[at], found)
+                known = [set(x) if x is not None else () for x in pdf["firsts"].iloc[begin : begin + len(datas)]]
+                stays &= np.fromiter((x.tobytes() in known[d] for x, d in zip(found, b.doc[at].tolist())), bool, len(at))
                 hit = at[~stays]
                 delta = np.zeros(len(b.doc) + 1, np.int64)
                 np.add.at(delta, hit, 1)
                 np.add.at(delta, hit + window, -1)
                 gone = np.cumsum(delta)[:-1] > 0
-                for i, data in enumerate(datas):
+                for i in range(len(datas)):
                     g = gone[b.first[i] : b.first[i] + b.n[i]]
-                    words = data.split()
+                    words = b.words[b.first[i] : b.first[i] + b.n[i]]
                     spans = []
                     if g.any():
                         words = [w for w, x in zip(words, g.tolist()) if not x]
@@ -299,5 +257,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept", "spans"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    joined = texts.join(written(first, "firsts"), "key", "left").select("id", "text", "firsts")
-    return joined.mapInPandas(cut, f"id {id_type}, n_words long, n_removed long, kept string, spans array<struct<start:long,length:long>>")
+    joined = texts.join(written(first, "firsts"), F.expr("key = k and lost = l and tie = t"), "left").select(F.col("id").cast("string").alias("id"), "text", "firsts")
+    done = joined.mapInPandas(cut, "id string, n_words long, n_removed long, kept string, spans array<struct<start:long,length:long>>")
+    return done.select(F.col("id").cast(id_type).alias("id"), "n_words", "n_removed", "kept", "spans")

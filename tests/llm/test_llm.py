@@ -260,6 +260,38 @@ def test_substring_dedup(spark, texts, window, gram):
     assert substring_dedup.cut_repeats(empty(docs)).count() == 0
 
 
+def test_windows_are_told_apart_by_their_words(spark, monkeypatch):
+    """Words that collide in polynomial hashes, and fast hashes that collide all the time, must change nothing."""
+    parity = lambda i: bin(i).count("1") & 1
+    first = "".join("ab"[parity(i)] for i in range(1024))
+    other = "".join("ba"[parity(i)] for i in range(1024))
+    around = [f"w{i}" for i in range(22)]
+    texts = [" ".join([*around[:11], x, *around[11:]]) for x in (first, other, first)]
+    texts += [" ".join(f"v{i}" for i in range(40)), " ".join(["u", *(f"v{i}" for i in range(40))])]
+    got = lambda: {r.id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.cut_repeats(docs_of(spark, texts)).collect()}
+    assert got() == brute_cut(texts) and got()[1][1] == 0
+    monkeypatch.setattr(substring_dedup, "_hash_words", lambda words: np.zeros(len(words), np.uint64))
+    batch = substring_dedup._Batch([t.encode() for t in texts], 20, 10)
+    assert len(np.unique(batch.grams[batch.ok])) == 1
+    found = substring_dedup._digests(batch.words, np.flatnonzero(batch.ok), 20)
+    windows = [tuple(batch.words[i : i + 20]) for i in np.flatnonzero(batch.ok)]
+    assert len({x.tobytes() for x in found}) == len(set(windows))
+    ones = [np.full(substring_dedup.MIN_CELLS // 8, 255, np.uint8)] * 2
+    monkeypatch.setattr(substring_dedup, "_sketch", lambda *_: ones)  # every window passes: what a full sketch does
+    assert got() == brute_cut(texts)
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, a), (3, b), (5, f"{b} {c}"), (None, a), (None, c), (None, c), (None, "z " + c), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.lit(1)).withColumn("window", F.lit("clash"))
+    got = collections.Counter((r.id, r.n_words, r.n_removed) for r in substring_dedup.cut_repeats(docs).collect())
+    assert got == {(5, 30, 0): 2, (3, 30, 0): 1, (5, 60, 30): 1, (None, 30, 30): 3, (None, 31, 30): 1, (7, 0, 0): 1}
+    lost = [(None, c), (None, c), (None, "z " + c)]
+    left = collections.Counter(r.n_removed for r in substring_dedup.cut_repeats(spark.createDataFrame(lost, "doc_id long, text string")).collect())
+    assert left in ({0: 2, 30: 1}, {30: 2, 0: 1})  # one of the two texts is first, and both copies of it are
+
+
 def test_sketch_never_underestimates(spark, texts, monkeypatch):
     monkeypatch.setattr(substring_dedup, "MIN_CELLS", substring_dedup.SLICE)
     monkeypatch.setattr(substring_dedup, "MAX_CELLS", substring_dedup.SLICE)
