@@ -9,8 +9,10 @@ window to the last place, and seeds the next window with its rest. Memory is bou
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,49 +26,82 @@ from siftline.llm.common import written
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+@cache
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Token bytes and their ranks, if merging by them provably gives what the tokenizers library gives for the file; else None.
+
+    Proof, checked for the file: it is plain byte-level BPE without normaliser, prefix space or dropout; the ids of merged tokens ascend with their merges,
+    so that the order of ids is the order of merges; and merging by rank alone builds every token by its own two parts. Two neighbours that
+    make up a token then always are these parts, for what lies inside a token is merged alike wherever it stands.
+    """
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    model, before = held["model"], held["pre_tokenizer"] or {}
+    plain = not held["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    plain &= model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "unk_token"))
+    plain &= all(not t[k] for t in held["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not plain:
+        return None
+    from tokenizers import pre_tokenizers
+
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    # The byte-level alphabet, asked of the library with one character of every kind of lead and trail byte.
+    byte: dict[str, int] = {}
+    for c in [*range(0x800), *range(0x800, 0x110000, 0x800)]:
+        if not 0xD800 <= c < 0xE000:
+            byte |= dict(zip(level.pre_tokenize_str(chr(c))[0][0], chr(c).encode()))
+    added = {t["id"] for t in held["added_tokens"]}
+    # Bytes that no UTF-8 text has need not be known; tokens made of them never occur in one.
+    ranks = {bytes(byte[x] for x in t): i for t, i in model["vocab"].items() if i not in added and all(x in byte for x in t)}
+    last = -1
+    for pair in model["merges"]:
+        left, right = pair if isinstance(pair, list) else pair.split(" ")
+        if not all(x in byte for x in left + right):
+            continue
+        left, right = bytes(byte[x] for x in left), bytes(byte[x] for x in right)
+        at = ranks.get(left + right)
+        if at is None or at <= last or _parts(left + right, ranks) != [left, right]:
+            return None
+        last = at
+    if sum(len(t) > 1 for t in ranks) != sum(all(x in byte for x in "".join(p if isinstance(p, list) else p.split(" "))) for p in model["merges"]):
+        return None
+    for b in range(256):  # the merge loop wants a rank for every byte
+        ranks.setdefault(bytes([b]), len(ranks) + (1 << 20))
+    return ranks
+
+
+def _parts(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The token's bytes, merged by rank until two parts are left."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        best, at = min(((ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1)))
+        if best == 1 << 62:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
 class Encoder:
-    """Token ids of a text by a byte-level BPE file of the tokenizers library, as unsigned 32-bit integers.
+    """Token ids of a text by a byte-level BPE file of the tokenizers library, as unsigned 32-bit integers: ``encode(text, add_special_tokens=False)``.
 
-    The file's vocabulary is run by tiktoken's merge loop, which gives the same ids several times faster; the first texts of
-    every task are encoded by both, and should they differ, the tokenizers library does all.
+    With ``ranks`` (see ``merge_ranks``) tiktoken's merge loop runs the same vocabulary, several times faster. Texts that hold an added token's string
+    always go to the tokenizers library, which gives the token's id.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
         import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        # The byte-level alphabet, asked of the library with one character of every kind of lead and trail byte.
-        byte: dict[str, int] = {}
-        for c in [*range(0x800), *range(0x800, 0x110000, 0x800)]:
-            if not 0xD800 <= c < 0xE000:
-                byte |= dict(zip(level.pre_tokenize_str(chr(c))[0][0], chr(c).encode()))
-        ranks = {}
-        for token, i in self.tok.get_vocab(with_added_tokens=False).items():
-            if all(x in byte for x in token) and i not in self.tok.get_added_tokens_decoder():
-                ranks[bytes(byte[x] for x in token)] = i
-        for b in range(256):  # bytes that no text has must have ranks, too
-            ranks.setdefault(bytes([b]), len(ranks) + (1 << 20))
-        self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
-        self.probes = 8
-
-    def _exact(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.fast = None if ranks is None else tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        if self.fast is None:
-            return self._exact(text)
-        ids = self.fast(text, disallowed_special=()).astype("<u4")
-        if self.probes:
-            self.probes -= 1
-            if not np.array_equal(ids, self._exact(text)):
-                self.fast = None
-                return self._exact(text)
-        return ids
+        if self.fast is None or any(t in text for t in self.added):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.fast(text, disallowed_special=()).astype("<u4")
 
 
 class Corpus:
@@ -74,17 +109,18 @@ class Corpus:
 
     def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
         self.n, self.mean, self.terms, self.counts = n, mean, terms, df
+        self.order = np.full(int(terms[-1]) + 1 if len(terms) else 1, 1 << 62)  # by term: rarest first; terms of one document last
+        self.order[terms[df > 1]] = (df[df > 1] << 32) + terms[df > 1]
 
     def df(self, terms: np.ndarray) -> np.ndarray:
         return self.counts[np.searchsorted(self.terms, terms)]
 
     def rarest(self, ids: np.ndarray) -> tuple[int, int]:
         """The two rarest of a document's terms that others have, too; -1: none."""
-        terms = np.unique(ids)
-        df = self.df(terms)
-        terms, df = terms[df > 1], df[df > 1]
-        least = terms[np.argsort(df, kind="stable")[:2]].tolist()
-        return tuple([*least, -1, -1][:2])
+        found = self.order[ids]
+        a = found.min()
+        b = found.min(where=found > a, initial=1 << 62)
+        return tuple(-1 if x == 1 << 62 else int(x) & 0xFFFFFFFF for x in (a, b))
 
 
 class Bm25:
@@ -208,11 +244,13 @@ def small(batches: Iterator[pd.DataFrame], most: int = 500) -> Iterator[pd.DataF
             yield pdf.iloc[at : at + most].reset_index(drop=True)
 
 
-def encoded(rows: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
+def encoded(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """``id, n, ids, terms, df``: a row for each of ``rows`` (``id, text``), and one for each task with its terms and their document frequencies."""
 
+    ranks = rows.sparkSession.sparkContext.broadcast(merge_ranks(tokenizer))  # bounded by the vocabulary
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer)
+        encode = Encoder(tokenizer, ranks.value)
         end = np.array([end_id], "<u4")
         df = np.zeros(1 << 16, np.int64)
         for pdf in small(batches):
@@ -225,7 +263,7 @@ def encoded(rows: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFram
         terms = np.flatnonzero(df)
         yield pd.DataFrame({"id": [None], "n": [0], "ids": [None], "terms": [terms], "df": [df[terms]]})
 
-    return rows.mapInPandas(run, f"id {kind}, n long, ids binary, terms array<long>, df array<long>")
+    return rows.mapInPandas(run, "id string, n long, ids binary, terms array<long>, df array<long>")
 
 
 def statistics(tokens: DataFrame) -> Corpus:
@@ -248,15 +286,16 @@ def pack(
 ) -> DataFrame:
     """``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: a row for each piece.
 
-    A document's tokens are its text's ids and then ``end_id``; a null text is empty and has the end id only. Every token
+    A document's tokens are its text's ids, as the tokenizers library gives them without special tokens of its own (an added token's string in a text is
+    that token), and then ``end_id``; a null text is empty and has the end id only. Every token
     lies in exactly one piece. Sequences are full, but for the few last ones of a task, whose lengths are
     powers of two. Ids and texts may repeat, ids may be null; an empty table gives an empty result. ``tokenizer`` is the path
     of a byte-level BPE file of the tokenizers library, readable on every machine. No other column is read.
     """
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tokens = written(encoded(rows, tokenizer, end_id, kind), "tokens")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # pandas would turn numbers beside nulls into floats
+    tokens = written(encoded(rows, tokenizer, end_id), "tokens")
     corpus = statistics(tokens)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,5 +324,7 @@ def pack(
         yield pd.DataFrame(packer.take(), columns=columns)
 
     order = ["a", "b", "crc", "id"]  # copies come together; the id lets a common key be dealt to several tasks
-    dealt = tokens.where("ids is not null").select("id", "n", "ids").mapInPandas(keyed, f"id {kind}, n long, ids binary, a long, b long, crc long")
-    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "n", "ids").mapInPandas(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = tokens.where("ids is not null").select("id", "n", "ids").mapInPandas(keyed, "id string, n long, ids binary, a long, b long, crc long")
+    done = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "n", "ids")
+    pieces = done.mapInPandas(run, "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces.withColumn("id", F.col("id").cast(kind))

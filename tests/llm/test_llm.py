@@ -157,7 +157,7 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    assert 50256 in tok.encode("a <|endoftext|> b", add_special_tokens=False).ids and any("<|endoftext|>" in (t or "") for t in texts)
     for i, t in enumerate(texts + texts[:5]):
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
         at = 0
@@ -172,6 +172,36 @@ def test_packing(spark, texts):
         total = int(seq.length.sum())
         assert total == 256 or total & (total - 1) == 0
     assert packing.pack(empty(docs), path).count() == 0
+    big = spark.createDataFrame([((1 << 60) + 1, "a"), (None, "b"), (None, None), (3, "c"), (3, "c")], "doc_id long, text string").withColumn("id", F.lit(0)).coalesce(1)
+    assert collections.Counter(r.id for r in packing.pack(big, path).collect()) == {(1 << 60) + 1: 1, None: 2, 3: 2}
+
+
+def test_encoder_equals_the_library():
+    """For every code point between other characters, all kinds of white space, and random bytes that are text."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    ranks = packing.merge_ranks(path)
+    assert ranks is not None
+    encode, tok = packing.Encoder(path, ranks), Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(6)
+    some = [*points[:0x3100], *rng.sample(points, 40_000)]
+    odd = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u180e\u2003\u2028\u202f\u3000\ufeff'sé1٣日😀"]
+    texts = [f"{x}{c}{c} {c}y" for c in some for x in "a1 "][::3] + ["".join(rng.choice(odd) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts += ["".join(some[i : i + 500]) for i in range(0, len(some), 500)] + ["<|endoftext|>", "x <|endoftext|><|endoftext|> y", "<|endoftext|", ""]
+    for text, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+        assert encode(text).tolist() == want.ids, text
+
+
+def test_unproven_files_go_to_the_library(tmp_path):
+    path = queries.tokenizer_path()
+    held = json.load(open(path, encoding="utf-8"))
+    held["model"]["merges"][300:302] = held["model"]["merges"][301:299:-1]  # the order of merges is not that of ids any more
+    other = str(tmp_path / "other.json")
+    json.dump(held, open(other, "w", encoding="utf-8"))
+    assert packing.merge_ranks(other) is None
+    assert packing.Encoder(other)("hello <|endoftext|>").tolist()[-1] == 50256
 
 
 def test_bm25_prefers_shared_rare_terms():
@@ -197,7 +227,7 @@ def test_packing_retrieves_from_the_whole_corpus(spark):
 
 def test_statistics_are_those_of_the_corpus(spark):
     texts = ["one two", "one three", "one four five", None]
-    tokens = common.written(packing.encoded(docs_of(spark, texts).repartition(3).selectExpr("doc_id as id", "text"), queries.tokenizer_path(), 1, "bigint"), "test")
+    tokens = common.written(packing.encoded(docs_of(spark, texts).repartition(3).selectExpr("doc_id as id", "text"), queries.tokenizer_path(), 1), "test")
     corpus, encode = packing.statistics(tokens), packing.Encoder(queries.tokenizer_path())
     sets = [{1, *encode(t).tolist()} for t in texts]
     assert dict(zip(corpus.terms.tolist(), corpus.counts.tolist())) == collections.Counter(x for s in sets for x in s)
