@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import written
 
-# Fixed value: the public pattern by which byte-level BPE cuts a text into pre-tokens.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: the public pattern by which byte-level BPE cuts a text into pre-tokens, in its form without backtracking.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 @cache
@@ -94,14 +94,14 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.fast = None if ranks is None else tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.fast = None if ranks is None else tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
         if self.fast is None or any(t in text for t in self.added):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast(text, disallowed_special=()).astype("<u4")
+        return np.array(self.fast(text), "<u4")
 
 
 class Corpus:
