@@ -1,7 +1,7 @@
 """Packing: lexical retrieval by a sharded BM25 inverted index.
 
 Texts are encoded once and their ids written. Document frequencies and the mean length are those of the whole corpus. Documents are then
-dealt and sorted by their rarest terms, so that related ones come together from wherever they lie. A shard is a run in this order,
+dealt and sorted by their rarest terms, those of a common term in salted parts, so that related ones come together from wherever they lie. A shard is a run in this order,
 closed at ``shard_docs`` documents or ``shard_tokens`` tokens; its index maps token ids to postings with their BM25 weights. A seed
 document opens a window; its unused neighbours by BM25 fill it greedily, whole ones first. When none fits, the best one is cut, fills the
 window to the last place, and seeds the next window with its rest. Memory is bounded by the shard and the vocabulary.
@@ -122,6 +122,12 @@ class Corpus:
         b = found.min(where=found > a, initial=1 << 62)
         return tuple(-1 if x == 1 << 62 else int(x) & 0xFFFFFFFF for x in (a, b))
 
+    def salt(self, a: int, b: int, own: int, most: int) -> int:
+        """Deals the documents with the rarest term ``a`` to parts of about ``most``, those with the same ``b`` to one if they fit; ``own`` tells documents apart."""
+        of = lambda t: int(self.order[t]) >> 32 if t >= 0 else self.n
+        parts = -(-of(a) // most)
+        return zlib.crc32(b"%d" % b if of(b) <= most else b"%d %d" % (b, own)) % parts if parts > 1 else 0
+
 
 class Bm25:
     """Inverted index over the token ids of some documents; frequencies and mean length are the corpus', or their own without one."""
@@ -299,10 +305,14 @@ def pack(
     corpus = statistics(tokens)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = 0
         for pdf in small(batches):
             held = [unpacked(x, n) for x, n in zip(pdf["ids"], pdf["n"])]
             keys = [corpus.rarest(x) for x in held]
-            yield pdf.assign(a=[k[0] for k in keys], b=[k[1] for k in keys], crc=[zlib.crc32(x) for x in pdf["ids"]])
+            own = [seen + i if name is None else zlib.crc32(name.encode("utf-8", "surrogatepass")) for i, name in enumerate(pdf["id"])]
+            seen += len(own)
+            salt = [corpus.salt(a, b, x, max(1, shard_docs // 4)) for (a, b), x in zip(keys, own)]
+            yield pdf.assign(a=[k[0] for k in keys], salt=salt, b=[k[1] for k in keys], crc=[zlib.crc32(x) for x in pdf["ids"]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(window, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, corpus)
@@ -323,8 +333,8 @@ def pack(
         packer.finish()
         yield pd.DataFrame(packer.take(), columns=columns)
 
-    order = ["a", "b", "crc", "id"]  # copies come together; the id lets a common key be dealt to several tasks
-    dealt = tokens.where("ids is not null").select("id", "n", "ids").mapInPandas(keyed, "id string, n long, ids binary, a long, b long, crc long")
-    done = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "n", "ids")
+    # Documents with a rare term in common meet; the salt bounds what a common one brings to a task, and needs no sampling of the keys.
+    dealt = tokens.where("ids is not null").select("id", "n", "ids").mapInPandas(keyed, "id string, n long, ids binary, a long, salt long, b long, crc long")
+    done = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "b", "crc", "id").select("id", "n", "ids")  # copies come together
     pieces = done.mapInPandas(run, "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumn("id", F.col("id").cast(kind))

@@ -225,9 +225,17 @@ def test_packing_retrieves_from_the_whole_corpus(spark):
     assert near >= 270, near
 
 
+def test_salts_bound_what_a_term_brings_to_a_task():
+    corpus = packing.Corpus(1000, 10.0, np.array([1, 5, 7, 8]), np.array([1000, 600, 40, 1]))
+    assert corpus.rarest(np.array([8, 7, 5, 1, 7], "<u4")) == (7, 5) and corpus.rarest(np.array([1], "<u4")) == (1, -1)
+    assert corpus.salt(7, 5, 3, 128) == 0 and len({corpus.salt(5, 7, i, 128) for i in range(600)}) == 1
+    copies = collections.Counter(corpus.salt(5, 1, i, 128) for i in range(600))
+    assert len(copies) == 5 and max(copies.values()) < 200 and len({corpus.salt(1, -1, i, 128) for i in range(1000)}) == 8
+
+
 def test_statistics_are_those_of_the_corpus(spark):
     texts = ["one two", "one three", "one four five", None]
-    tokens = common.written(packing.encoded(docs_of(spark, texts).repartition(3).selectExpr("doc_id as id", "text"), queries.tokenizer_path(), 1), "test")
+    tokens = common.written(packing.encoded(docs_of(spark, texts).repartition(3).selectExpr("cast(doc_id as string) as id", "text"), queries.tokenizer_path(), 1), "test")
     corpus, encode = packing.statistics(tokens), packing.Encoder(queries.tokenizer_path())
     sets = [{1, *encode(t).tolist()} for t in texts]
     assert dict(zip(corpus.terms.tolist(), corpus.counts.tolist())) == collections.Counter(x for s in sets for x in s)
