@@ -1,86 +1,74 @@
 """SentencePiece encoding and decoding with sampled segmentations, Gumbel top-k without replacement.
 
-The pieces of a text's words form a lattice. A piece of rank r has weight 1 / (r + 100), a Zipf law over the
+A text falls apart wherever no piece of the vocabulary holds the two characters that meet; what is left between are its words, and no segmentation crosses them. The
+pieces of a word form a lattice. A piece of rank r has weight 1 / (r + 100), a Zipf law over the
 vocabulary's order; a character without a piece is spelt in byte pieces. Segmentations then have exact probabilities, and sums
 over suffixes give the log-mass below every lattice node.
 
-A best-first (A-star) search over prefixes carries Gumbel-perturbed log-masses: a node's value is the largest perturbed
-log-probability below it, so the first leaf that is popped is the best, the next the second best, and all differ. Given
-a node's value, its best child inherits it, and the others are independent Gumbels cut off at it; on one path
-only the k largest of these can ever be popped, and only these are kept. Every row is seeded by its key.
+An A-star search over regions of segmentations carries Gumbel-perturbed log-masses: a region's value is the largest perturbed
+log-probability in it. The best region is popped and the segmentation that has its value is drawn; what else the region holds falls apart into
+one region for each decision on the way (the same prefix, another piece here), whose values are Gumbels located at their log-masses and cut off at the value
+popped. So the first segmentation drawn is the best, the next the second best, and all differ. Of a
+text's regions only the k largest can ever be popped, and only these are kept. Every row is seeded by its key.
+
+Lattices of different words are laid side by side in flat arrays, are kept for later texts as long as there is room, and the words of many texts walk theirs at the same time, a piece a step.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-import random
-import re
-from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: White space runs go with the characters after them: no piece crosses from other characters into a run.
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 ZIPF = 100.0
-CACHE = 50_000  # segments kept in each of two generations, about 1 KB each
+NODES = 2_000_000  # lattice nodes kept for words to come, about 100 bytes each
+GROUP = 300_000  # characters that are sampled together
+_U = np.uint64
+_ROUND, _PLACE, _KIND = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA0761D6478BD642F)
+
+
+def _uniform(seed: np.ndarray, turn: int, place: np.ndarray, kind: int) -> np.ndarray:
+    """Numbers in (0, 1), fixed by their arguments alone: a row's do not depend on the rows beside it."""
+    h = seed + _U(((turn + 1) * int(_ROUND) + (kind + 1) * int(_KIND)) % (1 << 64)) + place.astype(_U) * _PLACE
+    for _ in range(2):
+        h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+        h = h ^ (h >> _U(31))
+    return ((h >> _U(12)).astype(float) + 0.5) * 2.0**-52
 
 
-class Segment:
-    """Lattice of one segment, its edges in flat arrays: position i has the edges at[i]..at[i+1].
+class Lattices:
+    """Lattices of words in flat arrays. A word of n characters has nodes first..first+n; node i has the edges at[i]..at[i]+degree[i], longest first.
 
-    An edge has a piece (below -1: the character spelt in bytes, ``spelt[-2 - piece]``), an end, the log of its share of the mass below i, and the running
-    sum of the shares.
+    An edge has its ids (``begin, count`` in ``ids``), an end node, the log of its share of the mass below its node, the running sum of shares, and the log of the
+    shares beside it. Of each word there are its first node, its length, and the model's own ids (``own_begin, own_count`` in ``own``).
     """
 
-    __slots__ = ("at", "piece", "end", "log", "sum", "spelt", "mass", "length")
-
-    def __init__(self, text: str, codec: Codec):
-        n = self.length = len(text)
-        beta = [0.0] * (n + 1)
-        edges: list[list] = [[]] * n
-        self.spelt: list[list[int]] = []
-        pieces, begins, weight = codec.piece, codec.begins, codec.weight
-        for i in range(n - 1, -1, -1):
-            out = []
-            for j in range(i + 1, min(n, i + codec.longest) + 1):
-                part = text[i:j]
-                p = pieces.get(part)
-                if p is not None:
-                    out.append((p, j, weight[p] + beta[j]))
-                if part not in begins:
-                    break
-            if not out or out[0][1] != i + 1:
-                spelt = [codec.byte[b] for b in text[i].encode("utf-8", "surrogatepass")]
-                self.spelt.append(spelt)
-                out.insert(0, (-1 - len(self.spelt), i + 1, sum(weight[p] for p in spelt) + beta[i + 1]))
-            top = max(x[2] for x in out)
-            beta[i] = top + math.log(sum([math.exp(x[2] - top) for x in out]))
-            edges[i] = out
-        self.at, self.piece, self.end = array("i", [0]), array("i"), array("i")
-        self.log, self.sum = array("d"), array("d")
-        for i, out in enumerate(edges):
-            total = 0.0
-            for p, j, w in out:
-                x = w - beta[i]
-                total += math.exp(x)
-                self.piece.append(p)
-                self.end.append(j)
-                self.log.append(x)
-                self.sum.append(total)
-            self.at.append(len(self.piece))
-        self.mass = beta[0]
-
-    def ids(self, edge: int) -> list[int]:
-        p = self.piece[edge]
-        return [p] if p >= 0 else self.spelt[-2 - p]
+    KINDS = {"at": "i4", "degree": "i2", "end": "i4", "begin": "i4", "count": "i1", "ids": "i4", "log": "f8", "sum": "f8", "rest": "f8", "first": "i4", "length": "i4", "own_begin": "i4", "own_count": "i4", "own": "i4"}
+
+    def __init__(self) -> None:
+        self.room = {name: np.zeros(1024, kind) for name, kind in self.KINDS.items()}
+        for name in self.KINDS:
+            setattr(self, name, self.room[name][:0])
+
+    def add(self, **parts) -> None:
+        for name, part in parts.items():
+            held = len(getattr(self, name))
+            if held + len(part) > len(self.room[name]):
+                more = np.zeros(2 * (held + len(part)), self.KINDS[name])
+                more[:held] = self.room[name][:held]
+                self.room[name] = more
+            self.room[name][held : held + len(part)] = part
+            setattr(self, name, self.room[name][: held + len(part)])
 
 
 class Codec:
@@ -91,97 +79,302 @@ class Codec:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.sp.get_piece_size()
-        self.piece, self.byte, self.weight = {}, {}, [0.0] * n
+        self.piece: dict[str, int] = {}
+        self.byte: dict[int, int] = {}
         mass = math.log(sum(1 / (r + ZIPF) for r in range(n)))
+        self.weight = -np.log(np.arange(n) + ZIPF) - mass
+        self.surface = [b""] * n  # what a piece decodes to; controls decode to nothing
         for i in range(n):
-            self.weight[i] = -math.log(i + ZIPF) - mass
             if self.sp.is_byte(i):
                 self.byte[int(self.sp.id_to_piece(i)[3:-1], 16)] = i
-            elif not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i)):
+                self.surface[i] = bytes([int(self.sp.id_to_piece(i)[3:-1], 16)])
+            elif self.sp.is_unknown(i):
+                self.surface[i] = " ⁇ ".encode()
+            elif not (self.sp.is_control(i) or self.sp.is_unused(i)):
                 self.piece[self.sp.id_to_piece(i)] = i
-        self.longest = max(map(len, self.piece))
-        self.begins = {p[:n] for p in self.piece for n in range(1, len(p))}  # what a longer piece begins with
-        self.known: dict[str, Segment] = {}
-        self.older: dict[str, Segment] = {}
-
-    def segments(self, text: str) -> list[Segment]:
-        out = []
-        for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
-            got = self.known.get(s)
-            if got is None:
-                got = self.older.get(s) or Segment(s, self)
-                if len(s) < 64:
-                    if len(self.known) >= CACHE:  # what is still in use is taken along from the older half
-                        self.known, self.older = {}, self.known
-                    self.known[s] = got
-            out.append(got)
-        return out
+                self.surface[i] = self.sp.id_to_piece(i).replace(SPACE, " ").encode()
+        self._trie()
+        self.spelt: dict[int, list[int]] = {}
+        self.forget()
 
-    def sample(self, text: str, k: int, seed: int) -> tuple[list[tuple[list[int], float, float]], float]:
-        """Up to k distinct segmentations (ids, log-probability, perturbed value), best first, and the value of the next one (-inf: none)."""
-        segs = self.segments(text) if text else []
-        pick, draw = random.Random(seed), np.random.default_rng(seed)
-        root = -math.log(-math.log(max(pick.random(), 1e-300)))
-        # An entry: value, tie, segment, position, log-probability so far, pieces so far (linked, last first).
-        heap: list[tuple] = [(-root, 0, 0, 0, 0.0, None)]
-        found: list[tuple[list[int], float, float]] = []
-        tie = 0
-        while heap and len(found) <= k:
-            value, _, s, i, phi, path = heapq.heappop(heap)
-            value = -value
-            if len(found) == k:
-                return found, value
-            want = k + 1 - len(found)
-            places: list[tuple] = []  # nodes on the way with other children
-            counts: list[int] = []
-            logs: list[float] = []
-            while s < len(segs):
-                seg = segs[s]
-                lo, hi = seg.at[i], seg.at[i + 1]
-                if hi - lo == 1:
-                    c = lo
-                else:
-                    c = min(bisect_right(seg.sum, pick.random() * seg.sum[hi - 1], lo, hi), hi - 1)
-                    places.append((s, i, phi, path))
-                    counts.append(hi - lo)
-                    logs += seg.log[lo:c]
-                    logs.append(-math.inf)
-                    logs += seg.log[c + 1 : hi]
-                phi += seg.log[c]
-                path = (path, seg, c)
-                i = seg.end[c]
-                if i == seg.length:
-                    s, i = s + 1, 0
-            ids: list[int] = []
-            link = path
-            parts = []
-            while link is not None:
-                link, seg, c = link
-                parts.append((seg, c))
-            for seg, c in reversed(parts):
-                ids += seg.ids(c)
-            found.append((ids, phi, value))
-            if places and want:
-                base = np.repeat(np.array([p[2] for p in places]), counts)
-                mass = base + np.array(logs)
-                with np.errstate(divide="ignore", over="ignore"):
-                    # A Gumbel located at the log-mass, cut off at the value of the path.
-                    cut = mass - np.log(np.exp(mass - value) - np.log(np.maximum(draw.random(len(mass)), 1e-300)))
-                cut[np.isneginf(mass)] = -np.inf
-                best = np.argsort(-cut, kind="stable")[:want]
-                ends = np.cumsum(counts)
-                for b in best.tolist():
-                    if cut[b] == -np.inf:
+    def _trie(self) -> None:
+        """The pieces as a trie: sorted keys (node, letter), the node each leads to, and the piece that ends at a node."""
+        letters = {c: i for i, c in enumerate(sorted(set("".join(self.piece))))}
+        self.letter = np.full(0x110000, -1, np.int64)
+        self.letter[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.width = len(letters)
+        self.letter[ord(" ")] = letters[SPACE]
+        step: dict[int, int] = {}
+        ends = {0: -1}
+        for p, i in self.piece.items():
+            node = 0
+            for c in p:
+                node = step.setdefault(node * self.width + letters[c], len(step) + 1)
+            ends[node] = i
+        keys = np.array(sorted(step), np.int64)
+        self.keys, self.to = np.append(keys, np.iinfo(np.int64).max), np.append(np.array([step[k] for k in keys.tolist()], np.int64), -1)
+        self.ends = np.array([ends.get(i, -1) for i in range(len(step) + 1)], np.int64)
+        self.joins = np.zeros((self.width + 1, self.width + 1), bool)  # do two letters meet in a piece? The last row and column: letters of no piece
+        for p in self.piece:
+            at = self.letter[[ord(c) for c in p]]
+            self.joins[at[:-1], at[1:]] = True
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.grid = Lattices()
+
+    def _step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = node * self.width + letter
+        at = np.searchsorted(self.keys, key)
+        return np.where((letter >= 0) & (self.keys[at] == key), self.to[at], -1)
+
+    def learn(self, words: list[str]) -> None:
+        """Lay the lattices of new words beside the others."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        length = np.array([len(w) for w in words])
+        stop = np.repeat(np.cumsum(length), length)  # of each character, the end of its word
+        word = np.repeat(np.arange(len(words)), length)
+        letter = self.letter[points]
+        # Edges, by trie: all characters at once, a letter further each time.
+        at = np.arange(len(points))
+        state = self._step(np.zeros_like(at), letter)
+        alone = (state >= 0) & (self.ends[state] >= 0)
+        starts, lengths, pieces = [], [], []
+        size = 1
+        at, state = at[state >= 0], state[state >= 0]
+        while len(at):
+            hit = np.flatnonzero(self.ends[state] >= 0)
+            starts.append(at[hit])
+            lengths.append(np.full(len(hit), size))
+            pieces.append(self.ends[state[hit]])
+            more = np.flatnonzero(at + size < stop[at])
+            at, state = at[more], state[more]
+            state = self._step(state, letter[at + size])
+            more = np.flatnonzero(state >= 0)
+            at, state = at[more], state[more]
+            size += 1
+        start, reach, piece = (np.concatenate(x[::-1]) if x else np.zeros(0, np.int64) for x in (starts, lengths, pieces))
+        weight, ids = self.weight[piece], piece
+        begin, count = np.arange(len(piece)), np.ones(len(piece), np.int8)
+        odd = np.flatnonzero(~alone)  # characters that have no piece of their own are spelt in bytes
+        if len(odd):
+            for c in set(points[odd].tolist()) - self.spelt.keys():
+                self.spelt[c] = [self.byte[b] for b in chr(c).encode("utf-8", "surrogatepass")]
+            spelt = [self.spelt[c] for c in points[odd].tolist()]
+            begin = np.concatenate((begin, len(ids) + np.cumsum([0, *map(len, spelt)])[:-1]))
+            count = np.concatenate((count, np.array([len(x) for x in spelt], np.int8)))
+            ids = np.concatenate((ids, [x for s in spelt for x in s]))
+            weight = np.concatenate((weight, [float(self.weight[s].sum()) for s in spelt]))
+            start, reach = np.concatenate((start, odd)), np.concatenate((reach, np.ones(len(odd), np.int64)))
+        # Nodes: a word's characters and its end. Masses are summed from the ends of all words at once.
+        order = np.argsort(start, kind="stable")
+        start, reach, weight, begin, count = (x[order] for x in (start, reach, weight, begin, count))
+        node = start + word[start]
+        end = node + reach
+        left = stop[start] - start
+        head = np.concatenate(([True], node[1:] != node[:-1]))
+        beta = np.zeros(len(points) + len(words))
+        order = np.argsort(left.astype(np.uint16) if length.max() < 1 << 16 else left, kind="stable")
+        cuts = np.searchsorted(left[order], np.arange(1, int(length.max()) + 2))
+        by_left, ends_left, weight_left, heads_left = node[order], end[order], weight[order], head[order]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            h = np.flatnonzero(heads_left[a:b])
+            beta[by_left[a:b][h]] = np.logaddexp.reduceat(weight_left[a:b] + beta[ends_left[a:b]], h)
+        log = weight + beta[end] - beta[node]
+        share = np.exp(log)
+        degree = np.bincount(node, minlength=len(beta))
+        first = np.cumsum(degree) - degree
+        upto, before, after = np.zeros(len(node)), np.zeros(len(node)), np.zeros(len(node))
+        n = np.flatnonzero(degree > 1)  # of these nodes the shares are summed edge by edge, from both sides
+        e, f = first[n], first[n] + degree[n] - 1
+        last, lead = f, e
+        total, other = np.zeros(len(n)), np.zeros(len(n))
+        while len(e):
+            before[e], after[f] = total, other
+            total, other = total + share[e], other + share[f]
+            upto[e] = total
+            on = np.flatnonzero(e < last)
+            e, f, last, lead, total, other = e[on] + 1, f[on] - 1, last[on], lead[on], total[on], other[on]
+        upto[(first + degree - 1)[degree > 0]] = 2.0  # whatever is drawn, an edge is found
+        with np.errstate(divide="ignore"):
+            rest = np.log(before + after)
+        g = self.grid
+        # The library puts a space mark before a text; here a line break keeps it away from the word.
+        own = [x[2:] for x in self.sp.encode(["\n" + w for w in words], num_threads=1)]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        begins = np.cumsum(size) - size + len(g.own)
+        root = len(g.at) + np.cumsum(length + 1) - (length + 1)
+        self.known.update(zip(words, range(len(g.first), len(g.first) + len(words))))
+        g.add(at=first + len(g.end), degree=degree, end=end + len(g.at), begin=begin + len(g.ids), count=count, ids=ids, log=log, sum=upto, rest=rest)
+        g.add(first=root, length=length, own_begin=begins, own_count=size, own=np.fromiter(chain.from_iterable(own), np.int32, int(size.sum())))
+
+    def words(self, texts: list[str]) -> list[np.ndarray]:
+        """Places of all words of the texts; a text begins with a space mark."""
+        if len(self.grid.at) > NODES:
+            self.forget()
+        given = [" " + t.replace(SPACE, " ") if t else "" for t in texts]  # a space and its mark are one to the library
+        letter = self.letter[np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = np.cumsum([len(t) for t in given])
+        cut = np.ones(len(letter) + 1, bool)
+        cut[1:-1] = ~self.joins[letter[:-1], letter[1:]]
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        parts = np.searchsorted(at, [0, *ends.tolist()])
+        found: list[str] = []
+        for t, a, b in zip(given, parts[:-1].tolist(), parts[1:].tolist()):
+            if a < b:
+                edges = (at[a : b + 1] - at[a]).tolist()
+                found += [t[x:y] for x, y in zip(edges, edges[1:])]
+        places = list(map(self.known.get, found))
+        if None in places:
+            self.learn(list(dict.fromkeys([w for w, x in zip(found, places) if x is None])))
+            places = list(map(self.known.__getitem__, found))
+        index = np.array(places, np.int64)
+        return np.split(index, parts[1:-1])
+
+    def own_of(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The model's own ids of words in a row, and how many each has."""
+        g = self.grid
+        n = g.own_count[index].astype(np.int64)
+        return g.own[np.repeat(g.own_begin[index] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+    def ids_of(self, edges: np.ndarray) -> np.ndarray:
+        g = self.grid
+        n = g.count[edges].astype(np.int64)
+        if (n == 1).all():
+            return g.ids[g.begin[edges]]
+        return g.ids[np.repeat(g.begin[edges] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def decode(self, ids) -> str:
+        """What the library's decoder gives: surfaces in a row, without the space that stands before the first."""
+        out = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
+        return out[1:] if out[:1] == " " else out
+
+    def _walk(self, node: np.ndarray, stop: np.ndarray, seed: np.ndarray, turn: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges drawn from ``node`` to ``stop`` for each entry, one entry after the other, and how many each has; ``place`` is where its node 0 stands."""
+        g = self.grid
+        live = np.flatnonzero(node < stop)
+        cur = node[live]
+        taken, who = [], []
+        while len(live):
+            u = _uniform(seed[live], turn, place[live] + cur, 0)
+            e = g.at[cur].astype(np.int64)
+            over = np.flatnonzero(g.sum[e] <= u)
+            while len(over):
+                e[over] += 1
+                over = over[g.sum[e[over]] <= u[over]]
+            taken.append(e)
+            who.append(live)
+            cur = g.end[e].astype(np.int64)
+            on = cur < stop[live]
+            live, cur = live[on], cur[on]
+        if not taken:
+            return np.zeros(0, np.int64), np.zeros(len(node), np.int64)
+        count = np.bincount(np.concatenate(who), minlength=len(node))
+        begin = np.concatenate(([0], np.cumsum(count)[:-1]))
+        out = np.empty(int(count.sum()), np.int64)
+        for j, (w, e) in enumerate(zip(who, taken)):
+            out[begin[w] + j] = e
+        return out, count
+
+    def sample_all(self, words: list[np.ndarray], k: int, seeds: list[int]) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+        """For each text up to k distinct segmentations (edges, log-probability, perturbed value), best first, and the value of the next one (-inf: none)."""
+        g, n = self.grid, len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        index = np.concatenate([*words, np.zeros(0, np.int64)]).astype(np.int64)
+        owner = np.repeat(np.arange(n), size)
+        root = g.first[index].astype(np.int64)
+        stop = root + g.length[index]
+        # Where a word's node 0 stands in its text, so that node i has a number of its own there.
+        run = np.cumsum(stop - root + 1) if len(root) else root
+        place = run - (stop - root + 1) - root
+        for d in range(n):
+            if size[d]:
+                place[begin[d] : begin[d + 1]] -= place[begin[d]] + root[begin[d]]
+        seed = np.array(seeds, _U)
+        top = -np.log(-np.log(_uniform(seed, 0, np.zeros(n, np.int64), 1)))
+        found: list[list] = [[] for _ in range(n)]
+        # A region: value, tie, path it leaves (edges, words), decision, pieces barred there.
+        heaps: list[list] = [[(-float(top[d]), 0, None, 0, ())] for d in range(n)]
+        ties = [0] * n
+        for turn in range(k):
+            popped = [(d, heapq.heappop(heaps[d])) for d in range(n) if heaps[d]]
+            if not popped:
+                break
+            # Words to walk: the rest of the one in which the region leaves its path, and all after it.
+            picks, nodes, heads = [], [], []
+            owners = np.array([d for d, _ in popped])
+            chance = _uniform(seed[owners], turn, np.array([region[3] for _, region in popped]), 2).tolist()
+            for luck, (d, (_, _, path, at, barred)) in zip(chance, popped):
+                if path is None:
+                    picks.append(np.arange(begin[d], begin[d + 1]))
+                    nodes.append(root[begin[d] : begin[d + 1]])
+                    heads.append(None)
+                    continue
+                edges, inside = path
+                w = int(inside[at])
+                here = self._node(edges, inside, at, root)
+                free = [e for e in range(int(g.at[here]), int(g.at[here]) + int(g.degree[here])) if e not in barred]
+                u = luck * math.fsum(math.exp(g.log[e]) for e in free)
+                for e in free:
+                    u -= math.exp(g.log[e])
+                    if u < 0:
                         break
-                    at = int(np.searchsorted(ends, b, "right"))
-                    s2, i2, phi2, path2 = places[at]
-                    seg = segs[s2]
-                    c = seg.at[i2] + b - (int(ends[at]) - counts[at])
-                    j = seg.end[c]
-                    tie += 1
-                    nxt = (s2 + 1, 0) if j == seg.length else (s2, j)
-                    heapq.heappush(heap, (-float(cut[b]), tie, *nxt, phi2 + seg.log[c], (path2, seg, c)))
-        return found, -math.inf
+                picks.append(np.arange(w, begin[d + 1]))
+                nodes.append(np.concatenate(([g.end[e]], root[w + 1 : begin[d + 1]])))
+                heads.append((np.append(edges[:at], e), inside[: at + 1]))
+            pick, node = np.concatenate(picks), np.concatenate(nodes)
+            drawn, count = self._walk(node, stop[pick], seed[owner[pick]], turn, place[pick])
+            inside, at_word = np.repeat(pick, count), 0
+            ends = np.cumsum(count)
+            tails, phis = [], []
+            for (d, region), p, head in zip(popped, picks, heads):
+                lo = int(ends[at_word - 1]) if at_word else 0
+                at_word += len(p)
+                hi = int(ends[at_word - 1]) if at_word else 0
+                edges, own = drawn[lo:hi], inside[lo:hi]
+                if head is not None:
+                    edges, own = np.concatenate((head[0], edges)), np.concatenate((head[1], own))
+                phi = np.cumsum(g.log[edges])
+                found[d].append((edges, float(phi[-1]) if len(phi) else 0.0, -region[0]))
+                tails.append((edges, own))
+                phis.append(phi[region[3] :])
+            # What else each region holds: at its own decision the pieces not barred yet, at later ones all but the one taken.
+            long = np.array([len(x) for x in phis])
+            begins = np.cumsum(long) - long
+            of = np.repeat(np.arange(len(popped)), long)
+            tail = np.concatenate([e[region[3] :] for (_, region), (e, _) in zip(popped, tails)])
+            mass = np.concatenate(phis) - g.log[tail] + g.rest[tail]
+            for (d, region), (edges, own), x, b in zip(popped, tails, phis, begins.tolist()):
+                if region[4]:
+                    at, bars = region[3], (*region[4], int(edges[region[3]]))
+                    here = self._node(edges, own, at, root)
+                    left = [math.exp(g.log[e]) for e in range(int(g.at[here]), int(g.at[here]) + int(g.degree[here])) if e not in bars]
+                    mass[b] = x[0] - g.log[edges[at]] + (math.log(math.fsum(left)) if left else -math.inf)
+            value = np.array([-region[0] for _, region in popped])[of]
+            where = np.arange(len(tail)) - np.repeat(begins - [region[3] for _, region in popped], long)
+            u = _uniform(seed[owners][of], turn, where, 3)
+            with np.errstate(over="ignore"):
+                cut = mass - np.log(np.exp(mass - value) - np.log(u))  # a Gumbel located at the log-mass, cut off at the value popped
+            cut[np.isneginf(mass)] = -np.inf
+            for (d, region), path, b, m in zip(popped, tails, begins.tolist(), long.tolist()):
+                want, own = k + 1 - len(found[d]), cut[b : b + m]
+                for x in (np.argpartition(-own, want)[:want] if m > want else np.arange(m)).tolist():
+                    if own[x] > -math.inf:
+                        at = region[3] + x
+                        ties[d] += 1
+                        heapq.heappush(heaps[d], (-float(own[x]), ties[d], path, at, (int(path[0][at]),) if x else (*region[4], int(path[0][at]))))
+        return [(found[d], -heaps[d][0][0] if heaps[d] else -math.inf) for d in range(n)]
+
+    def _node(self, edges: np.ndarray, inside: np.ndarray, at: int, root: np.ndarray) -> int:
+        """The node at which a path's decision ``at`` is taken."""
+        return int(self.grid.end[edges[at - 1]]) if at and inside[at - 1] == inside[at] else int(root[inside[at]])
+
+    def sample(self, text: str, k: int, seed: int) -> tuple[list[tuple[list[int], float, float]], float]:
+        """Up to k distinct segmentations of one text (ids, log-probability, perturbed value), best first, and the value of the next one (-inf: none)."""
+        ((got, threshold),) = self.sample_all(self.words([text]), k, [seed])
+        return [(self.ids_of(e).tolist(), p, v) for e, p, v in got], threshold
 
 
 def inclusion(log_probability: float, threshold: float) -> float:
@@ -191,6 +384,11 @@ def inclusion(log_probability: float, threshold: float) -> float:
     return -math.expm1(-math.exp(min(log_probability - threshold, 700.0)))
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
+
+
 def encode_rows(
     rows: DataFrame,
     model: str,
@@ -203,29 +401,40 @@ def encode_rows(
 
     ``ids`` is the model's own segmentation, ``decoded`` what it decodes to; ``samples`` are up to ``k`` distinct sampled
     segmentations, best perturbed value first: ids, log-probability, inclusion score. Rows are seeded by their keys, so equal keys and
-    texts give equal samples; keys may be null. Null and empty texts have one segmentation, the empty one. An empty table gives an
+    texts give equal samples; keys may be null, and may have any names but those three. Null and empty texts have one segmentation, the empty one. An empty table gives an
     empty result. ``model`` is a path that every machine can read.
     """
+    if {"ids", "decoded", "samples"} & set(keys):
+        raise ValueError("keys are not called ids, decoded or samples")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000].reset_index(drop=True)
-                texts = [t or "" for t in part["text"]]
-                ids = codec.sp.encode(texts, num_threads=1)
-                samples = []
-                for name, text in zip(part["__sl_key"], texts):
-                    got, threshold = codec.sample(text, k, xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), seed))
-                    samples.append([{"ids": i, "log_probability": p, "inclusion": inclusion(p, threshold)} for i, p, _ in got])
-                out = part.drop(columns=["text", "__sl_key"])
-                out["ids"], out["decoded"], out["samples"] = ids, codec.sp.decode(ids, num_threads=1), samples
-                yield out
+        for batch in batches:
+            texts = [t or "" for t in batch.column(len(keys)).to_pylist()]
+            names = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed) for x in batch.column(len(keys) + 1).to_pylist()]
+            at = 0
+            while at < len(texts):
+                to, held = at + 1, len(texts[at])
+                while to < len(texts) and held + len(texts[to]) <= GROUP:
+                    held += len(texts[to])
+                    to += 1
+                words = codec.words(texts[at:to])
+                flat, n = codec.own_of(np.concatenate(words))
+                cuts = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, words)])].tolist()
+                ids = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                got = codec.sample_all(words, k, names[at:to])
+                each = [(codec.ids_of(e), p, inclusion(p, limit)) for found, limit in got for e, p, _ in found]
+                fields = [_lists([x for x, _, _ in each]), pa.array([p for _, p, _ in each], pa.float64()), pa.array([s for _, _, s in each], pa.float64())]
+                samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f) for f, _ in got)]), pa.int32()), pa.StructArray.from_arrays(fields, ["ids", "log_probability", "inclusion"]))
+                part = batch.slice(at, to - at)
+                columns = [*part.columns[: len(keys)], _lists(ids), pa.array([codec.decode(x.tolist()) for x in ids], pa.string()), samples]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "ids", "decoded", "samples"])
+                at = to
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
-    name = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in keys]).alias("__sl_key")
-    given = rows.select(*keys, F.col(text_col).alias("text"), name)
-    return given.mapInPandas(run, f"{kinds}, ids array<int>, decoded string, samples array<struct<ids:array<int>,log_probability:double,inclusion:double>>")
+    name = F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0002")) for c in keys]).alias("__sl_key")
+    given = rows.select(*[F.col(f"`{c}`") for c in keys], F.col(text_col).alias("__sl_text"), name)
+    return given.mapInArrow(run, f"{kinds}, ids array<int>, decoded string, samples array<struct<ids:array<int>,log_probability:double,inclusion:double>>")
 
 
 def decode_rows(rows: DataFrame, model: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
@@ -234,6 +443,6 @@ def decode_rows(rows: DataFrame, model: str, ids_col: str = "ids", name: str = "
 
     def of(ids: pd.Series) -> pd.Series:
         codec = held.setdefault("codec", Codec(model))
-        return pd.Series([codec.sp.decode([int(i) for i in x]) if x is not None and len(x) else "" for x in ids], dtype=object)
+        return pd.Series([codec.decode([int(i) for i in x]) if x is not None else "" for x in ids], dtype=object)
 
     return rows.withColumn(name, F.pandas_udf(of, "string")(F.col(ids_col)))

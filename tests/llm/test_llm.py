@@ -556,44 +556,76 @@ def codec():
     return sp_codec.Codec(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def all_segmentations(seg):
+def all_segmentations(codec, text):
+    """Every way to cut the text into pieces, with its log-probability."""
+    line = sp_codec.SPACE + text.replace(" ", sp_codec.SPACE)
+
     def walk(i):
-        if i == seg.length:
+        if i == len(line):
             yield (), 0.0
             return
-        for e in range(seg.at[i], seg.at[i + 1]):
-            for rest, q in walk(seg.end[e]):
-                yield (*seg.ids(e), *rest), seg.log[e] + q
+        steps = [((codec.piece[line[i:j]],), j) for j in range(i + 1, len(line) + 1) if line[i:j] in codec.piece]
+        if not any(j == i + 1 for _, j in steps):
+            steps.append((tuple(codec.byte[b] for b in line[i].encode()), i + 1))
+        for ids, j in steps:
+            for rest, q in walk(j):
+                yield (*ids, *rest), sum(codec.weight[x] for x in ids) + q
 
-    return dict(walk(0))
+    found = dict(walk(0))
+    total = np.logaddexp.reduce(list(found.values()))
+    return {ids: float(q - total) for ids, q in found.items()}
 
 
 def test_sampling_follows_the_lattice(codec):
-    table = all_segmentations(codec.segments("other")[0])
-    assert abs(sum(np.exp(p) for p in table.values()) - 1) < 1e-9
-    first, n = collections.Counter(), 3000
-    for seed in range(n):
-        got, _ = codec.sample("other", 1, seed)
-        first[tuple(got[0][0])] += 1
+    table = all_segmentations(codec, "other é\n")
+    first, second, n = collections.Counter(), collections.Counter(), 4000
+    words = codec.words(["other é\n"] * n)
+    for got, _ in codec.sample_all(words, 2, list(range(n))):
+        one, two = (tuple(codec.ids_of(e).tolist()) for e, _, _ in got)
+        first[one] += 1
+        second[two] += 1
     for ids, p in table.items():
         q = np.exp(p)
         assert abs(first[ids] / n - q) < 4 * np.sqrt(q * (1 - q) / n) + 1e-3
-    got, rest = codec.sample("other", 10_000, 1)
-    assert {tuple(i) for i, _, _ in got} == set(table) and rest == -np.inf
+        q = sum(np.exp(p + o) / (1 - np.exp(o)) for i, o in table.items() if i != ids)  # second: without replacement
+        assert abs(second[ids] / n - q) < 4 * np.sqrt(q * (1 - q) / n) + 1e-3
+    got, rest = codec.sample("other é\n", 10_000, 1)
+    assert {tuple(i) for i, _, _ in got} == set(table) and len(got) == len(table) and rest == -np.inf
     assert all(abs(table[tuple(i)] - p) < 1e-9 for i, p, _ in got)
     values = [v for _, _, v in got]
     assert values == sorted(values, reverse=True)
 
 
 def test_inclusion_weights_are_unbiased(codec):
-    table = all_segmentations(codec.segments("there")[0])
+    table = all_segmentations(codec, "there")
     total = []
-    for seed in range(1500):
-        got, threshold = codec.sample("there", 3, seed)
+    for got, threshold in codec.sample_all(codec.words(["there"] * 1500), 3, list(range(1500))):
         total.append(sum(np.exp(p) / sp_codec.inclusion(p, threshold) for _, p, _ in got))
     assert len(table) > 4 and abs(np.mean(total) - 1) < 0.05
 
 
+def test_samples_do_not_depend_on_neighbours(codec, texts):
+    some = [t or "" for t in texts]
+    seeds = list(range(len(some)))
+    flat = lambda got: [([(codec.ids_of(e).tolist(), p, v) for e, p, v in found], limit) for found, limit in got]
+    together = flat(codec.sample_all(codec.words(some), 3, seeds))
+    codec.forget()
+    for t, seed, want in list(zip(some, seeds, together))[::-1]:
+        assert flat(codec.sample_all(codec.words([t]), 3, [seed])) == [want]
+
+
+def test_own_ids_and_decoder_equal_the_library(codec, texts):
+    rng = random.Random(15)
+    odd = " \n\t'.,-é日😀aBz0\u00a0\x00<>/_"
+    some = [t or "" for t in texts] + ["".join(rng.choice(odd) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    for t, w in zip(some, codec.words(some)):
+        ids = codec.own_of(w)[0].tolist()
+        assert ids == codec.sp.encode(t) and codec.decode(ids) == codec.sp.decode(ids), t
+    for _ in range(500):  # ids that no text gives
+        ids = [rng.randrange(codec.sp.get_piece_size()) for _ in range(rng.randint(0, 9))]
+        assert codec.decode(ids) == codec.sp.decode(ids), ids
+
+
 def test_round_trip(spark, texts, codec):
     import public_tokenizers
 
