@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 ZIPF = 100.0
-NODES = 2_000_000  # lattice nodes kept for words to come, about 100 bytes each
+NODES = 3_000_000  # lattice nodes kept for words to come, about 100 bytes each
 GROUP = 300_000  # characters that are sampled together
+COMMON = 128  # letters with a column of their own in the trie's table
 _U = np.uint64
 _ROUND, _PLACE, _KIND = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA0761D6478BD642F)
 
@@ -46,30 +48,67 @@ def _uniform(seed: np.ndarray, turn: int, place: np.ndarray, kind: int) -> np.nd
     return ((h >> _U(12)).astype(float) + 0.5) * 2.0**-52
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
 class Lattices:
     """Lattices of words in flat arrays. A word of n characters has nodes first..first+n; node i has the edges at[i]..at[i]+degree[i], longest first.
 
     An edge has its ids (``begin, count`` in ``ids``), an end node, the log of its share of the mass below its node, the running sum of shares, and the log of the
-    shares beside it. Of each word there are its first node, its length, and the model's own ids (``own_begin, own_count`` in ``own``).
+    shares beside it. Of each word there are its first node, its length, its characters (``point`` in ``points``), its hash, and the model's own ids (``own_begin,
+    own_count`` in ``own``). Words are found by hash in an open table, and their characters are compared.
     """
 
-    KINDS = {"at": "i4", "degree": "i2", "end": "i4", "begin": "i4", "count": "i1", "ids": "i4", "log": "f8", "sum": "f8", "rest": "f8", "first": "i4", "length": "i4", "own_begin": "i4", "own_count": "i4", "own": "i4"}
+    # Kinds of the arrays, and how many entries there are for a node.
+    KINDS = {"at": ("i4", 1.0), "degree": ("i2", 1.0), "end": ("i4", 3.0), "begin": ("i4", 3.0), "count": ("i1", 3.0), "ids": ("i4", 3.0), "log": ("f8", 3.0), "sum": ("f8", 3.0), "rest": ("f8", 3.0), "first": ("i4", 0.2), "length": ("i4", 0.2), "point": ("i4", 0.2), "points": ("u4", 1.0), "hash": ("u8", 0.2), "own_begin": ("i4", 0.2), "own_count": ("i4", 0.2), "own": ("i4", 1.0)}
 
-    def __init__(self) -> None:
-        self.room = {name: np.zeros(1024, kind) for name, kind in self.KINDS.items()}
+    def __init__(self, nodes: int) -> None:
+        self.room = {name: np.zeros(int(nodes * share) + 1024, kind) for name, (kind, share) in self.KINDS.items()}  # memory that is not written to is not held
         for name in self.KINDS:
             setattr(self, name, self.room[name][:0])
+        self.bits = max(10, (nodes // 2).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int32)
 
     def add(self, **parts) -> None:
         for name, part in parts.items():
             held = len(getattr(self, name))
             if held + len(part) > len(self.room[name]):
-                more = np.zeros(2 * (held + len(part)), self.KINDS[name])
+                more = np.zeros((held + len(part)) * 3 // 2, self.KINDS[name][0])
                 more[:held] = self.room[name][:held]
                 self.room[name] = more
             self.room[name][held : held + len(part)] = part
             setattr(self, name, self.room[name][: held + len(part)])
 
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words with these hashes; -1: none."""
+        out = np.full(len(hashes), -1, np.int64)
+        at = (hashes >> _U(64 - self.bits)).astype(np.int64)
+        live = np.arange(len(hashes))
+        while len(live):
+            got = self.slot[at]
+            same = (got >= 0) & (self.hash[got] == hashes[live]) if len(self.hash) else np.zeros(len(live), bool)
+            out[live[same]] = got[same]
+            on = np.flatnonzero((got >= 0) & ~same)
+            live, at = live[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def enter(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Make distinct new hashes findable."""
+        if 2 * len(self.hash) > len(self.slot):
+            self.bits += 2
+            self.slot = np.full(1 << self.bits, -1, np.int32)
+            hashes, at = np.unique(self.hash, return_index=True)
+            numbers = at
+        at = (hashes >> _U(64 - self.bits)).astype(np.int64)
+        while len(at):
+            free = np.flatnonzero(self.slot[at] < 0)
+            self.slot[at[free]] = numbers[free]  # of several that want a place one gets it
+            on = np.flatnonzero(self.slot[at] != numbers)
+            at, numbers = (at[on] + 1) & ((1 << self.bits) - 1), numbers[on]
+
 
 class Codec:
     """Encode, decode and sample with one SentencePiece model."""
@@ -99,7 +138,8 @@ class Codec:
 
     def _trie(self) -> None:
         """The pieces as a trie: sorted keys (node, letter), the node each leads to, and the piece that ends at a node."""
-        letters = {c: i for i, c in enumerate(sorted(set("".join(self.piece))))}
+        often = Counter("".join(self.piece))
+        letters = {c: i for i, c in enumerate(sorted(often, key=lambda c: (-often[c], c)))}  # the commonest first
         self.letter = np.full(0x110000, -1, np.int64)
         self.letter[[ord(c) for c in letters]] = np.arange(len(letters))
         self.width = len(letters)
@@ -114,21 +154,32 @@ class Codec:
         keys = np.array(sorted(step), np.int64)
         self.keys, self.to = np.append(keys, np.iinfo(np.int64).max), np.append(np.array([step[k] for k in keys.tolist()], np.int64), -1)
         self.ends = np.array([ends.get(i, -1) for i in range(len(step) + 1)], np.int64)
+        # Steps by common letters stand in a table, a row for each node that has any; the others are searched.
+        inner = np.unique(keys // self.width)
+        self.row = np.zeros(len(step) + 1, np.int64)
+        self.row[inner] = np.arange(1, len(inner) + 1)
+        self.table = np.full((len(inner) + 1, COMMON), -1, np.int32)
+        usual = keys % self.width < COMMON
+        self.table[self.row[keys[usual] // self.width], keys[usual] % self.width] = self.to[:-1][usual]
         self.joins = np.zeros((self.width + 1, self.width + 1), bool)  # do two letters meet in a piece? The last row and column: letters of no piece
         for p in self.piece:
             at = self.letter[[ord(c) for c in p]]
             self.joins[at[:-1], at[1:]] = True
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.grid = Lattices()
+        self.odd: dict[str, int] = {}  # words whose hash another word has
+        self.grid = Lattices(NODES)
 
     def _step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        key = node * self.width + letter
-        at = np.searchsorted(self.keys, key)
-        return np.where((letter >= 0) & (self.keys[at] == key), self.to[at], -1)
+        out = self.table[self.row[node], np.where(letter < COMMON, letter, -1)].astype(np.int64)
+        odd = np.flatnonzero((letter >= COMMON) | (letter < 0))
+        if len(odd):
+            key = node[odd] * self.width + letter[odd]
+            at = np.searchsorted(self.keys, key)
+            out[odd] = np.where((letter[odd] >= 0) & (self.keys[at] == key), self.to[at], -1)
+        return out
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], hashes: np.ndarray) -> None:
         """Lay the lattices of new words beside the others."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         length = np.array([len(w) for w in words])
@@ -204,33 +255,48 @@ class Codec:
         size = np.fromiter(map(len, own), np.int64, len(own))
         begins = np.cumsum(size) - size + len(g.own)
         root = len(g.at) + np.cumsum(length + 1) - (length + 1)
-        self.known.update(zip(words, range(len(g.first), len(g.first) + len(words))))
         g.add(at=first + len(g.end), degree=degree, end=end + len(g.at), begin=begin + len(g.ids), count=count, ids=ids, log=log, sum=upto, rest=rest)
-        g.add(first=root, length=length, own_begin=begins, own_count=size, own=np.fromiter(chain.from_iterable(own), np.int32, int(size.sum())))
+        g.add(first=root, length=length, point=np.cumsum(length) - length + len(g.points), points=points, hash=hashes, own_begin=begins, own_count=size, own=np.fromiter(chain.from_iterable(own), np.int32, int(size.sum())))
 
     def words(self, texts: list[str]) -> list[np.ndarray]:
         """Places of all words of the texts; a text begins with a space mark."""
         if len(self.grid.at) > NODES:
             self.forget()
+        g = self.grid
         given = [" " + t.replace(SPACE, " ") if t else "" for t in texts]  # a space and its mark are one to the library
-        letter = self.letter[np.frombuffer("".join(given).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        line = "".join(given)
+        points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = self.letter[points]
         ends = np.cumsum([len(t) for t in given])
-        cut = np.ones(len(letter) + 1, bool)
+        cut = np.ones(len(points) + 1, bool)
         cut[1:-1] = ~self.joins[letter[:-1], letter[1:]]
         cut[ends] = True
-        at = np.flatnonzero(cut)
-        parts = np.searchsorted(at, [0, *ends.tolist()])
-        found: list[str] = []
-        for t, a, b in zip(given, parts[:-1].tolist(), parts[1:].tolist()):
-            if a < b:
-                edges = (at[a : b + 1] - at[a]).tolist()
-                found += [t[x:y] for x, y in zip(edges, edges[1:])]
-        places = list(map(self.known.get, found))
-        if None in places:
-            self.learn(list(dict.fromkeys([w for w, x in zip(found, places) if x is None])))
-            places = list(map(self.known.__getitem__, found))
-        index = np.array(places, np.int64)
-        return np.split(index, parts[1:-1])
+        edges = np.flatnonzero(cut)
+        at, length = edges[:-1], np.diff(edges)
+        if not len(at):
+            return [np.zeros(0, np.int64) for _ in texts]
+        within = np.arange(len(points)) - np.repeat(at, length)
+        hashes = _mixed(np.add.reduceat(_mixed(points.astype(_U) * _PLACE + within.astype(_U) * _ROUND), at) + length.astype(_U))
+        index = g.place(hashes)
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            own, first = np.unique(hashes[new], return_index=True)
+            first = np.sort(new[first])  # in the order of the texts
+            number = len(g.first)
+            self.learn([line[a : a + n] for a, n in zip(at[first].tolist(), length[first].tolist())], hashes[first])
+            g.enter(hashes[first], np.arange(number, number + len(first)))
+            index[new] = g.place(hashes[new])
+        # Equal hashes are no proof: the characters must be equal, too.
+        wrong = g.length[index] != length
+        same = points == g.points[np.minimum(np.repeat(g.point[index], length) + within, len(g.points) - 1)]
+        wrong |= ~np.logical_and.reduceat(same, at)
+        for i in np.flatnonzero(wrong).tolist():
+            w = line[at[i] : at[i] + length[i]]
+            if w not in self.odd:
+                self.odd[w] = len(g.first)
+                self.learn([w], hashes[i : i + 1])
+            index[i] = self.odd[w]
+        return np.split(index, np.searchsorted(at, ends[:-1]))
 
     def own_of(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The model's own ids of words in a row, and how many each has."""
@@ -352,19 +418,16 @@ class Codec:
                     here = self._node(edges, own, at, root)
                     left = [math.exp(g.log[e]) for e in range(int(g.at[here]), int(g.at[here]) + int(g.degree[here])) if e not in bars]
                     mass[b] = x[0] - g.log[edges[at]] + (math.log(math.fsum(left)) if left else -math.inf)
-            value = np.array([-region[0] for _, region in popped])[of]
             where = np.arange(len(tail)) - np.repeat(begins - [region[3] for _, region in popped], long)
-            u = _uniform(seed[owners][of], turn, where, 3)
-            with np.errstate(over="ignore"):
-                cut = mass - np.log(np.exp(mass - value) - np.log(u))  # a Gumbel located at the log-mass, cut off at the value popped
-            cut[np.isneginf(mass)] = -np.inf
+            drawn_at = np.log(-np.log(_uniform(seed[owners][of], turn, where, 3))) - mass  # less a Gumbel located at the log-mass
             for (d, region), path, b, m in zip(popped, tails, begins.tolist(), long.tolist()):
-                want, own = k + 1 - len(found[d]), cut[b : b + m]
-                for x in (np.argpartition(-own, want)[:want] if m > want else np.arange(m)).tolist():
-                    if own[x] > -math.inf:
+                want, own, value = k + 1 - len(found[d]), drawn_at[b : b + m], -region[0]
+                for x in (np.argpartition(own, want)[:want] if m > want else np.arange(m)).tolist():
+                    if own[x] < math.inf:
                         at = region[3] + x
                         ties[d] += 1
-                        heapq.heappush(heaps[d], (-float(own[x]), ties[d], path, at, (int(path[0][at]),) if x else (*region[4], int(path[0][at]))))
+                        cut = -float(np.logaddexp(-value, own[x]))  # cut off at the value popped
+                        heapq.heappush(heaps[d], (-cut, ties[d], path, at, (int(path[0][at]),) if x else (*region[4], int(path[0][at]))))
         return [(found[d], -heaps[d][0][0] if heaps[d] else -math.inf) for d in range(n)]
 
     def _node(self, edges: np.ndarray, inside: np.ndarray, at: int, root: np.ndarray) -> int:
@@ -377,6 +440,17 @@ class Codec:
         return [(self.ids_of(e).tolist(), p, v) for e, p, v in got], threshold
 
 
+_HELD: dict[str, Codec] = {}
+
+
+def held(model: str) -> Codec:
+    """The codec of a model; a worker keeps the last one, and what it has learnt, for its next tasks."""
+    if model not in _HELD:
+        _HELD.clear()
+        _HELD[model] = Codec(model)
+    return _HELD[model]
+
+
 def inclusion(log_probability: float, threshold: float) -> float:
     """Probability that a segmentation's perturbed value exceeds the threshold: its chance to be among those emitted."""
     if threshold == -math.inf:
@@ -408,23 +482,27 @@ def encode_rows(
         raise ValueError("keys are not called ids, decoded or samples")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = held(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keys)).to_pylist()]
             names = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), seed) for x in batch.column(len(keys) + 1).to_pylist()]
             at = 0
             while at < len(texts):
-                to, held = at + 1, len(texts[at])
-                while to < len(texts) and held + len(texts[to]) <= GROUP:
-                    held += len(texts[to])
+                to, size = at + 1, len(texts[at])
+                while to < len(texts) and size + len(texts[to]) <= GROUP:
+                    size += len(texts[to])
                     to += 1
                 words = codec.words(texts[at:to])
                 flat, n = codec.own_of(np.concatenate(words))
                 cuts = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0, *map(len, words)])].tolist()
                 ids = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
                 got = codec.sample_all(words, k, names[at:to])
-                each = [(codec.ids_of(e), p, inclusion(p, limit)) for found, limit in got for e, p, _ in found]
-                fields = [_lists([x for x, _, _ in each]), pa.array([p for _, p, _ in each], pa.float64()), pa.array([s for _, _, s in each], pa.float64())]
+                each = [(e, p, inclusion(p, limit)) for found, limit in got for e, p, _ in found]
+                drawn = np.concatenate([np.zeros(0, np.int64), *(e for e, _, _ in each)])
+                spans = codec.grid.count[drawn]  # ids of each edge
+                bounds = np.concatenate(([0], np.cumsum(spans, dtype=np.int64)))[np.cumsum([0, *(len(e) for e, _, _ in each)])]
+                sampled = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(codec.ids_of(drawn)))
+                fields = [sampled, pa.array([p for _, p, _ in each], pa.float64()), pa.array([s for _, _, s in each], pa.float64())]
                 samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f) for f, _ in got)]), pa.int32()), pa.StructArray.from_arrays(fields, ["ids", "log_probability", "inclusion"]))
                 part = batch.slice(at, to - at)
                 columns = [*part.columns[: len(keys)], _lists(ids), pa.array([codec.decode(x.tolist()) for x in ids], pa.string()), samples]
@@ -439,10 +517,9 @@ def encode_rows(
 
 def decode_rows(rows: DataFrame, model: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """``rows`` and a column ``name``: what the ids decode to; null ids count as none. All other columns stay."""
-    held: dict = {}
 
     def of(ids: pd.Series) -> pd.Series:
-        codec = held.setdefault("codec", Codec(model))
+        codec = held(model)
         return pd.Series([codec.decode([int(i) for i in x]) if x is not None else "" for x in ids], dtype=object)
 
     return rows.withColumn(name, F.pandas_udf(of, "string")(F.col(ids_col)))

@@ -614,6 +614,17 @@ def test_samples_do_not_depend_on_neighbours(codec, texts):
         assert flat(codec.sample_all(codec.words([t]), 3, [seed])) == [want]
 
 
+def test_words_with_one_hash_are_told_apart(codec, monkeypatch):
+    text = "some words of one length: abcd efgh, abcd"
+    want = codec.sp.encode(text)
+    codec.forget()
+    monkeypatch.setattr(sp_codec, "_mixed", lambda h: np.zeros_like(h))
+    for _ in range(2):
+        (words,) = codec.words([text])
+        assert codec.own_of(words)[0].tolist() == want
+    codec.forget()
+
+
 def test_own_ids_and_decoder_equal_the_library(codec, texts):
     rng = random.Random(15)
     odd = " \n\t'.,-é日😀aBz0\u00a0\x00<>/_"
