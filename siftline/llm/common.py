@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,35 +20,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (a local test) a temporary one is made.
+    Only where the session has none and runs in one process (a local test) a temporary one is made; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = sc.getCheckpointDir()
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="siftline-")
-            sc.setCheckpointDir(base)
-        return base.rstrip("/")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="siftline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siftline-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below a folder of this application that goes when it ends."""
+    own = f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
-#: Bits of a filter over keys, in pieces of 4 KiB: 2 MiB at most, however many keys there are.
-FILTER_BITS, PIECE_BITS = 1 << 24, 1 << 15
+def slim() -> None:
+    """In a worker: give memory that is free back to the system, as workers live on and share a machine's limit."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def small(batches, most: int = 500):
+    """The batches in parts, so that a worker holds what it makes of few rows at once."""
+    for pdf in batches:
+        for at in range(0, len(pdf), most):
+            yield pdf.iloc[at : at + most].reset_index(drop=True)
+    slim()
+
+
+#: Bits of a filter over keys: 16 for each key, 128 KiB at least and 32 MiB at most, in pieces of 4 KiB. With over 2**28 / 16 keys it lets more rows pass that need not.
+LEAST_BITS, MOST_BITS, PIECE_BITS = 1 << 20, 1 << 28, 1 << 15
 
 
 def with_filter(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
     """``rows`` and a boolean ``name``: may its ``key`` be among ``keys`` (one column)? False is certain, true is not; a null key is false.
 
-    The filter is a bitmap of bounded size that every machine gets, so the rows themselves do not move.
+    The filter is a bitmap, as wide as the number of keys asks for and bounded, that every machine gets, so the rows themselves do not move.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     piece = lambda c: F.floor(place(c) / PIECE_BITS).cast("int")
     own = keys.columns[0]
     pieces = keys.where(F.col(own).isNotNull()).groupBy(piece(F.col(own)).alias(f"{OWN}piece")).agg(F.bitmap_construct_agg(F.pmod(place(F.col(own)), F.lit(PIECE_BITS))).alias(f"{OWN}bits"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import written
+from siftline.llm.common import slim, small, written
 
 # Fixed value: the public pattern by which byte-level BPE cuts a text into pre-tokens, in its form without backtracking.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -243,13 +243,6 @@ def unpacked(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
 
 
-def small(batches: Iterator[pd.DataFrame], most: int = 500) -> Iterator[pd.DataFrame]:
-    """The batches in parts, so that a worker holds the ids of few documents at once."""
-    for pdf in batches:
-        for at in range(0, len(pdf), most):
-            yield pdf.iloc[at : at + most].reset_index(drop=True)
-
-
 def encoded(rows: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """``id, n, ids, terms, df``: a row for each of ``rows`` (``id, text``), and one for each task with its terms and their document frequencies."""
 
@@ -332,6 +325,7 @@ def pack(
         packer.shard(names, held)
         packer.finish()
         yield pd.DataFrame(packer.take(), columns=columns)
+        slim()
 
     # Documents with a rare term in common meet; the salt bounds what a common one brings to a task, and needs no sampling of the keys.
     dealt = tokens.where("ids is not null").select("id", "n", "ids").mapInPandas(keyed, "id string, n long, ids binary, a long, salt long, b long, crc long")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.common import slim
+
 HALF = 32  # half a chunk
 CHANNELS = 7
 FILTERS = 24
@@ -212,6 +214,8 @@ def with_score(docs: DataFrame, net: Net, text_col: str = "text", name: str = "s
     """
 
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(net, texts), dtype=float)
+        found = pd.Series(scores(net, texts), dtype=float)
+        slim()
+        return found
 
     return docs.withColumn(name, F.pandas_udf(of, "double")(F.col(text_col)))

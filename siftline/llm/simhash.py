@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import connected_components, removed, sorted_chunks, with_filter, without, written
+from siftline.llm.common import connected_components, removed, slim, small, sorted_chunks, with_filter, without, written
 
 SEED = 42
 #: bytes.translate table that lower-cases A-Z only.
@@ -63,7 +63,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id, fp``: fp is the fingerprint as a signed long. A null text has no words."""
 
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64))
+        found = np.array([fingerprint(t, k) for t in texts], np.uint64).view(np.int64)
+        slim()
+        return pd.Series(found)
 
     return docs.select(F.col(id_col).alias("id"), F.pandas_udf(of, "long")(F.col(text_col)).alias("fp"))
 
@@ -218,12 +220,13 @@ def _hashes(text: str | None, k: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``id, set``: the distinct k-word shingles of ``docs`` (``id, text``) as 64-bit hashes."""
+    """``id, set``: the distinct k-word shingles of ``docs`` (``id, text``; no null ids) as 64-bit hashes."""
 
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_hashes(t, k).view(np.int64) for t in texts])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in small(batches):
+            yield pd.DataFrame({"id": pdf["id"], "set": [_hashes(t, k).view(np.int64) for t in pdf["text"]]})
 
-    return docs.select("id", F.pandas_udf(of, "array<long>")("text").alias("set"))
+    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, set array<long>")
 
 
 def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,30 +249,45 @@ def heads(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """
     common, times = common_shingles(docs, k)
 
-    def of(texts: pd.Series) -> pd.DataFrame:
-        copy, size, head = [], [], []
-        for t in texts:
-            h = _hashes(t, k)
-            copy.append(xxhash.xxh3_128_digest(h.tobytes()))
-            size.append(len(h))
-            if len(common) and len(h):
-                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                h = h[np.argsort(np.where(common[at] == h, times[at], 0), kind="stable")]
-            head.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
-        return pd.DataFrame({"copy": copy, "n": size, "head": head})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in small(batches):
+            copy, size, head = [], [], []
+            for t in pdf["text"]:
+                h = _hashes(t, k)
+                copy.append(xxhash.xxh3_128_digest(h.tobytes()))
+                size.append(len(h))
+                if len(common) and len(h):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[at] == h, times[at], 0), kind="stable")]
+                head.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+            yield pd.DataFrame({"id": pdf["id"], "copy": copy, "n": size, "head": head})
+
+    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, copy binary, n int, head array<long>")
+
 
-    made = docs.select("id", F.pandas_udf(of, "copy binary, n int, head array<long>")("text").alias("h"))
-    return made.select("id", "h.copy", "h.n", "h.head")
+CROWD = 4096  # entries of a token that are compared in one place
 
 
 def rest_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` (a < b): ids of ``entries`` (``token, id, n, at, c``) that share a token, differ in c, and whose sizes and places allow the similarity."""
+    """``a, b`` (a < b): ids of ``entries`` (``token, id, n, at, c``) that share a token, differ in c, and whose sizes and places allow the similarity.
+
+    The entries of a crowded token are dealt to blocks, and the pairs of blocks to different tasks, so that no task holds a whole crowd.
+    """
     share = similarity / (1 + similarity)
-    dealt = entries.repartition("token").sortWithinPartitions("token", "n")
+    crowds = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(f"m > {CROWD}").select(F.col("token").alias("crowd"), F.ceil(F.col("m") / CROWD).cast("int").alias("blocks"))
+    parts = (
+        entries.join(crowds.hint("merge"), F.col("token") == F.col("crowd"), "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("token", "id", "n", "at", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    )
+    dealt = parts.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in sorted_chunks(batches, ["token"], 20_000):
-            group, rep, c = pdf["group"].to_numpy(), pdf["id"].to_numpy(), pdf["c"].to_numpy()
+        for pdf in sorted_chunks(batches, ["token", "lo", "hi"], 20_000):
+            group, rep, c, block = (pdf[x].to_numpy() for x in ("group", "id", "c", "block"))
+            apart = (pdf["lo"] != pdf["hi"]).to_numpy()  # pairs within a block are its own group's
             n, left = pdf["n"].to_numpy(np.int64), (pdf["n"] - pdf["at"]).to_numpy(np.int64)
             found: list[pd.DataFrame] = []
             held, off, live = 0, 0, np.arange(len(pdf))
@@ -279,16 +297,17 @@ def rest_pairs(entries: DataFrame, similarity: float) -> DataFrame:
                 to = live + off
                 live = live[(group[live] == group[to]) & (n[live] >= similarity * n[to] - 1e-9)]  # sizes ascend
                 to = live + off
-                fit = (c[live] != c[to]) & (np.minimum(left[live], left[to]) >= share * (n[live] + n[to]) - 1e-9)
+                fit = (c[live] != c[to]) & ~(apart[live] & (block[live] == block[to])) & (np.minimum(left[live], left[to]) >= share * (n[live] + n[to]) - 1e-9)
                 if fit.any():
                     x, y = rep[live[fit]], rep[to[fit]]
                     found.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}))
                     held += len(x)
-                if held > 500_000:
+                if held > 200_000:
                     yield pd.concat(found).drop_duplicates()
                     found, held = [], 0
             if found:
                 yield pd.concat(found).drop_duplicates()
+        slim()
 
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
@@ -346,6 +365,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without near copies: of each group the smallest id stays; all columns stay, as do rows with a null id."""
-    gone = near_duplicate_groups(docs, id_col, text_col, **how).where("id <> group_id").select("id")
-    return without(docs, id_col, gone)
+    """``docs`` without near copies: of each group the smallest id stays; all columns stay.
+
+    Where ids repeat or are null, rows are told apart by numbers that a written copy gives them, so that no text is lost with another's id; of a group the
+    row with the smallest id (null last) and then the smallest number stays. An empty table gives an empty result.
+    """
+    odd = docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 or id is null")
+    if odd.isEmpty():
+        gone = near_duplicate_groups(docs, id_col, text_col, **how).where("id <> group_id").select("id")
+        return without(docs, id_col, gone)
+    rows = written(docs.withColumn("__sl_row", F.monotonically_increasing_id()), "rows")
+    groups = written(near_duplicate_groups(rows, "__sl_row", text_col, **how), "groups")
+    named = groups.join(rows.select(F.col("__sl_row").alias("id"), F.col(id_col).alias("name")), "id")
+    best = named.groupBy("group_id").agg(F.min(F.struct(F.col("name").isNull(), F.col("name"), F.col("id"))).getField("id").alias("best"))
+    gone = named.join(best, "group_id").where("id <> best").select("id")
+    return without(rows, "__sl_row", gone).drop("__sl_row")

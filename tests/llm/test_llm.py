@@ -133,13 +133,39 @@ def test_exact_dedup(spark, texts, keep):
     assert exact_dedup.exact_groups(empty(docs)).count() == 0
 
 
+def poor(text):
+    """A digest that many texts share."""
+    return F.substring(text, 1, 1).cast("binary")
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, poor])
+def test_exact_dedup_of_odd_ids(spark, keep, digest):
+    """Repeated and null ids, rows that are equal, and digests that collide."""
+    rows = [(1, "a b c"), (2, "a b c"), (2, "unique text here"), (None, "a b c"), (None, None), (None, ""), (7, "twice"), (7, "twice"), (8, "a"), (9, "a b"), (None, "alone"), (3, "abc")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, key long").repartition(3)
+    pick = min if keep == "smallest" else max
+    ids = collections.defaultdict(list)
+    for i, t in rows:
+        ids[t or ""].append(i)
+    best = {t: pick((i for i in g if i is not None), default=None) for t, g in ids.items()}
+    got = collections.Counter((r.id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, keep=keep, digest=digest).collect())
+    assert got == collections.Counter((i, best[t or ""], len(ids[t or ""]), i == best[t or ""]) for i, t in rows)
+    left = exact_dedup.drop_copies(docs, keep=keep, digest=digest)
+    assert left.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text or "") for r in left.collect()) == collections.Counter((best[t], t) for t in ids)
+    assert exact_dedup.drop_copies(empty(docs), digest=digest).count() == 0
+
+
 def test_digest_index(spark):
     index = exact_dedup.DigestIndex(spark)
-    mk = lambda *r: spark.createDataFrame([(i, bytes([d])) for i, d in r], "id long, digest binary")
+    mk = lambda *r: spark.createDataFrame([(i, bytes([d])) for i, d in r], "id long, digest binary").repartition(3)
     index.flush(mk((5, 1), (3, 1), (9, 2)))
-    index.flush(mk((1, 2), (7, 3)))
+    assert index.flush(mk((1, 2), (7, 3))).count() == 2 and len(index.levels[0]) > exact_dedup.DigestIndex.TIER
     assert {(bytes(r.digest), r.smallest, r.largest, r.n) for r in index.compact().collect()} == {(b"\1", 3, 5, 2), (b"\2", 1, 9, 2), (b"\3", 7, 7, 1)}
-    assert {r.id for r in index.lookup(b"\2").collect()} == {1, 9}
+    assert len(index.levels) > 2 and len(index.levels[-1]) == 1  # merged tier by tier
+    assert [(r.smallest, r.largest) for r in index.lookup(b"\2").collect()] == [(1, 9)]
+    assert exact_dedup.DigestIndex(spark).compact().count() == 0
     rows = spark.range(2000).select(F.col("id"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
     some = rows.where("id % 50 = 0").select("digest")
     passed = {r.id for r in exact_dedup.maybe_hit(rows, some).collect()}
@@ -419,6 +445,15 @@ def test_near_duplicate_groups(spark, texts):
     assert simhash.drop_near_copies(empty(docs_of(spark, texts))).count() == 0
 
 
+def test_near_copies_of_odd_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = " ".join([*w[:58], "x", "y"])
+    rows = [(1, " ".join(w)), (2, near), (2, "text of its own, which nobody else has here"), (None, near), (None, "another text of its own without an id"), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect())
+    assert got == collections.Counter([rows[0], rows[2], rows[4], rows[6]])
+
+
 def template_pages(rng, pages, planted):
     """Pages of one source: 60 words of their own between two halves of a template; and near copies of the first ``planted``."""
     top, end = prose(rng, 110), prose(rng, 110)
