@@ -67,29 +67,87 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1).withColumnRenamed("id", "doc_id")
 
 
-CHAT_SCHEMAS = {"reply": {"role": ("string", True), "text": ("string", True)}}
+Param = chat_format.Param
+CHAT_SCHEMAS = {
+    "reply": {"role": Param("string", True, ('"user"', '"system"')), "text": Param("string", True)},
+    "search": {"limit": Param("integer"), "query": Param("string", True), "scope": Param("string", values=('"all"', '"near"'))},
+    "compare": {"weights": Param("array", items="number"), "with": Param("object", True, fields={"$ref": Param("string", True)})},
+}
+
+
+def marked_turns(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with tool calls and results in place of their texts, all derived from the turns' own numbers, lengths and first words.
+
+    The table holds no tool calls of its own. Of user and system turns (n: the text's length) those with n % 10 = 9 stay as they are; the others call ``search``, ``compare`` or an unknown
+    tool, some with wrong, missing, unknown or no arguments, some cut off, some with a second call, ``compare`` with a reference two turns ahead or back (which makes circles, too). An
+    assistant's turn answers the turn before, or too early the turn after it, or nobody.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = conversations.select("conv_id", "turn", "role", text.alias("text"), F.length(text).alias("n"), F.regexp_extract(text, "[A-Za-z]+", 0).alias("w"))
+    call = F.expr("""
+        CASE WHEN n % 17 = 0 THEN '<tool_call>{"id": "c' || turn || '", "name": "search", "argum</tool_call>'
+        WHEN n % 11 <> 0 AND n % 2 = 1 THEN '<tool_call>{"name": "compare", "id": "c' || turn || '", "arguments": {"with": {"$ref": "c' || if(n % 4 = 1, turn + 2, turn - 2)
+          || '"}, "weights": [1, ' || if(n % 9 = 5, '"x"', '2.5') || ']}}</tool_call>'
+        ELSE '<tool_call>{"name": "' || if(n % 11 = 0, 'erase', 'search') || '", "id": "c' || turn || '", "arguments": {"scope": "' || element_at(array('all', 'near', 'far'), n % 3 + 1) || '", '
+          || if(n % 7 = 2, '', '"query": "' || w || '", ') || if(n % 13 = 4, '"debug": true, ', '') || '"limit": ' || if(n % 5 = 3, '"3"', cast(n % 5 as string)) || '}}</tool_call>' END
+        || if(n % 6 = 0, ' and <tool_call>{"id": "c' || turn || 'b", "name": "search", "arguments": {"query": "again"}}</tool_call>', '')""")
+    answers = F.expr("CASE n % 8 WHEN 0 THEN 'c' || (turn + 1) WHEN 1 THEN 'x' || turn ELSE 'c' || (turn - 1) END")
+    result = F.concat(F.lit("<tool_result>"), F.to_json(F.struct(answers.alias("id"), F.col("text").alias("content"))), F.lit("</tool_result>"))
+    said = F.when(F.expr("n % 10 = 9"), F.col("text")).when(F.expr("role in ('user', 'system')"), call).when(F.expr("role = 'assistant'"), result)
+    return rows.select("conv_id", "turn", "role", said.alias("text"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_format.parse_messages(table(spark, sf_dir, "conversations"))
-    return chat_format.link(calls, results, CHAT_SCHEMAS)
+    """Tool calls and results of the whole of ``conversations`` (see ``marked_turns``), linked, ordered (level -1: in a circle of
+    references, or above one), validated and serialised; nulls and repeats as ``chat_format.link`` has them."""
+    calls, results = chat_format.parse_messages(marked_turns(table(spark, sf_dir, "conversations")))
+    return chat_format.link(calls, results, CHAT_SCHEMAS).withColumn("level", F.coalesce("level", F.lit(-1)))
 
 
 OP5_SQL = r"""
-WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-calls AS (SELECT conv_id, turn::VARCHAR AS call_id, turn * 1000 AS seq, role, text FROM m WHERE role IN ('user', 'system')),
-results AS (SELECT conv_id, (turn - 1)::VARCHAR AS call_id, turn * 1000 AS seq, text FROM m WHERE role = 'assistant'),
-first AS (SELECT conv_id, call_id, min(seq) AS seq, arg_min(text, (seq, text)) AS content FROM results GROUP BY ALL),
-linked AS (
-  SELECT c.conv_id, c.call_id, CASE WHEN f.seq IS NULL THEN 'no_result' WHEN f.seq < c.seq THEN 'early_result' ELSE 'linked' END AS status,
-    c.seq, 'reply' AS name, '{"role":' || to_json(c.role)::VARCHAR || ',"text":' || to_json(c.text)::VARCHAR || '}' AS arguments, f.content
-  FROM calls c LEFT JOIN first f ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.call_id = f.call_id),
-orphans AS (
-  SELECT r.conv_id, r.call_id, 'orphan_result' AS status, r.seq, NULL AS name, NULL AS arguments, r.text AS content
-  FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.call_id = r.call_id)),
-u AS (SELECT * FROM linked UNION ALL SELECT * FROM orphans)
-SELECT conv_id, call_id, status, 0 AS level, seq, name, true AS valid, '' AS problems,
-  '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS w FROM conversations),
+asking AS (SELECT * FROM m WHERE role IN ('user', 'system')),
+calls AS (
+  SELECT conv_id, turn::VARCHAR AS call_id, 'reply' AS name, turn, 0 AS nth, '{"role":' || to_json(role)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}' AS arguments, '' AS problems, NULL::BIGINT AS target
+  FROM asking WHERE n % 10 = 9
+  UNION ALL
+  SELECT conv_id, NULL, NULL, turn, 0, to_json('{"id": "c' || turn || '", "name": "search", "argum')::VARCHAR, 'arguments are not JSON; unknown tool', NULL
+  FROM asking WHERE n % 10 <> 9 AND n % 17 = 0
+  UNION ALL
+  SELECT conv_id, 'c' || turn, 'compare', turn, 0,
+    '{"weights":[1,' || CASE WHEN n % 9 = 5 THEN '"x"' ELSE '2.5' END || '],"with":{"$ref":"c' || CASE WHEN n % 4 = 1 THEN turn + 2 ELSE turn - 2 END || '"}}',
+    CASE WHEN n % 9 = 5 THEN 'weights holds what is not number' ELSE '' END, CASE WHEN n % 4 = 1 THEN turn + 2 ELSE turn - 2 END
+  FROM asking WHERE n % 10 <> 9 AND n % 17 <> 0 AND n % 11 <> 0 AND n % 2 = 1
+  UNION ALL
+  SELECT conv_id, 'c' || turn, CASE WHEN n % 11 = 0 THEN 'erase' ELSE 'search' END, turn, 0,
+    '{' || CASE WHEN n % 13 = 4 THEN '"debug":true,' ELSE '' END || '"limit":' || CASE WHEN n % 5 = 3 THEN '"3"' ELSE (n % 5)::VARCHAR END
+      || CASE WHEN n % 7 = 2 THEN '' ELSE ',"query":"' || w || '"' END || ',"scope":"' || ['all', 'near', 'far'][n % 3 + 1] || '"}',
+    CASE WHEN n % 11 = 0 THEN 'unknown tool' ELSE concat_ws('; ', CASE WHEN n % 5 = 3 THEN 'limit is not integer' END, CASE WHEN n % 7 = 2 THEN 'missing query' END,
+      CASE WHEN n % 3 = 2 THEN 'scope is none of its values' END, CASE WHEN n % 13 = 4 THEN 'unknown argument debug' END) END, NULL
+  FROM asking WHERE n % 10 <> 9 AND n % 17 <> 0 AND (n % 11 = 0 OR n % 2 = 0)
+  UNION ALL
+  SELECT conv_id, 'c' || turn || 'b', 'search', turn, 1, '{"query":"again"}', '', NULL FROM asking WHERE n % 10 <> 9 AND n % 6 = 0),
+results AS (
+  SELECT conv_id, turn, text AS content, CASE WHEN n % 10 = 9 THEN (turn - 1)::VARCHAR WHEN n % 8 = 0 THEN 'c' || (turn + 1) WHEN n % 8 = 1 THEN 'x' || turn ELSE 'c' || (turn - 1) END AS call_id
+  FROM m WHERE role = 'assistant'),
+edges AS (
+  SELECT c.conv_id, c.call_id, t.call_id AS target, t.turn >= c.turn AS ahead FROM calls c JOIN calls t ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND t.call_id = 'c' || c.target),
+tangled AS (SELECT * FROM edges WHERE conv_id IN (SELECT conv_id FROM edges WHERE ahead)),
+walk AS (
+  SELECT conv_id, target AS call_id, 0 AS level FROM tangled
+  UNION
+  SELECT e.conv_id, e.call_id, w.level + 1 FROM tangled e JOIN walk w ON e.conv_id = w.conv_id AND e.target = w.call_id WHERE w.level < 40),
+levels AS (SELECT conv_id, call_id, CASE WHEN max(level) < 40 THEN max(level) END AS level, true AS leveled FROM walk GROUP BY ALL),
+first AS (SELECT conv_id, call_id, min(turn) AS turn, arg_min(content, (turn, content)) AS content FROM results GROUP BY ALL),
+u AS (
+  SELECT c.conv_id, c.call_id, CASE WHEN f.turn IS NULL THEN 'no_result' WHEN f.turn < c.turn THEN 'early_result' ELSE 'linked' END AS status,
+    CASE WHEN l.leveled THEN l.level ELSE 0 END AS level, c.turn, c.nth, c.name, c.problems, c.arguments, f.content
+  FROM calls c LEFT JOIN first f ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.call_id = f.call_id LEFT JOIN levels l ON c.conv_id = l.conv_id AND c.call_id = l.call_id
+  UNION ALL
+  SELECT r.conv_id, r.call_id, 'orphan_result', 0, r.turn, 0, NULL, '', NULL, r.content
+  FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.call_id = r.call_id))
+SELECT conv_id, call_id, status, coalesce(level, -1) AS level, turn, nth, name, problems = '' AS valid, problems,
+  '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || coalesce(to_json(call_id)::VARCHAR, 'null') || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
     || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS json
 FROM u
 """

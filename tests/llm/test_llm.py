@@ -275,6 +275,9 @@ def test_statistics_are_those_of_the_corpus(spark):
 # op5
 
 
+P = chat_format.Param
+
+
 def test_tool_calls(spark):
     call = lambda i, name, args: f'<tool_call>{json.dumps({"id": i, "name": name, "arguments": args})}</tool_call>'
     result = lambda i, c: f'<tool_result>{json.dumps({"id": i, "content": c})}</tool_result>'
@@ -284,7 +287,7 @@ def test_tool_calls(spark):
         (3, 0, "user", None), (3, 1, "assistant", 'say "é"\n'), (None, 0, "user", "lost"),
     ]
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("name", F.lit("clash"))
-    schemas = {"add": {"x": ("integer", True), "y": ("number", True)}, **queries.CHAT_SCHEMAS}
+    schemas = {"add": {"x": P("integer", True), "y": P("number", True)}, **queries.CHAT_SCHEMAS}
     got = {(r.conv_id, r.call_id): r for r in chat_format.link(*chat_format.parse_messages(m), schemas).collect()}
     assert (got[1, "a"].status, got[1, "a"].problems, got[1, "a"].level) == ("linked", "y is not number", 0)
     assert got[1, "a"].json == '{"arguments":{"x":1,"y":"no"},"id":"a","name":"add","result":"3"}'
@@ -297,6 +300,39 @@ def test_tool_calls(spark):
     assert chat_format.link(*chat_format.parse_messages(empty(m)), schemas).count() == 0
 
 
+def test_many_calls_in_one_turn(spark):
+    """Places of a turn do not run into those of the next; repeated, null and very long ones are rows like any other."""
+    call = lambda i, args: f'<tool_call>{json.dumps({"id": i, "name": "add", "arguments": args})}</tool_call>'
+    result = lambda i, c: f'<tool_result>{json.dumps({"id": i, "content": c})}</tool_result>'
+    many = "".join(call(f"c{i}", {"x": i}) for i in range(2000))
+    rows = [(1, 0, "assistant", many), (1, 1, "tool", "".join(result(f"c{i}", "ok") for i in range(2000))), (2, 5, "assistant", call("a", {"x": "y" * 200_000})), (2, 5, "assistant", call("a", {"x": "y" * 200_000})), (2, 6, "tool", result("a", "1")), (2, 6, "tool", result("a", "1")), (3, None, "assistant", call("n", {})), (3, 0, "tool", result("n", "0")), (4, 1, "assistant", call("n", {})), (4, None, "tool", result("n", "0"))]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"nth": F.lit(9), "level": F.lit("clash")})
+    got = chat_format.link(*chat_format.parse_messages(m), {"add": {"x": P("integer")}}).collect()
+    first = {r.call_id: r for r in got if r.conv_id == 1}
+    assert len(first) == 2000 and all((r.status, r.turn, r.nth, r.valid) == ("linked", 0, int(i[1:]), True) for i, r in first.items())
+    assert [(r.status, r.problems, len(r.json) > 200_000) for r in got if r.conv_id == 2] == [("linked", "x is not integer", True)] * 2
+    assert [(r.status, r.turn) for r in got if r.conv_id == 3] == [("linked", None)] and [r.status for r in got if r.conv_id == 4] == ["early_result"]
+
+
+def test_schemas(spark):
+    schema = {"t": {"n": P("number"), "e": P("string", values=('"a"', '"b"')), "l": P("array", items="integer"), "o": P("object", True, fields={"k": P("boolean", True), "p": P("object", fields={"q": P("string", True)})})}}
+    cases = {
+        '{"o": {"k": true}}': "", '{"n": 1.5, "e": "a", "l": [1, 2], "o": {"k": false, "p": {"q": "x"}}}': "", '{"o": {"k": 1}, "e": "c", "l": [1, "x"]}': "e is none of its values; l holds what is not integer; o.k is not boolean",
+        '{"o": {"p": {}}, "z": 1, "b": 2}': "missing o.k; missing o.p.q; unknown argument b; unknown argument z", '{"n": "1", "e": 5, "l": {}, "o": []}': "n is not number; e is not string; l is not array; o is not object",
+        "[1]": "arguments are not an object; missing o", '{"n": null, "o": null}': "missing o", "": "arguments are not JSON", None: "arguments are not JSON", "{": "arguments are not JSON",
+    }
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, a string")
+    got = {r.a: r.p for r in rows.select("a", F.array_join(chat_format.violations(F.lit("t"), F.col("a"), schema), "; ").alias("p")).collect()}
+    assert got == cases
+
+
+def test_query_of_tool_calls_meets_every_case(spark, sf):
+    rows = queries.op5_chat_format(spark, sf.replace("0.001", "0.01")).collect()
+    assert {r.status for r in rows} == {"linked", "no_result", "early_result", "orphan_result"} and {r.name for r in rows} == {"reply", "search", "compare", "erase", None}
+    assert {-1, 0, 1, 2} <= {r.level for r in rows} and {r.nth for r in rows} == {0, 1}
+    assert {p for r in rows for p in r.problems.split("; ")} >= {"", "arguments are not JSON", "unknown tool", "limit is not integer", "missing query", "scope is none of its values", "unknown argument debug", "weights holds what is not number"}
+
+
 # op6
 
 
