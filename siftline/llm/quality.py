@@ -210,7 +210,7 @@ def fitted(docs: DataFrame, labels: DataFrame, **sample) -> Net:
 def with_score(docs: DataFrame, net: Net, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` and a column ``name``: the probability of label 1, from the text alone.
 
-    Null texts count as empty; every row gets a score, repeated rows the same one. All other columns stay.
+    Null texts count as empty; every row gets a score, repeated rows the same one. A column of that name is replaced, all others stay; an empty table stays empty.
     """
 
     def of(texts: pd.Series) -> pd.Series:

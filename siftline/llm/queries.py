@@ -14,8 +14,9 @@ GLOBS = [Rule(f"*{x}*", "block") for x in ("cheap-pills", "casino", "free-bets",
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = url_filters.judge_urls(table(spark, sf_dir, "pages"), HOST_RULES, GLOBS)
-    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+    """A verdict for every row of ``pages``; null and odd urls as ``url_filters.decide_urls`` has them."""
+    decided = url_filters.decide_urls(table(spark, sf_dir, "pages"), HOST_RULES, GLOBS)
+    return decided.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
 OP1_SQL = r"""
@@ -42,10 +43,12 @@ FROM r
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in the whole texts of ``documents`` and whether it is a secret; nulls, repeats and empty tables as ``secret_scan.scan`` has them."""
     return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark)).withColumnRenamed("id", "doc_id")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``documents``: its group of equal texts, whose largest id stays; null and repeated ids as ``exact_dedup.exact_groups`` has them."""
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -64,6 +67,7 @@ def tokenizer_path() -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all ``documents`` in sequences of at most 2048 tokens; null texts and ids, repeats and empty tables as ``packing.pack`` has them."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=2048, end_id=1).withColumnRenamed("id", "doc_id")
 
 
@@ -154,21 +158,25 @@ FROM u
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``documents``: how many words go because a window of 20 starts earlier; null and repeated ids as ``substring_dedup.cut_repeats`` has them."""
     cut = substring_dedup.cut_repeats(table(spark, sf_dir, "documents"), window=20)
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``documents``: fingerprint and component; nulls, repeats and empty tables as ``simhash.simhash_components`` has them."""
     out = simhash.simhash_components(table(spark, sf_dir, "documents"), k=3, radius=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each of ``embeddings``: links and component; unusable vectors, null labels and ids as ``embedding_dedup.vector_components`` has them."""
     out = embedding_dedup.vector_components(table(spark, sf_dir, "embeddings"), cosine=0.93)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each of ``documents``, learnt from labelled rows that are not held out; null texts count as empty, a null id is not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = quality.fitted(docs, labels)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -177,6 +185,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, decoded text and three sampled segmentations of each of ``documents``; nulls, repeats and empty tables as ``sp_codec.encode_rows`` has them."""
     import public_tokenizers
 
     rows = sp_codec.encode_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], k=3)

@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a long run of token characters. The forest sees its length, its character transitions, how much of it
+A candidate is a long run of key characters, or a shorter one (8 or more) that a naming word and an assignment announce. The forest sees its length, its character transitions, how much of it
 dictionary words cover, the path it was found under and the words beside it. It is trained on the driver from a bounded
 set of labelled findings (``labelled_findings``: real-looking keys against hashes in prose, identifiers, placeholders, paths), whose
 features come from the same expressions, and is then compiled into a SQL expression. The scan itself
@@ -15,8 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What may be a secret: at least 20 characters of keys, tokens and encoded bytes.
-CANDIDATE = r"[A-Za-z0-9_+/=\-]{20,}"
+#: What may be a secret: 20 or more characters of keys, tokens and encoded bytes, or 8 or more after a naming word and ``=`` or ``:``.
+NAMED = r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)[\"'`]?\s{0,2}[:=]\s{0,2}[\"'`]?"
+CANDIDATE = r"[A-Za-z0-9_+/\-]{20,}={0,2}|(?<=[:=\"'`\s])(?=[^\s\"'`]{8})(?<=" + NAMED + r")[A-Za-z0-9_+/\-!@#$%^&*.~=]{8,}"
 CONTEXT = 48
 FEATURES = (
     "length", "transitions", "transition_rate", "distinct_rate", "digit_rate", "upper_rate", "symbol_rate", "is_hex", "dictionary", "path_test", "near_key", "near_benign", "quoted", "assigned",
@@ -59,7 +60,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     ]
 
 
-def labelled_findings(n: int = 1600, seed: int = 2) -> list[tuple[str, str, str, str, int]]:
+def labelled_findings(n: int = 2000, seed: int = 2) -> list[tuple[str, str, str, str, int]]:
     """``n`` findings (candidate, before, after, path, is a secret), made by rule; the bound of the training set."""
     rng = random.Random(seed)
     low, alnum = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -76,9 +77,14 @@ def labelled_findings(n: int = 1600, seed: int = 2) -> list[tuple[str, str, str,
             )
             name = rng.choice(["token", "api_key", "secret", "password", "auth_token", "access_key", "SECRET_KEY", "private key"])
             quote = rng.choice(['"', '"', "'", ""])
+            if i % 8 == 7:  # short ones stand behind a name and an assignment
+                short = "".join(rng.choice(x) for x in rng.choices([alnum, "0123456789", "!@#$%^&*.-_"], [6, 2, 1], k=rng.randint(8, 19)))
+                secret, name = short[:-2] + rng.choice("0123456789") + rng.choice(alnum), rng.choice(["password", "passwd", "pwd", "db_password", "secret", "api_key", "token"])
+                rows.append((secret, a + up(name) + rng.choice([" = ", "=", ": "]) + quote, quote + b, path, 1))
+                continue
             rows.append((up(secret), a + up(name) + rng.choice([" = ", "=", ": ", " "]) + quote, quote + b, path, 1))
             continue
-        kind = rng.randrange(8)
+        kind = rng.randrange(10)
         word = lambda: rng.choice(WORDS)
         if kind == 0:
             rows.append((text("0123456789abcdef", rng.choice([32, 40, 64])), a + rng.choice(["sha256 ", "commit ", "md5: ", "checksum=", "revision "]), b, path, 0))
@@ -94,8 +100,12 @@ def labelled_findings(n: int = 1600, seed: int = 2) -> list[tuple[str, str, str,
             rows.append((up(text(low, rng.randint(20, 40))), a, b, path, 0))
         elif kind == 6:
             rows.append(("-".join(text("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)), a + rng.choice(["uuid ", "id: ", "", "etag "]), b, path, 0))
+        elif kind == 7:  # words in a secret's place
+            rows.append((rng.choice([text(low, rng.randint(8, 19)), word() + word() + "ed", word() + "_" + word(), word() + "." + word() + ".", "changeme", "undefined", "required", "<your-password>"]), a + rng.choice(["password", "token", "secret", "api_key"]) + rng.choice([" = ", ": "]) + rng.choice(['"', "", ""]), b, path, 0))
+        elif kind == 8:  # repeats of one or two characters
+            rows.append(((rng.choice("*xX0.") * 2 + rng.choice("*x"))[: rng.randint(1, 3)] * rng.randint(8, 12), a + rng.choice(["password", "token"]) + " = " + rng.choice(['"', ""]), b, path, 0))
         else:
-            rows.append((rng.choice("-=_") * rng.randint(20, 60), a, b, path, 0))
+            rows.append((rng.choice("-_") * rng.randint(20, 60), a, b, path, 0))
     return rows
 
 
@@ -195,24 +205,26 @@ def scan(docs: DataFrame, forest: list[tuple], id_col: str = "doc_id", text_col:
 
 
 def redact(docs: DataFrame, forest: list[tuple], text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5, mark: str = "[SECRET]", n_secrets: str = "n_secrets") -> DataFrame:
-    """``docs`` with secrets replaced by ``mark`` and a column ``n_secrets``; a map, no rows are lost or moved.
+    """``docs`` with secrets replaced by ``mark`` and a column ``n_secrets``, which takes the place of one of that name; a map, no rows are lost or moved.
 
-    Texts without candidates, empty and null ones stay as they are.
+    Texts without candidates, empty and null ones stay as they are, repeated rows are treated alike, and an empty table stays empty.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     found, gaps = _located(F.col(text_col))
 
-    def judged(c: Column, before: Column, after: Column) -> Column:
+    def flagged(c: Column, before: Column, after: Column) -> Column:
         return probability(forest, features(c, F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT)), path)) >= threshold
 
     # Of each candidate: the gap before it and what stands in its place.
     parts = F.transform(
         F.arrays_zip(found.alias("c"), F.slice(gaps, F.lit(1), F.size(found)).alias("a"), F.slice(gaps, F.lit(2), F.size(found)).alias("b")),
-        lambda z: F.struct(judged(z["c"], z["a"], z["b"]).alias("hit"), z["a"].alias("a"), z["c"].alias("c")),
+        lambda z: F.struct(flagged(z["c"], z["a"], z["b"]).alias("hit"), z["a"].alias("a"), z["c"].alias("c")),
     )
     has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
     work = docs.withColumn("__sl_parts", F.when(has, parts)).withColumn("__sl_last", F.when(has, F.element_at(gaps, -1)))
     hits = F.coalesce(F.size(F.filter("__sl_parts", lambda z: z["hit"])), F.lit(0))
     said = F.concat(F.array_join(F.transform("__sl_parts", lambda z: F.concat(z["a"], F.when(z["hit"], F.lit(mark)).otherwise(z["c"]))), ""), F.col("__sl_last"))
-    out = work.withColumn(n_secrets, F.when(has, hits).otherwise(0)).withColumn("__sl_text", F.when(F.col(n_secrets) > 0, said).otherwise(F.col(text_col)))
-    return out.select(*[F.col("__sl_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n_secrets)
+    count = F.when(has, hits).otherwise(0)
+    new = F.when(count > 0, said).otherwise(F.col(text_col))
+    shown = {text_col: new.alias(text_col), n_secrets: count.alias(n_secrets)}
+    return work.select(*[shown.get(c, F.col(f"`{c}`")) for c in dict.fromkeys([*docs.columns, n_secrets])])

@@ -130,12 +130,12 @@ def symbols(host: str, path: str) -> np.ndarray:
     return out
 
 
-def judge_urls(pages: DataFrame, host_rules: list[Rule], globs: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def decide_urls(pages: DataFrame, host_rules: list[Rule], globs: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id, host, path, rule, verdict, globs``: a row for each row of ``pages``.
 
     The longest host rule that fits decides (of equally long ones the first given). Where none fits, a URL
     is blocked if any "block" glob matches and no "allow" glob does, else allowed; a null URL or one without
-    ``://`` has empty host and path and is judged like that. ``globs`` lists the globs that matched, comma-joined.
+    ``://`` has empty host and path and is treated like that. ``globs`` lists the globs that matched, comma-joined.
     Globs see ``.host``, a separator that only ``*`` and ``?`` match, then the path; of the other columns none is read.
     """
     rules = [Rule(r.pattern, r.verdict, "host") for r in host_rules]
@@ -143,7 +143,7 @@ def judge_urls(pages: DataFrame, host_rules: list[Rule], globs: list[Rule], id_c
     automaton = Automaton([*rules, *globs])
     by_length = sorted(range(n), key=lambda i: (-len(rules[i].pattern), i))
 
-    def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+    def decide(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
         out = []
         for at in range(0, len(hosts), 2048):
             rows = [symbols(h, p) for h, p in zip(hosts.iloc[at : at + 2048], paths.iloc[at : at + 2048])]
@@ -155,9 +155,9 @@ def judge_urls(pages: DataFrame, host_rules: list[Rule], globs: list[Rule], id_c
                 out.append((None if rule is None else rules[rule].pattern, verdict, ",".join(g.pattern for g in hit)))
         return pd.DataFrame(out, columns=["rule", "verdict", "globs"])
 
-    judged = F.pandas_udf(judge, "rule string, verdict string, globs string")
+    decided = F.pandas_udf(decide, "rule string, verdict string, globs string")
     return (
         pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-        .withColumn("j", judged("host", "path"))
+        .withColumn("j", decided("host", "path"))
         .select("id", "host", "path", "j.rule", "j.verdict", "j.globs")
     )
