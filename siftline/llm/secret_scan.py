@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: What may be a secret: 20 or more characters of keys, tokens and encoded bytes, or 8 or more after a naming word and ``=`` or ``:``.
 NAMED = r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key)[\"'`]?\s{0,2}[:=]\s{0,2}[\"'`]?"
-CANDIDATE = r"[A-Za-z0-9_+/\-]{20,}={0,2}|(?<=[:=\"'`\s])(?=[^\s\"'`]{8})(?<=" + NAMED + r")[A-Za-z0-9_+/\-!@#$%^&*.~=]{8,}"
+CANDIDATE = r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{20,}+={0,2}|(?<=[:=\"'`\s])(?<=[:=]\s{0,2}[\"'`]?)(?=[^\s\"'`]{8})(?<=" + NAMED + r")[A-Za-z0-9_+/\-!@#$%^&*.~=]{8,}"
 CONTEXT = 48
 FEATURES = (
     "length", "transitions", "transition_rate", "distinct_rate", "digit_rate", "upper_rate", "symbol_rate", "is_hex", "dictionary", "path_test", "near_key", "near_benign", "quoted", "assigned",
@@ -210,18 +210,21 @@ def redact(docs: DataFrame, forest: list[tuple], text_col: str = "text", path_co
     Texts without candidates, empty and null ones stay as they are, repeated rows are treated alike, and an empty table stays empty.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    found, gaps = _located(F.col(text_col))
-
     def flagged(c: Column, before: Column, after: Column) -> Column:
         return probability(forest, features(c, F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT)), path)) >= threshold
 
+    # Each step is a column of its own, so that a text is searched once if it has no candidate.
+    work = docs.withColumn("__sl_has", F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False)))
+    has = F.col("__sl_has")
+    found, gaps = _located(F.col(text_col))
+    work = work.withColumn("__sl_found", F.when(has, found)).withColumn("__sl_gaps", F.when(has, gaps))
     # Of each candidate: the gap before it and what stands in its place.
+    gap = lambda first: F.slice("__sl_gaps", F.lit(first), F.size("__sl_found"))
     parts = F.transform(
-        F.arrays_zip(found.alias("c"), F.slice(gaps, F.lit(1), F.size(found)).alias("a"), F.slice(gaps, F.lit(2), F.size(found)).alias("b")),
+        F.arrays_zip(F.col("__sl_found").alias("c"), gap(1).alias("a"), gap(2).alias("b")),
         lambda z: F.struct(flagged(z["c"], z["a"], z["b"]).alias("hit"), z["a"].alias("a"), z["c"].alias("c")),
     )
-    has = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    work = docs.withColumn("__sl_parts", F.when(has, parts)).withColumn("__sl_last", F.when(has, F.element_at(gaps, -1)))
+    work = work.withColumn("__sl_parts", F.when(has, parts)).withColumn("__sl_last", F.when(has, F.element_at("__sl_gaps", -1)))
     hits = F.coalesce(F.size(F.filter("__sl_parts", lambda z: z["hit"])), F.lit(0))
     said = F.concat(F.array_join(F.transform("__sl_parts", lambda z: F.concat(z["a"], F.when(z["hit"], F.lit(mark)).otherwise(z["c"]))), ""), F.col("__sl_last"))
     count = F.when(has, hits).otherwise(0)

@@ -212,6 +212,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # Wider groups: shared rare shingles find the candidates, whole shingle sets decide.
 
 SAMPLE, SEEN, COMMON = 8000, 4, 200_000  # documents sampled for common shingles, times seen there, shingles held
+BITS = 1024  # of a set's bitmap
 
 
 def _hashes(text: str | None, k: int) -> np.ndarray:
@@ -241,7 +242,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def heads(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``id, copy, n, head``: a digest of the shingle set, its size, and its first members in an order that all documents share.
+    """``id, copy, n, head, bits``: a digest of the shingle set, its size, its first members in an order that all documents share, and a bitmap of it.
 
     Two sets with a Jaccard similarity of at least ``similarity`` share one of their first ``n - ceil(similarity * n) + 1`` members
     in any common order. The order is by the count in a sample, then by hash, so that what a source repeats comes last; the
@@ -251,25 +252,49 @@ def heads(docs: DataFrame, k: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in small(batches):
-            copy, size, head = [], [], []
+            copy, size, head, bits = [], [], [], []
             for t in pdf["text"]:
                 h = _hashes(t, k)
+                mark = np.zeros(BITS, bool)
+                mark[(h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+                bits.append(np.packbits(mark).tobytes())
                 copy.append(xxhash.xxh3_128_digest(h.tobytes()))
                 size.append(len(h))
                 if len(common) and len(h):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, times[at], 0), kind="stable")]
                 head.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "copy": copy, "n": size, "head": head})
+            yield pd.DataFrame({"id": pdf["id"], "copy": copy, "n": size, "head": head, "bits": bits})
 
-    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, copy binary, n int, head array<long>")
+    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, copy binary, n int, head array<long>, bits binary")
+
+
+def _bitmaps(bits) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+
+
+def _may(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Can sets of sizes n and m with the bitmaps x and y be that similar? A bit of one that the other lacks is a member that the other lacks: no is certain."""
+    both = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1), m - np.bitwise_count(y & ~x).sum(axis=1))
+    return both >= similarity / (1 + similarity) * (n + m) - 1e-9
+
+
+def plausible(pairs: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (``a, b``) whose bitmaps (``id, n, bits``) leave it possible that they are that similar."""
+    x, y = bitmaps.toDF("a", "na", "xa").hint("merge"), bitmaps.toDF("b", "nb", "xb").hint("merge")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.loc[_may(_bitmaps(pdf["xa"]), _bitmaps(pdf["xb"]), pdf["na"].to_numpy(np.int64), pdf["nb"].to_numpy(np.int64), similarity), ["a", "b"]]
+
+    return pairs.join(x, "a").join(y, "b").mapInPandas(run, "a long, b long")
 
 
 CROWD = 4096  # entries of a token that are compared in one place
 
 
 def rest_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` (a < b): ids of ``entries`` (``token, id, n, at, c``) that share a token, differ in c, and whose sizes and places allow the similarity.
+    """``a, b`` (a < b): ids of ``entries`` (``token, id, n, at, c, bits``) that share a token, differ in c, and whose sizes, places and bitmaps allow the similarity.
 
     The entries of a crowded token are dealt to blocks, and the pairs of blocks to different tasks, so that no task holds a whole crowd.
     """
@@ -280,12 +305,13 @@ def rest_pairs(entries: DataFrame, similarity: float) -> DataFrame:
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", "id", "n", "at", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .select("token", "id", "n", "at", "c", "bits", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
     dealt = parts.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sorted_chunks(batches, ["token", "lo", "hi"], 20_000):
+            bits = _bitmaps(pdf["bits"])
             group, rep, c, block = (pdf[x].to_numpy() for x in ("group", "id", "c", "block"))
             apart = (pdf["lo"] != pdf["hi"]).to_numpy()  # pairs within a block are its own group's
             n, left = pdf["n"].to_numpy(np.int64), (pdf["n"] - pdf["at"]).to_numpy(np.int64)
@@ -298,8 +324,10 @@ def rest_pairs(entries: DataFrame, similarity: float) -> DataFrame:
                 live = live[(group[live] == group[to]) & (n[live] >= similarity * n[to] - 1e-9)]  # sizes ascend
                 to = live + off
                 fit = (c[live] != c[to]) & ~(apart[live] & (block[live] == block[to])) & (np.minimum(left[live], left[to]) >= share * (n[live] + n[to]) - 1e-9)
-                if fit.any():
-                    x, y = rep[live[fit]], rep[to[fit]]
+                i, j = live[fit], to[fit]
+                if len(i):
+                    near = _may(bits[i], bits[j], n[i], n[j], similarity)
+                    x, y = rep[i[near]], rep[j[near]]
                     found.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}))
                     held += len(x)
                 if held > 200_000:
@@ -326,18 +354,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Near copies share ``similarity`` of their ``shingle``-word shingles (Jaccard, words as in ``words``), and no pair of them is missed:
     candidates share one of the rarest shingles of both (see ``heads``). Equal sets are merged before. First each document is verified against
     the smallest id it meets, then every candidate pair whose ends are still in different groups, so that a large group costs a few
-    comparisons a member and not one for each pair. Documents without near copies and null ids are not in the result. Null
+    comparisons a member and not one for each pair. Bitmaps of the sets rule out most candidates before any set moves. Documents without near copies and null ids are not in the result. Null
     texts have no words; documents without words are alike.
     """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     made = written(heads(given, shingle, similarity).withColumn("row", F.xxhash64("id", "copy")), "heads")
     nodes = made.groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     same = written(made.select("id", "copy", "row").join(nodes.hint("merge"), "copy").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"), "row"), "copies")
-    keyed = without(made, "row", same.select("row")).select("id", "n", F.posexplode("head").alias("at", "token"))
+    apart = without(made, "row", same.select("row"))
+    bitmaps = apart.select("id", "n", "bits")
+    keyed = apart.select("id", "n", F.posexplode("head").alias("at", "token"))
 
     met = written(keyed.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "tokens")
     meet = written(with_filter(keyed, "token", met, "__sl_met").where("__sl_met").drop("__sl_met").join(met.hint("merge"), "token"), "entries")
-    removed(made)
     first = meet.groupBy("token").agg(F.min(F.struct("id", "n", "at")).alias("first"))
     entries = meet.join(first.hint("merge"), "token")
     fits = (F.least("n", "first.n") >= similarity * F.greatest("n", "first.n") - 1e-9) & (
@@ -353,13 +382,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         removed(sets)
         return found
 
-    links = alike(best)
+    links = alike(written(plausible(best, bitmaps, similarity), "pairs"))
     comp = connected_components(links).toDF("id", "c")
     told = written(meet.join(comp.hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id")), "entries")
     removed(meet)
     mixed = told.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token")
-    rest = written(rest_pairs(told.join(mixed.hint("merge"), "token"), similarity).join(best, ["a", "b"], "left_anti"), "pairs")
+    crowds = told.join(mixed.hint("merge"), "token").join(bitmaps.select("id", "bits").hint("merge"), "id")
+    rest = written(rest_pairs(crowds, similarity).join(best, ["a", "b"], "left_anti"), "pairs")
     removed(told)
+    removed(made)
     more = links.unionByName(alike(rest)).unionByName(same.select("src", "dst"))
     return connected_components(more).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
