@@ -31,29 +31,26 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 ZIPF = 100.0
-NODES = 3_000_000  # lattice nodes kept for words to come, about 100 bytes each
+NODES = 2_500_000  # lattice nodes kept for words to come, about 100 bytes each
 GROUP = 300_000  # characters that are sampled together
 COMMON = 128  # letters with a column of their own in the trie's table
 _U = np.uint64
 _ROUND, _PLACE, _KIND = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA0761D6478BD642F)
 
 
-def _uniform(seed: np.ndarray, turn: int, place: np.ndarray, kind: int) -> np.ndarray:
-    """Numbers in (0, 1), fixed by their arguments alone: a row's do not depend on the rows beside it."""
-    h = seed + _U(((turn + 1) * int(_ROUND) + (kind + 1) * int(_KIND)) % (1 << 64)) + place.astype(_U) * _PLACE
-    for _ in range(2):
-        h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-        h = h ^ (h >> _U(31))
-    return ((h >> _U(12)).astype(float) + 0.5) * 2.0**-52
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
     return h ^ (h >> _U(31))
 
 
+def _uniform(seed: np.ndarray, turn: int, place: np.ndarray, kind: int) -> np.ndarray:
+    """Numbers in (0, 1), fixed by their arguments alone: a row's do not depend on the rows beside it."""
+    start = _U(((turn + 1) * int(_ROUND) + (kind + 1) * int(_KIND)) % (1 << 64))
+    h = _mixed(seed + start + place.astype(_U) * _PLACE)
+    return ((h >> _U(12)).astype(float) + 0.5) * 2.0**-52
+
+
 class Lattices:
     """Lattices of words in flat arrays. A word of n characters has nodes first..first+n; node i has the edges at[i]..at[i]+degree[i], longest first.
 
@@ -122,16 +119,19 @@ class Codec:
         self.byte: dict[int, int] = {}
         mass = math.log(sum(1 / (r + ZIPF) for r in range(n)))
         self.weight = -np.log(np.arange(n) + ZIPF) - mass
-        self.surface = [b""] * n  # what a piece decodes to; controls decode to nothing
+        surface = [b""] * n  # what a piece decodes to; controls decode to nothing
         for i in range(n):
             if self.sp.is_byte(i):
                 self.byte[int(self.sp.id_to_piece(i)[3:-1], 16)] = i
-                self.surface[i] = bytes([int(self.sp.id_to_piece(i)[3:-1], 16)])
+                surface[i] = bytes([int(self.sp.id_to_piece(i)[3:-1], 16)])
             elif self.sp.is_unknown(i):
-                self.surface[i] = " ⁇ ".encode()
+                surface[i] = " ⁇ ".encode()
             elif not (self.sp.is_control(i) or self.sp.is_unused(i)):
                 self.piece[self.sp.id_to_piece(i)] = i
-                self.surface[i] = self.sp.id_to_piece(i).replace(SPACE, " ").encode()
+                surface[i] = self.sp.id_to_piece(i).replace(SPACE, " ").encode()
+        self.wide = np.array([len(x) for x in surface])
+        self.begins = np.cumsum(self.wide) - self.wide
+        self.flat = np.frombuffer(b"".join(surface), np.uint8)
         self._trie()
         self.spelt: dict[int, list[int]] = {}
         self.forget()
@@ -311,10 +311,18 @@ class Codec:
             return g.ids[g.begin[edges]]
         return g.ids[np.repeat(g.begin[edges] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
+    def decode_all(self, ids: np.ndarray, cuts: list[int]) -> list[str]:
+        """What each run of ids between two cuts decodes to."""
+        n = self.wide[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.flat[np.repeat(self.begins[ids] - (ends - n), n) + np.arange(total)].tobytes()
+        at = np.concatenate(([0], ends))[cuts].tolist()
+        return [(x[1:] if x[:1] == " " else x) for x in (data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:]))]
+
     def decode(self, ids) -> str:
         """What the library's decoder gives: surfaces in a row, without the space that stands before the first."""
-        out = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if out[:1] == " " else out
+        return self.decode_all(np.array(ids, np.int64), [0, len(ids)])[0]
 
     def _walk(self, node: np.ndarray, stop: np.ndarray, seed: np.ndarray, turn: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges drawn from ``node`` to ``stop`` for each entry, one entry after the other, and how many each has; ``place`` is where its node 0 stands."""
@@ -505,7 +513,7 @@ def encode_rows(
                 fields = [sampled, pa.array([p for _, p, _ in each], pa.float64()), pa.array([s for _, _, s in each], pa.float64())]
                 samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f) for f, _ in got)]), pa.int32()), pa.StructArray.from_arrays(fields, ["ids", "log_probability", "inclusion"]))
                 part = batch.slice(at, to - at)
-                columns = [*part.columns[: len(keys)], _lists(ids), pa.array([codec.decode(x.tolist()) for x in ids], pa.string()), samples]
+                columns = [*part.columns[: len(keys)], _lists(ids), pa.array(codec.decode_all(flat, cuts), pa.string()), samples]
                 yield pa.RecordBatch.from_arrays(columns, [*keys, "ids", "decoded", "samples"])
                 at = to
 
