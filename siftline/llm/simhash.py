@@ -212,7 +212,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # Wider groups: shared rare shingles find the candidates, whole shingle sets decide.
 
 SAMPLE, SEEN, COMMON = 8000, 4, 200_000  # documents sampled for common shingles, times seen there, shingles held
-BITS = 1024  # of a set's bitmap
+BITS, WIDEST = 1024, 1 << 17  # of a set's small bitmap, and of its wide one at most
 
 
 def _hashes(text: str | None, k: int) -> np.ndarray:
@@ -242,7 +242,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def heads(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``id, copy, n, head, bits``: a digest of the shingle set, its size, its first members in an order that all documents share, and a bitmap of it.
+    """``id, copy, n, head, bits, wide``: a digest of the shingle set, its size, its first members in an order that all documents share, and a bitmap of it.
 
     Two sets with a Jaccard similarity of at least ``similarity`` share one of their first ``n - ceil(similarity * n) + 1`` members
     in any common order. The order is by the count in a sample, then by hash, so that what a source repeats comes last; the
@@ -252,25 +252,36 @@ def heads(docs: DataFrame, k: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in small(batches):
-            copy, size, head, bits = [], [], [], []
+            copy, size, head, bits, wide = [], [], [], [], []
             for t in pdf["text"]:
                 h = _hashes(t, k)
-                mark = np.zeros(BITS, bool)
-                mark[(h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
-                bits.append(np.packbits(mark).tobytes())
+                bits.append(_bitmap(h, BITS))
+                wide.append(_bitmap(h, min(WIDEST, max(BITS, 1 << (4 * len(h)).bit_length()))))
                 copy.append(xxhash.xxh3_128_digest(h.tobytes()))
                 size.append(len(h))
                 if len(common) and len(h):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, times[at], 0), kind="stable")]
                 head.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "copy": copy, "n": size, "head": head, "bits": bits})
+            yield pd.DataFrame({"id": pdf["id"], "copy": copy, "n": size, "head": head, "bits": bits, "wide": wide})
 
-    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, copy binary, n int, head array<long>, bits binary")
+    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, copy binary, n int, head array<long>, bits binary, wide binary")
 
 
-def _bitmaps(bits) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+def _bitmap(h: np.ndarray, bits: int) -> bytes:
+    """A bit for each value of the hashes' leading bits; ``bits`` is a power of two."""
+    mark = np.zeros(bits, bool)
+    mark[(h >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = True
+    return np.packbits(mark).tobytes()
+
+
+def _bitmaps(bits, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, width // 8)
+
+
+def _folded(bits: bytes, width: int) -> bytes:
+    """The bitmap that ``_bitmap`` makes with fewer bits."""
+    return np.packbits(np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(8 * width, -1).any(axis=1)).tobytes()
 
 
 def _may(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -280,12 +291,15 @@ def _may(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity:
 
 
 def plausible(pairs: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (``a, b``) whose bitmaps (``id, n, bits``) leave it possible that they are that similar."""
+    """The pairs (``a, b``) whose wide bitmaps (``id, n, wide``) leave it possible that they are that similar."""
     x, y = bitmaps.toDF("a", "na", "xa").hint("merge"), bitmaps.toDF("b", "nb", "xb").hint("merge")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.loc[_may(_bitmaps(pdf["xa"]), _bitmaps(pdf["xb"]), pdf["na"].to_numpy(np.int64), pdf["nb"].to_numpy(np.int64), similarity), ["a", "b"]]
+        for pdf in small(batches, 1000):
+            width = np.minimum(pdf["xa"].map(len), pdf["xb"].map(len))
+            for w, part in pdf.groupby(width):
+                maps = [_bitmaps([v if len(v) == w else _folded(v, w) for v in part[c]], w) for c in ("xa", "xb")]
+                yield part.loc[_may(*maps, part["na"].to_numpy(np.int64), part["nb"].to_numpy(np.int64), similarity), ["a", "b"]]
 
     return pairs.join(x, "a").join(y, "b").mapInPandas(run, "a long, b long")
 
@@ -293,8 +307,8 @@ def plausible(pairs: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFr
 CROWD = 4096  # entries of a token that are compared in one place
 
 
-def rest_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` (a < b): ids of ``entries`` (``token, id, n, at, c, bits``) that share a token, differ in c, and whose sizes, places and bitmaps allow the similarity.
+def rest_pairs(entries: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` (a < b): ids of ``entries`` (``token, id, n, at, c``; ``bitmaps`` has ``id, bits``) that share a token, differ in c, and whose sizes, places and bitmaps allow the similarity.
 
     The entries of a crowded token are dealt to blocks, and the pairs of blocks to different tasks, so that no task holds a whole crowd.
     """
@@ -305,13 +319,14 @@ def rest_pairs(entries: DataFrame, similarity: float) -> DataFrame:
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", "id", "n", "at", "c", "bits", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .select("token", "id", "n", "at", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .join(bitmaps.hint("merge"), "id")
     )
     dealt = parts.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sorted_chunks(batches, ["token", "lo", "hi"], 20_000):
-            bits = _bitmaps(pdf["bits"])
+            bits = _bitmaps(pdf["bits"], BITS // 8)
             group, rep, c, block = (pdf[x].to_numpy() for x in ("group", "id", "c", "block"))
             apart = (pdf["lo"] != pdf["hi"]).to_numpy()  # pairs within a block are its own group's
             n, left = pdf["n"].to_numpy(np.int64), (pdf["n"] - pdf["at"]).to_numpy(np.int64)
@@ -362,7 +377,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = made.groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     same = written(made.select("id", "copy", "row").join(nodes.hint("merge"), "copy").where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"), "row"), "copies")
     apart = without(made, "row", same.select("row"))
-    bitmaps = apart.select("id", "n", "bits")
+    bitmaps = apart.select("id", "n", "wide")
     keyed = apart.select("id", "n", F.posexplode("head").alias("at", "token"))
 
     met = written(keyed.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "tokens")
@@ -387,8 +402,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     told = written(meet.join(comp.hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id")), "entries")
     removed(meet)
     mixed = told.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token")
-    crowds = told.join(mixed.hint("merge"), "token").join(bitmaps.select("id", "bits").hint("merge"), "id")
-    rest = written(rest_pairs(crowds, similarity).join(best, ["a", "b"], "left_anti"), "pairs")
+    some = rest_pairs(told.join(mixed.hint("merge"), "token"), apart.select("id", "bits"), similarity).join(best, ["a", "b"], "left_anti")
+    rest = written(plausible(written(some, "pairs"), bitmaps, similarity), "pairs")
     removed(told)
     removed(made)
     more = links.unionByName(alike(rest)).unionByName(same.select("src", "dst"))

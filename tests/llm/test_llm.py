@@ -550,6 +550,22 @@ def test_near_copies_of_odd_ids(spark):
     assert got == collections.Counter([rows[0], rows[2], rows[4], rows[6]])
 
 
+def test_bitmaps_rule_out_no_pair(spark):
+    """At every size, sets of the similarity and above must pass, and folding must give the smaller bitmap."""
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 900, 5000, 40_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate((a[: int(0.89 * n) + 1], rng.integers(0, 1 << 63, n // 20, dtype=np.uint64) * np.uint64(2))))
+        near = len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+        for bits in (1024, 4096):
+            x, y = simhash._bitmap(a, bits), simhash._bitmap(b, bits)
+            assert near and simhash._may(simhash._bitmaps([x], bits // 8), simhash._bitmaps([y], bits // 8), np.array([len(a)]), np.array([len(b)]), 0.8).all()
+            assert simhash._folded(simhash._bitmap(a, 4 * bits), bits // 8) == x
+    far = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)) for _ in range(2)]
+    x, y = (simhash._bitmaps([simhash._bitmap(v, 1024)], 128) for v in far)
+    assert not simhash._may(x, y, np.array([400]), np.array([400]), 0.8).any()
+
+
 def template_pages(rng, pages, planted):
     """Pages of one source: 60 words of their own between two halves of a template; and near copies of the first ``planted``."""
     top, end = prose(rng, 110), prose(rng, 110)
