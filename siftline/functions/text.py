@@ -53,16 +53,14 @@ def fingerprint(rule: Column, uri: Column, symbol: Column, blob: Column, message
 
 def split_edges(token: Column) -> tuple[Column, Column, Column]:
     """Punctuation before, the core, punctuation after; a token of punctuation only is all before."""
-    rest = F.regexp_replace(token, f"^{_EDGE}+", "")
-    core = F.regexp_replace(rest, f"{_EDGE}+$", "")
-    return F.left(token, F.length(token) - F.length(rest)), core, F.substring(rest, F.length(core) + 1, F.length(rest))
+    whole = f"(?s)^({_EDGE}*)(.*?)({_EDGE}*)$"
+    return F.regexp_extract(token, whole, 1), F.regexp_extract(token, whole, 2), F.regexp_extract(token, whole, 3)
 
 
 def strip_position(core: Column) -> Column:
-    """Without up to two trailing ``:digits``; a prefix that is empty or a number stays whole."""
+    """Without up to two trailing ``:digits``; a prefix that is empty or a number stays whole. Each step is one replacement, so nothing is evaluated twice."""
     for _ in range(2):
-        head = F.regexp_extract(core, "(?s)^(.*):[0-9]+$", 1)
-        core = F.when((head != "") & ~head.rlike("^[0-9]+$"), head).otherwise(core)
+        core = F.regexp_replace(core, "(?s)^(?![0-9]+:[0-9]+$)(.+):[0-9]+$", "$1")
     return core
 
 
@@ -80,9 +78,12 @@ def normalize_message(message: Column) -> Column:
 
     def part(t: Column) -> Column:
         lead, core, trail = split_edges(t)
-        bare = strip_position(core)
-        plain = F.when(is_absolute(bare), PATH_MARK).when(is_duration(bare), DURATION_MARK).otherwise(bare)
-        return F.struct(lead.alias("lead"), plain.alias("core"), trail.alias("trail"))
+        # is_absolute and is_duration as replacements: the marks match neither.
+        core = F.regexp_replace(strip_position(core), r"(?s)^(?:/.|[A-Za-z]:[\\/].).*$", PATH_MARK)
+        core = F.regexp_replace(core, f"^[0-9](?:[0-9.{DURATION_UNIT_CHARS}]*)[smh]$", DURATION_MARK)
+        none = F.lit("")
+        plain = F.struct(none.alias("lead"), t.alias("core"), none.alias("trail"))
+        return F.when(t.rlike(f"^(?!{_EDGE})[^0-9/:]+(?<!{_EDGE})$"), plain).otherwise(F.struct(lead.alias("lead"), core.alias("core"), trail.alias("trail")))
 
     parts = F.transform(tokens, part)
 
@@ -109,7 +110,9 @@ def normalize_message(message: Column) -> Column:
 
     # Each pass is bound to one value by a one-element transform, so that it is computed once.
     bound = F.transform(F.array(parts), lambda p: positioned(p))
-    return F.element_at(F.transform(bound, rendered), 1)
+    full = F.element_at(F.transform(bound, rendered), 1)
+    # Positions, paths and durations all hold a digit, a slash or a colon; without one only the layout goes.
+    return F.when(message.rlike("[0-9/:]"), full).otherwise(F.array_join(tokens, " "))
 
 
 def has_expired(expires: Column, now: Column) -> Column:

@@ -70,15 +70,15 @@ SECRET_EXTENSIONS = ("yaml", "yml", "json", "toml", "ini", "cfg", "conf", "prope
 SECRET_DIRECTORIES = (".ssh", ".gnupg", ".aws", ".azure", ".kube")
 # class, offset, bytes (Latin-1), label
 MAGICS = (
-    ("1d", 0, "SQLite format 3\x00", "SQLite 3 database header"), ("1d", 0, "REDIS", "Redis RDB snapshot header"), ("1d", 8, "DUCK", "DuckDB database header"),
-    ("1d", 4, "Standard Jet DB", "Microsoft Access (Jet) database header"), ("1d", 4, "Standard ACE DB", "Microsoft Access (ACE) database header"),
-    ("1d", 12, "\x00\x06\x15\x61", "Berkeley DB btree header"), ("1b", 0, "-----BEGIN OPENSSH PRIVATE KEY-----", "OpenSSH private key (PEM)"),
-    ("1b", 0, "-----BEGIN RSA PRIVATE KEY-----", "RSA private key (PEM)"), ("1b", 0, "-----BEGIN EC PRIVATE KEY-----", "EC private key (PEM)"),
-    ("1b", 0, "-----BEGIN DSA PRIVATE KEY-----", "DSA private key (PEM)"), ("1b", 0, "-----BEGIN ENCRYPTED PRIVATE KEY-----", "encrypted PKCS#8 private key (PEM)"),
-    ("1b", 0, "-----BEGIN PRIVATE KEY-----", "PKCS#8 private key (PEM)"), ("1b", 0, "-----BEGIN PGP PRIVATE KEY BLOCK-----", "PGP private key block"),
-    ("1b", 0, "PuTTY-User-Key-File-", "PuTTY private key"), ("1c", 0, "$ANSIBLE_VAULT;", "Ansible Vault ciphertext header"), ("1e", 0, "GGUF", "GGUF model container"),
-    ("1e", 0, "\x89HDF\r\n\x1a\n", "HDF5 container (Keras/h5 weights)"), ("1f", 0, "version https://git-lfs.github.com/spec/", "git-lfs pointer file"),
-    ("1f", 0, "PAR1", "Apache Parquet file"), ("1f", 0, "ARROW1", "Apache Arrow / Feather v2 file"), ("1f", 0, "Obj\x01", "Apache Avro container"),
+    ("1d", 0, "SQLite format 3\x00", "begins as a SQLite 3 database"), ("1d", 0, "REDIS", "begins as a Redis snapshot"), ("1d", 8, "DUCK", "begins as a DuckDB database"),
+    ("1d", 4, "Standard Jet DB", "begins as an Access database, Jet engine"), ("1d", 4, "Standard ACE DB", "begins as an Access database, ACE engine"),
+    ("1d", 12, "\x00\x06\x15\x61", "begins as a Berkeley DB tree"), ("1b", 0, "-----BEGIN OPENSSH PRIVATE KEY-----", "holds an OpenSSH key, private"),
+    ("1b", 0, "-----BEGIN RSA PRIVATE KEY-----", "holds an RSA key, private"), ("1b", 0, "-----BEGIN EC PRIVATE KEY-----", "holds an elliptic-curve key, private"),
+    ("1b", 0, "-----BEGIN DSA PRIVATE KEY-----", "holds a DSA key, private"), ("1b", 0, "-----BEGIN ENCRYPTED PRIVATE KEY-----", "holds an encrypted PKCS 8 key"),
+    ("1b", 0, "-----BEGIN PRIVATE KEY-----", "holds a PKCS 8 key"), ("1b", 0, "-----BEGIN PGP PRIVATE KEY BLOCK-----", "holds a PGP secret key"),
+    ("1b", 0, "PuTTY-User-Key-File-", "holds a PuTTY key, private"), ("1c", 0, "$ANSIBLE_VAULT;", "sealed by Ansible Vault"), ("1e", 0, "GGUF", "begins as a GGUF model"),
+    ("1e", 0, "\x89HDF\r\n\x1a\n", "begins as an HDF5 file"), ("1f", 0, "version https://git-lfs.github.com/spec/", "points into git-lfs"),
+    ("1f", 0, "PAR1", "begins as Parquet"), ("1f", 0, "ARROW1", "begins as Arrow"), ("1f", 0, "Obj\x01", "begins as Avro"),
 )
 CONTRACTS = (
     *_table("base", "CNAME", ".nojekyll", "_config.yml", "CODEOWNERS"), *_table("exact", ".github/dependabot.yml", ".github/dependabot.yaml"), *_table("base", "renovate.json", ".renovaterc.json"),
@@ -249,17 +249,21 @@ def last_match(files: DataFrame, rules: DataFrame) -> DataFrame:
     return g.select("path", "attribute", "r.pattern", "r.is_set")
 
 
-def sequence_key(base: Column) -> Column:
-    """``struct(scheme, ordinal, key)`` of a file that names its place in a sequence; ``key`` orders numbers of any length. Else null."""
-    version = F.regexp_extract(base, r"^[VU]([0-9._]*[0-9][0-9._]*)__", 1)
-    digits = F.regexp_extract(base, r"^([0-9]+)[_.-]", 1)
-    scheme = (
-        F.when(version != "", "flyway_version").when(F.length(digits) >= 10, "timestamp").when((F.length(digits) >= 3) & F.startswith(digits, F.lit("0")), "zero_padded_ordinal")
-    )
-    ordinal = F.when(version != "", version).otherwise(digits)
-    number = lambda x: F.struct(F.length(F.regexp_replace(x, "^0+", "")).alias("n"), F.regexp_replace(x, "^0+", "").alias("t"))
-    key = F.transform(F.split(ordinal, "[._]"), number)
-    return F.when(scheme.isNotNull(), F.struct(scheme.alias("scheme"), ordinal.alias("ordinal"), key.alias("key")))
+def with_sequence(files: DataFrame) -> DataFrame:
+    """``files`` (with ``path``), and ``scheme`` and ``ordinal`` of names that state a place in a sequence, else null. Each step is a column of its own, so that every
+    expression is evaluated once."""
+    base = paths.basename(F.col("path"))
+    found = {"__version": F.regexp_extract(base, r"^[VU]([0-9._]*[0-9][0-9._]*)__", 1), "__digits": F.regexp_extract(base, r"^([0-9]+)[_.-]", 1)}
+    version, digits = F.col("__version"), F.col("__digits")
+    scheme = F.when(version != "", "flyway_version").when(F.length(digits) >= 10, "timestamp").when((F.length(digits) >= 3) & F.startswith(digits, F.lit("0")), "zero_padded_ordinal")
+    ordinal = F.when(F.col("scheme").isNotNull(), F.when(version != "", version).otherwise(digits))
+    return files.withColumns(found).withColumn("scheme", scheme).withColumn("ordinal", ordinal).drop(*found)
+
+
+def sequenced(files: DataFrame) -> DataFrame:
+    """``path, dir, scheme, ordinal, key`` of ``files(path)``; ``key`` orders numbers of any length."""
+    numbers = F.transform(F.transform(F.split("ordinal", "[._]"), lambda x: F.ltrim(x, F.lit("0"))), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
+    return with_sequence(files.select("path")).select("path", paths.parent(F.col("path")).alias("dir"), "scheme", "ordinal", numbers.alias("key"))
 
 
 def migrations(files: DataFrame) -> DataFrame:
@@ -267,12 +271,12 @@ def migrations(files: DataFrame) -> DataFrame:
 
     The newest key of a directory is a grouped maximum that is joined back; nothing is ranked in one place.
     """
-    s = files.select("path", paths.parent(F.col("path")).alias("dir"), sequence_key(paths.basename(F.col("path"))).alias("s"))
-    seq = s.where("s is not null").select("path", "dir", "s.scheme", "s.ordinal", "s.key")
+    s = sequenced(files)
+    seq = s.where("scheme is not null")
     top = seq.groupBy("dir", "scheme").agg(F.max("key").alias("top"))
     ranked = seq.join(top, ["dir", "scheme"]).select("path", "scheme", "ordinal", F.when(F.col("key") == F.col("top"), "newest").otherwise("earlier").alias("rank"))
     there = F.arrays_overlap(F.split(ascii_lower(F.col("dir")), "/"), F.array(*map(F.lit, MIGRATION_DIRECTORIES)))
-    other = s.where(F.col("s").isNull() & there).select("path", F.lit("directory").alias("scheme"), F.lit(None).cast("string").alias("ordinal"), F.lit(None).cast("string").alias("rank"))
+    other = s.where(F.col("scheme").isNull() & there).select("path", F.lit("directory").alias("scheme"), F.lit(None).cast("string").alias("ordinal"), F.lit(None).cast("string").alias("rank"))
     return ranked.unionByName(other)
 
 
@@ -321,7 +325,7 @@ def judge(files: DataFrame, attributes: DataFrame | None = None, own_artifacts:
         base = base.join(won, "path", "left")
     else:
         base = base.withColumn("attribute", F.lit(None).cast("string"))
-    seq = sequence_key(paths.basename(path))
+    base = with_sequence(base)
     in_migrations = F.arrays_overlap(F.split(ascii_lower(paths.parent(path)), "/"), F.array(*map(F.lit, MIGRATION_DIRECTORIES)))
     pair = lambda c, e: F.struct(F.lit(c).alias("class"), e.alias("evidence"))
     made = generated(path, F.col("text"))
@@ -330,7 +334,7 @@ def judge(files: DataFrame, attributes: DataFrame | None = None, own_artifacts:
         F.when(F.col("attribute").isNotNull(), pair("1j", F.col("attribute")))
         .when(made.isNotNull(), pair("1j", made))
         .when(minified(path, F.col("text")), pair("1j", F.lit("minified")))
-        .when(seq.isNotNull(), pair("1k", seq["ordinal"]))
+        .when(F.col("scheme").isNotNull(), pair("1k", F.col("ordinal")))
         .when(in_migrations, pair("1k", F.lit("migrations directory")))
         .when(law.isNotNull(), pair("1i", law))
         .when(session.isNotNull(), pair("1h", session))

@@ -7,7 +7,10 @@ an incomplete search vetoes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import paths
@@ -36,18 +39,33 @@ def grams(text: Column) -> Column:
     return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
 
 
-def containing(needles: DataFrame, corpus: DataFrame, text: str = "content", exact_limit: int = 2000) -> DataFrame:
-    """``needle, path, offset`` of every file that contains a distinct needle; offsets count from 0.
+#: Needles, and their characters together, that are looked for in one pass by an automaton which every machine gets.
+MANY, LARGE = 200_000, 8_000_000
+
+
+def containing(needles: DataFrame, corpus: DataFrame, text: str = "content", overlapping: bool = True, exact_limit: int = MANY) -> DataFrame:
+    """``needle, path, offset`` of every file that contains a distinct needle, and where it first does; offsets count characters from 0.
 
-    Few needles are one broadcast and a scan of the corpus. Many go through a three-gram index: a needle meets the files that hold its rarest
-    gram, and is then looked for itself; shorter needles, of which an alphabet has few, are scanned for. Nothing is missed: a file that
-    contains a needle contains all its grams.
+    Up to ``exact_limit`` needles (``LARGE`` characters) are one pass over each text by an Aho-Corasick automaton of all of them. More go through a three-gram index: a needle
+    meets the files that hold its rarest gram, and is then looked for itself; shorter needles, of which an alphabet has few, are scanned for. Nothing is missed: a file that
+    contains a needle contains all its grams. Without ``overlapping``, matches are leftmost-longest and do not overlap, and the needles must be few enough
+    for the automaton.
     """
     wanted = needles.select("needle").distinct()
     content = F.col(text)
-    if wanted.limit(exact_limit + 1).count() <= exact_limit:
-        found = corpus.select("path", text).join(F.broadcast(wanted), F.contains(content, F.col("needle")))
-        return found.select("needle", "path", (F.instr(content, F.col("needle")) - 1).alias("offset"))
+    n, size = wanted.limit(exact_limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()
+    if n <= exact_limit and size <= LARGE:
+        words = corpus.sparkSession.sparkContext.broadcast(sorted(r.needle for r in wanted.collect()))  # bounded by both limits
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            find = _finder(words.value, overlapping)
+            for pdf in batches:
+                rows = [(w, p, at) for p, t in zip(pdf["path"], pdf["text"]) if t for w, at in find(t).items()]
+                yield pd.DataFrame(rows, columns=["needle", "path", "offset"])
+
+        return corpus.select("path", content.alias("text")).mapInPandas(run, "needle string, path string, offset int")
+    if not overlapping:
+        raise ValueError(f"over {exact_limit} needles or {LARGE} characters")
     long, short = wanted.where(F.length("needle") >= GRAM), wanted.where(F.length("needle") < GRAM)
     index = corpus.select("path", F.explode(grams(content)).alias("gram"))
     counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -56,10 +74,42 @@ def containing(needles: DataFrame, corpus: DataFrame, text: str = "content", exa
     maybe = index.join(rarest, "gram").select("needle", "path")
     hits = maybe.join(corpus.select("path", text), "path").where(F.contains(content, F.col("needle")))
     hits = hits.select("needle", "path", (F.instr(content, F.col("needle")) - 1).alias("offset"))
-    tiny = corpus.select("path", text).join(F.broadcast(short), F.contains(content, F.col("needle"))).select("needle", "path", (F.instr(content, F.col("needle")) - 1).alias("offset"))
+    tiny = corpus.select("path", text).join(short, F.contains(content, F.col("needle"))).select("needle", "path", (F.instr(content, F.col("needle")) - 1).alias("offset"))
     return hits.unionByName(tiny)
 
 
+def _finder(words: list[str], overlapping: bool) -> Callable[[str], dict[str, int]]:
+    """Of a text, the words it holds and where each first stands."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        if w:
+            automaton.add_word(w, w)
+    if not len(automaton):
+        return lambda text: {}
+    automaton.make_automaton()
+
+    def find(text: str) -> dict[str, int]:
+        met: dict[str, int] = {}
+        spans = automaton.iter(text) if overlapping else _longest(automaton.iter(text))
+        for end, w in spans:
+            if w not in met:
+                met[w] = end + 1 - len(w)
+        return met
+
+    return find
+
+
+def _longest(spans: Iterable[tuple[int, str]]) -> Iterator[tuple[int, str]]:
+    """Leftmost-longest matches that do not overlap, of all matches as (last place, word)."""
+    free = 0
+    for start, last, w in sorted(((e + 1 - len(w), e, w) for e, w in spans), key=lambda x: (x[0], -x[1])):
+        if start >= free:
+            yield last, w
+            free = last + 1
+
+
 def literal_hits(candidates: DataFrame, corpus: DataFrame, strategy: str = "maximal") -> DataFrame:
     """``candidate, kind, rank, needle, file, offset``: one a (needle, file); the candidate's own file does not count."""
     needles = derive_needles(candidates, strategy)
@@ -69,10 +119,17 @@ def literal_hits(candidates: DataFrame, corpus: DataFrame, strategy: str = "maxi
 
 
 def capped_hits(hits: DataFrame, limit: int = MAX_HITS) -> DataFrame:
-    """``candidate, n_hits, capped, hits``: the first hits by (file, offset, rank) for the report; the count is the true one."""
-    order = F.struct("file", "offset", "rank", "needle", "kind")
-    g = hits.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_hits"), F.array_sort(F.collect_list(order)).alias("all"))
-    return g.select("candidate", "n_hits", (F.col("n_hits") > limit).alias("capped"), F.slice("all", 1, limit).alias("hits"))
+    """``candidate, n_hits, capped, hits``: the first hits by (file, offset, rank, needle, kind) for the report; the count is the true one.
+
+    The first ``limit`` are taken by (candidate, salt) and then by candidate, so no task holds all hits of a candidate.
+    """
+    order = ["file", "offset", "rank", "needle", "kind"]
+    some = hits.withColumn("salt", F.pmod(F.xxhash64("file"), F.lit(64)))
+    for keys in (["candidate", "salt"], ["candidate"]):
+        some = some.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= limit)
+    kept = some.groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("hits"))  # at most limit
+    counts = hits.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_hits"))
+    return counts.join(kept, "candidate").select("candidate", "n_hits", (F.col("n_hits") > limit).alias("capped"), "hits")
 
 
 def literal_verdicts(candidates: DataFrame, corpus: DataFrame, strategy: str = "maximal") -> DataFrame:

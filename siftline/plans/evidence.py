@@ -12,7 +12,7 @@ from siftline.sources import reachability, sarif
 def tighten(logs: DataFrame, baseline: DataFrame, files: DataFrame, now: str, expected: int = 0) -> dict[str, DataFrame]:
     """The ratchet over SARIF logs: ``violations``, ``health``, ``rot``, ``new``, ``verdict``.
 
-    Health is judged for each run, rot over all of them together; a violation in any log or a failed run refuses. ``expected`` is the number of
+    Health is decided for each run, rot over all of them together; a violation in any log or a failed run refuses. ``expected`` is the number of
     targets a run should declare; 0 means that its coverage cannot be validated.
     """
     found = sarif.runs(logs)

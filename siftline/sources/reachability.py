@@ -10,6 +10,7 @@ import json
 import posixpath
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -147,29 +148,27 @@ def reader(path: str):
     }.get(name)
 
 
+#: What points out of the tree or cannot be resolved: a URL, a place from the root or home, a variable.
+ELSEWHERE = re.compile(r"://|^[/~]|\$")
+
+
 def rooted_pattern(pattern: str) -> tuple[str, str] | None:
-    """("path", what it roots) or ("suffix", of names); None for what lies outside of the tree."""
-    pattern = pattern.strip().strip('"').strip("'")
-    if not pattern or "://" in pattern or pattern[0] in "/~" or "$" in pattern:
+    """("path", what it roots) or ("suffix", of names); None for what lies outside of the tree.
+
+    A pattern roots what its steps before the first wild one name; one that is wild from the start roots names by suffix if its last step is a star and plain text,
+    else everything.
+    """
+    said = pattern.strip().strip("\"'")
+    steps = [x for x in said.split("/") if x not in ("", ".")]
+    fixed = list(takewhile(lambda x: not WILD.search(x), steps))
+    if not said or ELSEWHERE.search(said) or ".." in fixed:
         return None
-    if pattern == ".":
-        return "path", ""
-    prefix, cut = [], False
-    for part in pattern.split("/"):
-        if part in ("", "."):
-            continue
-        if part == "..":
-            return None
-        if WILD.search(part):
-            cut = True
-            break
-        prefix.append(part)
-    if prefix or not cut:
-        return ("path", "/".join(prefix)) if prefix else None
-    last = pattern.rsplit("/", 1)[-1]
-    if last.startswith("*") and last[1:] and not WILD.search(last[1:]):
-        return "suffix", last[1:]
-    return "path", ""
+    if fixed or said == ".":
+        return "path", "/".join(fixed)
+    if not steps:
+        return None
+    star = re.fullmatch(r"\*([^*?\[{]+)", said.rpartition("/")[2])
+    return ("suffix", star[1]) if star else ("path", "")
 
 
 def scan(path: str, text: str | None, status: str) -> list[tuple[str, str, str, int]]:

@@ -153,7 +153,7 @@ def test_rules_stack_and_exclude(spark):
     f = files(spark, [("db/0001_a.sql", "x"), ("db/0002_b.sql", "x"), ("LICENSE.txt", "x"), ("media/p.png", "x"), ("k.pem", "-----BEGIN PRIVATE KEY-----"), ("CNAME", "h"), ("odd.zzz", "???"), ("a.js", "y" * 300), (".env.example", ""), (".env", "A=1")])
     got = {(r.path, r["class"]): r.evidence for r in rules.judge(f).collect()}
     assert ("db/0001_a.sql", "1k") in got and ("LICENSE.txt", "1i") in got and ("media/p.png", "1g") in got and ("CNAME", "1l") in got
-    assert got[("k.pem", "1b")] == "PKCS#8 private key (PEM)" and ("odd.zzz", "1p") in got and got[("a.js", "1j")] == "minified"
+    assert got[("k.pem", "1b")] == "holds a PKCS 8 key" and ("odd.zzz", "1p") in got and got[("a.js", "1j")] == "minified"
     assert (".env", "1b") in got and (".env.example", "1b") not in got
     assert rows(rules.migrations(f), "path", "rank") == [("db/0001_a.sql", "earlier"), ("db/0002_b.sql", "newest")]
 
@@ -390,3 +390,38 @@ def test_controls(spark):
     claims = suite.naive_claims(parsed, symbols, every)
     assert rows(claims, "kind", "claim") == [("path", "data.txt"), ("path", "dead.py"), ("symbol", "g")]
     assert suite.refusing_claims(claims).count() == 0 and suite.refusing_claims(claims).columns == claims.columns
+
+
+def test_leftmost_longest(spark):
+    """Matches do not overlap, the longest at the leftmost place wins; overlapping ones are all found; both as by brute force."""
+    import random
+
+    rng = random.Random(4)
+    needles = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(9)})
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", "é😀ab", None]
+
+    def brute(text):
+        out, i = {}, 0
+        while i < len(text):
+            fit = [w for w in needles if text.startswith(w, i)]
+            if fit:
+                w = max(fit, key=len)
+                out.setdefault(w, i)
+                i += len(w)
+            else:
+                i += 1
+        return out
+
+    corpus = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, content string")
+    wanted = spark.createDataFrame([(w,) for w in needles], "needle string")
+    got = {(r.path, r.needle): r.offset for r in veto.containing(wanted, corpus, overlapping=False).collect()}
+    assert got == {(f"f{i}", w): at for i, t in enumerate(texts) if t for w, at in brute(t).items()}
+    every = {(f"f{i}", w): t.index(w) for i, t in enumerate(texts) if t for w in needles if w in t}
+    assert {(r.path, r.needle): r.offset for r in veto.containing(wanted, corpus).collect()} == every
+    assert {(r.path, r.needle): r.offset for r in veto.containing(wanted, corpus, exact_limit=2).collect()} == every
+
+
+def test_capped_hits_of_a_crowd(spark):
+    hits = spark.range(5000).select(F.lit("c").alias("candidate"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("file"), F.lit(1).alias("offset"), F.lit(0).alias("rank"), F.lit("n").alias("needle"), F.lit("stem").alias("kind"))
+    (r,) = veto.capped_hits(hits).collect()
+    assert (r.n_hits, r.capped, [h.file for h in r.hits]) == (5000, True, [f"f{i:05d}" for i in range(32)])
