@@ -1,0 +1,271 @@
+"""More registered plans: operators whose input (logs, trees, tracefiles, manifests) is derived from the numbers of a table's rows, so that every outcome has rows.
+
+Each stands beside SQL that works the outcomes out from the same numbers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftline.functions import text
+from siftline.operators import gates, persistence, ratchet, roots, rules, suite, veto
+from siftline.plans.tables import NOW, plan, table
+from siftline.sources import coverage as lcov
+from siftline.sources import sarif
+
+# SARIF and the ratchet -------------------------------------------------------------------------------------------------
+
+_PART = "p AS (SELECT p_partkey AS k, p_partkey % 9 AS v, p_brand AS brand FROM part)"
+
+
+@plan(
+    f"""WITH {_PART}
+SELECT 'log' || k AS log, CASE WHEN v IN (0, 7) THEN 'R2' WHEN v = 6 THEN NULL ELSE brand END AS rule_id,
+  CASE v WHEN 0 THEN 'warning' WHEN 1 THEN 'note' WHEN 2 THEN 'fatal' WHEN 6 THEN 'warning' WHEN 7 THEN 'none' ELSE 'error' END AS level,
+  CASE v WHEN 3 THEN '/abs/x.py' WHEN 4 THEN 'src/a' || k || '.py' WHEN 8 THEN '' ELSE 'src/b.py' END AS uri,
+  CASE v WHEN 2 THEN 'level outside its domain' WHEN 3 THEN 'a uri that is not relative to the repository' WHEN 5 THEN 'no message.text'
+    WHEN 6 THEN 'ruleIndex names no rule; neither ruleId nor a rule with an id' WHEN 8 THEN 'a location that names no file' END AS violation FROM p"""
+)
+def sarif_findings(spark, sf_dir):
+    """Rules by id and by index, levels of results, rules and by default, locations by uri and by index, and what is wrong with a result."""
+    result = F.expr("""
+        CASE v WHEN 0 THEN '{"ruleIndex":1,' WHEN 6 THEN '{"ruleIndex":9,' WHEN 7 THEN '{"ruleId":"R2","level":"none",' ELSE '{"ruleId":"' || p_brand || '",' END
+        || CASE v WHEN 1 THEN '"level":"note",' WHEN 2 THEN '"level":"fatal",' ELSE '' END || CASE v WHEN 5 THEN '' ELSE '"message":{"text":"m"},' END
+        || '"locations":[{"physicalLocation":{"artifactLocation":{' || CASE v WHEN 3 THEN '"uri":"/abs/x.py"' WHEN 4 THEN '"index":1' WHEN 8 THEN '"index":5' ELSE '"uri":"src/b.py","index":0' END || '}}}]}'""")
+    p = table(spark, sf_dir, "part").withColumn("v", F.col("p_partkey") % 9)
+    doc = F.concat(
+        F.lit('{"runs":[{"tool":{"driver":{"name":"t","rules":[{"id":"'), "p_brand", F.lit('","defaultConfiguration":{"level":"error"}},{"id":"R2"}]}},"artifacts":[{"location":{"uri":"z"}},{"location":{"uri":"src/a'),
+        F.col("p_partkey").cast("string"), F.lit('.py"}}],"results":['), result, F.lit("]}]}"),
+    )
+    logs = p.select(F.concat(F.lit("log"), F.col("p_partkey").cast("string")).alias("log"), doc.alias("text"))
+    return sarif.findings(sarif.runs(logs)).select("log", "rule_id", "level", "uri", "violation")
+
+
+@plan(
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS v FROM part)
+SELECT 'log' || k AS log, CASE WHEN v = 0 THEN 'not JSON' WHEN v = 2 THEN 'tool has no driver' END AS violation FROM p
+UNION ALL SELECT 'log' || k, NULL FROM p WHERE v = 2"""
+)
+def sarif_runs(spark, sf_dir):
+    """A run a row; logs that are not JSON, and runs without a driver beside runs with one."""
+    good, odd = '{"tool":{"driver":{"name":"t"}}}', '{"tool":{"name":"t"}}'
+    doc = F.element_at(F.array(F.lit("{no"), F.lit(f'{{"runs":[{good}]}}'), F.lit(f'{{"runs":[{good},{odd}]}}'), F.lit(f'{{"runs":[{odd}]}}')), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return sarif.runs(table(spark, sf_dir, "part").select(F.concat(F.lit("log"), F.col("p_partkey").cast("string")).alias("log"), doc.alias("text"))).select("log", "violation")
+
+
+@plan(
+    """SELECT o_orderkey AS seq, CASE o_orderkey % 5 WHEN 2 THEN '' WHEN 1 THEN NULL ELSE 'fp' || o_orderkey END AS fingerprint, CASE WHEN o_orderkey % 5 NOT IN (1) THEN 'src/' || o_custkey || '.py' END AS uri,
+  CASE o_orderkey % 5 WHEN 1 THEN 'line ' || o_orderkey || ': not a baseline entry' WHEN 2 THEN 'line ' || o_orderkey || ': no fingerprint' END AS violation FROM orders WHERE o_orderkey % 5 <> 3"""
+)
+def baseline_read(spark, sf_dir):
+    """Lines written by ``baseline_lines`` and read again, with blank ones, broken ones and entries without a fingerprint among them."""
+    o = table(spark, sf_dir, "orders").withColumn("v", F.col("o_orderkey") % 5)
+    none = F.lit(None).cast("string")
+    fp = F.when(F.col("v") == 2, "").otherwise(F.concat(F.lit("fp"), F.col("o_orderkey").cast("string")))
+    entries = o.where("v not in (1, 3)").select(
+        F.col("o_orderkey").alias("seq"), fp.alias("fingerprint"), F.lit("r").alias("rule_id"), F.concat(F.lit("src/"), F.col("o_custkey").cast("string"), F.lit(".py")).alias("uri"), none.alias("symbol"),
+        F.lit(NOW).alias("first_seen"), none.alias("expires"), none.alias("justification"),
+    )
+    other = o.where("v in (1, 3)").select(F.col("o_orderkey").alias("seq"), F.when(F.col("v") == 1, "{broken").otherwise("  ").alias("value"))
+    return sarif.read_baseline(sarif.baseline_lines(entries).unionByName(other)).select("seq", "fingerprint", "uri", "violation")
+
+
+@plan(
+    """SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'refused' WHEN n_nationkey % 5 = 1 THEN 'rot' WHEN n_nationkey % 5 = 2 THEN 'new_findings' WHEN n_nationkey % 5 = 3 THEN 'clean' ELSE 'refused' END AS verdict,
+  n_nationkey % 5 = 3 AS degraded, CASE WHEN n_nationkey % 5 = 1 THEN 2 ELSE 0 END::BIGINT AS n_rot, CASE WHEN n_nationkey % 5 <= 2 THEN 1 ELSE 0 END::BIGINT AS n_new,
+  [2, 1, 1, 0, 2][n_nationkey % 5 + 1]::INT AS exit_code FROM nation WHERE n_nationkey < 5"""
+)
+def ratchet_verdicts(spark, sf_dir):
+    """All outcomes of a ratchet: refused by a failed run, rot, new findings, clean but degraded, refused for want of runs."""
+    n = table(spark, sf_dir, "nation").where("n_nationkey < 5")
+    health = {0: [("a", "healthy"), ("b", "failed")], 1: [("a", "healthy")], 2: [("a", "healthy")], 3: [("a", "degraded")], 4: []}
+    out = None
+    for k, runs in health.items():  # five cases
+        h = spark.createDataFrame(runs, "run string, health string")
+        v = ratchet.verdict(h, n.where(f"{k} = 1 and n_nationkey < 2"), n.where(f"{k} <= 2 and n_nationkey = {k}")).withColumn("k", F.lit(k))
+        out = v if out is None else out.unionByName(v)
+    return out.select("k", "verdict", "degraded", "n_rot", "n_new", "exit_code")
+
+
+# Names -----------------------------------------------------------------------------------------------------------------
+
+_CLAIMS = """c AS (SELECT p_partkey, p_brand AS bare, CASE p_partkey % 6 WHEN 0 THEN p_brand WHEN 1 THEN 'a::' || p_brand WHEN 2 THEN 'x.y/' || p_brand WHEN 3 THEN 'z' || p_brand WHEN 4 THEN p_brand || '.t' ELSE 'n:' || p_brand END AS claim FROM part)"""
+
+
+@plan(
+    f"""WITH {_CLAIMS} SELECT p_partkey, claim, p_partkey % 6 < 3 AS names, p_partkey % 6 < 3 AS same, p_partkey % 6 < 3 AND claim <> bare AS behind FROM c"""
+)
+def symbol_names(spark, sf_dir):
+    """Claims that are, end with, merely contain, or only begin with a bare name; a single colon separates nothing."""
+    b = F.col("p_brand")
+    shapes = F.array(b, F.concat(F.lit("a::"), b), F.concat(F.lit("x.y/"), b), F.concat(F.lit("z"), b), F.concat(b, F.lit(".t")), F.concat(F.lit("n:"), b))
+    claim = F.element_at(shapes, (F.col("p_partkey") % 6 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", b.alias("bare"), claim.alias("claim"))
+    c, bare = F.col("claim"), F.col("bare")
+    behind = F.array_contains(text.bare_suffixes(c), bare) & (c != bare)
+    return p.select("p_partkey", "claim", text.names_symbol(c, bare).alias("names"), text.names_same_symbol(bare, c).alias("same"), behind.alias("behind"))
+
+
+# Gates -----------------------------------------------------------------------------------------------------------------
+
+
+@plan(
+    """SELECT 'd' || s_suppkey AS dir, CASE s_suppkey % 6 WHEN 0 THEN 'nested_clone' WHEN 1 THEN 'git_file' WHEN 2 THEN 'bare' WHEN 4 THEN 'unreadable' WHEN 5 THEN 'bare' END AS boundary FROM supplier WHERE s_suppkey % 6 <> 3"""
+)
+def repository_boundaries(spark, sf_dir):
+    """Clones, git files, bare repositories by a symbolic and by a detached HEAD, one that cannot be read, and a directory that only looks like one."""
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("d"), F.col("s_suppkey").cast("string")).alias("d"), (F.col("s_suppkey") % 6).alias("v"))
+    e = lambda name, kind, content=F.lit(None).cast("string"), status=F.lit("completed"): F.struct(F.concat("d", F.lit("/" + name)).alias("path"), F.lit(kind).alias("kind"), content.alias("content"), status.alias("read_status"))
+    head = F.element_at(F.array(F.lit(""), F.lit(""), F.lit("ref: refs/heads/main\n"), F.lit("plain text"), F.lit(""), F.lit("0123456789abcdef0123456789abcdef01234567\n")), (F.col("v") + 1).cast("int"))
+    status = F.when(F.col("v") == 4, "errored").otherwise("completed")
+    store = F.array(e("HEAD", "file", head, status), e("objects", "dir"), e("refs", "dir"))
+    rows = F.when(F.col("v") == 0, F.array(e(".git", "dir"))).when(F.col("v") == 1, F.array(e(".git", "file"))).otherwise(store)
+    return gates.boundaries(s.select(F.explode(rows).alias("e")).select("e.*"))
+
+
+@plan(
+    """WITH c AS (SELECT s_suppkey AS k, s_suppkey % 7 AS v FROM supplier)
+SELECT k AS candidate, CASE v WHEN 0 THEN 'clear' WHEN 6 THEN 'unreadable' WHEN 5 THEN 'unreadable' ELSE 'refuses' END AS verdict,
+  CASE v WHEN 1 THEN 'linked_ancestor' WHEN 2 THEN 'trailing_separator_on_link,resolving_link' WHEN 3 THEN 'resolving_link' WHEN 4 THEN 'dangling_link_with_store' ELSE '' END AS conditions FROM c"""
+)
+def link_gate(spark, sf_dir):
+    """Links on the way, with a trailing separator, resolving, dangling beside a store, not known to resolve; and a relative path."""
+    k, v = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 7
+    path = F.when(v == 1, F.concat(F.lit("/l"), k, F.lit("/x"))).when(v == 2, F.concat(F.lit("/p"), k, F.lit("/"))).when(v == 6, F.concat(F.lit("p"), k)).otherwise(F.concat(F.lit("/p"), k))
+    s = table(spark, sf_dir, "supplier")
+    links = s.where(v.isin(1, 2, 3, 4, 5)).select(F.when(v == 1, F.concat(F.lit("/l"), k)).otherwise(F.concat(F.lit("/p"), k)).alias("path"), F.when(v == 5, None).otherwise(v != 4).alias("resolves"))
+    out = gates.gate_0a(s.select(F.col("s_suppkey").alias("candidate"), path.alias("path")), links, "present")
+    return out.select("candidate", "verdict", F.array_join("conditions", ",").alias("conditions"))
+
+
+@plan(
+    """SELECT page_id AS candidate, CASE page_id % 5 WHEN 0 THEN 'clear' WHEN 4 THEN 'unreadable' ELSE 'refuses' END AS verdict,
+  CASE page_id % 5 WHEN 1 THEN 'a:is,b:contains' WHEN 2 THEN 'a:inside,b:inside' WHEN 3 THEN 'a:contains,b:contains' ELSE '' END AS relations FROM pages"""
+)
+def region_relations(spark, sf_dir):
+    """Clear of all regions, being one, inside of two, containing two, and a relative path; a name that only begins alike is clear."""
+    v = F.col("page_id") % 5
+    path = F.when(v == 0, "/repo/.github").when(v == 1, "/repo/.git").when(v == 2, F.concat(F.lit("/repo/.git/lfs/"), F.col("page_id").cast("string"))).when(v == 3, "/repo").otherwise("repo/.git")
+    regions = spark.createDataFrame([("a", "/repo/.git"), ("b", "/repo/.git/lfs")], "region string, region_path string")
+    out = gates.gate_0e(table(spark, sf_dir, "pages").select(F.col("page_id").alias("candidate"), path.alias("path")), regions)
+    said = F.transform(F.coalesce("relations", F.array().cast("array<struct<region:string,relation:string>>")), lambda r: F.concat(r["region"], F.lit(":"), r["relation"]))
+    return out.select("candidate", "verdict", F.array_join(said, ",").alias("relations"))
+
+
+# Never-touch rules -----------------------------------------------------------------------------------------------------
+
+# Name, first bytes, and the classes that hold.
+_TREE = [
+    ("a/{k}.sqlite3", "SQLite format 3\x00rest", "1d,1d"), ("b/{k}.txt", "-----BEGIN RSA PRIVATE KEY-----", "1b"), ("c{k}/.env", "X=1", "1b"), ("d{k}/.env.example", "X=1", ""), ("e/{k}.tfstate.backup", "{}", "1c"),
+    ("f/{k}.bin", "GGUFxxxx", "1e"), (".dvc/{k}", "x", "1f"), ("g/{k}.md", "# title", ""), ("h/{k}.md", "version https://git-lfs.github.com/spec/v1", "1f"), ("i/{k}.dat", "????DUCK", ""), ("j/{k}.dat", "????????DUCK", "1d"),
+]
+
+
+def _tree(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    i = (F.col("p_partkey") % len(_TREE) + 1).cast("int")
+    name = F.replace(F.element_at(F.array(*[F.lit(n) for n, _, _ in _TREE]), i), F.lit("{k}"), k)
+    head = F.element_at(F.array(*[F.lit(h) for _, h, _ in _TREE]), i)
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "part").select(name.alias("path"), head.alias("head"), none.alias("link_target"), F.lit("completed").alias("read_status"))
+
+
+@plan(
+    "WITH t AS (SELECT p_partkey AS k, p_partkey % 11 AS v FROM part), r AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, '{n}', '{c}')" for i, (n, _, cs) in enumerate(_TREE) for c in cs.split(",") if c)
+    + ") x(v, name, class)) SELECT replace(name, '{k}', k::VARCHAR) AS path, class FROM t JOIN r USING (v)"
+)
+def state_classes(spark, sf_dir):
+    """Databases, keys, dotenv files and their templates, state, models, pointers: by name and by the bytes at their places, and near misses of both."""
+    return rules.state_evidence(_tree(spark, sf_dir)).select("path", "class")
+
+
+@plan(
+    """WITH t AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN 'd/LICENSE' WHEN 1 THEN 'd/Copying.txt' WHEN 2 THEN 'd/x' || p_partkey || '.py' WHEN 3 THEN 'd/y' || p_partkey || '.py' WHEN 4 THEN 'd/LICENSED.py' ELSE 'd/z' || p_partkey || '.py' END AS path, p_partkey % 6 AS v FROM part)
+SELECT path, CASE v WHEN 2 THEN 'SPDX MIT' ELSE 'a stem' END AS legal FROM t WHERE v IN (0, 1, 2)"""
+)
+def legal_files(spark, sf_dir):
+    """Legal names by stem, SPDX declarations in the first lines, and neither: a longer word, a declaration too far down, an empty one."""
+    k, v = F.col("p_partkey").cast("string"), F.col("p_partkey") % 6
+    path = F.when(v == 0, "d/LICENSE").when(v == 1, "d/Copying.txt").when(v == 2, F.concat(F.lit("d/x"), k, F.lit(".py"))).when(v == 3, F.concat(F.lit("d/y"), k, F.lit(".py"))).when(v == 4, "d/LICENSED.py").otherwise(F.concat(F.lit("d/z"), k, F.lit(".py")))
+    body = F.when(v == 2, "#!x\n/* SPDX-License-Identifier: MIT */\n").when(v == 3, "\n" * 60 + "SPDX-License-Identifier: MIT\n").otherwise("x = 1\n")
+    found = table(spark, sf_dir, "part").select(path.alias("path"), rules.legal(path, body).alias("legal")).distinct().where("legal is not null")
+    return found.select("path", F.when(F.startswith("legal", F.lit("SPDX")), F.col("legal")).otherwise("a stem").alias("legal"))
+
+
+# Frameworks, coverage, reachability, layers ----------------------------------------------------------------------------
+
+
+@plan(
+    """WITH t AS (SELECT s_suppkey AS k, s_suppkey % 4 AS v, s_nationkey AS c FROM supplier)
+SELECT 'a' || k AS artifact, 's/' || c || '.py' AS source, c::BIGINT AS line, (k % 7)::BIGINT AS count, '' AS violation FROM t WHERE v <> 2
+UNION ALL SELECT 'a' || k, '', CASE v WHEN 3 THEN 5 WHEN 2 THEN 3 ELSE 1 END, -1, CASE v WHEN 1 THEN 'data before any record' WHEN 2 THEN 'a count that is none' ELSE 'a record without its end' END FROM t WHERE v <> 0"""
+)
+def lcov_records(spark, sf_dir):
+    """Lines of tracefiles, and what is wrong with some: data before a record, a count that is none, no end."""
+    k, c, v = F.col("s_suppkey"), F.col("s_nationkey").cast("string"), F.col("s_suppkey") % 4
+    count = F.when(v == 2, "x").otherwise((k % 7).cast("string"))
+    record = F.concat(F.lit("SF:./s\\"), c, F.lit(".py\nFN:1,f\nDA:"), c, F.lit(","), count, F.lit("\n"))
+    doc = F.concat(F.when(v == 1, "DA:1,1\n").otherwise(""), record, F.when(v == 3, "# no end\nDA:").otherwise("end_of_record\n"), F.when(v == 3, F.concat(c, F.lit(","), (k % 7).cast("string"))).otherwise(""))
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("a"), k.cast("string")).alias("artifact"), doc.alias("text"))
+    _, lines, bad = lcov.parse(files)
+    none = F.lit("")
+    good = lines.select("artifact", "source", "line", F.col("count").cast("long").alias("count"), none.alias("violation")).distinct()
+    return good.unionByName(bad.select("artifact", none.alias("source"), F.col("line").cast("long").alias("line"), F.lit(-1).cast("long").alias("count"), "violation"))
+
+
+@plan(
+    """SELECT s_suppkey AS candidate, CASE WHEN s_suppkey % 4 = 3 THEN 'clear' ELSE 'vetoed' END AS verdict,
+  CASE s_suppkey % 4 WHEN 0 THEN 'near' WHEN 1 THEN 'far' WHEN 2 THEN 'by name' END AS reason FROM supplier"""
+)
+def rooted_or_suffix(spark, sf_dir):
+    """The nearest rooted directory, a farther one, a suffix rule, none of them; a directory whose name only begins alike roots nothing."""
+    k, v = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 4
+    path = F.when(v == 0, F.concat(F.lit("a/b/"), k)).when(v == 1, F.concat(F.lit("a/c/"), k, F.lit(".whl"))).when(v == 2, F.concat(F.lit("d/"), k, F.lit(".whl"))).otherwise(F.concat(F.lit("ab/"), k))
+    rooted = spark.createDataFrame([("a", "far"), ("a/b", "near")], "path string, reason string")
+    suffixes = spark.createDataFrame([(".whl", "by name"), (".zip", "other")], "suffix string, reason string")
+    return veto.reachability_verdicts(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("candidate"), path.alias("path")), rooted, suffixes, rooted.limit(0))
+
+
+@plan(
+    """SELECT n_name AS mutant, 'f' || s_suppkey AS name, CASE s_suppkey % 3 WHEN 0 THEN 'gate1' WHEN 1 THEN 'veto' END AS layer FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+)
+def prevented_by_layer(spark, sf_dir):
+    """The innermost layer that dropped a claim for a name, by its qualified spelling too; names that no layer dropped stay unattributed."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    name, v = F.concat(F.lit("f"), F.col("s_suppkey").cast("string")), F.col("s_suppkey") % 3
+    row = lambda i, layer, claim: F.struct(F.lit(i).alias("layer_idx"), F.lit(layer).alias("layer"), claim.alias("claim"))
+    both = F.when(v == 0, F.array(row(0, "gate1", F.concat(F.lit("m::"), name)), row(4, "veto", name))).when(v == 1, F.array(row(4, "veto", F.concat(F.lit("a.b."), name))))
+    dropped = s.select(F.col("n_name").alias("mutant"), F.explode(both).alias("r")).select("mutant", "r.*")
+    return suite.attribute(s.select(F.col("n_name").alias("mutant"), name.alias("name")), dropped)
+
+
+@plan(
+    """SELECT s_suppkey AS candidate, 'queue_payload' AS condition, 'celery' AS marker, 'pyproject.toml' AS found_in FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT s_suppkey, 'abi_export', '#[no_mangle]', 's' || s_suppkey || '.rs' FROM supplier WHERE s_suppkey % 3 = 1"""
+)
+def persistence_conditions(spark, sf_dir):
+    """Job payloads by a declared framework, exported symbols near a mark, and files with neither."""
+    k, v = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 3
+    s = table(spark, sf_dir, "supplier")
+    path = F.concat(F.lit("s"), k, F.when(v == 1, ".rs").otherwise(".py"))
+    body = F.when(v == 0, "from celery import task\nx = 1\n").when(v == 1, F.concat(F.lit("#[no_mangle]\npub extern fn f"), k, F.lit("() {}\n"))).otherwise("import os\n")
+    files = s.select(path.alias("path"), body.alias("text")).unionByName(spark.createDataFrame([("pyproject.toml", 'dependencies = ["celery>=5"]\n')], "path string, text string"))
+    found = persistence.scan(s.select(F.col("s_suppkey").alias("candidate"), path.alias("path"), F.when(v == 1, F.concat(F.lit("f"), k)).alias("symbol")), files)
+    return found.select("candidate", "condition", "marker", "found_in")
+
+
+@plan(
+    """SELECT 'symbol' AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 'm.f' || s_suppkey ELSE 'f' || s_suppkey END AS claim, 'r' || s_suppkey % 3 AS rule FROM supplier WHERE s_suppkey % 4 <> 3
+UNION ALL SELECT 'path', 'src/' || s_suppkey, 'r' || s_suppkey % 3 FROM supplier WHERE s_suppkey % 4 <> 3"""
+)
+def root_rescues(spark, sf_dir):
+    """Paths that are roots and symbols that name a root's symbol, bare or qualified."""
+    k = F.col("s_suppkey").cast("string")
+    s = table(spark, sf_dir, "supplier")
+    bare, path, none = F.concat(F.lit("f"), k), F.concat(F.lit("src/"), k), F.lit(None).cast("string")
+    claims = s.select(F.explode(F.array(F.struct(F.lit("symbol").alias("kind"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("m."), bare)).otherwise(bare).alias("claim")), F.struct(F.lit("path").alias("kind"), path.alias("claim")))).alias("c")).select("c.*")
+    rule = F.concat(F.lit("r"), (F.col("s_suppkey") % 3).cast("string"))
+    row = lambda p, x, target: F.struct(F.lit("B").alias("tier"), rule.alias("rule"), none.alias("origin"), none.alias("origin_file"), p.alias("path"), x.alias("symbol"), F.lit(target).alias("target"), none.alias("detail"))
+    known = s.where("s_suppkey % 4 <> 3").select(F.explode(F.array(row(path, none, "path"), row(none, bare, "symbol"))).alias("r")).select("r.*")
+    return roots.rescues(claims, known)

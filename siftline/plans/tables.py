@@ -81,20 +81,6 @@ def normalize_message(spark, sf_dir):
     return m.select("conv_id", "turn", text.normalize_message(msg).alias("normalized"))
 
 
-@plan(
-    """
-SELECT p_partkey, p_name || '::' || p_brand AS claim, p_brand = p_brand AS one_way, (p_name || '::' || p_brand) = p_name OR starts_with(p_brand, 'zz') AS is_name,
-  regexp_replace(p_name || '::' || p_brand, '(?s)^.*(?:::|[./#])', '') AS tail FROM part
-"""
-)
-def symbol_match(spark, sf_dir):
-    claim = F.concat("p_name", F.lit("::"), "p_brand")
-    both = text.names_same_symbol(F.col("p_brand"), claim)
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", claim.alias("claim"), (text.names_symbol(claim, F.col("p_brand")) & both).alias("one_way"), text.names_symbol(claim, F.col("p_name")).alias("is_name"), text.trailing_identifier(claim).alias("tail")
-    )
-
-
 @plan(
     """
 SELECT page_id, regexp_extract(url, '://[^/]*/(.*)$', 1) AS path, regexp_extract(regexp_extract(url, '://[^/]*/(.*)$', 1), '([^/]*)$', 1) AS base,
@@ -563,20 +549,9 @@ def conservation_check(spark, sf_dir):
 # Roots ---------------------------------------------------------------------------------------------------------------
 
 
-@plan("SELECT r_name AS path FROM region UNION SELECT n_name FROM nation UNION SELECT p_brand FROM part")
-def root_union_dedup(spark, sf_dir):
-    r, n, p = (table(spark, sf_dir, t) for t in ("region", "nation", "part"))
-    return r.select(F.col("r_name").alias("path")).unionByName(n.select(F.col("n_name").alias("path"))).unionByName(p.select(F.col("p_brand").alias("path"))).distinct()
-
-
-@plan("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def json_extract_roots(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
-
-
 _DECLARED = [("src1*", "generated", "generated", "accepted", None), ("!src12", "not that one", "generated", "accepted", None), ("*.fr", "vendored", "vendored", "rejected", None), ("src3/**", "loaded", "dynamic", "accepted", "1990-01-01"), ("nowhere/x", "gone", "dynamic", "accepted", None)]
-_DECLARED_SQL = """d AS (SELECT * FROM (VALUES (0, 'src1*', '^(?:[^/]+/)*src1[^/]*(?:/.*)?$', false, 'accepted'), (1, '!src12', '^(?:[^/]+/)*src12(?:/.*)?$', true, 'accepted'), (2, '*.fr', '^(?:[^/]+/)*[^/]*\\.fr(?:/.*)?$', false, 'rejected'),
-  (3, 'src3/**', '^src3/[^/]+(?:/.*)?$', false, 'accepted'), (4, 'nowhere/x', '^nowhere/x(?:/.*)?$', false, 'accepted')) v(idx, pathspec, regex, negated, status)),
+_DECLARED_SQL = """d AS (SELECT * FROM (VALUES (0, 'src1*', '^(?:[^/]+/)*src1[^/]*(?:/.*)?$', false, 'accepted', NULL), (1, '!src12', '^(?:[^/]+/)*src12(?:/.*)?$', true, 'accepted', NULL), (2, '*.fr', '^(?:[^/]+/)*[^/]*\\.fr(?:/.*)?$', false, 'rejected', NULL),
+  (3, 'src3/**', '^src3/[^/]+(?:/.*)?$', false, 'accepted', '1990-01-01'), (4, 'nowhere/x', '^nowhere/x(?:/.*)?$', false, 'accepted', NULL)) v(idx, pathspec, regex, negated, status, expires)),
 w AS (SELECT c.path, max(idx) AS idx FROM corpus c JOIN d ON regexp_matches(c.path, regex) GROUP BY 1)"""
 
 
@@ -586,7 +561,7 @@ def declared_roots(spark, sf_dir):
 
 
 @plan(
-    f"""WITH {CORPUS_SQL}, {_DECLARED_SQL} SELECT idx, reason FROM (SELECT d.idx, CASE WHEN d.idx = 4 THEN 'referent_gone' WHEN d.idx = 3 THEN 'expired' WHEN d.idx NOT IN (SELECT idx FROM w) THEN 'matched_nothing' END AS reason FROM d) WHERE reason IS NOT NULL"""
+    f"""WITH {CORPUS_SQL}, {_DECLARED_SQL} SELECT idx, reason FROM (SELECT d.idx, CASE WHEN NOT regexp_matches(d.pathspec, '[*?!]') AND NOT EXISTS (SELECT 1 FROM corpus WHERE corpus.path = d.pathspec OR starts_with(corpus.path, d.pathspec || '/')) THEN 'referent_gone' WHEN d.expires <= '{NOW}' THEN 'expired' WHEN d.idx NOT IN (SELECT idx FROM w) THEN 'matched_nothing' END AS reason FROM d) WHERE reason IS NOT NULL"""
 )
 def declared_lint(spark, sf_dir):
     return roots.lint(corpus(spark, sf_dir), roots.declared_table(spark, _DECLARED), NOW).select("idx", "reason")

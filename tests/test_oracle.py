@@ -3,7 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
-from siftline.plans import tables
+from siftline.plans import derived, tables  # noqa: F401  derived registers its plans beside those of tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
