@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tomllib
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +37,33 @@ SIGNATURES = {
 LAYOUTS = ("django", "pytest", "jest", "nextjs", "rails")
 
 
+def declared_packages(text: str | None) -> list[str]:
+    """Names of the packages that a project file depends on; none where it is not TOML."""
+    try:
+        doc = tomllib.loads(text or "")
+    except tomllib.TOMLDecodeError:
+        return []
+    at = lambda *keys: reduce(lambda d, k: d.get(k) if isinstance(d, dict) else None, keys, doc)
+    listed = [at("project", "dependencies"), at("build-system", "requires"), *(t.values() for t in (at("project", "optional-dependencies"), at("dependency-groups")) if isinstance(t, dict))]
+    flat = [x for group in listed if group for y in group for x in (y if isinstance(y, list) else [y]) if isinstance(x, str)]
+    names = [m[0] for x in flat if (m := re.match(r"[A-Za-z0-9][A-Za-z0-9._-]*", x.strip()))]
+    groups = at("tool", "poetry", "group")
+    tables = [at("tool", "poetry", "dependencies"), at("tool", "poetry", "dev-dependencies"), *(g.get("dependencies") for g in (groups.values() if isinstance(groups, dict) else ()) if isinstance(g, dict))]
+    return names + [k for t in tables if isinstance(t, dict) for k in t if k.lower() != "python"]
+
+
+def _project_packages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([(p, x) for p, t in zip(pdf["path"], pdf["text"]) for x in declared_packages(t)], columns=["path", "package"])
+
+
 def dependencies(files: DataFrame) -> DataFrame:
     """``package, path``: lower-cased names that requirement files, package manifests, project files and Gemfiles declare."""
     name = paths.basename(F.col("path"))
     line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")
     req = files.where(name.rlike(r"^requirements.*\.txt$")).select("path", line).select("path", F.regexp_extract("line", r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)", 1).alias("package"))
     gem = files.where(name == "Gemfile").select("path", line).select("path", F.regexp_extract("line", r"""^\s*gem\s+["']([^"']+)["']""", 1).alias("package"))
-    toml = files.where(name == "pyproject.toml").select("path", F.explode(F.regexp_extract_all("text", F.lit(r"""(?m)["']([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*(?:[<>=!~;][^"']*)?["']"""), F.lit(1))).alias("package"))
+    toml = files.where(name == "pyproject.toml").select("path", "text").mapInPandas(_project_packages, "path string, package string")
     keys = [F.map_keys(F.coalesce(F.from_json(F.get_json_object("text", f"$.{k}"), "map<string,string>"), F.create_map().cast("map<string,string>"))) for k in ("dependencies", "devDependencies", "peerDependencies")]
     npm = files.where(name == "package.json").select("path", F.explode(F.concat(*keys)).alias("package"))
     return req.unionByName(gem).unionByName(toml).unionByName(npm).where("package <> ''").select(F.lower("package").alias("package"), "path").distinct()
@@ -157,7 +183,9 @@ def source_roots(files: DataFrame) -> DataFrame:
     """Tier A from source lines: directives that export, link, embed or register, and start-up hooks; the symbol is the marker's own or the item on the next lines."""
     ext = paths.extension(F.col("path"))
     numbered = files.where(ext.isin("go", "rs", "pth")).select("path", ext.alias("ext"), F.split("text", "\n").alias("lines")).select("path", "ext", "lines", F.posexplode("lines").alias("i", "line"))
-    item = F.regexp_extract(F.array_join(F.slice("lines", F.col("i") + 2, F.lit(6)), "\n"), r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?(?:async\s+)?(?:fn|static|const)\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)", 1)
+    after = F.slice("lines", F.col("i") + 2, F.lit(6))
+    blank = F.array_position(F.transform(after, lambda x: F.trim(x) == ""), F.lit(True)).cast("int")  # a marker does not reach past a blank line
+    item = F.regexp_extract(F.array_join(F.slice(after, F.lit(1), F.when(blank > 0, blank - 1).otherwise(6)), "\n"), r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?(?:async\s+)?(?:fn|static|const)\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)", 1)
     rows = [F.when((F.col("ext") == e) & F.col("line").rlike(r), F.struct(F.lit(m).alias("rule"), (F.regexp_replace(F.regexp_extract("line", r, 1), r"^.*[./]", "") if "S+)" in r or "]+)" in r else item).alias("symbol"))) for e, m, r in MARKERS]
     hit = numbered.select("path", "i", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("r"))
     return hit.select(

@@ -179,9 +179,13 @@ def go_source(out: Out, text: str) -> None:
             return
 
 
+# The directives of a go.mod file.
+GO_DIRECTIVES = ("module", "go", "toolchain", "godebug", "require", "exclude", "replace", "retract", "tool", "ignore")
+
+
 def go_mod(out: Out, text: str) -> None:
-    """The module path, and the local directories that replace others."""
-    block = ""
+    """The module path, and the local directories that replace others; an unknown directive, a second module and one without a path refuse the file."""
+    block, modules = "", 0
     for line in text.splitlines():
         line = line.split("//")[0].strip()
         if not line:
@@ -194,7 +198,12 @@ def go_mod(out: Out, text: str) -> None:
             if rest.strip() == "(":
                 block = word
                 continue
+        if word and word not in GO_DIRECTIVES:
+            raise Bad(f"unknown directive {word}")
         if word == "module":
+            modules += 1
+            if modules > 1 or not rest.strip().strip('"'):
+                raise Bad("a second module" if modules > 1 else "a module without a path")
             out.put("module", "module", rest.strip().strip('"'), "reference")
         elif word == "replace" and "=>" in rest:
             target = rest.split("=>")[1].split()

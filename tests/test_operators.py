@@ -425,3 +425,22 @@ def test_capped_hits_of_a_crowd(spark):
     hits = spark.range(5000).select(F.lit("c").alias("candidate"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("file"), F.lit(1).alias("offset"), F.lit(0).alias("rank"), F.lit("n").alias("needle"), F.lit("stem").alias("kind"))
     (r,) = veto.capped_hits(hits).collect()
     assert (r.n_hits, r.capped, [h.file for h in r.hits]) == (5000, True, [f"f{i:05d}" for i in range(32)])
+
+
+def test_project_packages():
+    text = '[project]\ndescription = "django"\nkeywords = ["flask"]\ndependencies = ["Celery>=5", "x[y] ; python_version > \'3\'"]\n[project.optional-dependencies]\ntest = ["pytest"]\n[tool.poetry.dependencies]\npython = "^3"\nfastapi = "*"\n'
+    assert roots.declared_packages(text) == ["Celery", "x", "pytest", "fastapi"]
+    assert roots.declared_packages("[broken") == [] == roots.declared_packages(None)
+
+
+def test_markers_stop_at_a_blank_line(spark):
+    text = "#[no_mangle]\n\n// far\n\nfn far() {}\n#[no_mangle]\n// note\npub extern \"C\" fn near() {}\n"
+    got = roots.source_roots(spark.createDataFrame([("a.rs", text)], "path string, text string")).collect()
+    assert sorted((r.origin, r.symbol) for r in got) == [("line 1", None), ("line 6", "near")]
+
+
+def test_go_mod_refuses():
+    ok = manifests.scan("go.mod", "module a/b\n\ngo 1.22\nrequire (\n\tx v1\n)\nreplace x => ../x\n")
+    assert ok
+    for bad, why in (("module a\nmodule b\n", "a second module"), ('module ""\n', "a module without a path"), ("module a\nfrobnicate x\n", "unknown directive frobnicate")):
+        assert why in str(manifests.scan("go.mod", bad)) and why not in str(ok)
