@@ -121,6 +121,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out: str, max_rows: int, max_bytes: int) -> tuple[list[str | None], list[int]]:
+    """Whole texts and 0/1 labels of at most ``max_rows`` ids and about ``max_bytes`` bytes, in the order of a hash of the id.
+
+    Rows for which the SQL ``held_out`` is true are never read. Null ids and labels, and ids with two different labels, teach nothing; of an id
+    with several texts the one with the smallest hash is taken, so the bounds hold however often an id occurs.
+    """
+    one = (
+        labels.where(f"doc_id is not null and {label_col} in (0, 1) and not ({held_out})")
+        .groupBy("doc_id")
+        .agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"))
+        .where("y = z")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(max_rows)
+        .select("doc_id", "y")
+    )
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), F.octet_length(text).alias("size")).alias("of"))
+    found = sized.join(F.broadcast(one), "doc_id").groupBy("doc_id", "y").agg(F.min("of").alias("of")).select("doc_id", "y", "of.size")
+    ids, total = {}, 0
+    for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most max_rows
+        if total + r["size"] <= max_bytes or not ids:
+            ids[r["doc_id"]] = r["y"]
+            total += r["size"]
+    if not ids:
+        return [], []
+    wanted = docs.sparkSession.range(1).select(F.explode(F.lit(list(ids))).alias("doc_id"))
+    picked = docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), F.octet_length(text).alias("size"), text.alias("text")).alias("of")).join(F.broadcast(wanted), "doc_id")
+    rows = sorted(picked.groupBy("doc_id").agg(F.min("of").alias("of")).select("doc_id", "of.text").collect(), key=lambda r: r["doc_id"])
+    return [r["text"] for r in rows], [ids[r["doc_id"]] for r in rows]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node that has an edge; component is the smallest node reachable.
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import slim
+from siftline.llm.common import labelled_sample, slim
 
 HALF = 32  # half a chunk
 CHANNELS = 7
@@ -177,30 +177,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     """Whole texts and 0/1 labels of at most ``max_rows`` rows and about ``max_bytes`` bytes, in the order of a hash of the id.
 
     Rows whose crc32(id as text) modulo 3 is 1 are held out and never read here. Null ids and labels, and ids with two different
-    labels, teach nothing.
+    labels, teach nothing; an id teaches one of its texts, so the bounds hold however often it occurs.
     """
-    one = (
-        labels.where(f"doc_id is not null and {label_col} in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1")
-        .groupBy("doc_id")
-        .agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"))
-        .where("y = z")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_rows)
-        .select("doc_id", "y")
-    )
-    sized = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    found = sized.join(F.broadcast(one), "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    ids, total = {}, 0
-    for r in found:  # at most max_rows
-        if total + r["size"] <= max_bytes or not ids:
-            ids[r["doc_id"]] = r["y"]
-            total += r["size"]
-    if not ids:
-        return [], []
-    wanted = docs.sparkSession.range(1).select(F.explode(F.lit(list(ids))).alias("doc_id"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id", "left_semi").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return [r["text"] for r in rows], [ids[r["doc_id"]] for r in rows]
+    held_out = "coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)"
+    return labelled_sample(docs, labels, label_col, held_out, max_rows, max_bytes)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, **sample) -> Net:

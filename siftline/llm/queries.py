@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import chat_format, embedding_dedup, exact_dedup, packing, quality, secret_scan, simhash, sp_codec, substring_dedup, url_filters
+from siftline.llm import chat_format, embedding_dedup, exact_dedup, packing, quality, secret_scan, simhash, sp_codec, substring_dedup, toxicity, url_filters
 from siftline.llm.common import table
 
 Rule = url_filters.Rule
@@ -192,6 +192,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each of ``documents``, learnt from labelled rows that are not held out; null texts count as empty, a null id is not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.with_score(docs.select("doc_id", "text"), toxicity.fitted(docs, labels))
+    return scored.select("doc_id", F.expr(toxicity.held_out()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     found = (
         op1_url_filters,
@@ -204,6 +211,7 @@ def queries() -> dict:
         op8_embedding_dedup,
         op9_quality,
         op10_sentencepiece,
+        op13_toxicity,
     )
     return {f.__name__: f for f in found}
 
