@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import chat_format, embedding_dedup, exact_dedup, packing, quality, secret_scan, simhash, sp_codec, substring_dedup, toxicity, url_filters
+from siftline.llm import chat_format, conversation_repair, embedding_dedup, exact_dedup, packing, quality, secret_scan, simhash, sp_codec, substring_dedup, toxicity, url_filters
 from siftline.llm.common import table
 
 Rule = url_filters.Rule
@@ -192,6 +192,73 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each conversation of ``conversations``, damaged by rule and repaired; nulls, repeats and empty tables as ``conversation_repair.repair`` has them."""
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations"))).report
+
+
+#: DuckDB has no crc32: the table of its 256 remainders by rule, and a fold over the bytes of a text (Latin letters, digits and signs: one or two bytes each).
+CRC = """
+remainders AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS t),
+"""
+CRC_OF = """xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''), lambda c:
+      CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)]::BIGINT[] END))), lambda v, b: xor(v >> 8, t[(xor(v, b) & 255) + 1])))"""
+
+OP11_SQL = (
+    "WITH RECURSIVE"
+    + CRC
+    + r"""
+plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS (SELECT plain.*, """
+    + CRC_OF.format("k")
+    + r""" % 20 AS f FROM plain, remainders),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+judged AS (
+  SELECT *, left(role, 1) AS r, left(role, 1) || left(lead(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS pair, CASE
+    WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_matches(text, '[^.!? 	-
+][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, [{c: 0::BIGINT, a: '', s: '-'}] AS p FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, list_filter(list_transform(['-', 's', 'u', 'a'], lambda k: list_min(list_filter(q, lambda x: x.s = k))), lambda x: x IS NOT NULL)
+  FROM (
+    SELECT w.conv_id, j.i, list_concat(
+      list_transform(w.p, lambda x: {c: x.c + 2, a: x.a || 'D', s: x.s}),
+      flatten(list_transform(CASE WHEN j.fault IN ('', 'truncated') THEN w.p ELSE [] END, lambda x: list_transform(
+        list_filter(
+          [{k: 's', m: 0, ok: x.s = '-' AND j.r = 's'}, {k: 'u', m: CASE WHEN x.s = 'u' THEN 1 ELSE 0 END, ok: true}, {k: 'a', m: CASE WHEN x.s = 'u' THEN 0 ELSE 1 END, ok: true}],
+          lambda y: y.ok),
+        lambda y: {c: x.c + 5 * y.m + CASE WHEN y.k = j.r THEN 0 ELSE 1 END + CASE WHEN j.fault = '' THEN 0 ELSE 5 END, a: x.a || repeat('I', y.m) || CASE WHEN y.k = j.r THEN 'K' ELSE 'R' END, s: y.k})))) AS q
+    FROM walk w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = w.i + 1)),
+ends AS (
+  SELECT w.conv_id, list_min(list_transform(w.p, lambda x: {c: x.c + 5 * CASE x.s WHEN 's' THEN 2 WHEN 'u' THEN 1 ELSE 0 END, a: x.a || repeat('I', CASE x.s WHEN 's' THEN 2 WHEN 'u' THEN 1 ELSE 0 END)})) AS best
+  FROM walk w LEFT JOIN sums s ON w.conv_id IS NOT DISTINCT FROM s.conv_id WHERE w.i = coalesce(s.n, 0)),
+edits AS (SELECT conv_id, unnest(string_split(best.a, '')) AS e, generate_subscripts(string_split(best.a, ''), 1) AS nth FROM ends WHERE best.a <> ''),
+rows_of AS (SELECT *, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY nth) AS i FROM edits),
+left_over AS (
+  SELECT o.conv_id, o.e, row_number() OVER (PARTITION BY o.conv_id ORDER BY o.nth) AS k, j.role, CASE WHEN o.e = 'I' THEN '' ELSE j.text END AS text
+  FROM rows_of o LEFT JOIN judged j ON o.conv_id IS NOT DISTINCT FROM j.conv_id AND o.i = j.i WHERE o.e <> 'D'),
+led AS (SELECT *, first_value(CASE WHEN e = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS led FROM left_over),
+lines AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS said FROM led GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.c AS cost, best.a AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM ends e LEFT JOIN sums s ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN lines l ON e.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
+)
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for each of ``documents``, learnt from labelled rows that are not held out; null texts count as empty, a null id is not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -211,10 +278,11 @@ def queries() -> dict:
         op8_embedding_dedup,
         op9_quality,
         op10_sentencepiece,
+        op11_conversation_repair,
         op13_toxicity,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op11_conversation_repair": OP11_SQL}

@@ -1,12 +1,14 @@
 """Toxicity, conversation repair and spelling variants against brute force and held-out labels."""
 
+import hashlib
 import math
+import random
+import re
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
-from siftline.llm import common, quality, queries, toxicity
+from siftline.llm import common, conversation_repair, quality, queries, toxicity
 
 
 def brute_words(text):
@@ -105,7 +107,7 @@ def test_toxicity_edges(spark):
 
 def test_training_sample_keeps_its_bounds_for_an_id_that_repeats(spark):
     docs = spark.range(20_000).select(F.lit(8).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
-    marks = spark.createDataFrame([(8, 1, 1), (None, 1, 0), (8, 0, 0), (12, 0, 0), (12, 1, 1)], "doc_id long, quality int, toxic int")
+    marks = spark.createDataFrame([(8, 1, 1), (None, 1, 0), (90, 0, 0), (12, 0, 0), (12, 1, 1)], "doc_id long, quality int, toxic int")
     for take in (lambda: quality.training_sample(docs, marks, max_rows=10, max_bytes=1000), lambda: common.labelled_sample(docs, marks, "toxic", toxicity.held_out(), 10, 1000)):
         texts, y = take()
         assert len(texts) == len(y) == 1 and y == [1] and texts[0].startswith("text ")
@@ -123,3 +125,118 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit / (out.toxic == 1).sum() > 0.8 and hit / (out.predicted == 1).sum() > 0.9
     assert ((out.score >= 0.3) == (out.predicted == 1)).all()
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in out.doc_id]).all()
+
+
+# op11
+
+
+def brute_edits(rows, costs):
+    """Least cost and least audit over all edits, tried one after the other from every state; rows are (role, fault)."""
+    best = {}
+
+    def step(state, letter):
+        return {"-s": "s", "-u": "u", "su": "u", "ua": "a", "au": "u"}.get(state + letter)
+
+    def of(i, state, inserts):
+        if (i, state, inserts) not in best:
+            found = [(0, "")] if i == len(rows) and state in "-a" else []
+            tries = [(costs.insert, "I", i, r) for r in "ua" if inserts < 3]
+            if i < len(rows):
+                role, fault = rows[i]
+                tries.append((costs.delete, "D", i + 1, None))
+                if fault in ("", "truncated"):
+                    more = costs.truncated if fault else 0
+                    tries += [(more, "K", i + 1, role[:1])] + [(more + costs.rerole, "R", i + 1, r) for r in "ua"]
+            for price, letter, to, role in tries:
+                after = state if role is None else step(state, role)
+                if after:
+                    rest = of(to, after, inserts + 1 if letter == "I" else 0)
+                    if rest:
+                        found.append((rest[0] + price, letter + rest[1]))
+            best[i, state, inserts] = min(found, default=None)
+        return best[i, state, inserts]
+
+    return of(0, "-", 0)
+
+
+def brute_repair(rows, costs):
+    """Report of one conversation: (turn, role, text) in any order."""
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        said = re.sub("[\x20\x09-\x0D]+$", "", text)
+        faults.append("blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else "")
+        seen.add((role, text))
+    cost, audit = brute_edits([(r, f) for (_, r, _), f in zip(rows, faults)], costs)
+    kept, i = [], 0
+    for e in audit:
+        role, text = ("", "") if e == "I" else rows[i][1:]
+        i += e != "I"
+        if e == "D":
+            continue
+        if e != "K":
+            role = "assistant" if kept and kept[-1][0][:1] == "u" else "user"
+        kept.append((role, text))
+    assert re.fullmatch("(s?(ua)+)?", "".join(r[:1] for r, _ in kept))
+    turns = {t for t, _, _ in rows if t is not None}
+    first = [r[:1] for _, r, _ in rows]
+    return {
+        "gaps": max(turns) - min(turns) + 1 - len(turns) if turns else 0,
+        **{k: faults.count(k) for k in ("blank", "duplicate", "truncated")},
+        "illegal": sum(a + b not in ("su", "ua", "au") for a, b in zip(first, first[1:])),
+        "cost": cost,
+        "audit": audit,
+        "repaired_sha256": hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest(),
+    }, kept
+
+
+def test_repair_against_all_edits(spark):
+    rng = random.Random(11)
+    said = ["Yes.", "No!", "cut off", "", " \t", None, "long text. " * 9, "\u00e9?\n", "x\u00a0"]
+    conversations = {}
+    for c in [None, *range(60)]:
+        n = rng.choice([1, 2, 3, 5, 8, 30])
+        conversations[c] = [(rng.choice([None, *range(n), n * 3]), rng.choice(["user", "assistant", "system", "tool", None, "", "sys", "User"]), rng.choice(said) if rng.random() < 0.6 else f"turn {rng.random()}.") for _ in range(n)]
+    rows = [(c, *r, "clash") for c, rs in conversations.items() for r in rs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, audit string")
+    for costs, how in ((conversation_repair.Costs(), {}), (conversation_repair.Costs(3, 4, 1, 2), {"block_rows": 3}), (conversation_repair.Costs(1, 1, 1, 1), {"block_chars": 40})):
+        got = conversation_repair.repair(df, costs, **how)
+        report = {r.conv_id: r.asDict() for r in got.report.collect()}
+        turns = {}
+        for r in got.turns.orderBy("conv_id", "piece", "place").collect():
+            turns.setdefault(r.conv_id, []).append((r.role, r.text))
+        assert len(report) == len(conversations)
+        for c, rs in conversations.items():
+            want, kept = brute_repair(rs, costs)
+            assert report[c] == {"conv_id": c} | want
+            assert turns.get(c, []) == kept
+
+
+def test_repair_of_one_conversation_with_most_rows_and_of_none(spark):
+    one = spark.range(3000).select(F.lit("c").alias("conv_id"), (F.col("id") % 2500).alias("turn"), F.expr("if(id % 3 = 0, 'user', 'assistant')").alias("role"), F.expr("if(id % 50 = 0, '', if(id < 500, 'same.', 'say ' || id || '.'))").alias("text"))
+    costs = conversation_repair.Costs()
+    rows = [(r.turn, r.role, r.text) for r in one.collect()]
+    many = one.unionByName(spark.range(2000).select(F.lit("d").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("Hi.").alias("text")))
+    got = {r.conv_id: r.asDict() for r in conversation_repair.repair(many, costs, block_rows=100).report.collect()}
+    assert got["d"]["audit"] == "D" * 2000 and got["d"]["cost"] == 4000 and got["d"]["duplicate"] == got["d"]["illegal"] == 1999
+    small = conversation_repair.repair(one, costs, block_rows=10**6).report.collect()[0].asDict()
+    assert got["c"] == small and small["gaps"] == 0 and small["blank"] == 60
+    runs = [conversation_repair.run_of(t, r, x, 1, False) for t, r, x in sorted(rows, key=lambda r: (r[0], r[1], r[2]))[:60]]
+    assert conversation_repair.ended(conversation_repair.best_paths(runs, "-", costs), costs) == brute_edits([(r.role, r.fault) for r in runs], costs)
+    none = conversation_repair.repair(one.limit(0), costs)
+    assert none.report.count() == none.turns.count() == 0
+
+
+def test_damage(spark):
+    rows = [(c, t, r, x) for c in (None, 1, 2, 3) for t in [None, *range(40)] for r, x in [("assistant", "A. b? c!")]] + [(77, 1, None, None)]
+    out = {(r.conv_id, r.turn): r for r in conversation_repair.damage(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c, t, r, x in rows:
+        fault = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        got, role, text = out[c, t], " " if r is None else r, " " if x is None else x
+        assert got.copies == {0: 0, 3: 2}.get(fault, 1)
+        assert got.role == ("user" if fault == 4 else role) and got.text == {1: "", 2: re.sub("[.!?]", "", text)}.get(fault, text)
+    gone = next(t for t in range(99) if zlib.crc32(f"5:{t}".encode()) % 20 == 0)
+    lost = spark.createDataFrame([(5, gone, "user", "Hi.")], "conv_id long, turn long, role string, text string")
+    report = conversation_repair.repair(conversation_repair.damage(lost)).report.collect()
+    assert [tuple(r) for r in report] == [(5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
