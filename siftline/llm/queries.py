@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import chat_format, conversation_repair, embedding_dedup, exact_dedup, packing, quality, secret_scan, simhash, sp_codec, substring_dedup, toxicity, url_filters
+from siftline.llm import chat_format, conversation_repair, embedding_dedup, exact_dedup, packing, quality, secret_scan, simhash, sp_codec, spelling, substring_dedup, toxicity, url_filters
 from siftline.llm.common import table
 
 Rule = url_filters.Rule
@@ -259,6 +259,38 @@ FROM ends e LEFT JOIN sums s ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JO
 )
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each word of the whole ``documents``: its near words, form and root; nulls, repeats and empty tables as ``spelling.vocabulary`` and ``spelling.variants`` have them."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), least=7, least_n=2, every=31), ratio=10, least=7)
+
+
+OP12_SQL = (
+    "WITH RECURSIVE"
+    + CRC
+    + r"""
+found AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+own AS (SELECT id || ':' || w AS k, w, count(*) AS n FROM found WHERE length(w) >= 7 GROUP BY ALL),
+coded AS (SELECT w, n, """
+    + CRC_OF.format("k")
+    + r""" AS h FROM own, remainders),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, sum(n)::BIGINT AS n
+  FROM coded GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, length(word) + 1) t(i)),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM cuts x JOIN cuts y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT w.word, b.near AS form, b.near_n AS form_n FROM words w JOIN best b USING (word) WHERE b.near_n >= 10 * w.n),
+walk AS (SELECT word, form AS root, 1 AS d FROM forms UNION ALL SELECT w.word, f.form, d + 1 FROM walk w JOIN forms f ON w.root = f.word),
+roots AS (SELECT word, arg_max(root, d) AS root FROM walk GROUP BY word)
+SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word) LEFT JOIN roots r USING (word)
+"""
+)
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for each of ``documents``, learnt from labelled rows that are not held out; null texts count as empty, a null id is not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -279,10 +311,11 @@ def queries() -> dict:
         op9_quality,
         op10_sentencepiece,
         op11_conversation_repair,
+        op12_spelling,
         op13_toxicity,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op11_conversation_repair": OP11_SQL}
+    return {"op1_url_filters": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op11_conversation_repair": OP11_SQL, "op12_spelling": OP12_SQL}

@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
-from siftline.llm import common, conversation_repair, quality, queries, toxicity
+from siftline.llm import common, conversation_repair, quality, queries, spelling, toxicity
 
 
 def brute_words(text):
@@ -240,3 +240,83 @@ def test_damage(spark):
     lost = spark.createDataFrame([(5, gone, "user", "Hi.")], "conv_id long, turn long, role string, text string")
     report = conversation_repair.repair(conversation_repair.damage(lost)).report.collect()
     assert [tuple(r) for r in report] == [(5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+# op12
+
+
+def near(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(counts, ratio):
+    by, forms, some = {}, {}, {}
+    for w in counts:  # words at distance one share what is left without one of their characters
+        for i in range(len(w)):
+            by.setdefault(w[:i] + w[i + 1 :], set()).add(w)
+        by.setdefault(w, set()).add(w)
+    for group in by.values():
+        for w in group:
+            some.setdefault(w, set()).update(x for x in group if near(w, x))
+    for w, n in counts.items():
+        best = min(some[w], key=lambda x: (-counts[x], x), default=None)
+        forms[w] = best if best is not None and counts[best] >= ratio * n else None
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while forms[root]:
+            root = forms[root]
+        out[w] = (forms[w], root, n, len(some[w]), counts[forms[w]] if forms[w] else None)
+    return out
+
+
+def words_of(rng, k):
+    words = {"".join(rng.choice("abÿ") for _ in range(rng.randint(1, 9))) for _ in range(k)}
+    long = "".join(rng.choice("abcd") for _ in range(230))
+    for n in (94, 95, 96, 97, 98, 99, 144, 145, 230):
+        for at in (0, 1, 46, 47, 48, 49, 50, n // 2, n - 2, n - 1):
+            words |= {long[:n], long[:at] + "x" + long[at + 1 : n], long[:at] + long[at + 1 : n], long[:at] + "y" + long[at:n]}
+    return words | {"a" * n for n in range(1, 110)} | {"a" * n + "b" for n in range(1, 20)}
+
+
+def test_near_words_against_brute_force(spark):
+    rng = random.Random(12)
+    counts = {w: rng.choice([1, 2, 3, 25, 300, 4000]) for w in words_of(rng, 900)}
+    vocab = spark.createDataFrame([(w, n, "clash") for w, n in counts.items()], "word string, n long, form string")
+    for crowd in (4096, 3):  # small shards are split until one position is left
+        out = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.variants(vocab, ratio=10, crowd=crowd).collect()}
+        assert out == brute_variants(counts, 10)
+    assert spelling.variants(vocab.limit(0)).count() == 0
+
+
+def test_pairs_are_found_once(spark):
+    rng = random.Random(3)
+    words = sorted(words_of(rng, 300))
+    df = spark.createDataFrame([(i, w, 1) for i, w in enumerate(words)], "id long, word string, n long")
+    for crowd in (4096, 5):
+        pairs = [(r.id, r.near) for r in spelling.near_pairs(df, crowd=crowd).collect()]
+        assert len(pairs) == len(set(pairs))
+        assert all(near(words[a], words[b]) for a, b in pairs)
+
+
+def test_vocabulary(spark):
+    texts = [(1, "Wordless wordless WORDLESS, wordles\u00c9s word-less"), (2, None), (3, ""), (None, "wordless \u00d7\u00f7abcdefg1abcdefg"), (4, "abcdefgh " * 40), (4, "z" * 200_000 + " " + "z" * 200_000), (5, "abcdefgh \U0001f600zuzuzuzu\u0100zuzuzuzu")]
+    df = spark.createDataFrame([(*t, "clash") for t in texts], "doc_id long, text string, word string")
+    for every in (None, 2, 3, 31):
+        counts = {}
+        for key, text in texts:
+            low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+            for w in re.findall("[A-Za-z\u00C0-\u00FF]+", low):
+                h = zlib.crc32(f"{'' if key is None else key}:{w}".encode())
+                if every and h % every == 0:
+                    w = w[: h % len(w)] + w[h % len(w) + 1 :]
+                if len(w) >= 7:
+                    counts[w] = counts.get(w, 0) + 1
+        got = {r.word: r.n for r in spelling.vocabulary(df, every=every).collect()}
+        assert got == {w: n for w, n in counts.items() if n >= 2}
+    assert spelling.vocabulary(df.limit(0)).count() == 0
