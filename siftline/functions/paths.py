@@ -40,6 +40,16 @@ def normalize(path: Column) -> Column:
     return F.when(F.startswith(path, F.lit("/")) | F.array_contains(parts, "\u0000"), None).otherwise(F.array_join(parts, "/"))
 
 
+def absolute(base: Column, rel: Column) -> Column:
+    """``rel`` seen from the absolute directory ``base``, itself if it is absolute; ``.`` and ``..`` are resolved by their spelling and ``..`` stops at the root; null if ``rel`` is."""
+
+    def step(acc: Column, part: Column) -> Column:
+        return F.when((part == "") | (part == "."), acc).when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(part)))
+
+    whole = F.when(F.startswith(rel, F.lit("/")), rel).otherwise(F.concat_ws("/", base, rel))
+    return F.when(rel.isNotNull(), F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")))
+
+
 def ancestors(path: Column) -> Column:
     """All directories above a path and the path itself, the root ``''`` first."""
     parts = F.split(path, "/")

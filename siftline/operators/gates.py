@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions import paths
 
-# Recoverability classes from safest to least, with the rung each stands for.
-RUNGS = {"TRACKED_PUSHED": "R2–R4", "TRACKED_UNPUSHED": "R4, local only", "UNTRACKED": "R7 at best, R9 by default", "IGNORED": "R7 at best, R9 by default"}
+#: Recoverability classes from safest to least, and in own words how far back one would have to go for the content.
+RUNGS = {"TRACKED_PUSHED": "a remote has the commit", "TRACKED_UNPUSHED": "only this clone has the commit", "UNTRACKED": "git never had it: a backup, if there is one", "IGNORED": "git was told not to have it: a backup, if there is one"}
 
 
 def boundaries(entries: DataFrame) -> DataFrame:
@@ -44,42 +44,60 @@ def under_boundary(files: DataFrame, found: DataFrame) -> DataFrame:
     return files.join(hit, "path", "left")
 
 
-def gate_0a(candidates: DataFrame, links: DataFrame, store: str) -> DataFrame:
+def _keys(df: DataFrame) -> list[str]:
+    """Trees are kept apart by ``repo`` where there is such a column."""
+    return ["repo"] if "repo" in df.columns else []
+
+
+def gate_0a(candidates: DataFrame, links: DataFrame, store: str | DataFrame) -> DataFrame:
     """``candidate, verdict, conditions``: symlinks on the way, a link with a trailing separator, a link that resolves, a dangling one beside a content store.
 
-    ``links(path, resolves)`` are the symlinks; ``store`` is present, absent or unreadable, and only absent lets a dangling link be reported.
+    ``links(path, resolves)`` are the symlinks; ``store`` is present, absent or unreadable, and only absent lets a dangling link be reported. With a column
+    ``repo`` in all three, ``store`` being a table (repo, store), trees are judged apart; a tree without a row has an unreadable store.
     """
+    keys = _keys(candidates)
     path = paths.strip_trailing_separators(F.col("path"))
-    c = candidates.select("candidate", path.alias("bare"), (path != F.col("path")).alias("separator"))
-    up = c.select("candidate", "bare", F.explode(paths.ancestors(F.col("bare"))).alias("path")).where("path <> bare and path <> ''")
-    on_way = up.join(links.select("path"), "path").groupBy("candidate").agg(F.min("path").alias("linked_ancestor"))
-    own = links.select(F.col("path").alias("bare"), "resolves", F.lit(True).alias("is_link"))
-    j = c.join(on_way, "candidate", "left").join(own, "bare", "left")
+    c = candidates.select(*keys, "candidate", path.alias("bare"), (path != F.col("path")).alias("separator"))
+    c = c.withColumn("store", F.lit(store)) if isinstance(store, str) else c.join(store.select(*keys, "store"), keys, "left").withColumn("store", F.coalesce("store", F.lit("unreadable")))
+    up = c.select(*keys, "candidate", "bare", F.explode(F.array_distinct(paths.ancestors(F.col("bare")))).alias("path")).where("path <> bare and path <> ''")
+    on_way = up.join(links.select(*keys, "path"), [*keys, "path"]).groupBy(*keys, "candidate").agg(F.min("path").alias("linked_ancestor"))
+    own = links.select(*keys, F.col("path").alias("bare"), "resolves", F.lit(True).alias("is_link"))
+    j = c.join(on_way, [*keys, "candidate"], "left").join(own, [*keys, "bare"], "left")
     conditions = F.filter(
         F.array(
             F.when(F.col("linked_ancestor").isNotNull(), "linked_ancestor"),
             F.when(F.col("is_link") & F.col("separator"), "trailing_separator_on_link"),
             F.when(F.col("is_link") & F.col("resolves"), "resolving_link"),
-            F.when(F.col("is_link") & ~F.col("resolves") & F.lit(store != "absent"), "dangling_link_with_store"),
+            F.when(F.col("is_link") & ~F.col("resolves") & (F.col("store") != "absent"), "dangling_link_with_store"),
         ),
         lambda x: x.isNotNull(),
     )
     verdict = F.when(~F.startswith("bare", F.lit("/")) | F.col("bare").isNull(), "unreadable").when(F.col("is_link") & F.col("resolves").isNull(), "unreadable").when(F.size(conditions) > 0, "refuses").otherwise("clear")
-    return j.select("candidate", verdict.alias("verdict"), conditions.alias("conditions"))
+    return j.select(*keys, "candidate", verdict.alias("verdict"), conditions.alias("conditions"))
 
 
 def gate_0e(candidates: DataFrame, regions: DataFrame) -> DataFrame:
     """``candidate, verdict, relations``: a candidate is, lies inside or contains a protected region (absolute paths, component boundaries).
 
-    ``regions(region, region_path)`` are the few stores of a repository. No region at all means they could not be asked for: unreadable. A relative path, too.
+    ``regions(region, region_path)`` are the stores of a repository, with ``repo`` of many. No region at all means they could not be asked for: unreadable. A relative or null path, too.
+    Both directions are equi-joins of one side with the directories above the other.
     """
-    known = regions.agg(F.count(F.lit(1)).alias("n"))
-    path, region = F.col("path"), F.col("region_path")
-    relation = F.when(path == region, "is").when(paths.is_inside(path, region), "inside").when(paths.is_inside(region, path), "contains")
-    hits = candidates.join(F.broadcast(regions), relation.isNotNull()).groupBy("candidate").agg(F.array_sort(F.collect_list(F.struct("region", relation.alias("relation")))).alias("relations"))
-    j = candidates.join(hits, "candidate", "left").crossJoin(F.broadcast(known))  # one row
-    verdict = F.when((F.col("n") == 0) | ~F.startswith("path", F.lit("/")), "unreadable").when(F.col("relations").isNotNull(), "refuses").otherwise("clear")
-    return j.select("candidate", verdict.alias("verdict"), F.when(verdict == "refuses", F.col("relations")).alias("relations"))
+    keys = _keys(candidates)
+    plain = lambda c: F.regexp_replace(c, "/+$", "")
+    c = candidates.select(*keys, "candidate", plain(F.col("path")).alias("path"), F.col("path").alias("as_given"))
+    r = regions.select(*keys, "region", plain(F.col("region_path")).alias("region_path"))
+    up = c.where("as_given like '/%'").select(*keys, "candidate", "path", F.explode(F.array_distinct(paths.ancestors(F.col("path")))).alias("region_path"))
+    at = up.join(r, [*keys, "region_path"]).select(*keys, "candidate", "region", F.when(F.col("path") == F.col("region_path"), "is").otherwise("inside").alias("relation"))
+    down = r.select(*keys, "region", "region_path", F.explode(F.array_distinct(paths.ancestors(F.col("region_path")))).alias("path")).where("path <> region_path")
+    over = c.where("as_given like '/%'").join(down, [*keys, "path"]).select(*keys, "candidate", "region", F.lit("contains").alias("relation"))
+    hits = at.unionByName(over).groupBy(*keys, "candidate").agg(F.array_sort(F.collect_list(F.struct("region", "relation"))).alias("relations"))
+    j = c.join(hits, [*keys, "candidate"], "left")
+    if keys:
+        j = j.join(regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    else:
+        j = j.crossJoin(F.broadcast(regions.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    verdict = F.when((F.col("n") == 0) | ~F.coalesce(F.col("as_given").like("/%"), F.lit(False)), "unreadable").when(F.col("relations").isNotNull(), "refuses").otherwise("clear")
+    return j.select(*keys, "candidate", verdict.alias("verdict"), F.when(verdict == "refuses", F.col("relations")).alias("relations"))
 
 
 def recoverability(candidates: DataFrame, status: DataFrame, head_on_remote: bool | None) -> DataFrame:

@@ -268,17 +268,87 @@ def test_root_set(spark):
     assert rows(roots.rescues(claims, found), "claim") == [("i.js",), ("lib.Flush",)]
 
 
-def test_repo_tree_keeps_hidden_names(spark, tmp_path):
-    for p in (".github/workflows/ci.yml", ".env", "_config.yml", "__mocks__/redis.js", "src/blob.bin"):
-        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / p).write_text("x")
-    (tmp_path / "big").write_bytes(b"x" * 100)
-    (tmp_path / "link").symlink_to("nowhere")
-    repo_tree.register(spark)
-    df = spark.read.format("repo_tree").option("root", str(tmp_path)).option("max_bytes", "50").load()
-    got = {r.path: (r.kind, r.read_status) for r in df.collect()}
-    assert got[".env"] == ("file", "completed") and got[".github/workflows/ci.yml"][0] == "file" and got["__mocks__/redis.js"][0] == "file" and got["_config.yml"][0] == "file"
-    assert got["big"] == ("file", "truncated") and got["link"] == ("symlink", "completed")
+def test_scan_of_trees(spark, tmp_path):
+    """Hidden names, links, large and unlistable entries of two trees at once; a git directory only at its top; the bit of every walk that sees an entry."""
+    a, b = tmp_path / "a", tmp_path / "b"
+    for p in (".github/workflows/ci.yml", ".env", "_config.yml", "__mocks__/redis.js", "src/blob.bin", ".git/HEAD", ".git/refs/heads/main", "vendor/lib/x.py", "dist/y.js", "sub/.git", "sub/z.py", "deep/" * 5 + "w.py"):
+        (a / p).parent.mkdir(parents=True, exist_ok=True)
+        (a / p).write_text("x")
+    (a / "big").write_bytes(b"x" * 100)
+    (a / "link").symlink_to("nowhere")
+    b.mkdir()
+    (b / "only").write_text("y")
+    roots = spark.createDataFrame([("a", str(a)), ("b", str(b)), ("c", str(tmp_path / "gone"))], "repo string, root string")
+    df = repo_tree.with_walks(repo_tree.scan(roots, max_bytes=50))
+    got = {(r.repo, r.path): r for r in df.collect()}
+    names = [p for r, p in got if r == "a"]
+    assert {".env", ".github/workflows/ci.yml", "__mocks__/redis.js", "_config.yml", ".git/HEAD", ".git/refs"} <= set(names) and ".git/refs/heads" not in names and "deep/" * 5 + "w.py" in names
+    assert got["a", "big"].read_status == "truncated" and got["a", "big"].content is None
+    assert bytes(got["a", "link"].content) == b"nowhere" and bytes(got["b", "only"].content) == b"y" and got["c", ""].read_status == "errored"
+    seen = lambda p: {w for i, w in enumerate(repo_tree.WALKS) if got["a", p].walks >> i & 1}
+    every = set(repo_tree.WALKS)
+    assert seen("src/blob.bin") == every and seen("src") == set() and seen(".git/HEAD") == set()
+    assert seen("vendor/lib/x.py") == every - {"manifests", "declared"} and seen("dist/y.js") == every - {"conventions"}
+    assert seen("sub/z.py") == {"declared"} and seen("link") == every - {"reachability", "manifests", "conventions"}
+    assert df.where(repo_tree.sees("declared")).count() == sum("declared" in seen(p) for p in names) + 1
+
+
+def git_in(folder):
+    import subprocess
+
+    return lambda *a: subprocess.run(["git", "-C", str(folder), "-c", "user.name=t", "-c", "user.email=t@t", "-c", "protocol.file.allow=always", *a], check=True, capture_output=True, text=True).stdout.strip()
+
+
+def test_both_git_directories_of_a_linked_worktree(spark, tmp_path):
+    """Regions from scanned rows alone are those git itself gives, for a clone, a linked worktree and a separate git directory."""
+    from siftline.operators import gates, stores
+
+    main, linked, sep, store = (tmp_path / n for n in ("main", "linked", "sep", "sep-store"))
+    main.mkdir()
+    run = git_in(main)
+    run("init", "-q")
+    (main / "README.md").write_text("x")
+    run("add", ".")
+    run("commit", "-qm", "m")
+    run("worktree", "add", "-q", str(linked))
+    run("config", "lfs.storage", str(tmp_path / "elsewhere"))
+    run("init", "-q", "--separate-git-dir", str(store), str(sep))
+    (store / "annex").mkdir()
+    trees = spark.createDataFrame([("main", str(main)), ("linked", str(linked)), ("sep", str(sep))], "repo string, root string")
+    own = git_in(linked)("rev-parse", "--absolute-git-dir")
+    others = [(r, d) for r in ("main", "linked", "sep") for d in (str(main / ".git"), own, str(store))]
+    scanned = repo_tree.scan(trees).unionByName(repo_tree.scan(spark.createDataFrame(others, "repo string, root string")))
+    entries = scanned.select("repo", F.concat_ws("/", "root", "path").alias("path"), "kind", "content", "link_target", "read_status").distinct()
+    found = stores.located(trees, entries)
+    got = {r.repo: r for r in found.collect()}
+    for repo, folder in (("main", main), ("linked", linked), ("sep", sep)):
+        ask = git_in(folder)
+        assert got[repo].why is None and got[repo].git_dir == ask("rev-parse", "--absolute-git-dir")
+        assert got[repo].common_dir == str((folder / ask("rev-parse", "--git-common-dir")).resolve())
+    assert got["linked"].git_dir != got["linked"].common_dir
+    assert got["main"].lfs_store == got["linked"].lfs_store == str(tmp_path / "elsewhere") and got["sep"].lfs_store == str(store / "lfs")
+    assert [got[r].store for r in ("main", "linked", "sep")] == ["absent", "absent", "present"]
+    asked = [("linked", "own", own + "/objects"), ("linked", "common", str(main / ".git/objects")), ("linked", "readme", str(linked / "README.md")), ("linked", "lfs", str(tmp_path / "elsewhere/objects")), ("main", "root", str(main))]
+    verdicts = gates.gate_0e(spark.createDataFrame(asked, "repo string, candidate string, path string"), stores.regions(found))
+    assert {r.candidate: r.verdict for r in verdicts.collect()} == {"own": "refuses", "common": "refuses", "readme": "clear", "lfs": "refuses", "root": "refuses"}
+
+
+def test_against_head(spark, tmp_path):
+    run = git_in(tmp_path)
+    run("init", "-q")
+    for n in ("same", "changed", "gone", "d/é ü"):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "link").symlink_to("same")
+    run("add", ".")
+    run("commit", "-qm", "m")
+    (tmp_path / "changed").write_text("other")
+    (tmp_path / "gone").unlink()
+    (tmp_path / "new").write_text("")
+    roots = spark.createDataFrame([("r", str(tmp_path))], "repo string, root string")
+    got = {r.path: (r.blob, r.state) for r in repo_tree.against_head(repo_tree.scan(roots), repo_tree.heads(roots)).collect() if not r.path.startswith(".git")}
+    assert {p: s for p, (_, s) in got.items()} == {"same": "same", "changed": "modified", "gone": "deleted", "d/é ü": "same", "link": "same", "new": "untracked"}
+    assert all(b == run("hash-object", p) for p, (b, _) in got.items() if p in ("same", "changed", "new"))
 
 
 def test_streaming_ratchet(spark, tmp_path):
@@ -367,11 +437,12 @@ def test_git_facts(spark, tmp_path):
     run("add", "a.py", ".gitignore")
     run("commit", "-qm", "m")
     (tmp_path / "a.py").write_text("y")
-    facts, head = repo_tree.git_facts(spark, str(tmp_path), ["a.py", "b.log", "keep.log", "new.py"])
+    asked = spark.createDataFrame([("r", str(tmp_path), p) for p in ("a.py", "b.log", "keep.log", "new.py")], "repo string, root string, path string")
+    facts, head = repo_tree.git_facts(asked), repo_tree.head_facts(asked.select("repo", "root").distinct())
     got = {r.path: (r.tracked, r.ignored, r.dirty, r.committed_at is not None) for r in facts.collect()}
     assert got == {"a.py": (True, False, True, True), "b.log": (False, True, False, False), "keep.log": (False, False, False, False), "new.py": (False, False, False, False)}
     assert rows(rules.negations(facts, facts.withColumnsRenamed({"ignore_source": "source", "ignore_line": "line", "ignore_pattern": "pattern"})), "path") == [("keep.log",)]
-    assert tuple(head.first()) == (False, False)
+    assert tuple(head.first()) == ("r", False, False)
 
 
 def test_generated_by_content(spark):
