@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftline.functions import paths
 from siftline.functions.globs import pathspec
 from siftline.functions.text import bare_suffixes, has_expired
+from siftline.sources import markers
 from siftline.sources.manifests import manifest_roots
 
 COLUMNS = ("tier", "rule", "origin", "origin_file", "path", "symbol", "target", "detail")
@@ -172,25 +173,12 @@ def lint(files: DataFrame, declared: DataFrame, now: str) -> DataFrame:
 
 
 # What a source line says about the name in it or the item behind it.
-MARKERS = (
-    ("go", "go_linkname", r"^\s*//go:linkname\s+(\S+)"), ("go", "go_linkname", r"^\s*//go:linkname\s+\S+\s+(\S+)"), ("go", "go_export", r"^\s*//export\s+(\S+)"),
-    ("rs", "rust_no_mangle", r"^\s*#\[(?:no_mangle|unsafe\(no_mangle\))\]"), ("rs", "rust_used", r"^\s*#\[(?:used|unsafe\(used\))\]"), ("rs", "rust_ctor", r"^\s*#\[ctor(?:::ctor)?\]"),
-    ("rs", "rust_export_name", r"^\s*#\[(?:unsafe\()?export_name\s*=\s*\"([^\"]+)\""), ("rs", "rust_export_name", r"^\s*#\[(?:unsafe\()?export_name"), ("pth", "python_pth", r"^\s*import\s+([^;\s]+)"),
-)
-
-
 def source_roots(files: DataFrame) -> DataFrame:
-    """Tier A from source lines: directives that export, link, embed or register, and start-up hooks; the symbol is the marker's own or the item on the next lines."""
-    ext = paths.extension(F.col("path"))
-    numbered = files.where(ext.isin("go", "rs", "pth")).select("path", ext.alias("ext"), F.split("text", "\n").alias("lines")).select("path", "ext", "lines", F.posexplode("lines").alias("i", "line"))
-    after = F.slice("lines", F.col("i") + 2, F.lit(6))
-    blank = F.array_position(F.transform(after, lambda x: F.trim(x) == ""), F.lit(True)).cast("int")  # a marker does not reach past a blank line
-    item = F.regexp_extract(F.array_join(F.slice(after, F.lit(1), F.when(blank > 0, blank - 1).otherwise(6)), "\n"), r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?(?:async\s+)?(?:fn|static|const)\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)", 1)
-    rows = [F.when((F.col("ext") == e) & F.col("line").rlike(r), F.struct(F.lit(m).alias("rule"), (F.regexp_replace(F.regexp_extract("line", r, 1), r"^.*[./]", "") if "S+)" in r or "]+)" in r else item).alias("symbol"))) for e, m, r in MARKERS]
-    hit = numbered.select("path", "i", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("r"))
-    return hit.select(
-        F.lit("A").alias("tier"), "r.rule", F.concat(F.lit("line "), F.col("i") + 1).alias("origin"), F.col("path").alias("origin_file"), "path", F.nullif("r.symbol", F.lit("")).alias("symbol"),
-        F.when(F.col("r.symbol") == "", "path").otherwise("symbol").alias("target"), F.lit("").alias("detail"),
+    """Tier A from source lines, see ``markers.source_roots``: a marker roots the symbol it declares, not the file around it; Python's start-up files are roots themselves."""
+    found = markers.source_roots(files)
+    return found.select(
+        F.lit("A").alias("tier"), "rule", F.concat(F.lit("line "), F.col("line").cast("string")).alias("origin"), F.col("path").alias("origin_file"), F.when(F.col("symbol").isNull(), F.col("path")).alias("path"), "symbol",
+        F.when(F.col("symbol").isNull(), "path").otherwise("symbol").alias("target"), F.col("target").alias("detail"),
     ).toDF(*COLUMNS)
 
 

@@ -196,22 +196,58 @@ def legal_files(spark, sf_dir):
 # Frameworks, coverage, reachability, layers ----------------------------------------------------------------------------
 
 
+_TRACE = ["artifact", "line", "key", "source", "name", "cast(number as long) as number", "cast(count as long) as count", "violation"]
+
+
 @plan(
-    """WITH t AS (SELECT s_suppkey AS k, s_suppkey % 4 AS v, s_nationkey AS c FROM supplier)
-SELECT 'a' || k AS artifact, 's/' || c || '.py' AS source, c::BIGINT AS line, (k % 7)::BIGINT AS count, '' AS violation FROM t WHERE v <> 2
-UNION ALL SELECT 'a' || k, '', CASE v WHEN 3 THEN 5 WHEN 2 THEN 3 ELSE 1 END, -1, CASE v WHEN 1 THEN 'data before any record' WHEN 2 THEN 'a count that is none' ELSE 'a record without its end' END FROM t WHERE v <> 0"""
+    """WITH t AS (SELECT 'a' || o_orderkey AS artifact, o_orderkey % 8 AS v, o_custkey AS c, o_orderkey % 7 AS n FROM orders),
+s AS (SELECT *, 's/' || c || '.py' AS source, CASE WHEN v = 1 THEN 1 ELSE 0 END AS up FROM t)
+SELECT artifact, (2 + up)::BIGINT AS line, 'SF' AS key, source, NULL AS name, NULL::BIGINT AS number, NULL::BIGINT AS count, NULL AS violation FROM s
+UNION ALL SELECT artifact, 3 + up, 'FN', source, CASE v WHEN 5 THEN '' ELSE 'f(A, B)' END, c, NULL, CASE v WHEN 5 THEN 'no function name' END FROM s
+UNION ALL SELECT artifact, 4 + up, 'FN', source, CASE v WHEN 6 THEN 'x,g' ELSE 'g' END, c + 1, NULL, NULL FROM s
+UNION ALL SELECT artifact, 5 + up, 'FNDA', source, 'f(A, B)', CASE WHEN v <> 4 THEN n END, NULL, CASE WHEN v = 4 THEN 'a number that is none' END FROM s
+UNION ALL SELECT artifact, 6 + up, 'DA', source, NULL, c, CASE WHEN v = 7 THEN 0 WHEN v <> 2 THEN n END, CASE WHEN v = 2 THEN 'a count that is none' END FROM s
+UNION ALL SELECT artifact, 7 + up, 'end', source, NULL, NULL, NULL, NULL FROM s WHERE v <> 3
+UNION ALL SELECT artifact, 8, 'DA', source, NULL, c, n, 'a record without its end' FROM s WHERE v = 3
+UNION ALL SELECT artifact, 1, 'DA', NULL, NULL, 1, 1, 'data before any record' FROM s WHERE v = 1
+UNION ALL SELECT artifact, 8, 'end', NULL, NULL, NULL, NULL, 'an end outside of a record' FROM s WHERE v = 0"""
 )
 def lcov_records(spark, sf_dir):
-    """Lines of tracefiles, and what is wrong with some: data before a record, a count that is none, no end."""
-    k, c, v = F.col("s_suppkey"), F.col("s_nationkey").cast("string"), F.col("s_suppkey") % 4
-    count = F.when(v == 2, "x").otherwise((k % 7).cast("string"))
-    record = F.concat(F.lit("SF:./s\\"), c, F.lit(".py\nFN:1,f\nDA:"), c, F.lit(","), count, F.lit("\n"))
-    doc = F.concat(F.when(v == 1, "DA:1,1\n").otherwise(""), record, F.when(v == 3, "# no end\nDA:").otherwise("end_of_record\n"), F.when(v == 3, F.concat(c, F.lit(","), (k % 7).cast("string"))).otherwise(""))
-    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("a"), k.cast("string")).alias("artifact"), doc.alias("text"))
-    _, lines, bad = lcov.parse(files)
-    none = F.lit("")
-    good = lines.select("artifact", "source", "line", F.col("count").cast("long").alias("count"), none.alias("violation")).distinct()
-    return good.unionByName(bad.select("artifact", none.alias("source"), F.col("line").cast("long").alias("line"), F.lit(-1).cast("long").alias("count"), "violation"))
+    """A tracefile an order: both dialects of FN, names with commas, calls, lines with and without checksums, unknown counts; data before a record, an end without one, no end, no name, no number."""
+    c, n, v = F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 7).cast("string"), F.col("o_orderkey") % 8
+    more = (F.col("o_custkey") + 1).cast("string")
+    doc = F.concat(
+        F.when(v == 1, "DA:1,1\nTN:run\n").otherwise("# made by hand\n"), F.lit("SF:./s\\"), c, F.lit(".py\nFN:"), c, F.when(v == 5, ", ").otherwise(", f(A, B)"), F.lit("\nFN:"), more, F.when(v == 6, ",x,g").otherwise(",99,g"),
+        F.lit("\nFNDA:"), F.when(v == 4, "-1").otherwise(n), F.lit(",f(A, B)\r\n\tDA:"), c, F.lit(","), F.when(v == 2, "x").when(v == 7, "-").otherwise(n), F.when(v == 6, ",checksum").otherwise(""), F.lit("\n"),
+        F.when(v == 3, F.concat(F.lit("BRDA:1,2,3,4\nDA:"), c, F.lit(","), n)).when(v == 0, "end_of_record\nend_of_record\n").otherwise("end_of_record\n"),
+    )
+    return lcov.records(table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("artifact"), doc.alias("text"))).selectExpr(*_TRACE)
+
+
+@plan(
+    """WITH t AS (SELECT o_custkey AS c, o_orderkey AS part, o_orderkey % 3 AS v, o_orderkey % 7 AS n,
+    coalesce(sum(CASE o_orderkey % 3 WHEN 2 THEN 4 ELSE 2 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
+    CASE WHEN lag(o_orderkey % 3) OVER w = 0 THEN 'a' || lag(o_orderkey) OVER w || '.py' END AS source, lead(o_orderkey) OVER w IS NULL AS closes FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+r AS (
+  SELECT c, above + 1 AS line, 'SF' AS key, 'a' || part || '.py' AS source, NULL AS number, NULL AS count, NULL AS violation FROM t WHERE v = 0
+  UNION ALL SELECT c, above + 2, 'DA', 'a' || part || '.py', 1, n, CASE WHEN closes THEN 'a record without its end' END FROM t WHERE v = 0
+  UNION ALL SELECT c, above + 1, 'DA', source, 2, n, CASE WHEN source IS NULL THEN 'data before any record' END FROM t WHERE v = 1
+  UNION ALL SELECT c, above + 2, 'end', source, NULL, NULL, CASE WHEN source IS NULL THEN 'an end outside of a record' END FROM t WHERE v = 1
+  UNION ALL SELECT c, above + 1, 'SF', 'b' || part || '.py', NULL, NULL, NULL FROM t WHERE v = 2
+  UNION ALL SELECT c, above + 2, 'DA', 'b' || part || '.py', 3, n, NULL FROM t WHERE v = 2
+  UNION ALL SELECT c, above + 3, 'end', 'b' || part || '.py', NULL, NULL, NULL FROM t WHERE v = 2)
+SELECT 'c' || c AS artifact, line::BIGINT AS line, key, source, NULL AS name, number::BIGINT AS number, count::BIGINT AS count, violation FROM r"""
+)
+def lcov_parts(spark, sf_dir):
+    """A tracefile a customer, in as many parts as there are orders: records that go on in the next part, lines numbered through, and what lies outside of any record."""
+    k, n, v = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 7).cast("string"), F.col("o_orderkey") % 3
+    text = (
+        F.when(v == 0, F.concat(F.lit("SF:a"), k, F.lit(".py\nDA:1,"), n))
+        .when(v == 1, F.concat(F.lit("DA:2,"), n, F.lit("\nend_of_record")))
+        .otherwise(F.concat(F.lit("SF:b"), k, F.lit(".py\nDA:3,"), n, F.lit("\nend_of_record\n")))
+    )
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("artifact"), F.col("o_orderkey").alias("part"), text.alias("text"))
+    return lcov.records(files).selectExpr(*_TRACE)
 
 
 @plan(

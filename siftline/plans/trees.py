@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import gates, stores
 from siftline.plans.tables import plan, table
-from siftline.sources import repo_tree
+from siftline.sources import markers, repo_tree
 
 # Where git directories and stores are -----------------------------------------------------------------------------------
 
@@ -113,3 +113,33 @@ def against_head(spark, sf_dir):
     rows = d.where("v <> 3").select("repo", "path", F.lit("file").alias("kind"), F.when(F.col("v") == 4, "errored").otherwise("completed").alias("read_status"), "content")
     head = d.where("v <> 2").select("repo", "path", F.lit("100644").alias("mode"), repo_tree.blob_id(F.when(F.col("v").isin(1, 3), F.col("other")).otherwise(F.col("content"))).alias("blob"))
     return repo_tree.against_head(rows, head).select("path", "blob", "state")
+
+
+# Markers in source ------------------------------------------------------------------------------------------------------
+
+# Path, text, and the roots: rule, line, symbol (none: the file), target.
+_SOURCES = [
+    ("s/{k}.rs", '#[no_mangle]\npub extern "C" fn f{k}() {}\n', [("rust/no-mangle", 2, "f{k}", "f{k}")]),
+    ("s/{k}.rs", 'const S: &str = r#"\n#[no_mangle]\nfn quoted{k}() {}\n"#;\n#[used]\n// why\nstatic KEPT{k}: u8 = 0;\n', [("rust/used", 7, "KEPT{k}", "KEPT{k}")]),
+    ("s/{k}.rs", 'const S: &str = "#[ctor]\\\\nfn f{k}() {}";\n#[ctor]\n\nfn far{k}() {}\n', []),
+    ("s/{k}.rs", '#[export_name = "abi{k}"]\n#[inline]\npub fn g{k}() {}\n', [("rust/export-name", 1, "abi{k}", "abi{k}"), ("rust/export-name", 3, "g{k}", "g{k}")]),
+    ("g/{k}.go", "package g\n//go:linkname now{k} runtime/time.now{k}\n", [("go/linkname", 2, "now{k}", "now{k}"), ("go/linkname", 2, "now{k}", "runtime/time.now{k}")]),
+    ("g/{k}.go", "package g\nvar t = `\n//export Hidden{k}\n`\n//export Shown{k}\n", [("go/export", 5, "Shown{k}", "Shown{k}")]),
+    ("p/{k}.pth", "lib\nimport m{k}; m{k}.run()\n", [("python/pth", 1, None, "p/{k}.pth"), ("python/pth", 2, "m{k}", "m{k}")]),
+    ("p/{k}/sitecustomize.py", "x = 1\n", [("python/sitecustomize", 1, None, "p/{k}/sitecustomize.py")]),
+    ("d/{k}.md", "We use `#[no_mangle]`\n//export Prose\n", []),
+    ("s/{k}.rs", "let s = r\"one line #[no_mangle]\";\n#[unsafe(no_mangle)]\npub unsafe extern \"C\" fn h{k}() {}\n", [("rust/no-mangle", 3, "h{k}", "h{k}")]),
+]
+_quote = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+@plan(
+    "WITH t AS (SELECT p_partkey::VARCHAR AS k, p_partkey % 10 AS v FROM part), r AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({v}, '{rule}', {line}, {_quote(path)}, {_quote(symbol)}, {_quote(target)})" for v, (path, _, found) in enumerate(_SOURCES) for rule, line, symbol, target in found)
+    + ") x(v, rule, line, path, symbol, target)) SELECT rule, replace(path, '{k}', k) AS path, line::BIGINT AS line, replace(symbol, '{k}', k) AS symbol, replace(target, '{k}', k) AS target FROM t JOIN r USING (v)"
+)
+def source_roots(spark, sf_dir):
+    """Directives, attributes and start-up files that declare roots, beside the same lines in raw strings, escaped literals, prose and above a blank line."""
+    i = (F.col("p_partkey") % len(_SOURCES) + 1).cast("int")
+    fill = lambda at: F.replace(F.element_at(F.array(*[F.lit(s[at]) for s in _SOURCES]), i), F.lit("{k}"), F.col("p_partkey").cast("string"))
+    return markers.source_roots(table(spark, sf_dir, "part").select(fill(0).alias("path"), fill(1).alias("text")))

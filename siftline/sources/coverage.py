@@ -1,11 +1,8 @@
-"""lcov tracefiles and control files, parsed as lines inside the engine.
-
-A tracefile's lines are grouped into records by a running maximum of the last ``SF:`` line, within one artifact.
-"""
+"""lcov tracefiles and control files, parsed as lines inside the engine."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,45 +16,103 @@ def normalized(source):
     return F.regexp_replace(F.replace(source, F.lit("\\"), F.lit("/")), r"^(?:\./)+", "")
 
 
-def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Functions (``artifact, source, seq, name, start_line, calls``), lines (``artifact, source, line, count``) and violations (``artifact, line, violation``).
+DATA = ("FN", "FNDA", "DA")
+U32, U64 = 4294967295, 18446744073709551615
+
+
+def _number(text: Column, most: int) -> Column:
+    """An unsigned number of at most ``most``, null where it is none."""
+    value = F.when(text.rlike(r"^\+?\d{1,20}$"), text.try_cast("decimal(20,0)"))
+    return F.when(value <= F.lit(str(most)).cast("decimal(20,0)"), value)
 
-    Unknown keys are skipped. Data or an end outside of a record, a record without its end and a number that is none are violations, and an artifact with one has said nothing.
+
+def records(files: DataFrame) -> DataFrame:
+    """Every line of tracefiles that says something: ``artifact, line, key (SF, FN, FNDA, DA, end), source, name, number, count, violation``.
+
+    ``files(artifact, text)``; with a column ``part``, an artifact comes in parts, cut between lines, and one huge tracefile is many rows. ``source`` is the record that a line lies in. A
+    text is cut into records where it stands, by array functions, so nothing is sorted. Of each part only what it hands on meets the others: how many lines it has, whether a record is
+    open at its end, and which. Unknown keys are skipped. A null text is an empty one.
     """
-    t = numbered(files).where("text <> '' and not startswith(text, '#')")
-    key = F.regexp_extract("text", r"^([A-Z]+):", 1)
-    value = F.trim(F.regexp_extract("text", r"^[A-Z]+:(.*)$", 1))
-    event = F.when(F.col("text") == "end_of_record", F.lit("end")).otherwise(key)
-    rows = t.withColumn("key", event).withColumn("value", value).where("key in ('SF', 'FN', 'FNDA', 'DA', 'end')")
-    before = Window.partitionBy("artifact").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    past = Window.partitionBy("artifact").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.when(F.col("key") == "SF", normalized(F.col("value"))).when(F.col("key") == "end", F.lit("\u0000"))
-    rows = rows.withColumn("source", F.last_value(opened, True).over(before)).withColumn("was", F.coalesce(F.last_value(opened, True).over(past), F.lit("\u0000")))
-    rows = rows.withColumn("is_last", F.row_number().over(Window.partitionBy("artifact").orderBy(F.desc("line"))) == 1)
-    number = r"^\s*\d{1,19}\s*$"
-    head, tail = F.regexp_extract("value", r"^([^,]*),", 1), F.trim(F.regexp_extract("value", r"^[^,]*,(.*)$", 1))
-    second, rest = F.trim(F.regexp_extract(tail, r"^([^,]*),", 1)), F.trim(F.regexp_extract(tail, r"^[^,]*,(.*)$", 1))
-    ranged = second.rlike(r"^\d+$") & (rest != "")  # FN:<start>,<end>,<name>
-    name = F.when((F.col("key") == "FN") & ranged, rest).otherwise(tail)
-    count = F.trim(F.regexp_extract(tail, r"^([^,]*)", 1))
-    outside = F.coalesce(F.col("source"), F.lit("\u0000")) == "\u0000"
+    parts = ["part"] if "part" in files.columns else []
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    trimmed = F.transform(lines, lambda raw, i: F.struct((i + 1).alias("line"), F.trim(F.translate(raw, "\r\t", "  ")).alias("t")))
+    some = F.filter(trimmed, lambda x: (x["t"] != "") & ~F.startswith(x["t"], F.lit("#")))
+    keyed = F.transform(
+        some,
+        lambda x: F.struct(
+            x["line"].alias("line"),
+            F.when(x["t"] == "end_of_record", "end").otherwise(F.substring_index(x["t"], ":", 1)).alias("key"),
+            F.trim(F.substring(x["t"], F.instr(x["t"], ":") + 1, F.length(x["t"]))).alias("value"),
+        ),
+    )
+    said = F.filter(keyed, lambda x: x["key"].isin("SF", "end", *DATA))
+    rows = files.select("artifact", *parts, F.size(lines).alias("n_lines"), said.alias("said"))
+    # Opening and closing lines: what is open before the first of them comes from the parts before.
+    turns = F.filter("said", lambda x: x["key"].isin("SF", "end"))
+    last = F.try_element_at(turns, F.lit(-1))
+    source = lambda x: F.when(x["key"] == "SF", normalized(x["value"]))
+    if parts:
+        rows = rows.withColumns({"turned": last.isNotNull(), "hands_on": source(last), "final": F.try_element_at("said", F.lit(-1))["line"]})
+        before = Window.partitionBy("artifact").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        every = Window.partitionBy("artifact")
+        state = F.last_value(F.when(F.col("turned"), F.struct("hands_on")), True).over(before)["hands_on"]
+        carried = rows.select("artifact", "part", state.alias("carried"), F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("above"), (F.max(F.when(F.col("final").isNotNull(), F.col("part"))).over(every) == F.col("part")).alias("closes"))
+        rows = rows.select("artifact", "part", "said").join(carried, ["artifact", "part"])
+    else:
+        rows = rows.select("artifact", "said", F.lit(None).cast("string").alias("carried"), F.lit(0).alias("above"), F.lit(True).alias("closes"))
+    # A record, or what lies outside of one, begins at an SF line, after an end, and with the part.
+    starts = F.filter(
+        F.transform("said", lambda x, j: F.when((j == 0) | (x["key"] == "SF") | (F.try_element_at(F.col("said"), j)["key"] == "end"), j + 1)), lambda j: j.isNotNull()
+    )
+    rows = rows.withColumn("starts", starts)
+    cut = F.transform(
+        "starts",
+        lambda s, i: F.struct(
+            F.when(F.element_at(F.col("said"), s)["key"] == "SF", source(F.element_at(F.col("said"), s))).when(s == 1, F.col("carried")).alias("source"),
+            F.slice(F.col("said"), s, F.coalesce(F.try_element_at(F.col("starts"), (i + 2).cast("int")), F.size("said") + 1) - s).alias("rows"),
+        ),
+    )
+    each = rows.select("artifact", "above", "closes", F.try_element_at("said", F.lit(-1))["line"].alias("last"), F.explode(cut).alias("s"))
+    each = each.select("artifact", "above", "closes", "last", F.col("s.source").alias("source"), F.explode("s.rows").alias("x"))
+    x = F.col("x")
+    key, value = x["key"], x["value"]
+    comma = F.instr(value, ",")
+    head = F.when(comma > 0, F.trim(F.substring_index(value, ",", 1))).otherwise("")
+    tail = F.when(comma > 0, F.trim(F.substring(value, comma + 1, F.length(value)))).otherwise("")
+    each = each.select("artifact", "above", "closes", "last", "source", x["line"].alias("at"), key.alias("key"), value.alias("value"), head.alias("head"), tail.alias("tail"))
+    second = F.instr("tail", ",")
+    rest = F.trim(F.substring(F.col("tail"), second + 1, F.length("tail")))
+    ranged = (F.col("key") == "FN") & (second > 0) & _number(F.trim(F.substring_index("tail", ",", 1)), U32).isNotNull() & (rest != "")  # FN:<start>,<end>,<name>
+    counted = F.trim(F.substring_index("tail", ",", 1))
+    each = each.withColumns({
+        "number": F.when(F.col("key").isin(*DATA), F.when(F.col("key") == "FNDA", _number(F.col("head"), U64)).otherwise(_number(F.col("head"), U32))),
+        "name": F.when(F.col("key").isin("FN", "FNDA"), F.when(ranged, rest).otherwise(F.col("tail"))),
+        "count": F.when(F.col("key") == "DA", F.when(counted == "-", F.lit(0).cast("decimal(20,0)")).otherwise(_number(counted, U64))),
+    })
+    data = F.col("key").isin(*DATA)
     wrong = (
         F.when((F.col("key") == "SF") & (F.col("value") == ""), "a record without a path")
-        .when((F.col("key") == "end") & (F.col("was") == "\u0000"), "an end outside of a record")
-        .when(F.col("key").isin("FN", "FNDA", "DA") & outside, "data before any record")
-        .when(F.col("key").isin("FN", "FNDA", "DA") & ~head.rlike(number), "a number that is none")
-        .when(F.col("key").isin("FN", "FNDA") & (name == ""), "no function name")
-        .when((F.col("key") == "DA") & (count != "-") & ~count.rlike(number), "a count that is none")
-        .when(F.col("is_last") & (F.col("key") != "end"), "a record without its end")
+        .when((F.col("key") == "end") & F.col("source").isNull(), "an end outside of a record")
+        .when(data & F.col("source").isNull(), "data before any record")
+        .when(data & F.col("number").isNull(), "a number that is none")
+        .when(F.col("key").isin("FN", "FNDA") & (F.col("name") == ""), "no function name")
+        .when((F.col("key") == "DA") & F.col("count").isNull(), "a count that is none")
+        .when(F.col("closes") & (F.col("at") == F.col("last")) & (F.col("key") != "end"), "a record without its end")
     )
-    rows = rows.withColumn("violation", wrong)
-    functions = rows.where("key in ('FN', 'FNDA') and violation is null").select(
-        "artifact", "source", F.col("line").alias("seq"), name.alias("name"), F.when(F.col("key") == "FN", F.trim(head).cast("long")).alias("start_line"),
-        F.when(F.col("key") == "FNDA", F.trim(head).cast("decimal(20,0)")).alias("calls"),
+    return each.select("artifact", (F.col("above") + F.col("at")).cast("long").alias("line"), "key", "source", "name", "number", "count", wrong.alias("violation"))
+
+
+def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Functions (``artifact, source, seq, name, start_line, calls``), lines (``artifact, source, line, count``) and violations (``artifact, line, violation``) of ``records``.
+
+    Data or an end outside of a record, a record without its end and a number that is none are violations, and an artifact with one has said nothing.
+    """
+    rows = records(files)
+    good = rows.where("violation is null")
+    functions = good.where("key in ('FN', 'FNDA')").select(
+        "artifact", "source", F.col("line").alias("seq"), "name", F.when(F.col("key") == "FN", F.col("number")).cast("long").alias("start_line"), F.when(F.col("key") == "FNDA", F.col("number")).alias("calls")
     )
-    lines = rows.where("key = 'DA' and violation is null").select(
-        "artifact", "source", F.trim(head).cast("long").alias("line"), F.when(count == "-", 0).otherwise(count.cast("decimal(20,0)")).cast("decimal(20,0)").alias("count")
-    )
+    lines = good.where("key = 'DA'").select("artifact", "source", F.col("number").cast("long").alias("line"), "count")
     return functions, lines, rows.where("violation is not null").select("artifact", "line", "violation")
 
 

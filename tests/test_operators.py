@@ -1,12 +1,13 @@
 """Operators on small tables: edge rows, and invariants that hold for any rows."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from siftline.operators import coverage, gates, ledger, persistence, ratchet, roots, rules, suite, veto
 from siftline.sources import coverage as lcov
-from siftline.sources import manifests, repo_tree, sarif
+from siftline.sources import manifests, markers, repo_tree, sarif
 
 
 def rows(df, *cols):
@@ -507,7 +508,7 @@ def test_project_packages():
 def test_markers_stop_at_a_blank_line(spark):
     text = "#[no_mangle]\n\n// far\n\nfn far() {}\n#[no_mangle]\n// note\npub extern \"C\" fn near() {}\n"
     got = roots.source_roots(spark.createDataFrame([("a.rs", text)], "path string, text string")).collect()
-    assert sorted((r.origin, r.symbol) for r in got) == [("line 1", None), ("line 6", "near")]
+    assert [(r.origin, r.symbol, r.path) for r in got] == [("line 8", "near", None)]
 
 
 def test_go_mod_refuses():
@@ -515,3 +516,112 @@ def test_go_mod_refuses():
     assert ok
     for bad, why in (("module a\nmodule b\n", "a second module"), ('module ""\n', "a module without a path"), ("module a\nfrobnicate x\n", "unknown directive frobnicate")):
         assert why in str(manifests.scan("go.mod", bad)) and why not in str(ok)
+
+
+def test_lcov_in_parts(spark):
+    """A tracefile cut between any lines says what it says as a whole, and what a reader of one line after another finds."""
+    import random
+
+    rng = random.Random(7)
+    some = ["SF:a.py", "SF:./b\\c.py", "SF: ", "FN:1,f", "FN:1,2,f(A, B)", "FN:x,f", "FN:3,", "FNDA:5,f,g", "FNDA:-,f", "DA:1,2", "DA:1,2,sum", "DA:7,-", "DA:4294967296,1", "DA:1", "DA:1,18446744073709551616", "end_of_record", "TN:x", "# no", "", "  DA:3,4\r", "LF:9"]
+    texts = {f"t{i}": [rng.choice(some) for _ in range(rng.randint(0, 25))] for i in range(60)}
+    whole = spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()] + [("null", None)], "artifact string, text string")
+    cut = []
+    for k, v in texts.items():
+        at = sorted({0, *(rng.randint(0, len(v)) for _ in range(4)), len(v)})
+        cut += [(k, n, "\n".join(v[a:b])) for n, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+    got = sorted(map(repr, lcov.records(whole).collect()))
+    parts = spark.createDataFrame(cut, "artifact string, part int, text string")
+    assert sorted(map(repr, lcov.records(parts).collect())) == got
+    want = []
+    for k, lines in texts.items():
+        open_, mine = None, []
+        for i, raw in enumerate(lines):
+            t = raw.strip()
+            key, _, value = ("end", "", "") if t == "end_of_record" else t.partition(":")
+            if not t or t[0] == "#" or key not in ("SF", "FN", "FNDA", "DA", "end"):
+                continue
+            value = value.strip()
+            inside = open_
+            if key == "SF":
+                inside = open_ = re.sub(r"^(\./)+", "", value.replace("\\", "/"))
+            elif key == "end":
+                open_ = None
+            first, comma, rest = value.partition(",")
+            number = int(first) if comma and re.fullmatch(r"\d+", first) and int(first) < (1 << (64 if key == "FNDA" else 32)) else None
+            second, also, tail = rest.strip().partition(",")
+            name = tail.strip() if key == "FN" and also and second.strip().isdigit() and tail.strip() else rest.strip()
+            count = 0 if second.strip() == "-" else int(second) if second.strip().isdigit() and int(second) < 1 << 64 else None
+            data = key in ("FN", "FNDA", "DA")
+            bad = (
+                "a record without a path" if key == "SF" and not value else "an end outside of a record" if key == "end" and inside is None else "data before any record" if data and inside is None
+                else "a number that is none" if data and number is None else "no function name" if data and key != "DA" and not name else "a count that is none" if key == "DA" and count is None else None
+            )
+            mine.append([k, i + 1, key, inside, name if data and key != "DA" else None, number if data else None, count if key == "DA" else None, bad])
+        if mine and mine[-1][2] != "end":
+            mine[-1][7] = mine[-1][7] or "a record without its end"
+        want += mine
+    whole_number = lambda x: None if x is None else int(x)
+    found = [[*r[:5], whole_number(r[5]), whole_number(r[6]), r[7]] for r in lcov.records(whole).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, want))
+
+
+def brute_markers(path, text):
+    """Roots of one file, read a line after another."""
+    out, ext = set(), path.rpartition(".")[2]
+    closing, lines = None, []
+    for line in text.split("\n"):
+        if closing is not None:
+            lines.append("")
+            closing = None if closing in line else closing
+            continue
+        if '\\"' in line or "\\n" in line:
+            lines.append("")
+            continue
+        if ext == "go":
+            closing = "`" if line.count("`") % 2 else None
+        else:
+            at = line.find('r"') if 'r"' in line else line.find("r#")
+            m = re.match('(#*)"(.*)', line[at + 1 :]) if at >= 0 else None
+            closing = '"' + m[1] if m and '"' + m[1] not in m[2] else None
+        lines.append(line.strip())
+    for i, t in enumerate(lines):
+        if ext == "go" and t.startswith("//go:linkname"):
+            out |= {("go/linkname", i + 1, re.sub(".*[./]", "", w), w) for w in t[len("//go:linkname") :].split()[:2]}
+        elif ext == "go" and t.startswith("//export ") and t[9:].split():
+            out.add(("go/export", i + 1, t[9:].split()[0], t[9:].split()[0]))
+        for start, rule in markers.RUST.items():
+            if ext == "rs" and t.startswith(start):
+                quoted = re.search('"([^"]*)"', t)
+                if rule == "rust/export-name" and quoted:
+                    out.add((rule, i + 1, quoted[1], quoted[1]))
+                for j in range(i + 1, len(lines)):
+                    if lines[j].startswith(("#[", "//")):
+                        continue
+                    for k in ("fn ", "static ", "const "):
+                        name = re.match(r"\w*", lines[j].partition(k)[2])[0] if k in lines[j] else ""
+                        if name:
+                            out.add((rule, j + 1, name, name))
+                            break
+                    break
+    return out
+
+
+def test_markers_in_literals_root_nothing(spark):
+    import random
+
+    given = {
+        "src/fixtures/m19.rs": 'pub fn materialize(dir: &Path) -> Result<()> {\n    write(\n        r#"use std::os::raw::c_double;\n\n#[no_mangle]\npub extern "C" fn quoted(x: c_double) -> c_double {\n    x\n}\n"#,\n    )\n}\n',
+        "tests/example.rs": 'const SOURCE: &str =\n    "#[export_name = \\"v2\\"]\\npub extern \\"C\\" fn amortize() {}\\n\\\n         fn ordinary() {}\\n";\n',
+        "src/ffi.rs": '#[no_mangle]\npub extern "C" fn genuinely_exported() {}\n',
+        "a.go": "package a\nvar s = `\n//export Hidden\n` + `x`\n//export Shown extra\n//go:linkname local\tpkg/other.Remote\n",
+    }
+    rng = random.Random(5)
+    some = ["#[no_mangle]", "  #[used]", "#[unsafe(export_name = \"abi\")]", "#[allow(x)]", "// note", "", "pub extern \"C\" fn f1() {", "static mut X: u8 = 0;", "let a = r#\"", "\"#;", "r\"x", "\"", "b(r##\"y\"##)", "say(\"a\\n\")", "//export G", "//go:linkname a b.c/d", "s := `", "`", "``", "const fn g() {}", "#[ctor]\r"]
+    given |= {f"r{i}.{'rs' if i % 3 else 'go'}": "\n".join(rng.choice(some) for _ in range(rng.randint(1, 25))) for i in range(150)}
+    rows_in = [*given.items(), ("x.pth", "lib\nimport  a.b; run()\nimport c\n import d\nimports e\n"), ("lib/sitecustomize.py", None), ("n.rs", None), ("README.md", "#[no_mangle]\nfn x() {}")]
+    got = markers.source_roots(spark.createDataFrame(rows_in, "path string, text string")).collect()
+    want = {(p, *r) for p, t in given.items() for r in brute_markers(p, t)}
+    want |= {("x.pth", "python/pth", 1, None, "x.pth"), ("x.pth", "python/pth", 2, "a.b", "a.b"), ("x.pth", "python/pth", 3, "c", "c"), ("x.pth", "python/pth", 4, "d", "d"), ("lib/sitecustomize.py", "python/sitecustomize", 1, None, "lib/sitecustomize.py")}
+    assert {(r.path, r.rule, r.line, r.symbol, r.target) for r in got} == want
+    assert {r.symbol for r in got if r.path in ("src/fixtures/m19.rs", "tests/example.rs", "src/ffi.rs", "a.go")} == {"genuinely_exported", "Shown", "local", "Remote"}
