@@ -7,6 +7,10 @@ an incomplete search vetoes.
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import paths
 from siftline.functions.text import any_of
+from siftline.sources.lineage import kept
 
 #: Needle kinds in order; each strategy is a prefix of them.
 KINDS = ("basename", "stem", "parent_dir", "symbol")
@@ -43,6 +48,15 @@ def grams(text: Column) -> Column:
 MANY, LARGE = 200_000, 8_000_000
 
 
+#: Joins the needles of a candidate into one key; no needle holds it, as no text does.
+SEPARATOR = "\u0000"
+
+
+def _automaton_fits(wanted: DataFrame, exact_limit: int) -> bool:
+    n, size = wanted.limit(exact_limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()
+    return n <= exact_limit and size <= LARGE
+
+
 def containing(needles: DataFrame, corpus: DataFrame, text: str = "content", overlapping: bool = True, exact_limit: int = MANY) -> DataFrame:
     """``needle, path, offset`` of every file that contains a distinct needle, and where it first does; offsets count characters from 0.
 
@@ -51,11 +65,10 @@ def containing(needles: DataFrame, corpus: DataFrame, text: str = "content", ove
     contains a needle contains all its grams. Without ``overlapping``, matches are leftmost-longest and do not overlap, and the needles must be few enough
     for the automaton.
     """
-    wanted = needles.select("needle").distinct()
-    content = F.col(text)
-    n, size = wanted.limit(exact_limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()
-    if n <= exact_limit and size <= LARGE:
+    wanted = needles.select("needle").distinct().persist()
+    if _automaton_fits(wanted, exact_limit):
         words = corpus.sparkSession.sparkContext.broadcast(sorted(r.needle for r in wanted.collect()))  # bounded by both limits
+        wanted.unpersist()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             find = _finder(words.value, overlapping)
@@ -63,9 +76,15 @@ def containing(needles: DataFrame, corpus: DataFrame, text: str = "content", ove
                 rows = [(w, p, at) for p, t in zip(pdf["path"], pdf["text"]) if t for w, at in find(t).items()]
                 yield pd.DataFrame(rows, columns=["needle", "path", "offset"])
 
-        return corpus.select("path", content.alias("text")).mapInPandas(run, "needle string, path string, offset int")
+        return corpus.select("path", F.col(text).alias("text")).mapInPandas(run, "needle string, path string, offset int")
+    wanted.unpersist()
     if not overlapping:
         raise ValueError(f"over {exact_limit} needles or {LARGE} characters")
+    return _by_grams(needles.select("needle").distinct(), corpus, text)
+
+
+def _by_grams(wanted: DataFrame, corpus: DataFrame, text: str) -> DataFrame:
+    content = F.col(text)
     long, short = wanted.where(F.length("needle") >= GRAM), wanted.where(F.length("needle") < GRAM)
     index = corpus.select("path", F.explode(grams(content)).alias("gram"))
     counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -89,10 +108,11 @@ def _finder(words: list[str], overlapping: bool) -> Callable[[str], dict[str, in
     if not len(automaton):
         return lambda text: {}
     automaton.make_automaton()
+    widest = max(map(len, words))
 
     def find(text: str) -> dict[str, int]:
         met: dict[str, int] = {}
-        spans = automaton.iter(text) if overlapping else _longest(automaton.iter(text))
+        spans = automaton.iter(text) if overlapping else _longest(automaton.iter(text), widest)
         for end, w in spans:
             if w not in met:
                 met[w] = end + 1 - len(w)
@@ -101,21 +121,89 @@ def _finder(words: list[str], overlapping: bool) -> Callable[[str], dict[str, in
     return find
 
 
-def _longest(spans: Iterable[tuple[int, str]]) -> Iterator[tuple[int, str]]:
-    """Leftmost-longest matches that do not overlap, of all matches as (last place, word)."""
-    free = 0
-    for start, last, w in sorted(((e + 1 - len(w), e, w) for e, w in spans), key=lambda x: (x[0], -x[1])):
-        if start >= free:
-            yield last, w
-            free = last + 1
-
+def _longest(spans: Iterable[tuple[int, str]], widest: int) -> Iterator[tuple[int, str]]:
+    """Leftmost-longest matches that do not overlap, out of all matches as (last place, word), given by last place.
 
-def literal_hits(candidates: DataFrame, corpus: DataFrame, strategy: str = "maximal") -> DataFrame:
-    """``candidate, kind, rank, needle, file, offset``: one a (needle, file); the candidate's own file does not count."""
+    A match is settled as soon as no word that begins where it does, or before, can still end; only matches of the last ``widest`` places wait.
+    """
+    waiting: list[tuple[int, int, str]] = []
+    free = 0
+    for last, w in itertools.chain(spans, [(1 << 62, "")]):
+        while waiting and waiting[0][0] + widest <= last:
+            start, minus_last, found = heapq.heappop(waiting)
+            if start >= free:
+                yield -minus_last, found
+                free = 1 - minus_last
+        if w and last + 1 - len(w) >= free:
+            heapq.heappush(waiting, (last + 1 - len(w), -last, w))
+
+
+def _settled(words: tuple[str, ...], text: str) -> dict[str, int]:
+    """Where each of a few words first matches, when only they are looked for: leftmost, then longest, one after the other."""
+    pattern = re.compile("|".join(map(re.escape, sorted(words, key=len, reverse=True))))
+    met: dict[str, int] = {}
+    for m in pattern.finditer(text):
+        if m[0] not in met:
+            met[m[0]] = m.start()
+            if len(met) == len(words):
+                break
+    return met
+
+
+def literal_hits(candidates: DataFrame, corpus: DataFrame, strategy: str = "maximal", exact_limit: int = MANY) -> DataFrame:
+    """``candidate, kind, rank, needle, file, offset``: one a (needle, file); the candidate's own file does not count.
+
+    A candidate's needles are matched as if they alone were looked for: leftmost-longest, without overlap, so a file that only spells the whole name is a hit of the
+    basename, not of the stem inside it. One pass finds every needle's first place; where a file holds several needles of one candidate, these few are matched again by
+    themselves, and only what then differs is kept beside the first places.
+    """
     needles = derive_needles(candidates, strategy)
-    readable = corpus.where("kind <> 'gitlink' and read_status = 'completed'")
-    found = containing(needles, readable).withColumnRenamed("path", "file")
-    return needles.join(found, "needle").where("file <> path").select("candidate", "kind", "rank", "needle", "file", "offset")
+    own = needles.groupBy("candidate").agg(F.array_join(F.array_sort(F.collect_set("needle")), SEPARATOR).alias("words"))  # at most four
+    needles = needles.join(own, "candidate")
+    sets = own.select("words").distinct().where(F.contains("words", F.lit(SEPARATOR)))
+    readable = corpus.where("kind <> 'gitlink' and read_status = 'completed'").select("path", F.col("content").alias("text"))
+    wanted = needles.select("needle").distinct()
+    if _automaton_fits(wanted, exact_limit) and _automaton_fits(sets.withColumnRenamed("words", "needle"), exact_limit):
+        given = corpus.sparkSession.sparkContext.broadcast((sorted(r.needle for r in wanted.collect()), sorted(r.words for r in sets.collect())))  # bounded by both limits
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words, together = given.value
+            find = _finder(words, True)
+            of: dict[str, list[int]] = {}
+            groups = [tuple(x.split(SEPARATOR)) for x in together]
+            for i, group in enumerate(groups):
+                for w in group:
+                    of.setdefault(w, []).append(i)
+            for pdf in batches:
+                rows = []
+                for path, text in zip(pdf["path"], pdf["text"]):
+                    met = find(text) if text else {}
+                    rows += [(None, w, path, at) for w, at in met.items()]
+                    several = Counter(i for w in met for i in of.get(w, ()))
+                    for i in (i for i, n in several.items() if n > 1):
+                        alone = _settled(tuple(w for w in groups[i] if w in met), text)
+                        rows += [(together[i], w, path, alone.get(w, -1)) for w in groups[i] if w in met and alone.get(w, -1) != met[w]]
+                yield pd.DataFrame(rows, columns=["words", "needle", "file", "offset"])
+
+        # Both kinds of rows come from one pass, which is kept, as two joins read it.
+        found = kept(readable.mapInPandas(run, "words string, needle string, file string, offset int"))
+        first, other = found.where("words is null").drop("words"), found.where("words is not null")
+    else:
+        first = kept(_by_grams(wanted, readable.withColumnRenamed("text", "content"), "content").withColumnRenamed("path", "file"))
+        held = needles.select("words", "needle").distinct().where(F.contains("words", F.lit(SEPARATOR))).join(first, "needle")
+        pairs = held.groupBy("words", "file").agg(F.collect_list(F.struct("needle", "offset")).alias("met")).where(F.size("met") > 1)
+
+        def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = []
+                for words, path, met, text in zip(pdf["words"], pdf["file"], pdf["met"], pdf["text"]):
+                    alone = _settled(tuple(m["needle"] for m in met), text)
+                    rows += [(words, m["needle"], path, alone.get(m["needle"], -1)) for m in met if alone.get(m["needle"], -1) != m["offset"]]
+                yield pd.DataFrame(rows, columns=["words", "needle", "file", "offset"])
+
+        other = pairs.join(readable.withColumnRenamed("path", "file"), "file").select("words", "file", "met", "text").mapInPandas(settle, "words string, needle string, file string, offset int")
+    hits = needles.join(first, "needle").where("file <> path").join(other.withColumnRenamed("offset", "alone"), ["words", "needle", "file"], "left")
+    return hits.withColumn("offset", F.coalesce("alone", "offset")).where("offset >= 0").select("candidate", "kind", "rank", "needle", "file", "offset")
 
 
 def capped_hits(hits: DataFrame, limit: int = MAX_HITS) -> DataFrame:

@@ -252,7 +252,11 @@ _NEEDLES = _CAND + """, raw AS (
   SELECT candidate, path, 1, 'stem', regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(.)[.][^.]*$', '\\1') FROM cand UNION ALL
   SELECT candidate, path, 2, 'parent_dir', 'bench' FROM cand UNION ALL SELECT candidate, path, 3, 'symbol', symbol FROM cand),
 needles AS (SELECT candidate, path, rank, kind, needle FROM (SELECT *, row_number() OVER (PARTITION BY candidate, needle ORDER BY rank) AS r FROM raw WHERE needle <> '') WHERE r = 1),
-hits AS (SELECT n.candidate, n.kind, n.rank, n.needle, c.path AS file, instr(c.content, n.needle) - 1 AS pos FROM needles n JOIN corpus c ON contains(c.content, n.needle) WHERE c.path <> n.path)
+alone AS (SELECT candidate, any_value(path) AS own, string_agg(regexp_escape(needle), '|' ORDER BY length(needle) DESC) AS pattern FROM needles GROUP BY candidate),
+held AS (SELECT DISTINCT n.candidate, c.path AS file, c.content FROM needles n JOIN corpus c ON contains(c.content, n.needle) WHERE c.path <> n.path),
+cut AS (SELECT h.candidate, file, regexp_extract_all(content, pattern) AS met, string_split_regex(content, pattern) AS between FROM held h JOIN alone a USING (candidate)),
+places AS (SELECT candidate, file, unnest(met) AS needle, unnest(list_transform(range(1, len(met) + 1), lambda i: list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(met[1:i - 1], lambda x: length(x))), 0))) AS pos FROM cut),
+hits AS (SELECT n.candidate, n.kind, n.rank, n.needle, p.file, min(p.pos)::BIGINT AS pos FROM places p JOIN needles n ON p.candidate = n.candidate AND p.needle = n.needle GROUP BY ALL)
 """
 
 
@@ -261,7 +265,7 @@ def _candidates(spark, sf_dir):
     return b.select(F.col("item_id").alias("candidate"), F.concat(F.lit("bench/"), F.split("text", " ")[0], F.lit(".py")).alias("path"), F.left(F.col("text"), F.lit(24)).alias("symbol"))
 
 
-@plan(f"WITH {_NEEDLES.split(', hits AS')[0].split(',' + chr(10) + 'hits AS')[0]} SELECT candidate, kind, rank, needle FROM needles")
+@plan(f"WITH {_NEEDLES.split(',' + chr(10) + 'alone AS')[0]} SELECT candidate, kind, rank, needle FROM needles")
 def needle_derive(spark, sf_dir):
     return veto.derive_needles(_candidates(spark, sf_dir)).select("candidate", "kind", "rank", "needle")
 

@@ -493,6 +493,33 @@ def test_leftmost_longest(spark):
     assert {(r.path, r.needle): r.offset for r in veto.containing(wanted, corpus, exact_limit=2).collect()} == every
 
 
+def test_literals_of_a_candidate_do_not_overlap(spark):
+    """A file that spells the whole name hits the basename alone; needles of different candidates do not hide each other; both ways of searching agree with brute force."""
+    import random
+
+    rng = random.Random(9)
+    texts = {"a": "see foobar.py here", "b": "foobar and foobar.py", "c": "xfoo", "own/foobar.py": "foobar", "e": None} | {f"f{i}": "".join(rng.choice("ab./") for _ in range(40)) for i in range(30)}
+    asked = [("1", "own/foobar.py", "foo"), ("2", "lib/foo.c", None)] + [(f"r{i}", "/".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 2))) for _ in range(3)) + rng.choice(["", ".a", ".b"]), rng.choice([None, "a", "bab"])) for i in range(12)]
+    corpus = spark.createDataFrame([(p, "blob", t, "completed") for p, t in texts.items()], "path string, kind string, content string, read_status string")
+    candidates = spark.createDataFrame(asked, "candidate string, path string, symbol string")
+    needles = {}
+    for r in veto.derive_needles(candidates).collect():
+        needles.setdefault((r.candidate, r.path), []).append(r.needle)
+    want = set()
+    for (c, own), words in needles.items():
+        for path, text in texts.items():
+            i = 0
+            while path != own and text and i < len(text):
+                w = max((w for w in words if text.startswith(w, i)), key=len, default=None)
+                if w and not any(x[:3] == (c, w, path) for x in want):
+                    want.add((c, w, path, i))
+                i += len(w) if w else 1
+    for limit in (veto.MANY, 2):
+        got = {(r.candidate, r.needle, r.file, r.offset) for r in veto.literal_hits(candidates, corpus, exact_limit=limit).collect()}
+        assert got == want
+    assert ("1", "foobar.py", "a", 4) in want and not any(x[0] == "1" and x[1] != "foobar.py" and x[2] == "a" for x in want)
+
+
 def test_capped_hits_of_a_crowd(spark):
     hits = spark.range(5000).select(F.lit("c").alias("candidate"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("file"), F.lit(1).alias("offset"), F.lit(0).alias("rank"), F.lit("n").alias("needle"), F.lit("stem").alias("kind"))
     (r,) = veto.capped_hits(hits).collect()
