@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators import gates, stores
+from siftline.operators import gates, provenance, stores
 from siftline.plans.tables import plan, table
 from siftline.sources import markers, repo_tree
 
@@ -143,3 +143,48 @@ def source_roots(spark, sf_dir):
     i = (F.col("p_partkey") % len(_SOURCES) + 1).cast("int")
     fill = lambda at: F.replace(F.element_at(F.array(*[F.lit(s[at]) for s in _SOURCES]), i), F.lit("{k}"), F.col("p_partkey").cast("string"))
     return markers.source_roots(table(spark, sf_dir, "part").select(fill(0).alias("path"), fill(1).alias("text")))
+
+
+# What is not the repository's own ---------------------------------------------------------------------------------------
+
+_PATTERNS = r"""CASE s_suppkey % 5 WHEN 0 THEN '(^|/)' || s_suppkey || '(/|$)' WHEN 1 THEN '/(en|de)/' || s_suppkey || '[0-9]' WHEN 2 THEN s_suppkey || '[.]html$' WHEN 3 THEN '^m[.][a-z]+[.]example[.]net/.*' || s_suppkey
+  ELSE '(?i)EXAMPLE[.]ORG/FR/' || s_suppkey || '$' END"""
+
+
+def _rules(spark, sf_dir) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    two = F.array(F.struct(F.lit("vendored").alias("kind"), F.expr(_PATTERNS).alias("pattern")), F.struct(F.lit("generated_path").alias("kind"), F.expr("'/' || s_suppkey || '[0-9]?(?:/|[.]html)?$'").alias("pattern")))
+    rows = s.select("s_suppkey", F.explode(two).alias("p")).select("p.kind", F.col("s_suppkey").alias("idx"), "p.pattern", F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("rule"))
+    # Without any literal: short paths, and none at all.
+    return rows.unionByName(spark.createDataFrame([("vendored", 1 << 40, "^.{1,19}$", "short"), ("vendored", 0, "^$|^[^a-z]", "odd")], rows.schema))
+
+
+_RULES_SQL = f"""r AS (SELECT 'vendored' AS kind, s_suppkey::BIGINT AS idx, {_PATTERNS} AS pattern, 'r' || s_suppkey AS rule FROM supplier
+  UNION ALL SELECT 'generated_path', s_suppkey, '/' || s_suppkey || '[0-9]?(?:/|[.]html)?$', 'r' || s_suppkey FROM supplier
+  UNION ALL SELECT 'vendored', 1099511627776, '^.{{1,19}}$', 'short' UNION ALL SELECT 'vendored', 0, '^$|^[^a-z]', 'odd'),
+f AS (SELECT DISTINCT regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages)"""
+
+
+@plan(f"WITH {_RULES_SQL} SELECT path, kind, min(idx) AS idx, arg_min(rule, idx) AS rule FROM f JOIN r ON regexp_matches(path, pattern) GROUP BY path, kind")
+def vendored_paths(spark, sf_dir):
+    """Two patterns a supplier, of five shapes, and two without any literal, over the paths of all pages: the first of each kind that finds something."""
+    files = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
+    return provenance.pattern_matches(files, _rules(spark, sf_dir))
+
+
+
+@plan(
+    f"""WITH {_RULES_SQL.replace("regexp_extract(url, '://([^?#]*)', 1)", "regexp_extract(url, '://([^?#]*)', 1) || CASE page_id % 7 WHEN 0 THEN '.go' ELSE '' END").replace("SELECT DISTINCT", "SELECT DISTINCT page_id % 7 AS v, ")},
+n AS (SELECT f.path, v, regexp_extract(f.path, '^[^/]*/[^/]*', 0) IN ('ththre.example.com/fr', 'therou.example.com/en', 'ththan.example.net/en') AS sub, kind, min(idx) AS idx, arg_min(rule, idx) AS rule FROM f LEFT JOIN r ON regexp_matches(f.path, pattern) GROUP BY ALL),
+g AS (SELECT path, bool_or(sub) AS sub, bool_or(v = 0) AS made, any_value(rule) FILTER (kind = 'vendored') AS vendored, any_value(rule) FILTER (kind = 'generated_path') AS generated FROM n GROUP BY path)
+SELECT path, CASE WHEN sub THEN 'submodule' WHEN vendored IS NOT NULL THEN 'vendored' WHEN generated IS NOT NULL THEN 'generated_path' ELSE 'generated_content' END AS evidence,
+  CASE WHEN sub THEN '.gitmodules' ELSE coalesce(vendored, generated, 'go') END AS rule FROM g WHERE sub OR vendored IS NOT NULL OR generated IS NOT NULL OR made"""
+)
+def not_own(spark, sf_dir):
+    """Submodules, vendored and generated paths and generated content, the first kind that holds; a commented path of ``.gitmodules`` declares nothing."""
+    v = F.col("page_id") % 7
+    path = F.concat(F.regexp_extract("url", "://([^?#]*)", 1), F.when(v == 0, ".go").otherwise(""))
+    files = table(spark, sf_dir, "pages").select(path.alias("path"), F.when(v == 0, "// Code generated by x\n").otherwise("package x\n").alias("text"))
+    modules = '[submodule "a"]\n\tpath = ththre.example.com/fr\n\turl = ../x\n[submodule "b"]\n  path=therou.example.com/en/\n# path = m\n;path = blog\n[submodule "c"]\n\tpath = ththan.example.net/en\r\n'
+    files = files.unionByName(spark.createDataFrame([(".gitmodules", modules)], "path string, text string"))
+    return provenance.provenance(files, _rules(spark, sf_dir)).where("path <> '.gitmodules'")

@@ -652,3 +652,33 @@ def test_markers_in_literals_root_nothing(spark):
     want |= {("x.pth", "python/pth", 1, None, "x.pth"), ("x.pth", "python/pth", 2, "a.b", "a.b"), ("x.pth", "python/pth", 3, "c", "c"), ("x.pth", "python/pth", 4, "d", "d"), ("lib/sitecustomize.py", "python/sitecustomize", 1, None, "lib/sitecustomize.py")}
     assert {(r.path, r.rule, r.line, r.symbol, r.target) for r in got} == want
     assert {r.symbol for r in got if r.path in ("src/fixtures/m19.rs", "tests/example.rs", "src/ffi.rs", "a.go")} == {"genuinely_exported", "Shown", "local", "Remote"}
+
+
+def test_required_literals():
+    """What is drawn from an expression stands in every match of it; nothing is drawn from what need not be there."""
+    from siftline.operators.provenance import required_literal
+
+    given = {
+        "(^|/)node_modules/": "node_modules/", "^[Dd]ependencies/": "ependencies/", "(^|/)dotnet-install\\.(ps1|sh)$": "dotnet-install.", "a|b": "", "(abc)?d": "d", "(?i)Third[-_]?Party/": "party/", "(x{2,3}long)+": "long",
+        "": "", "(": "", None: "", "\\d+\\.min\\.js$": ".min.js", "(?:^|\\/)\\.idea\\/": ".idea/", "(?=look)ahead": "ahead", "(?<!no)t": "t", "é+abc": "abc", "\\Qnot known\\E": "",
+    }
+    for pattern, want in given.items():
+        assert required_literal(pattern) == want, pattern
+
+
+def test_provenance(spark):
+    from siftline.operators import provenance
+
+    texts = {
+        "services/api/vendor/github.com/pkg/errors.go": "package pkg\n", "src/vendor_client.rs": "pub fn ship() {}\n", "Cargo.lock": "version = 4\n", "Third_Party/zlib.c": "", "3rd-party/zlib.c": "", "a/b.go": "// Code generated by x\n", "mod/x.c": None,
+        "module.c": "", "own/vendor/x": "", ".gitmodules": "[submodule]\n path = mod/\n#path = own\n", "src/a.c": "int x;",
+    }
+    files_ = spark.createDataFrame(list(texts.items()), "path string, text string")
+    patterns = spark.createDataFrame([("vendored", 0, "(^|/)vendor/", "vendor"), ("vendored", 1, "(?i)(^|/)(third[-_]?party|3rd[-_]?party)/", "third"), ("generated_path", 0, "Cargo\\.lock", "cargo_lock?"), ("vendored", 2, "^[0-9]", "loose")], "kind string, idx int, pattern string, rule string")
+    marks = spark.createDataFrame([("src/a.c", "linguist-generated", True), ("own/vendor/x", "linguist-vendored", False)], "path string, attribute string, is_set boolean")
+    got = {r.path: (r.evidence, r.rule) for r in provenance.provenance(files_, patterns, marks).collect()}
+    assert got == {
+        "services/api/vendor/github.com/pkg/errors.go": ("vendored", "vendor"), "Cargo.lock": ("generated_path", "cargo_lock?"), "Third_Party/zlib.c": ("vendored", "third"), "3rd-party/zlib.c": ("vendored", "third"),
+        "a/b.go": ("generated_content", "go"), "mod/x.c": ("submodule", ".gitmodules"), "own/vendor/x": ("vendored", "vendor"), "src/a.c": ("attribute", "linguist-generated"),
+    }
+    assert provenance.provenance(files_.limit(0), patterns).count() == 0
