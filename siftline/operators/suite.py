@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.paths import normalize
+from siftline.functions.paths import basename, extension, normalize, stem
 from siftline.functions.text import bare_suffixes
+from siftline.operators import veto
+from siftline.sources.lineage import kept
 
 _PAIR = "array<struct<path:string,symbol:string>>"
 
@@ -84,21 +86,42 @@ def exit_code(counts: DataFrame) -> DataFrame:
     return counts.select("sut", F.when(F.col("graded") == 0, 2).when(F.col("false_removals") == 0, 0).otherwise(1).alias("exit_code"))
 
 
-def naive_claims(parsed: DataFrame, symbols: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+# What the naive cleaner reads as code, takes for entry points, and takes for declarations, in this order.
+PARSED = ("py", "pyi", "ts", "tsx", "js", "jsx", "mjs", "cjs", "rs", "go")
+ENTRY_STEMS = ("main", "index", "lib", "mod", "__init__", "__main__")
+KEYWORDS = ("def ", "class ", "fn ", "func ", "function ", "struct ", "trait ", "interface ", "enum ")
+
+
+def declarations(parsed: DataFrame) -> DataFrame:
+    """``mutant, symbol, declared_in`` of sources (mutant, path, text): on each line, the identifier behind the first keyword that stands there as a word; the first path that declares a name."""
+    lines = parsed.where("text is not null").select("mutant", "path", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(F.rlike("line", F.lit("|".join(KEYWORDS))))
+    rest = F.coalesce(*[F.when(F.rlike("line", F.lit(rf"(?<![\p{{L}}\p{{N}}_]){k}")), F.regexp_extract("line", rf"(?s)^.*?(?<![\p{{L}}\p{{N}}_]){k}(.*)$", 1)) for k in KEYWORDS])
+    named = lines.select("mutant", "path", F.regexp_extract(rest, r"^([\p{L}_][\p{L}\p{N}_]*)", 1).alias("symbol")).where("symbol <> ''")
+    return named.groupBy("mutant", "symbol").agg(F.min("path").alias("declared_in"))
+
+
+def naive_claims(parsed: DataFrame, symbols: DataFrame, candidates: DataFrame | None = None, exact_limit: int = veto.MANY) -> DataFrame:
     """The cleaner that must fail: a file is dead when no *other* parsed file names it or its stem, a symbol when it occurs at most once.
 
     ``parsed(mutant, path, text)`` are the sources, ``candidates(mutant, path)`` the files that may be claimed (by default the sources; entry points are left
-    out by the caller), ``symbols(mutant, symbol, declared_in)``. Works within each class, whose files are few.
+    out by the caller), ``symbols(mutant, symbol, declared_in)``. All names are looked for in one pass. What is kept of a name is how many files hold it, which the first and the last of
+    them are, and how often it occurs in all, so files do not meet files.
     """
-    from siftline.functions.paths import basename, stem
-
     a = (parsed if candidates is None else candidates).select("mutant", F.col("path").alias("claim"), basename(F.col("path")).alias("base"), stem(F.col("path")).alias("stem"))
-    b = parsed.select("mutant", F.col("path").alias("other"), "text")
-    named = a.join(b, "mutant").where((F.col("claim") != F.col("other")) & (F.contains("text", F.col("base")) | F.contains("text", F.col("stem")))).select("mutant", "claim").distinct()
-    dead = a.select("mutant", "claim").join(named, ["mutant", "claim"], "left_anti").select("mutant", F.lit("naive").alias("sut"), F.lit("path").alias("kind"), "claim", F.lit(None).cast("string").alias("declared_in"))
-    times = (F.length("text") - F.length(F.replace(F.col("text"), F.col("symbol"), F.lit("")))) / F.greatest(F.length("symbol"), F.lit(1))
-    counted = symbols.join(b, "mutant").groupBy("mutant", "symbol", "declared_in").agg(F.sum(times).alias("n")).where("n <= 1")
-    return dead.unionByName(counted.select("mutant", F.lit("naive").alias("sut"), F.lit("symbol").alias("kind"), F.col("symbol").alias("claim"), "declared_in"))
+    names = a.select("mutant", F.explode(F.array("base", "stem")).alias("needle")).unionByName(symbols.select("mutant", F.col("symbol").alias("needle")))
+    held = kept(veto.counted(names, parsed, exact_limit).groupBy("mutant", "needle").agg(F.min("path").alias("lo"), F.max("path").alias("hi"), F.sum("n").alias("n")))
+    asked = a.select("mutant", "claim", F.explode(F.array_distinct(F.array("base", "stem"))).alias("needle"))
+    named = asked.join(held, ["mutant", "needle"]).where((F.col("lo") != F.col("claim")) | (F.col("hi") != F.col("claim"))).select("mutant", "claim").distinct()
+    dead = a.select("mutant", "claim").distinct().join(named, ["mutant", "claim"], "left_anti").select("mutant", F.lit("naive").alias("sut"), F.lit("path").alias("kind"), "claim", F.lit(None).cast("string").alias("declared_in"))
+    counts = symbols.join(held.select("mutant", F.col("needle").alias("symbol"), "n"), ["mutant", "symbol"], "left").where(F.coalesce("n", F.lit(0)) <= 1)
+    return dead.unionByName(counts.select("mutant", F.lit("naive").alias("sut"), F.lit("symbol").alias("kind"), F.col("symbol").alias("claim"), "declared_in"))
+
+
+def naive(files: DataFrame) -> DataFrame:
+    """``naive_claims`` from files (mutant, path, text) alone: what it reads as code, what it may claim (all but entry points), and which symbols that code declares."""
+    parsed = files.where(extension(F.col("path")).isin(*PARSED))
+    return naive_claims(parsed, declarations(parsed), files.where(~stem(F.col("path")).isin(*ENTRY_STEMS)))
 
 
 def refusing_claims(claims: DataFrame) -> DataFrame:

@@ -206,6 +206,31 @@ def literal_hits(candidates: DataFrame, corpus: DataFrame, strategy: str = "maxi
     return hits.withColumn("offset", F.coalesce("alone", "offset")).where("offset >= 0").select("candidate", "kind", "rank", "needle", "file", "offset")
 
 
+def counted(needles: DataFrame, texts: DataFrame, exact_limit: int = MANY) -> DataFrame:
+    """``mutant, needle, path, n`` of every text (mutant, path, text) that holds a needle (mutant, needle) of its own class: how often, without overlapping itself.
+
+    One pass over the texts: an automaton of all needles says which a text holds, and these alone are counted. More needles than it takes go through the three-gram index.
+    """
+    wanted = needles.select("mutant", "needle").where("needle <> ''").distinct()
+    if _automaton_fits(wanted, exact_limit):
+        given = texts.sparkSession.sparkContext.broadcast([(r.mutant, r.needle) for r in wanted.collect()])  # bounded
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of: dict[str, set] = {}
+            for mutant, needle in given.value:
+                of.setdefault(needle, set()).add(mutant)
+            find = _finder(sorted(of), True)
+            for pdf in batches:
+                rows = [(m, w, p, t.count(w)) for m, p, t in zip(pdf["mutant"], pdf["path"], pdf["text"]) if t for w in find(t) if m in of[w]]
+                yield pd.DataFrame(rows, columns=["mutant", "needle", "path", "n"])
+
+        return texts.select("mutant", "path", "text").mapInPandas(run, "mutant string, needle string, path string, n long")
+    keyed = texts.select("mutant", F.col("path").alias("of"), F.concat_ws(SEPARATOR, "mutant", "path").alias("path"), "text")
+    held = _by_grams(wanted.select("needle").distinct(), keyed.withColumnRenamed("text", "content"), "content").select("needle", "path")
+    times = (F.length("text") - F.length(F.replace(F.col("text"), F.col("needle"), F.lit("")))) / F.length("needle")
+    return held.join(keyed, "path").join(wanted, ["mutant", "needle"]).select("mutant", "needle", F.col("of").alias("path"), times.cast("long").alias("n"))
+
+
 def capped_hits(hits: DataFrame, limit: int = MAX_HITS) -> DataFrame:
     """``candidate, n_hits, capped, hits``: the first hits by (file, offset, rank, needle, kind) for the report; the count is the true one.
 

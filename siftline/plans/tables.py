@@ -519,6 +519,26 @@ def naive_unreferenced(spark, sf_dir):
     return suite.naive_claims(parsed, spark.createDataFrame([], "mutant string, symbol string, declared_in string")).select("mutant", "claim")
 
 
+_CODE = """SELECT source AS mutant, lang || '/' || doc_id || '/' || CASE WHEN doc_id % 11 = 0 THEN 'main' ELSE coalesce(nullif(regexp_extract(text, '[a-z]{4,}', 0), ''), 'x') END || CASE doc_id % 10 WHEN 9 THEN '.md' ELSE '.py' END AS path,
+  coalesce(text, '') || chr(10) || 'undef x' || chr(10) || 'def f_' || (doc_id % 50) || '(a): # class none' || chr(10) || '    return g_' || (doc_id % 37) || chr(10) || 'pub struct S' || doc_id || ' { }' || chr(10) AS text FROM documents"""
+
+
+@plan(
+    f"""WITH f AS ({_CODE}), b AS (SELECT *, path LIKE '%.py' AS code, regexp_extract(path, '([^/]*)$', 1) AS base, regexp_extract(path, '([^/]*)[.][^./]*$', 1) AS stem FROM f),
+s AS (SELECT mutant, unnest(['f_' || regexp_extract(text, 'f_([0-9]+)[(]a', 1), 'S' || regexp_extract(text, 'struct S([0-9]+) ', 1)]) AS symbol, path FROM b WHERE code),
+d AS (SELECT mutant, symbol, min(path) AS declared_in FROM s GROUP BY ALL)
+SELECT mutant, 'path' AS kind, path AS claim, NULL AS declared_in FROM b WHERE stem <> 'main' AND NOT EXISTS (SELECT 1 FROM b o WHERE o.code AND o.mutant = b.mutant AND o.path <> b.path AND contains(o.text, b.stem))
+UNION ALL SELECT mutant, 'symbol', symbol, declared_in FROM d WHERE (SELECT sum(len(string_split(text, symbol)) - 1) FROM b WHERE code AND b.mutant = d.mutant) <= 1"""
+)
+def naive_cleaner(spark, sf_dir):
+    """The cleaner that must fail, over all documents as files of a class each: paths that no other source names, symbols that occur once, entry points left alone, files that it cannot read claimed."""
+    d = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 11 == 0, "main").otherwise(F.coalesce(F.nullif(F.regexp_extract("text", "[a-z]{4,}", 0), F.lit("")), F.lit("x")))
+    path = F.concat("lang", F.lit("/"), "doc_id", F.lit("/"), name, F.when(F.col("doc_id") % 10 == 9, ".md").otherwise(".py"))
+    more = F.expr("'\nundef x\ndef f_' || (doc_id % 50) || '(a): # class none\n    return g_' || (doc_id % 37) || '\npub struct S' || doc_id || ' { }\n'")
+    return suite.naive(d.select(F.col("source").alias("mutant"), path.alias("path"), F.concat(F.coalesce("text", F.lit("")), more).alias("text"))).select("mutant", "kind", "claim", "declared_in")
+
+
 _LAYERS = """SELECT source AS mutant, doc_id::VARCHAR AS claim, CASE WHEN doc_id % 7 = 0 THEN 0 WHEN lang = 'fr' THEN 1 WHEN n_chars > 3000 THEN 2 WHEN contains(text, 'the') THEN 3 WHEN doc_id % 2 = 0 THEN 4 END AS layer_idx FROM documents"""
 LAYER_NAMES = ["gate1", "gate3f", "coverage", "roots", "veto"]
 

@@ -461,6 +461,9 @@ def test_controls(spark):
     every = spark.createDataFrame([("m", "used.py"), ("m", "dead.py"), ("m", "data.txt")], "mutant string, path string")
     claims = suite.naive_claims(parsed, symbols, every)
     assert rows(claims, "kind", "claim") == [("path", "data.txt"), ("path", "dead.py"), ("symbol", "g")]
+    assert rows(suite.naive_claims(parsed, symbols, every, exact_limit=0), "kind", "claim") == rows(claims, "kind", "claim")
+    code = spark.createDataFrame([("m", "b.rs", "pub extern fn go() {}\nundef no\nstruct S{}; trait T\nfn 9x\ndef é_1()\nclass  two\n"), ("m", "a.rs", "fn go() {}"), ("n", "a.rs", None)], "mutant string, path string, text string")
+    assert rows(suite.declarations(code), "mutant", "symbol", "declared_in") == [("m", "S", "b.rs"), ("m", "go", "a.rs"), ("m", "é_1", "b.rs")]
     assert suite.refusing_claims(claims).count() == 0 and suite.refusing_claims(claims).columns == claims.columns
 
 
