@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators import gates, provenance, stores
+from siftline.operators import gates, provenance, roots, stores
 from siftline.plans.tables import plan, table
 from siftline.sources import markers, repo_tree
 
@@ -188,3 +188,50 @@ def not_own(spark, sf_dir):
     modules = '[submodule "a"]\n\tpath = ththre.example.com/fr\n\turl = ../x\n[submodule "b"]\n  path=therou.example.com/en/\n# path = m\n;path = blog\n[submodule "c"]\n\tpath = ththan.example.net/en\r\n'
     files = files.unionByName(spark.createDataFrame([(".gitmodules", modules)], "path string, text string"))
     return provenance.provenance(files, _rules(spark, sf_dir)).where("path <> '.gitmodules'")
+
+
+# Root sets of many trees -------------------------------------------------------------------------------------------------
+
+# Files of a tree by k % 6, then its roots (tier, rule, path, symbol, target) and its gaps (tier, file, what is said).
+_PROJECTS: list[tuple[list, list, list]] = [
+    (
+        [("package.json", '{"main": "lib/a{k}.js", "bin": {"t": "bin/gone"}}'), ("lib/a{k}.js", "x")],
+        [("A", "library_entry", "lib/a{k}.js", None, "path"), ("A", "executable", None, None, "unresolved")], [],
+    ),
+    (
+        [("package.json", "{"), ("a.go", "package a\n//export E{k}\n"), ("Dockerfile", "FROM x\nENTRYPOINT [\"./run{k}\"]\n"), ("run{k}", "x")],
+        [("A", "go/export", None, "E{k}", "symbol")], [("A", "package.json", "JSONDecodeError")],
+    ),
+    (
+        [("pyproject.toml", '[project]\nname = "n"\ndependencies = ["Django>=4"]\n[project.scripts]\nrun = "shop.cli:main{k}"\n'), ("site/settings.py", "INSTALLED_APPS = ['shop', *more]\n"), ("shop/apps.py", "class Shop{k}(AppConfig):\n    pass\n")],
+        [("A", "executable", None, "main{k}", "reference"), ("B", "django_app_config", "shop/apps.py", "Shop{k}", "symbol"), ("B", "django_settings", "site/settings.py", None, "path")], [("B", "site/settings.py", "INSTALLED_APPS is not all literal")],
+    ),
+    (
+        [("requirements.txt", "pytest==8\n"), ("tests/test_{k}.py", "x"), ("t{k}/conftest.py", "x"), ("own/x{k}.txt", "x")],
+        [("A", "dev_target", "t{k}/conftest.py", None, "path"), ("B", "pytest_conftest", "t{k}/conftest.py", None, "path"), ("B", "pytest_test_module", "tests/test_{k}.py", None, "path"), ("C", "declared", "own/x{k}.txt", None, "path")], [],
+    ),
+    ([("requirements.txt", "flask\n"), ("src/ffi.rs", "#[no_mangle]\nfn f{k}() {}\n"), ("own/y.txt", "x")], [("A", "rust/no-mangle", None, "f{k}", "symbol"), ("C", "declared", "own/y.txt", None, "path")], [("B", "requirements.txt", "no layout rules for flask")]),
+    ([("tests/test_{k}.py", "without a framework"), ("site/settings.py", "x"), ("README.md", "x")], [], []),
+]
+_values = lambda at, n: ", ".join(f"({v}, {', '.join(map(_quote, r))})" for v, p in enumerate(_PROJECTS) for r in p[at])
+
+
+@plan(
+    f"""WITH t AS (SELECT p_partkey::VARCHAR AS k, p_partkey % 6 AS v FROM part),
+r AS (SELECT * FROM (VALUES {_values(1, 5)}) x(v, tier, rule, path, symbol, target)), g AS (SELECT * FROM (VALUES {_values(2, 3)}) x(v, tier, path, rule))
+SELECT 'r' || k AS repo, 'root' AS kind, tier, rule, replace(path, '{{k}}', k) AS path, replace(symbol, '{{k}}', k) AS symbol, target FROM t JOIN r USING (v)
+UNION ALL SELECT 'r' || k, 'gap', tier, rule, path, NULL, NULL FROM t JOIN g USING (v)"""
+)
+def root_sets(spark, sf_dir):
+    """The root sets of a tree a part, in one plan: manifests, source markers, conventions and declarations; a manifest that is broken empties only its own tree."""
+    k, v = F.col("p_partkey").cast("string"), F.col("p_partkey") % len(_PROJECTS)
+    fill = lambda s: F.replace(F.lit(s), F.lit("{k}"), k)
+    of = None
+    for i, (some, _, _) in enumerate(_PROJECTS):
+        rows = F.array(*[F.struct(fill(p).alias("path"), fill(t).alias("text")) for p, t in some])
+        of = F.when(v == i, rows) if of is None else of.when(v == i, rows)
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("r"), k).alias("repo"), F.explode(of).alias("f")).select("repo", "f.*", F.lit("completed").alias("read_status"))
+    found, gaps = roots.materialize(files, roots.declared_table(spark, [("own/", "kept by hand", "file", "active", None)]))
+    none = F.lit(None).cast("string")
+    said = F.regexp_replace("detail", "^(JSONDecodeError).*", "$1")
+    return found.select("repo", F.lit("root").alias("kind"), "tier", "rule", "path", "symbol", "target").unionByName(gaps.select("repo", F.lit("gap").alias("kind"), "tier", said.alias("rule"), F.col("origin_file").alias("path"), none.alias("symbol"), none.alias("target")))

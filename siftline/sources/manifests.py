@@ -300,15 +300,16 @@ def scan(path: str, text: str | None, status: str = "completed") -> list[tuple]:
 
 
 def manifest_roots(files: DataFrame) -> DataFrame:
-    """Rows of all manifests of ``files(path, text, read_status)``; only files that some scanner reads reach Python."""
+    """Rows of all manifests of ``files(path, text, read_status)``, with ``repo`` of many trees; only files that some scanner reads reach Python."""
+    keys = ["repo"] if "repo" in files.columns else []
     wanted = files.where(
         r"path rlike '(^|/)(package\\.json|pyproject\\.toml|Cargo\\.toml|setup\\.cfg|Dockerfile[^/]*|Containerfile|[^/]*\\.go|__main__\\.py|conftest\\.py|manage\\.py|celery\\.py|asgi\\.py|wsgi\\.py|go\\.mod)$'"
         r" or path rlike '^\\.github/workflows/[^/]+\\.ya?ml$'"
-    ).select("path", "text", "read_status")
+    ).select(*keys, "path", "text", "read_status")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for p, t, s in zip(pdf["path"], pdf["text"], pdf["read_status"]) for r in scan(p, t, s)]
-            yield pd.DataFrame(rows, columns=["path", "tier", "kind", "key", "target_kind", "target", "detail"])
+            rows = [(*of, *r) for *of, p, t, s in pdf.itertuples(index=False, name=None) for r in scan(p, t, s)]
+            yield pd.DataFrame(rows, columns=[*keys, "path", "tier", "kind", "key", "target_kind", "target", "detail"])
 
-    return wanted.mapInPandas(run, SHAPE)
+    return wanted.mapInPandas(run, "repo string, " * len(keys) + SHAPE)

@@ -66,13 +66,14 @@ def raw_spans(lines: Column, is_go: Column) -> Column:
 
 
 def source_roots(files: DataFrame) -> DataFrame:
-    """``rule, path, line, symbol, target`` of files (path, text): directives of Go, attributes of Rust with the item they stand above, and Python's start-up files.
+    """``rule, path, line, symbol, target`` of files (path, text; with ``repo`` of many trees): directives of Go, attributes of Rust with the item they stand above, and Python's start-up files.
 
     ``symbol`` is null where the file itself is the root. Lines inside raw strings, and lines with what only a literal can hold, are no code. An item lies on the first line after its
     attribute that is neither an attribute nor a comment; a blank line ends the search. Null texts were not read and declare nothing, but Python's two files count by name.
     """
+    keys = ["repo"] if "repo" in files.columns else []
     ext, name = paths.extension(F.col("path")), paths.basename(F.col("path"))
-    f = files.where(ext.isin("go", "rs", "pth") | name.isin(*BY_NAME)).select("path", ext.alias("ext"), F.split("text", "\n").alias("lines"))
+    f = files.where(ext.isin("go", "rs", "pth") | name.isin(*BY_NAME)).select(*keys, "path", ext.alias("ext"), F.split("text", "\n").alias("lines"))
     code = f.where("ext in ('go', 'rs') and lines is not null")
     heads = {"go": ("//go:linkname", "//export "), "rs": tuple(RUST)}
     trimmed = lambda x: F.btrim(x, F.lit(BLANKS))
@@ -89,7 +90,7 @@ def source_roots(files: DataFrame) -> DataFrame:
         return F.try_element_at(F.filter(below, lambda b: ~F.startswith(b["t"], F.lit("#[")) & ~F.startswith(b["t"], F.lit("//"))), F.lit(1))
 
     shown = F.transform(F.filter("marks", lambda m: ~quoted(m["l"], m["i"])), lambda m: F.struct(m["i"].alias("i"), m["t"].alias("t"), F.when(F.col("ext") == "rs", item(m)).alias("item")))
-    each = code.select("path", "ext", F.explode(shown).alias("m")).select("path", "ext", F.col("m.i").alias("i"), F.col("m.t").alias("t"), "m.item")
+    each = code.select(*keys, "path", "ext", F.explode(shown).alias("m")).select(*keys, "path", "ext", F.col("m.i").alias("i"), F.col("m.t").alias("t"), "m.item")
     row = lambda rule, line, symbol, target: F.struct(rule.alias("rule"), line.cast("long").alias("line"), symbol.alias("symbol"), target.alias("target"))
 
     words = F.filter(F.split(_after(F.col("t"), F.lit(len(heads["go"][0]) + 1)), r"\s+"), lambda w: w != "")
@@ -105,13 +106,13 @@ def source_roots(files: DataFrame) -> DataFrame:
     given = F.when(rule == "rust/export-name", F.regexp_extract("t", '"([^"]*)"', 1))
     has_given = (rule == "rust/export-name") & F.col("t").rlike('"[^"]*"')
     rust = F.array(F.when(has_given, row(rule, F.col("i"), given, given)), F.when(found.isNotNull(), row(rule, F.col("item.i"), found, found)))
-    code_roots = each.select("path", F.explode(F.when(F.col("ext") == "go", go).otherwise(rust)).alias("r")).where("r is not null").select("r.rule", "path", "r.line", "r.symbol", "r.target")
+    code_roots = each.select(*keys, "path", F.explode(F.when(F.col("ext") == "go", go).otherwise(rust)).alias("r")).where("r is not null").select(*keys, "r.rule", "path", "r.line", "r.symbol", "r.target")
 
     none = F.lit(None).cast("string")
-    start_up = f.where("ext = 'pth' and lines is not null").select("path", "lines")
-    own = start_up.select(F.lit("python/pth").alias("rule"), "path", F.lit(1).cast("long").alias("line"), none.alias("symbol"), F.col("path").alias("target"))
-    said = start_up.select("path", F.posexplode("lines").alias("i", "x")).select("path", "i", trimmed(F.col("x")).alias("t")).where("startswith(t, 'import ')")
+    start_up = f.where("ext = 'pth' and lines is not null").select(*keys, "path", "lines")
+    own = start_up.select(*keys, F.lit("python/pth").alias("rule"), "path", F.lit(1).cast("long").alias("line"), none.alias("symbol"), F.col("path").alias("target"))
+    said = start_up.select(*keys, "path", F.posexplode("lines").alias("i", "x")).select(*keys, "path", "i", trimmed(F.col("x")).alias("t")).where("startswith(t, 'import ')")
     module = F.try_element_at(F.filter(F.split(F.substring("t", 8, 2**30), r"[;\s]+"), lambda w: w != ""), F.lit(1))
-    imported = said.select(F.lit("python/pth").alias("rule"), "path", (F.col("i") + 1).cast("long").alias("line"), module.alias("symbol"), module.alias("target")).where("symbol is not null")
-    by_name = f.where(paths.basename(F.col("path")).isin(*BY_NAME)).select(F.lit("python/sitecustomize").alias("rule"), "path", F.lit(1).cast("long").alias("line"), none.alias("symbol"), F.col("path").alias("target"))
+    imported = said.select(*keys, F.lit("python/pth").alias("rule"), "path", (F.col("i") + 1).cast("long").alias("line"), module.alias("symbol"), module.alias("target")).where("symbol is not null")
+    by_name = f.where(paths.basename(F.col("path")).isin(*BY_NAME)).select(*keys, F.lit("python/sitecustomize").alias("rule"), "path", F.lit(1).cast("long").alias("line"), none.alias("symbol"), F.col("path").alias("target"))
     return code_roots.unionByName(own).unionByName(imported).unionByName(by_name).distinct()
