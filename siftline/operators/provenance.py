@@ -57,8 +57,8 @@ def required_literal(pattern: str | None) -> str:
     return best
 
 
-def pattern_matches(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``path, kind, idx, rule``: of ``patterns`` (kind, idx, pattern, rule) that find something in a path, the first by ``idx`` of each kind.
+def all_matches(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``path, kind, idx, rule``: the ``patterns`` (kind, idx, pattern, rule) that find something in a path.
 
     Every path meets only patterns whose required literal it holds: all literals are looked for in one pass over the paths, and the expression itself decides after an equi-join. Patterns without one,
     at most ``MOST_LOOSE``, are tested on every path, without a join. Patterns are Java regular expressions.
@@ -70,12 +70,18 @@ def pattern_matches(files: DataFrame, patterns: DataFrame) -> DataFrame:
         raise ValueError(f"over {MOST_LOOSE} patterns without a literal")
     few = files.select("path").distinct()
     held = veto.containing(rules.where("needle <> ''"), few.withColumn("content", ascii_lower(F.col("path")))).select("needle", "path")
-    hit = held.join(rules, "needle").where(F.regexp_like("path", F.col("pattern"))).select("path", "kind", F.struct("idx", "rule").alias("r"))
+    hit = held.join(rules, "needle").where(F.regexp_like("path", F.col("pattern"))).select("path", "kind", "idx", "rule")
     if loose:
         tests = [F.when(F.rlike(F.col("path"), F.lit(p)), F.struct(F.lit(k).alias("kind"), F.lit(i).cast(patterns.schema["idx"].dataType).alias("idx"), F.lit(r).alias("rule"))) for k, i, p, r in loose]
         found = few.select("path", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("r"))
-        hit = hit.unionByName(found.select("path", "r.kind", F.struct("r.idx", "r.rule").alias("r")))
-    return hit.groupBy("path", "kind").agg(F.min("r").alias("r")).select("path", "kind", "r.idx", "r.rule")
+        hit = hit.unionByName(found.select("path", "r.*"))
+    return hit
+
+
+def pattern_matches(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``path, kind, idx, rule``: of ``all_matches`` the first by ``idx`` of each path and kind."""
+    hit = all_matches(files, patterns)
+    return hit.groupBy("path", "kind").agg(F.min(F.struct("idx", "rule")).alias("r")).select("path", "kind", "r.idx", "r.rule")
 
 
 def submodules(files: DataFrame) -> DataFrame:

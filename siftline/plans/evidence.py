@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators import coverage, gates, ledger, persistence, ratchet, roots, rules, suite, veto
+from siftline.operators import coverage, gates, ignore, ledger, persistence, ratchet, roots, rules, suite, veto
 from siftline.sources import reachability, sarif
 
 
@@ -56,10 +56,35 @@ def survivors(claims: DataFrame, files: DataFrame, declared: DataFrame | None =
     return suite.apply_layers(claims, layers)
 
 
-def explain(path: str, files: DataFrame, status: DataFrame, head_on_remote: bool | None) -> dict[str, DataFrame]:
-    """What holds for one path: its classes, its recoverability and the tier that no evidence gives it, with every criterion."""
+#: The classes that the never-touch rules know.
+CLASSES = tuple("1" + c for c in "abcdefghijklmnop")
+
+
+def trace(asked: DataFrame, files: DataFrame, ignored_by: DataFrame | None = None) -> DataFrame:
+    """``path, class, says``: a row for each class of every path asked; ``says`` is null where the class has no objection, which is no permission.
+
+    ``ignored_by`` (``ignore.deciding_rule``) adds the rule that takes a path back to class 1m, with its file and line.
+    """
+    every = asked.select("path").distinct().select("path", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class"))
+    found = rules.judge(files.join(asked.select("path").distinct(), "path", "left_semi")).select("path", "class", F.col("evidence").alias("said"))
+    if ignored_by is not None:
+        back = ignored_by.where("not ignored and pattern is not null")
+        found = found.unionByName(back.select("path", F.lit("1m").alias("class"), F.format_string("%s:%s %s", "source", "line", "pattern").alias("said")))
+    one = found.groupBy("path", "class").agg(F.min("said").alias("says"))
+    return every.join(one, ["path", "class"], "left")
+
+
+def explain(path: str, files: DataFrame, status: DataFrame, head_on_remote: bool | None, ignore_files: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What holds for one path: its classes, each class' answer, the ignore rule that decides it, its recoverability and the tier that no evidence gives it, with every criterion.
+
+    ``ignore_files`` are those of ``ignore.ignore_rules``; by default the ignore files among ``files``.
+    """
+    spark = files.sparkSession
     one = files.where(F.col("path") == path)
-    candidate = files.sparkSession.createDataFrame([(path, path)], "candidate string, path string")
-    sums = ledger.family_sums(files.sparkSession.createDataFrame([(path, "B", "none", 0.0, False, False, True)], "candidate string, family string, signal string, bans double, execution_successful boolean, positive_control_passed boolean, expired boolean"))
+    candidate = spark.createDataFrame([(path, path)], "candidate string, path string")
+    sums = ledger.family_sums(spark.createDataFrame([(path, "B", "none", 0.0, False, False, True)], "candidate string, family string, signal string, bans double, execution_successful boolean, positive_control_passed boolean, expired boolean"))
     gate = candidate.select("candidate", F.lit("NotEvaluable").alias("gates_0_to_2"), F.lit("NotEvaluable").alias("gate_3f"))
-    return {"classes": rules.judge(one), "recoverability": gates.recoverability(candidate, status, head_on_remote), "tier": ledger.assign(sums, gate)}
+    decided = ignore.deciding_rule(candidate, ignore.ignore_rules(files if ignore_files is None else ignore_files))
+    return {
+        "classes": rules.judge(one), "trace": trace(candidate, files, decided), "ignore": decided, "recoverability": gates.recoverability(candidate, status, head_on_remote), "tier": ledger.assign(sums, gate)
+    }

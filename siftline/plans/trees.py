@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators import gates, provenance, roots, stores
+from siftline.operators import gates, ignore, provenance, roots, stores
 from siftline.plans.tables import plan, table
 from siftline.sources import markers, repo_tree
 
@@ -235,3 +235,30 @@ def root_sets(spark, sf_dir):
     none = F.lit(None).cast("string")
     said = F.regexp_replace("detail", "^(JSONDecodeError).*", "$1")
     return found.select("repo", F.lit("root").alias("kind"), "tier", "rule", "path", "symbol", "target").unionByName(gaps.select("repo", F.lit("gap").alias("kind"), "tier", said.alias("rule"), F.col("origin_file").alias("path"), none.alias("symbol"), none.alias("target")))
+
+
+# Ignore rules -----------------------------------------------------------------------------------------------------------
+
+_LINE = """CASE s_suppkey % 5 WHEN 0 THEN s_suppkey::string WHEN 1 THEN '!' || s_suppkey || '.html' WHEN 2 THEN '*/fr/' || s_suppkey WHEN 3 THEN s_suppkey || '*' ELSE '!*' || s_suppkey END"""
+_PAGE = "rtrim('/', regexp_extract(url, '://([^?#]*)', 1))"
+
+
+@plan(
+    rf"""WITH l AS (SELECT row_number() OVER (ORDER BY s_suppkey) + 2 AS line, s_suppkey AS k, {_LINE.replace("::string", "::VARCHAR")} AS pattern FROM supplier),
+p AS (SELECT path, split_part(path, '/', 1) AS host, split_part(path, '/', 2) AS lang, split_part(path, '/', 3) AS name, length(path) - length(replace(path, '/', '')) AS slashes FROM (SELECT DISTINCT rtrim(regexp_extract(url, '://([^?#]*)', 1), '/') AS path FROM pages)),
+o AS (SELECT path, max(line) AS line FROM p JOIN l ON CASE k % 5 WHEN 0 THEN name = k::VARCHAR WHEN 1 THEN name = k || '.html' WHEN 2 THEN lang = 'fr' AND name = k::VARCHAR WHEN 3 THEN starts_with(name, k::VARCHAR) ELSE ends_with(name, k::VARCHAR) END GROUP BY path),
+d AS (SELECT p.path, CASE WHEN host LIKE 'blog.%' THEN '.gitignore' WHEN host LIKE 'th%.org' AND (lang = 'de' OR lang = 'en' AND name LIKE '5%') THEN host || '/.gitignore' WHEN o.line IS NOT NULL THEN '.gitignore' END AS source,
+    CASE WHEN host LIKE 'blog.%' THEN 2 WHEN host LIKE 'th%.org' AND lang = 'de' THEN 1 WHEN host LIKE 'th%.org' AND lang = 'en' AND name LIKE '5%' THEN 2 ELSE o.line END AS line FROM p LEFT JOIN o USING (path))
+SELECT d.path, d.source, d.line::INT AS line, CASE WHEN d.source = '.gitignore' THEN CASE d.line WHEN 2 THEN 'blog.*/' ELSE l.pattern END WHEN d.line = 1 THEN 'de/' WHEN d.line = 2 THEN '!en/5*' END AS pattern,
+  coalesce(CASE WHEN d.source = '.gitignore' THEN CASE d.line WHEN 2 THEN true ELSE l.pattern NOT LIKE '!%' END ELSE d.line = 1 END, false) AND d.source IS NOT NULL AS ignored
+FROM d LEFT JOIN l ON d.line = l.line AND d.source = '.gitignore'"""
+)
+def deciding_ignore(spark, sf_dir):
+    """Rule, file and line that decide the path of every page: a line a supplier in the root's ignore file, ignore files of some hosts, excluded directories that end the question, lines that take paths back."""
+    asked = table(spark, sf_dir, "pages").select(F.expr(_PAGE).alias("path")).distinct()
+    lines = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_LINE).alias("line"))
+    # One file of a line a supplier: a few thousand short lines of a table that stands for what people wrote.
+    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    root = text.select(F.lit(".gitignore").alias("path"), F.concat(F.lit("# by supplier\nblog.*/\n"), "body", F.lit("\n")).alias("text"))
+    hosts = asked.select(F.substring_index("path", "/", 1).alias("host")).where("host like 'th%.org'").distinct()
+    return ignore.deciding_rule(asked, ignore.ignore_rules(root.unionByName(hosts.select(F.concat("host", F.lit("/.gitignore")).alias("path"), F.lit("de/\n!en/5*\n").alias("text"))))).select("path", "source", "line", "pattern", "ignored")

@@ -685,3 +685,38 @@ def test_provenance(spark):
         "a/b.go": ("generated_content", "go"), "mod/x.c": ("submodule", ".gitmodules"), "own/vendor/x": ("vendored", "vendor"), "src/a.c": ("attribute", "linguist-generated"),
     }
     assert provenance.provenance(files_.limit(0), patterns).count() == 0
+
+
+@pytest.mark.parametrize("seed", [17, 1, 2, 3, 4, 5, 6])
+def test_deciding_ignore_rule_is_git_s(spark, tmp_path, seed):
+    """Rule, file and line of hundreds of paths are those that git itself gives."""
+    import random
+    import subprocess
+
+    from siftline.operators import ignore
+
+    rng = random.Random(seed)
+    run = git_in(tmp_path)
+    run("init", "-q")
+    names = ["a", "b", "ab", "build", "keep.txt", "x.log", "c[d", "é", "b a", "foo*", "z\\w"]
+    every = sorted({"/".join(rng.choice(names) for _ in range(rng.randint(1, 4))) for _ in range(400)})
+    some = ["*.log", "!keep.txt", "build/", "/a", "a/b", "**/ab", "a/**", "a/**/b", "b*", "!b/", "?", "[ab]", "[!a]b", "x.l[a-o]g", "# no", "\\#x", "\\!x", "c\\[d", "c[d", "foo\\*", "foo*/", "ab/ ", "b a", "b\\ a", "[[:alpha:]]", "*/x.log", "!/a/b", "**", "é", "a**b", "!*", "build/*", "!build/keep.txt", "[]ab]", "/**/x.log", "a\\", "z\\\\w", "b/**/", "", " ", "!", "/", "keep.txt\r"]
+    texts = {}
+    for d in ["", "a", "b", "a/b", "build", "ab"]:
+        texts[f"{d}/.gitignore".lstrip("/")] = "\n".join(rng.choice(some) for _ in range(rng.randint(1, 6))) + "\n"
+    for p, t in texts.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t, newline="")
+    (tmp_path / ".git/info/exclude").write_text("ab\n*.txt\n")
+    (tmp_path / "user").write_text("keep.txt\nb\n")
+    run("config", "core.excludesFile", str(tmp_path / "user"))
+    rules_in = [(p, t, None) for p, t in texts.items()] + [(".git/info/exclude", "ab\n*.txt\n", "info"), (str(tmp_path / "user"), "keep.txt\nb\n", "user")]
+    table = ignore.ignore_rules(spark.createDataFrame(rules_in, "path string, text string, scope string"))
+    got = {r.path: (r.source, r.line, r.pattern, r.ignored) for r in ignore.deciding_rule(spark.createDataFrame([(p,) for p in every], "path string"), table).collect()}
+    asked = subprocess.run(["git", "-C", str(tmp_path), "check-ignore", "-vz", "--no-index", "--stdin", "--non-matching"], input="\0".join(every).encode() + b"\0", capture_output=True)
+    f = asked.stdout.decode().split("\0")[:-1]
+    want = {f[i + 3]: (f[i] or None, int(f[i + 1]) if f[i + 1] else None, f[i + 2] or None, bool(f[i + 2]) and not f[i + 2].startswith("!")) for i in range(0, len(f) - 3, 4)}
+    is_dir = {p for p in every if (tmp_path / p).is_dir()}
+    assert len(want) > 200 and sum(w[2] is not None for w in want.values()) > 50
+    wrong = {p: (got[p], want[p]) for p in every if p not in is_dir and got[p] != want[p]}
+    assert not wrong
