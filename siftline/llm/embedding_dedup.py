@@ -121,7 +121,7 @@ def links_of(p: pd.DataFrame, cosine: float, shape: tuple[int, int]) -> pd.DataF
     vec = unit(np.stack(p["vec"].to_numpy()).astype(float))
     held = np.stack(p["codes"].to_numpy()).reshape(len(p), *shape)
     table, code, block = p["tab"].to_numpy(), p["code"].to_numpy(), p["block"].to_numpy()
-    copies, ids, apart = p["n"].to_numpy(), p["rep"].to_numpy(), (p["lo"] != p["hi"]).to_numpy()
+    copies, ids, apart = p["n"].to_numpy(), p["num"].to_numpy(), (p["lo"] != p["hi"]).to_numpy()
     home = held[np.arange(len(p)), table, 0] == code
     count, label = np.zeros(len(p), np.int64), np.arange(len(p))
     for i, j in _close_pairs(vec, p["group"].to_numpy(), cosine):
@@ -163,13 +163,14 @@ def vector_components(
     Vectors are compared only when their labels are equal and not null (``label_col`` None: all) and their lengths are equal. Null and
     zero vectors and those with null or non-finite components link with nothing. Links need a cosine of at least ``cosine``; the
     search is approximate, and the tests hold its recall against brute force. component_id is the smallest id
-    reachable, the row's own where there are no links (and null for a null id, which also links with nothing). Ids are
-    taken to be unique. An empty table gives an empty result.
+    reachable, the row's own where there are no links (and null for a null id, which also links with nothing). An id
+    with several vectors has a row for each: vectors link, not ids. An empty table gives an empty result.
     """
     label = F.col(label_col) if label_col else F.lit(0)
     rows = vectors.select(F.col(id_col).alias("id"), label.alias("label"), F.col(vec_col).alias("vec"))
     good = rows.where(usable(F.col("vec")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    merged = written(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
+    # Distinct vectors have numbers of their own: an id may have several vectors, and several ids one.
+    merged = written(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("num", F.monotonically_increasing_id()), "vectors")
     stats = merged.groupBy("label", F.size("vec").alias("dim")).count().agg(F.max("count"), F.max("dim")).first()
     largest, dim = stats[0] or 1, stats[1] or 1
     d = 1 << max(1, (dim - 1).bit_length())
@@ -185,20 +186,18 @@ def vector_components(
                     c = codes(unit(np.stack(p["vec"].to_numpy()).astype(float)), tables, k, seed)
                     for q in range(1, probes):  # a bucket is visited once
                         c[:, :, q][(c[:, :, q, None] == c[:, :, :q]).any(axis=2)] = -1
-                    out = p[["rep"]].copy()
+                    out = p[["num"]].copy()
                     out["codes"] = list(c.reshape(len(p), -1))
                     yield out
 
-    kinds = {f.name: f.dataType.simpleString() for f in merged.schema}
-    id_kind = kinds["rep"]
-    placed = written(merged.select("rep", "vec").mapInPandas(place, f"rep {id_kind}, codes array<long>").withColumnRenamed("rep", "id"), "vector-codes")
-    rows_of = merged.join(placed, merged["rep"] == placed["id"]).drop("id").withColumn("dim", F.size("vec"))
+    placed = written(merged.select("num", "vec").mapInPandas(place, "num long, codes array<long>"), "vector-codes")
+    rows_of = merged.join(placed, "num").withColumn("dim", F.size("vec"))
     # Buckets are counted by codes alone; vectors move only for buckets in which two meet.
     key = ["tab", "label", "dim", "code"]
     entries = (
-        rows_of.select("label", "dim", "rep", F.posexplode("codes").alias("pos", "code"))
+        rows_of.select("label", "dim", "num", F.posexplode("codes").alias("pos", "code"))
         .where("code >= 0")
-        .select("label", "dim", "rep", F.floor(F.col("pos") / probes).cast("int").alias("tab"), "code", (F.col("pos") % probes == 0).alias("home"))
+        .select("label", "dim", "num", F.floor(F.col("pos") / probes).cast("int").alias("tab"), "code", (F.col("pos") % probes == 0).alias("home"))
     )
     sizes = (
         entries.groupBy(key)
@@ -206,11 +205,11 @@ def vector_components(
         .where("rows > 1 and lived")
         .select(*key, F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     )
-    alive = entries.join(sizes, key).select("tab", "code", "blocks", "rep")
+    alive = entries.join(sizes, key).select("tab", "code", "blocks", "num")
     # A row meets every block of its bucket: as the lower half of a pair of blocks, or as the upper one.
     dealt = (
-        alive.join(rows_of.select("label", "dim", "rep", "n", "vec", "codes"), "rep")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        alive.join(rows_of.select("label", "dim", "num", "n", "vec", "codes"), "num")
+        .withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
@@ -223,16 +222,18 @@ def vector_components(
                 yield links_of(p.reset_index(drop=True), cosine, (tables, probes))
 
     partial = written(
-        dealt.select(*group, "block", "rep", "n", "vec", "codes").repartition(*group).sortWithinPartitions(*group, "rep").mapInPandas(verify, f"id {id_kind}, links long, root {id_kind}"),
+        dealt.select(*group, "block", "num", "n", "vec", "codes").repartition(*group).sortWithinPartitions(*group, "num").mapInPandas(verify, "id long, links long, root long"),
         "vector-links",
     )
     links = partial.groupBy("id").agg(F.sum("links").alias("links"))
     comp = connected_components(partial.where("root is not null").select(F.col("root").alias("src"), F.col("id").alias("dst")))
+    # A component is known by a number; its name is the smallest id of its vectors.
+    names = comp.join(merged.select(F.col("num").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("name"))
+    named = comp.join(names, "component").select(F.col("node").alias("num"), "name")
     found = (
-        merged.join(links, merged["rep"] == links["id"], "left")
-        .drop("id")
-        .join(comp, F.col("rep") == F.col("node"), "left")
-        .select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        merged.join(links.withColumnRenamed("id", "num"), "num", "left")
+        .join(named, "num", "left")
+        .select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("name", "rep").alias("component_id"))
     )
     linked = good.join(found, ["label", "vec"]).select("id", "n_links", "component_id")
     rest = rows.where(~usable(F.col("vec")) | F.col("label").isNull() | F.col("id").isNull())

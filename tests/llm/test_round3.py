@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
-from siftline.llm import common, conversation_repair, quality, queries, spelling, toxicity
+from siftline.llm import common, conversation_repair, embedding_dedup, quality, queries, spelling, toxicity
 
 
 def brute_words(text):
@@ -320,3 +320,62 @@ def test_vocabulary(spark):
         got = {r.word: r.n for r in spelling.vocabulary(df, every=every).collect()}
         assert got == {w: n for w, n in counts.items() if n >= 2}
     assert spelling.vocabulary(df.limit(0)).count() == 0
+
+
+# op8, op9
+
+
+def planted(rng, n, close, dim=32):
+    """Vectors of which ``close`` have a partner at a cosine of 0.93 to 0.99."""
+    base = rng.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    for i in range(close):
+        other = rng.normal(size=dim)
+        other -= other @ base[i] * base[i]
+        c = rng.uniform(0.94, 0.99)
+        base[n - 1 - i] = c * base[i] + math.sqrt(1 - c * c) * other / np.linalg.norm(other)
+    return base
+
+
+def test_an_id_with_two_vectors(spark):
+    v, w = [1.0] + [0.0] * 15, [0.0] * 15 + [1.0]
+    near_w = [0.0] * 14 + [0.2, 1.0]
+    df = spark.createDataFrame([(1, v, 0), (1, w, 0), (2, v, 0), (3, w, 0), (4, near_w, 0), (1, v, 0), (5, near_w, 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.vector_components(df).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1), (5, 0, 5)]
+
+
+def test_recall_at_one_two_and_three_hashes(spark, monkeypatch):
+    """The number of hashes a bucket follows the largest label; at each of the first three, recall against brute force is 0.9 or more."""
+    rng = np.random.default_rng(8)
+    x = planted(rng, 3000, 600)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= 0.93).sum() - len(x)
+    for per_bucket, k in ((3000, 1), (16, 2), (0.5, 3)):
+        monkeypatch.setattr(embedding_dedup, "PER_BUCKET", per_bucket)
+        assert max(1, math.ceil(math.log(max(1, len(x) / per_bucket)) / math.log(64))) == k
+        got = embedding_dedup.vector_components(df).agg(F.sum("n_links")).first()[0]
+        assert 0.9 * want <= got <= want
+
+
+def test_forward_pass_of_the_classifier_by_brute_force():
+    """Embedding, overlapping chunks, largest responses and the last layer, byte by byte."""
+    rng = np.random.default_rng(9)
+    net = quality.fit(["good words here " * 9, "BAD!! " * 30] * 10, [1, 0] * 10, epochs=2)
+    texts = ["", None, "x", "ab" * 40, "long " * 100, "é\u00a0😀" * 20, "".join(map(chr, rng.integers(32, 127, 333)))]
+    for text in texts:
+        data = (text or "").encode()
+        halves = max(2, math.ceil(len(data) / quality.HALF) + 1)
+        symbols = []
+        for i in range(halves * quality.HALF):
+            if i >= len(data):
+                symbols.append(quality.PAD)
+                continue
+            again = i + 4 <= len(data) and any(i >= p and data[i : i + 4] == data[i - p : i - p + 4] for p in quality.PERIODS)
+            symbols.append(data[i] + 256 * again)
+        best = np.full(quality.FILTERS, -np.inf)
+        for h in range(halves - 1):
+            chunk = net.embed[symbols[h * quality.HALF : (h + 2) * quality.HALF]].reshape(2, -1)
+            best = np.maximum(best, chunk[0] @ net.filters[0] + chunk[1] @ net.filters[1])
+        want = 1 / (1 + math.exp(-(np.maximum(best + net.bias, 0) @ net.out + net.out_bias)))
+        assert abs(quality.scores(net, [text])[0] - want) < 1e-4
