@@ -64,21 +64,13 @@ def strip_position(core: Column) -> Column:
     return core
 
 
-def is_absolute(core: Column) -> Column:
-    return core.rlike(r"(?s)^/.") | (core.rlike(r"(?s)^[A-Za-z]:[\\/]") & (F.octet_length(core) > 3))
-
-
-def is_duration(core: Column) -> Column:
-    return core.rlike(f"^[0-9](?:[0-9.{DURATION_UNIT_CHARS}]*)[smh]$")
-
-
 def normalize_message(message: Column) -> Column:
     """The message without positions, absolute paths, durations and layout; applying it twice changes nothing."""
     tokens = F.filter(F.split(message, r"(?U)\s+"), lambda t: t != "")
 
     def part(t: Column) -> Column:
         lead, core, trail = split_edges(t)
-        # is_absolute and is_duration as replacements: the marks match neither.
+        # Absolute paths and durations as replacements: the marks are neither.
         core = F.regexp_replace(strip_position(core), r"(?s)^(?:/.|[A-Za-z]:[\\/].).*$", PATH_MARK)
         core = F.regexp_replace(core, f"^[0-9](?:[0-9.{DURATION_UNIT_CHARS}]*)[smh]$", DURATION_MARK)
         none = F.lit("")

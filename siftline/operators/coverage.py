@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import paths
 from siftline.functions.text import bare_suffixes, names_same_symbol
+from siftline.sources import coverage as lcov
 
 
 def merge(functions: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,3 +66,35 @@ def rescue(claims: DataFrame, functions: DataFrame, files: DataFrame, passed: Da
     p = rescued_paths(claims.where("kind = 'path'"), executed_files(functions, files)).select(F.lit("path").alias("kind"), "claim", "source")
     s = rescued_symbols(claims.where("kind = 'symbol'"), functions).select(F.lit("symbol").alias("kind"), "claim", "source")
     return p.unionByName(s).crossJoin(F.broadcast(passed.select("passed"))).where("passed").drop("passed")  # one row
+
+
+def load(asked: DataFrame, tracefiles: DataFrame, controls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``artifact, gap, declared, uncalled, called_functions``; and the functions and lines of the artifacts without a gap.
+
+    ``asked(artifact)`` names what is wanted, ``tracefiles`` and ``controls`` (artifact, text) are what is there. A gap is ``no_artifact``, ``no_control``, ``unreadable`` (the control, else the
+    tracefile) or ``control_failed``, looked for in this order; the numbers are those of a control that ran. No artifact says anything before its control passed. All artifacts are judged in
+    one plan, each for itself.
+    """
+    functions, lines, bad = lcov.parse(tracefiles)
+    told, odd = lcov.control(controls)
+    declared = told.where("symbol is not null").select("artifact", "symbol").distinct()
+    calls = functions.where("calls > 0 and name <> ''").select("artifact", "source", "name").distinct()
+    by_bare = calls.select("artifact", "name", F.explode(bare_suffixes(F.col("name"))).alias("key"))
+    wanted = declared.select("artifact", "symbol", F.explode(bare_suffixes(F.col("symbol"))).alias("key"))
+    met = wanted.join(by_bare, ["artifact", "key"]).where(names_same_symbol(F.col("symbol"), F.col("name"))).select("artifact", "symbol").distinct().withColumn("met", F.lit(True))
+    sums = declared.join(met, ["artifact", "symbol"], "left").groupBy("artifact").agg(F.count(F.lit(1)).alias("declared"), F.count_if(F.col("met").isNull()).alias("uncalled"))
+    floors = told.groupBy("artifact").agg(F.max("floor").alias("floor"))
+    called = calls.groupBy("artifact").agg(F.count(F.lit(1)).alias("called_functions"))
+    mark = lambda df, name: df.select("artifact").distinct().withColumn(name, F.lit(True))
+    j = asked.select("artifact").distinct()
+    for other in (mark(tracefiles, "there"), mark(controls, "controlled"), mark(odd, "odd"), mark(bad, "broken"), sums, floors, called):
+        j = j.join(other, "artifact", "left")
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("declared", "uncalled", "called_functions")}
+    passed = (n["declared"] > 0) & (n["uncalled"] == 0) & (n["called_functions"] >= F.coalesce("floor", n["declared"]))
+    gap = (
+        F.when(F.col("there").isNull(), "no_artifact").when(F.col("controlled").isNull(), "no_control").when(F.col("odd") | F.col("broken"), "unreadable").when(~passed, "control_failed")
+    )
+    ran = gap.isNull() | (gap == "control_failed")
+    out = j.select("artifact", gap.alias("gap"), *[F.when(ran, c).alias(name) for name, c in n.items()])
+    good = out.where("gap is null").select("artifact")
+    return out, functions.join(good, "artifact"), lines.join(good, "artifact")

@@ -14,7 +14,7 @@ SERIALIZATION = (
     "pickle.load", "pickle.dump",
 )
 ABI = ("#[no_mangle]", "#[unsafe(no_mangle)]", "//export ", 'extern "C"', "JNIEXPORT", "__declspec(dllexport)", "@_cdecl", "@_spi(", "-fvisibility=default", "soname")
-DERIVE = "#[derive(… Serialize/Deserialize …)]"
+DERIVE = "a serde derive"
 FRAMEWORKS = ("sidekiq", "celery", "activejob", "resque", "bull", "hangfire", "rq", "dramatiq", "temporal")
 MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "Pipfile", "Gemfile", "go.mod", "Cargo.toml", "composer.json", "build.gradle", "pom.xml")
 NEAR = 3

@@ -102,14 +102,21 @@ def run_health(runs: DataFrame, invocations: DataFrame, notifications: DataFrame
     return j.select("run", health.alias("health"), F.concat(failures, soft).alias("reasons"))
 
 
-def verdict(health: DataFrame, rot: DataFrame, new: DataFrame) -> DataFrame:
-    """One row ``verdict, degraded, n_rot, n_new, exit_code``: refused, rot, new_findings or clean, whatever is empty."""
-    h = health.agg(F.count_if(F.col("health") == "failed").alias("failed"), F.count_if(F.col("health") == "degraded").alias("soft"), F.count(F.lit(1)).alias("runs"))
-    r, n = rot.agg(F.count(F.lit(1)).alias("n_rot")), new.agg(F.count(F.lit(1)).alias("n_new"))
-    one = h.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(n))  # three rows of one row each
+def verdict(health: DataFrame, rot: DataFrame, new: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """``verdict, degraded, n_rot, n_new, exit_code``: refused, rot, new_findings or clean, whatever is empty.
+
+    One row; or with ``repos`` (repo) a row for each of them, all three tables then having that column. A repository without runs is refused.
+    """
+    keys = ["repo"] if repos is not None else []
+    h = health.groupBy(*keys).agg(F.count_if(F.col("health") == "failed").alias("failed"), F.count_if(F.col("health") == "degraded").alias("soft"), F.count(F.lit(1)).alias("runs"))
+    r, n = rot.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rot")), new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_new"))
+    if repos is None:
+        one = h.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(n))  # three rows of one row each
+    else:
+        one = repos.select("repo").distinct().join(h, keys, "left").join(r, keys, "left").join(n, keys, "left").fillna(0, ["failed", "soft", "runs", "n_rot", "n_new"])
     said = F.when((F.col("failed") > 0) | (F.col("runs") == 0), "refused").when(F.col("n_rot") > 0, "rot").when(F.col("n_new") > 0, "new_findings").otherwise("clean")
     code = F.when(said == "refused", 2).when(said == "clean", 0).otherwise(1)
-    return one.select(said.alias("verdict"), (F.col("soft") > 0).alias("degraded"), "n_rot", "n_new", code.alias("exit_code"))
+    return one.select(*keys, said.alias("verdict"), (F.col("soft") > 0).alias("degraded"), "n_rot", "n_new", code.alias("exit_code"))
 
 
 def update(findings: DataFrame, previous: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:

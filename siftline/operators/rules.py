@@ -53,18 +53,18 @@ LEGAL_PATHS = (
 SPDX_LINES, SPDX_MARKER = 16, "SPDX-License-Identifier:"
 MINIFIED_MEAN, MINIFIED_EXTENSIONS = 110, (".js", ".css")
 EXTENSIONS = {
-    "1b": "pem key p8 p12 pfx pkcs12 jks jceks keystore kdbx ppk asc gpg agekey",
-    "1c": "tfstate tfvars tfplan",
-    "1d": "db db3 sqlite sqlite3 sqlitedb mdb accdb realm rdb aof ldb sst frm ibd myd myi dbf fdb",
-    "1e": "pt pth ckpt safetensors onnx tflite gguf ggml joblib mlmodel mlpackage caffemodel pdparams engine h5 hdf5 pkl pickle",
-    "1f": "csv tsv parquet avro orc feather arrow ndjson jsonl npy npz dvc",
-}
+    "1b": ("pem", "key", "p8", "p12", "pfx", "pkcs12", "jks", "jceks", "keystore", "kdbx", "ppk", "asc", "gpg", "agekey"),
+    "1c": ("tfstate", "tfvars", "tfplan"),
+    "1d": ("db", "db3", "sqlite", "sqlite3", "sqlitedb", "mdb", "accdb", "realm", "rdb", "aof", "ldb", "sst", "frm", "ibd", "myd", "myi", "dbf", "fdb"),
+    "1e": ("pt", "pth", "ckpt", "safetensors", "onnx", "tflite", "gguf", "ggml", "joblib", "mlmodel", "mlpackage", "caffemodel", "pdparams", "engine", "h5", "hdf5", "pkl", "pickle"),
+    "1f": ("csv", "tsv", "parquet", "avro", "orc", "feather", "arrow", "ndjson", "jsonl", "npy", "npz", "dvc"),
+}
 NAMES = {
-    "1b": "id_rsa id_dsa id_ecdsa id_ecdsa_sk id_ed25519 id_ed25519_sk .netrc _netrc .npmrc .pypirc .git-credentials .htpasswd .dockercfg .pgpass .my.cnf .s3cfg credentials credentials.json",
-    "1d": "PG_VERSION dump.rdb appendonly.aof data.mdb lock.mdb",
-    "1e": "pytorch_model.bin model.bin tf_model.h5 flax_model.msgpack saved_model.pb",
-    "1f": "dvc.lock",
-}
+    "1b": ("id_rsa", "id_dsa", "id_ecdsa", "id_ecdsa_sk", "id_ed25519", "id_ed25519_sk", ".netrc", "_netrc", ".npmrc", ".pypirc", ".git-credentials", ".htpasswd", ".dockercfg", ".pgpass", ".my.cnf", ".s3cfg", "credentials", "credentials.json"),
+    "1d": ("PG_VERSION", "dump.rdb", "appendonly.aof", "data.mdb", "lock.mdb"),
+    "1e": ("pytorch_model.bin", "model.bin", "tf_model.h5", "flax_model.msgpack", "saved_model.pb"),
+    "1f": ("dvc.lock",),
+}
 TEMPLATE_TOKENS = ("example", "sample", "template", "dist", "defaults", "schema", "tpl", "tmpl")
 SECRET_EXTENSIONS = ("yaml", "yml", "json", "toml", "ini", "cfg", "conf", "properties", "env", "enc", "tfvars")
 SECRET_DIRECTORIES = (".ssh", ".gnupg", ".aws", ".azure", ".kube")
@@ -95,15 +95,20 @@ EVIDENCE_ARTIFACTS = (
     *_table("base", ".coverage", "coverage.xml", "lcov.info", "jacoco.exec"), *_table("extension", "profraw", "profdata", "gcda", "gcno"), *_table("inside", ".nyc_output", "coverage", "htmlcov", ".turbo")
 )
 KNOWN_EXTENSIONS = (
-    "rs py pyi js mjs cjs jsx ts tsx go java kt kts scala rb php c h cc cpp cxx hpp hh cs swift m mm sh bash zsh fish ps1 bat cmd pl pm lua r jl ex exs erl hrl clj cljs hs ml mli fs fsx dart vue "
-    "svelte elm nim zig sql proto thrift graphql gql tf hcl bzl cmake gradle sbt html htm xhtml css scss sass less styl md markdown rst adoc txt tex org json jsonc json5 yaml yml toml ini cfg conf "
-    "properties env xml csv tsv parquet avro ndjson jsonl lock plist png jpg jpeg gif svg webp avif ico bmp tiff mp3 wav flac mp4 webm mov woff woff2 ttf otf eot zip tar gz bz2 xz zst 7z jar war so "
-    "dylib dll exe a o wasm pdf class pyc whl deb rpm dmg iso pt pth onnx safetensors pkl h5 npy npz ipynb pem crt cer p12 pfx jks keystore db sqlite sqlite3"
-).split()
+    "rs", "py", "pyi", "js", "mjs", "cjs", "jsx", "ts", "tsx", "go", "java", "kt", "kts", "scala", "rb", "php", "c", "h", "cc", "cpp", "cxx", "hpp", "hh", "cs", "swift", "m", "mm",
+    "sh", "bash", "zsh", "fish", "ps1", "bat", "cmd", "pl", "pm", "lua", "r", "jl", "ex", "exs", "erl", "hrl", "clj", "cljs", "hs", "ml", "mli", "fs", "fsx", "dart", "vue",
+    "svelte", "elm", "nim", "zig", "sql", "proto", "thrift", "graphql", "gql", "tf", "hcl", "bzl", "cmake", "gradle", "sbt", "html", "htm", "xhtml", "css", "scss", "sass", "less",
+    "styl", "md", "markdown", "rst", "adoc", "txt", "tex", "org", "json", "jsonc", "json5", "yaml", "yml", "toml", "ini", "cfg", "conf", "properties", "env", "xml", "csv", "tsv",
+    "parquet", "avro", "ndjson", "jsonl", "lock", "plist", "png", "jpg", "jpeg", "gif", "svg", "webp", "avif", "ico", "bmp", "tiff", "mp3", "wav", "flac", "mp4", "webm", "mov",
+    "woff", "woff2", "ttf", "otf", "eot", "zip", "tar", "gz", "bz2", "xz", "zst", "7z", "jar", "war", "so", "dylib", "dll", "exe", "a", "o", "wasm", "pdf", "class", "pyc", "whl",
+    "deb", "rpm", "dmg", "iso", "pt", "pth", "onnx", "safetensors", "pkl", "h5", "npy", "npz", "ipynb", "pem", "crt", "cer", "p12", "pfx", "jks", "keystore", "db", "sqlite",
+    "sqlite3",
+)
 KNOWN_NAMES = (
-    "Makefile GNUmakefile Dockerfile Containerfile Vagrantfile Jenkinsfile Rakefile Gemfile Guardfile Brewfile Justfile justfile BUILD WORKSPACE LICENSE LICENCE COPYING NOTICE README CHANGELOG AUTHORS "
-    "CONTRIBUTING MAINTAINERS TODO .editorconfig .dockerignore .npmignore .prettierignore .eslintignore .gitmodules .gitkeep .keep py.typed go.sum go.mod"
-).split()
+    "Makefile", "GNUmakefile", "Dockerfile", "Containerfile", "Vagrantfile", "Jenkinsfile", "Rakefile", "Gemfile", "Guardfile", "Brewfile", "Justfile", "justfile", "BUILD",
+    "WORKSPACE", "LICENSE", "LICENCE", "COPYING", "NOTICE", "README", "CHANGELOG", "AUTHORS", "CONTRIBUTING", "MAINTAINERS", "TODO", ".editorconfig", ".dockerignore", ".npmignore",
+    ".prettierignore", ".eslintignore", ".gitmodules", ".gitkeep", ".keep", "py.typed", "go.sum", "go.mod",
+)
 TYPE_MAGICS = (
     "SQLite format 3\x00", "\x89PNG\r\n\x1a\n", "%PDF-", "GIF87a", "GIF89a", "\x7fELF", "\xca\xfe\xba\xbe", "\x00asm", "PK\x03\x04", "\xff\xd8\xff", "\x1f\x8b", "BZh", "\xfd7zXZ\x00",
     "\x28\xb5\x2f\xfd", "\xcf\xfa\xed\xfe", "\xce\xfa\xed\xfe", "!<arch>\n", "<?xml", "#!",
@@ -176,8 +181,8 @@ def _name_evidence(path: Column) -> list[tuple[str, Column, str]]:
         ("1c", (F.get(parts, F.lit(0)) == ".pulumi") | F.array_contains(parts, "cdk.out"), "inside a state directory"),
         ("1d", F.startswith(low, F.lit("ib_logfile")) | F.startswith(low, F.lit("ibdata")), "an InnoDB name"),
     ]
-    out += [(c, ext.isin(*v.split()), "an extension") for c, v in EXTENSIONS.items()]
-    out += [(c, low.isin(*[x.lower() for x in v.split()]), "a file name") for c, v in NAMES.items()]
+    out += [(c, ext.isin(*v), "an extension") for c, v in EXTENSIONS.items()]
+    out += [(c, low.isin(*[x.lower() for x in v]), "a file name") for c, v in NAMES.items()]
     return out
 
 
@@ -353,10 +358,14 @@ def judge(files: DataFrame, attributes: DataFrame | None = None, own_artifacts:
 
 
 def review_plan(edits: DataFrame, deletions: DataFrame, own: tuple[Rule, ...]) -> DataFrame:
-    """One row ``review, path``: a plan that deletes this tool's own files, or edits its ledger beside deletions, is refused; the first is sharper."""
-    e = edits.agg(F.min_by("path", "seq").alias("edit"))
+    """``review, path``: a plan that deletes this tool's own files, or edits its ledger beside deletions, is refused; the first is sharper.
+
+    ``edits`` and ``deletions`` (seq, path) are one plan, which gives one row, or with ``plan`` many, which give a row for each that edits or deletes something.
+    """
+    keys = ["plan"] if "plan" in edits.columns else []
     own_hit = first_rule(F.col("path"), own + EVIDENCE_ARTIFACTS).isNotNull()
-    d = deletions.agg(F.min_by("path", "seq").alias("deletion"), F.min_by("path", F.when(own_hit, F.col("seq"))).alias("own"))
-    j = e.crossJoin(F.broadcast(d))  # one row each
+    e = edits.groupBy(*keys).agg(F.min_by("path", "seq").alias("edit"))
+    d = deletions.groupBy(*keys).agg(F.min_by("path", "seq").alias("deletion"), F.min_by("path", F.when(own_hit, F.col("seq"))).alias("own"))
+    j = e.join(d, keys, "full") if keys else e.crossJoin(F.broadcast(d))  # one row each
     review = F.when(F.col("own").isNotNull(), "refused_self_deletion").when(F.col("edit").isNotNull() & F.col("deletion").isNotNull(), "refused_co_occurrence").otherwise("permitted")
-    return j.select(review.alias("review"), F.coalesce("own", F.when(F.col("edit").isNotNull(), F.col("deletion"))).alias("path"))
+    return j.select(*keys, review.alias("review"), F.coalesce("own", F.when(F.col("edit").isNotNull(), F.col("deletion"))).alias("path"))

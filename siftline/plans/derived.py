@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import text
-from siftline.operators import gates, persistence, ratchet, roots, rules, suite, veto
+from siftline.operators import coverage, gates, persistence, ratchet, roots, rules, suite, veto
 from siftline.plans.tables import NOW, plan, table
 from siftline.sources import coverage as lcov
 from siftline.sources import sarif
@@ -71,20 +71,44 @@ def baseline_read(spark, sf_dir):
 
 
 @plan(
-    """SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'refused' WHEN n_nationkey % 5 = 1 THEN 'rot' WHEN n_nationkey % 5 = 2 THEN 'new_findings' WHEN n_nationkey % 5 = 3 THEN 'clean' ELSE 'refused' END AS verdict,
-  n_nationkey % 5 = 3 AS degraded, CASE WHEN n_nationkey % 5 = 1 THEN 2 ELSE 0 END::BIGINT AS n_rot, CASE WHEN n_nationkey % 5 <= 2 THEN 1 ELSE 0 END::BIGINT AS n_new,
-  [2, 1, 1, 0, 2][n_nationkey % 5 + 1]::INT AS exit_code FROM nation WHERE n_nationkey < 5"""
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 5 AS v FROM customer),
+n AS (SELECT *, CASE WHEN v = 1 THEN k % 3 + 1 ELSE 0 END AS rot, CASE WHEN v <= 2 THEN k % 4 ELSE 0 END AS fresh FROM c)
+SELECT 'c' || k AS repo, CASE WHEN v IN (0, 4) THEN 'refused' WHEN rot > 0 THEN 'rot' WHEN fresh > 0 THEN 'new_findings' ELSE 'clean' END AS verdict, v = 3 AS degraded, rot::BIGINT AS n_rot, fresh::BIGINT AS n_new,
+  CASE WHEN v IN (0, 4) THEN 2 WHEN rot > 0 OR fresh > 0 THEN 1 ELSE 0 END AS exit_code FROM n"""
 )
 def ratchet_verdicts(spark, sf_dir):
-    """All outcomes of a ratchet: refused by a failed run, rot, new findings, clean but degraded, refused for want of runs."""
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 5")
-    health = {0: [("a", "healthy"), ("b", "failed")], 1: [("a", "healthy")], 2: [("a", "healthy")], 3: [("a", "degraded")], 4: []}
-    out = None
-    for k, runs in health.items():  # five cases
-        h = spark.createDataFrame(runs, "run string, health string")
-        v = ratchet.verdict(h, n.where(f"{k} = 1 and n_nationkey < 2"), n.where(f"{k} <= 2 and n_nationkey = {k}")).withColumn("k", F.lit(k))
-        out = v if out is None else out.unionByName(v)
-    return out.select("k", "verdict", "degraded", "n_rot", "n_new", "exit_code")
+    """The verdict of a repository a customer, all in one plan: refused by a failed run or for want of runs, rot, new findings, clean, degraded."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 5).alias("v"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("repo"))
+    runs = F.when(F.col("v") == 0, F.array(F.lit("healthy"), F.lit("failed"))).when(F.col("v") == 3, F.array(F.lit("degraded"))).when(F.col("v") < 4, F.array(F.lit("healthy")))
+    times = lambda n: c.withColumn("n", n).where("n > 0").select("repo", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("seq"))
+    rot = times(F.when(F.col("v") == 1, F.col("c_custkey") % 3 + 1).otherwise(0).cast("long"))
+    fresh = times(F.when(F.col("v") <= 2, F.col("c_custkey") % 4).otherwise(0).cast("long"))
+    return ratchet.verdict(c.select("repo", F.explode(runs).alias("health")), rot, fresh, c)
+
+
+@plan("SELECT (event_id % 3)::INT AS log, event_id AS seq, CASE WHEN event_id % 3 = 1 THEN event_type END AS rule_id FROM events")
+def merged_logs(spark, sf_dir):
+    """Three logs as one run, each row with the number of its log; columns that only one of them has are null in the others."""
+    e = table(spark, sf_dir, "events")
+    logs = [e.where(f"event_id % 3 = {i}").select(F.col("event_id").alias("seq"), *([F.col("event_type").alias("rule_id")] if i == 1 else [])) for i in range(3)]
+    return ratchet.merge_runs(logs).select("log", "seq", "rule_id")
+
+
+@plan("SELECT event_id, strftime(make_timestamp(floor(epoch(ts))::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS said FROM events")
+def timestamps(spark, sf_dir):
+    """Moments as texts that sort as they follow each other."""
+    return table(spark, sf_dir, "events").select("event_id", text.rfc3339(F.floor(F.unix_timestamp("ts"))).alias("said"))
+
+
+@plan(
+    r"""SELECT doc_id, regexp_matches(coalesce(text, ''), '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') AS word, list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]'), 'oi') AS component,
+  regexp_replace(source || CASE doc_id % 4 WHEN 0 THEN '::x' WHEN 1 THEN '/a.b' WHEN 2 THEN ':c' ELSE '#d' END, '^.*(::|[./#])', '') AS tail FROM documents"""
+)
+def name_tests(spark, sf_dir):
+    """A word between characters that are no part of a name, a component among runs of letters and digits whatever its case, and the last part of a qualified name."""
+    t = F.coalesce("text", F.lit(""))
+    tail = F.concat("source", F.element_at(F.array(*map(F.lit, ("::x", "/a.b", ":c", "#d"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.contains_word(t, F.lit("the")).alias("word"), text.contains_component(t, F.lit("OI")).alias("component"), text.trailing_identifier(tail).alias("tail"))
 
 
 # Names -----------------------------------------------------------------------------------------------------------------
@@ -193,6 +217,76 @@ def legal_files(spark, sf_dir):
     return found.select("path", F.when(F.startswith("legal", F.lit("SPDX")), F.col("legal")).otherwise("a stem").alias("legal"))
 
 
+# Path, and the classes that hold with what is said of them.
+_JUDGED = [
+    ("uploads/u{k}.py", [("1g", "uploads/")]), (".history/h{k}.py", [("1h", ".history/")]), ("a{k}.orig", [("1h", "*.orig"), ("1p", "unknown type")]), ("db/migrations/m{k}.py", [("1k", "migrations directory")]),
+    ("w{k}/robots.txt", [("1l", "robots.txt")]), ("c{k}/coverage.xml", [("1o", "coverage.xml")]), ("x{k}/mystery", [("1p", "unknown type")]), ("x/V1_{k}__init.sql", [("1k", "1_{k}")]), ("s{k}.py", []), ("uploads/V{k}/VERSION", [("1g", "uploads/"), ("1l", "VERSION")]),
+    ("o{k}/own.ledger", [("1n", "own.ledger"), ("1p", "unknown type")]), ("m{k}/.github/workflows/ci.yml", [("1l", ".github/workflows")]),
+]
+
+
+@plan(
+    "WITH t AS (SELECT p_partkey::VARCHAR AS k, p_partkey % 12 AS v FROM part), r AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, '{p}', '{c}', '{e}')" for i, (p, found) in enumerate(_JUDGED) for c, e in found)
+    + ") x(v, path, class, evidence)) SELECT replace(path, '{k}', k) AS path, class, replace(evidence, '{k}', k) AS evidence FROM t JOIN r USING (v)"
+)
+def judged_classes(spark, sf_dir):
+    """Classes that exclude each other (uploads, sessions, sequences, migrations) and those that stack (contracts, own artifacts and ledgers, unknown types), and a file with none."""
+    k = F.col("p_partkey").cast("string")
+    path = F.replace(F.element_at(F.array(*[F.lit(p) for p, _ in _JUDGED]), (F.col("p_partkey") % len(_JUDGED) + 1).cast("int")), F.lit("{k}"), k)
+    none = F.lit(None).cast("string")
+    files = table(spark, sf_dir, "part").select(path.alias("path"), F.lit("x = 1\n").alias("head"), F.lit("x = 1\n").alias("text"), none.alias("link_target"), F.lit("completed").alias("read_status"))
+    return rules.judge(files, own_ledgers=(rules.Rule("base", "own.ledger"),)).select("path", "class", "evidence")
+
+
+_EFFECTORS = [("m{k}/main.tf", "", "terraform"), ("Pulumi.dev{k}.yaml", "", "pulumi"), ("c{k}/cdk.json", "", "cdk"), ("h{k}/Chart.yaml", "", "helm"), ("k{k}/kustomization.yml", "", "kustomize"), ("a{k}/roles/x/tasks/main.yml", "", "ansible"),
+              ("y{k}.yaml", "apiVersion: argoproj.io/v1", "argocd"), ("z{k}.yml", "fluxcd.io", "flux"), ("a{k}/tasks/main.yml", "", None), ("t{k}.py", "argoproj.io", None), ("g{k}/terragrunt.hcl", "", "terraform")]
+
+
+@plan(
+    "WITH t AS (SELECT p_partkey::VARCHAR AS k, p_partkey % 11 AS v FROM part), r AS (SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, '{p}', '{x}')" for i, (p, _, x) in enumerate(_EFFECTORS) if x)
+    + """) x(v, path, system)), f AS (SELECT system, replace(path, '{k}', k) AS path FROM t JOIN r USING (v)), n AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY path) AS i FROM f)
+SELECT system, count(*) AS n_markers, string_agg(path, ',' ORDER BY path) FILTER (i <= 8) AS shown FROM n GROUP BY system"""
+)
+def effectors(spark, sf_dir):
+    """Systems outside that a tree declares, by names, places and groups in YAML; the first markers of each and how many there are; near misses of both."""
+    i = (F.col("p_partkey") % len(_EFFECTORS) + 1).cast("int")
+    path = F.replace(F.element_at(F.array(*[F.lit(p) for p, _, _ in _EFFECTORS]), i), F.lit("{k}"), F.col("p_partkey").cast("string"))
+    files = table(spark, sf_dir, "part").select(path.alias("path"), F.element_at(F.array(*[F.lit(t) for _, t, _ in _EFFECTORS]), i).alias("text"))
+    return rules.survey(files).select("system", "n_markers", F.array_join("shown", ",").alias("shown"))
+
+
+@plan(
+    """SELECT 'p' || c_custkey AS plan, CASE c_custkey % 4 WHEN 1 THEN 'refused_co_occurrence' WHEN 2 THEN 'refused_self_deletion' ELSE 'permitted' END AS review,
+  CASE c_custkey % 4 WHEN 1 THEN 'src/a' || c_custkey || '.py' WHEN 2 THEN 'b' || c_custkey || '/coverage.xml' END AS path FROM customer"""
+)
+def plan_reviews(spark, sf_dir):
+    """Plans that only edit, edit and delete, delete this tool's own files (the sharper reason), and only delete."""
+    k, v = F.col("c_custkey").cast("string"), F.col("c_custkey") % 4
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("p"), k).alias("plan"), k.alias("k"), v.alias("v"))
+    row = lambda seq, path: F.struct(F.lit(seq).alias("seq"), path.alias("path"))
+    first, own = row(1, F.concat(F.lit("src/a"), "k", F.lit(".py"))), row(2, F.concat(F.lit("b"), "k", F.lit("/coverage.xml")))
+    edits = c.where("v < 3").select("plan", F.lit(1).alias("seq"), F.lit("own.ledger").alias("path"))
+    deletions = c.where("v > 0").select("plan", F.explode(F.when(F.col("v") == 2, F.array(first, own)).otherwise(F.array(first, row(3, F.lit("z"))))).alias("d")).select("plan", "d.*")
+    return rules.review_plan(edits, deletions, (rules.Rule("base", "own.ledger"),))
+
+
+@plan(
+    """WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS v, (c_custkey // 6) % 2 AS w FROM customer)
+SELECT 'a' || k AS artifact, CASE v WHEN 1 THEN 'no_artifact' WHEN 2 THEN 'no_control' WHEN 3 THEN 'unreadable' WHEN 4 THEN 'unreadable' WHEN 5 THEN 'control_failed' END AS gap,
+  CASE WHEN v IN (0, 5) THEN 1 END::BIGINT AS declared, CASE WHEN v IN (0, 5) THEN CASE WHEN v = 5 AND w = 0 THEN 1 ELSE 0 END END::BIGINT AS uncalled, CASE WHEN v IN (0, 5) THEN 2 END::BIGINT AS called_functions FROM c"""
+)
+def coverage_gaps(spark, sf_dir):
+    """Why an artifact is not believed: it is missing, has no control, it or its control cannot be read, the control's symbol was not called or too few functions were; and one that is."""
+    k, v = F.col("c_custkey").cast("string"), F.col("c_custkey") % 6
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("a"), k).alias("artifact"), k.alias("k"), v.alias("v"), (F.floor(F.col("c_custkey") / 6) % 2).alias("w"), (F.col("c_custkey") % 3 + 1).cast("string").alias("n"))
+    trace = F.concat(F.lit("SF:a.py\nFN:1,m.f"), "k", F.lit("\nFNDA:"), "n", F.lit(",m.f"), "k", F.lit("\nFN:9,g\nFNDA:1,g\nFNDA:0,h\n"), F.when(F.col("v") == 4, "").otherwise("end_of_record\n"))
+    control = F.when(F.col("v") == 3, "symbols f\n").when((F.col("v") == 5) & (F.col("w") == 0), "symbol gone\n").otherwise(F.concat(F.lit("# made by hand\nsymbol f"), "k", F.when(F.col("v") == 5, "\nmin-called-functions 3\n").otherwise("\nmin-called-functions 2\n")))
+    gaps, _, _ = coverage.load(c, c.where("v <> 1").select("artifact", trace.alias("text")), c.where("v <> 2").select("artifact", control.alias("text")))
+    return gaps
+
+
 # Frameworks, coverage, reachability, layers ----------------------------------------------------------------------------
 
 

@@ -37,34 +37,6 @@ def path_tokens(text: str) -> list[str]:
     return [w for w in words if "/" in w and "://" not in w and w[:1] not in ("-", "/", "$")]
 
 
-def shell_split(command: str) -> list[str]:
-    """Words of a shell command, with quotes and backslashes undone; an open quote ends with the text."""
-    out, word, quote, i = [], None, "", 0
-    while i < len(command):
-        c = command[i]
-        if quote:
-            if c == quote:
-                quote = ""
-            elif c == "\\" and quote == '"' and i + 1 < len(command):
-                i += 1
-                word += command[i]
-            else:
-                word += c
-        elif c in "\"'":
-            quote, word = c, word or ""
-        elif c.isspace():
-            if word is not None:
-                out.append(word)
-            word = None
-        else:
-            if c == "\\" and i + 1 < len(command):
-                i += 1
-                c = command[i]
-            word = (word or "") + c
-        i += 1
-    return out if word is None else [*out, word]
-
-
 def _yaml(text: str) -> list[str]:
     import yaml
 
