@@ -3,7 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
-from siftline.plans import derived, tables, trees  # noqa: F401  derived and trees register their plans beside those of tables
+from siftline.plans import derived, tables, trees, whole  # noqa: F401  the others register their plans beside those of tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
