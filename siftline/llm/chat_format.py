@@ -111,11 +111,12 @@ def violations(name: Column, arguments: Column, schemas: Schemas) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level`` of calls that refer to calls standing later; null where references run in a circle.
+    """``conv_id, call_id, level`` of calls that refer to calls standing later; null where references run in a circle, or lead into one.
 
     A reference is ``{"$ref": "identifier"}`` anywhere in the arguments. Where references only look back, ``(turn, nth)`` is an order
-    already, and level 0 serves. Else levels are peeled off, of the conversations concerned only: a call is ready when all it refers to are, and its level is the length of the
-    longest chain below it. A round costs one join over what is left, so the rounds are as many as the longest chain is long.
+    already, and level 0 serves. Else, in the conversations concerned only, a call's level is the length of the longest chain below it. Calls with one reference are followed
+    by doubling, so a chain of any length takes as many rounds as its length has binary digits; what then remains, calls with several references, is peeled off: such a
+    call is ready when all it refers to are.
     """
     refs = calls.select(
         "conv_id", "call_id", F.struct("turn", "nth").alias("seq"), F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref"\s*:\s*"([^"]*)"'), F.lit(1)))).alias("to")
@@ -123,30 +124,39 @@ def levels(calls: DataFrame) -> DataFrame:
     seqs = calls.where("call_id is not null").groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("t")).agg(F.min(F.struct("turn", "nth")).alias("at"))
     edges = refs.join(seqs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("to") == F.col("t"))).select("conv_id", "call_id", "to", (F.col("at") >= F.col("seq")).alias("ahead"))
     edges = cut(edges.distinct())
-    done = None
-    if not edges.where("ahead").isEmpty():
-        convs = edges.where("ahead").select(F.col("conv_id").alias("c")).distinct()
-        left = cut(edges.join(convs, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").select("conv_id", "call_id", "to"))
-        level = 0
-        while True:
-            waiting = left.select(F.col("conv_id").alias("c"), F.col("call_id").alias("w")).distinct()
-            ready = left.join(waiting, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("to") == F.col("w")), "left_anti")
-            still = cut(left.join(waiting, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("to") == F.col("w")), "left_semi").distinct())
-            level += 1
-            blocked = still.select(F.col("conv_id").alias("c"), F.col("call_id").alias("w")).distinct()
-            free = cut(ready.select("conv_id", "call_id").distinct().join(blocked, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("w")), "left_anti").withColumn("level", F.lit(level)))
-            if free.isEmpty():
-                stuck = left.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-                done = stuck if done is None else done.unionByName(stuck)
-                break
-            done = free if done is None else done.unionByName(free)
-            gone = free.select(F.col("conv_id").alias("c"), F.col("call_id").alias("w"))
-            left = cut(left.join(gone, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("w")), "left_anti"))
-            if left.isEmpty():
-                break
-    if done is None:
-        done = edges.limit(0).select("conv_id", "call_id", F.lit(0).alias("level"))
-    return done
+    if edges.where("ahead").isEmpty():
+        return edges.limit(0).select("conv_id", "call_id", F.lit(0).alias("level"))
+    convs = edges.where("ahead").select(F.col("conv_id").alias("c")).distinct()
+    left = edges.join(convs, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    left = left.select(F.struct("conv_id").alias("c"), F.col("call_id").alias("n"), "to").distinct()  # a struct equals one with the same null
+    heads = left.groupBy("c", "n").agg(F.count("to").alias("refs"), F.min("to").alias("end"))
+    several = heads.where("refs > 1").select("c", "n")
+    # Chains of calls with one reference: where they end, and how far that is.
+    single = cut(heads.where("refs = 1").select("c", "n", "end", F.lit(1).alias("far"), F.lit(True).alias("moved")))
+    longest = single.groupBy("c").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):  # what still moves then goes round in a circle
+        up = single.select("c", F.col("n").alias("end"), F.col("end").alias("next"), F.col("far").alias("more"))
+        single = cut(single.join(up, ["c", "end"], "left").select("c", "n", F.coalesce("next", "end").alias("end"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moved")))
+        if single.where("moved").isEmpty():
+            break
+    # Edges of calls with several references, over the chains; base is the level at the other end, null as long as that is open.
+    ends = single.select("c", F.col("n").alias("to"), "end", "far", "moved")
+    names = several.select("c", F.col("n").alias("end"), F.lit(True).alias("several"))
+    web = left.join(several, ["c", "n"]).join(ends, ["c", "to"], "left").select("c", "n", F.coalesce("end", "to").alias("end"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.coalesce("moved", F.lit(False)).alias("lost"))
+    web = cut(web.join(names, ["c", "end"], "left").select("c", "n", "end", "far", F.when(~F.col("lost") & F.col("several").isNull(), 0).alias("base")))
+    every = web.select("c", "n").distinct()
+    peeled = web.limit(0).select("c", "n", F.lit(0).alias("level"))
+    while not web.isEmpty():
+        ready = cut(web.groupBy("c", "n").agg(F.max(F.col("far") + F.col("base")).alias("level"), F.count_if(F.col("base").isNull()).alias("open")).where("open = 0").select("c", "n", "level"))
+        if ready.isEmpty():
+            break
+        peeled = peeled.unionByName(ready)
+        found = ready.select("c", F.col("n").alias("end"), "level")
+        web = cut(web.join(ready, ["c", "n"], "left_anti").join(found, ["c", "end"], "left").select("c", "n", "end", "far", F.coalesce("base", "level").alias("base")))
+    of_several = every.join(peeled, ["c", "n"], "left")
+    below = of_several.select("c", F.col("n").alias("end"), "level", F.lit(True).alias("several"))
+    of_single = single.join(below, ["c", "end"], "left").select("c", "n", F.when(~F.col("moved") & (F.col("several").isNull() | F.col("level").isNotNull()), F.col("far") + F.coalesce("level", F.lit(0))).alias("level"))
+    return of_several.select("c", "n", "level").unionByName(of_single).select("c.conv_id", F.col("n").alias("call_id"), F.col("level").cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

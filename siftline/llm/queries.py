@@ -137,11 +137,12 @@ results AS (
 edges AS (
   SELECT c.conv_id, c.call_id, t.call_id AS target, t.turn >= c.turn AS ahead FROM calls c JOIN calls t ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND t.call_id = 'c' || c.target),
 tangled AS (SELECT * FROM edges WHERE conv_id IN (SELECT conv_id FROM edges WHERE ahead)),
+many AS (SELECT conv_id, count(DISTINCT call_id) AS most FROM tangled GROUP BY conv_id),
 walk AS (
   SELECT conv_id, target AS call_id, 0 AS level FROM tangled
   UNION
-  SELECT e.conv_id, e.call_id, w.level + 1 FROM tangled e JOIN walk w ON e.conv_id = w.conv_id AND e.target = w.call_id WHERE w.level < 40),
-levels AS (SELECT conv_id, call_id, CASE WHEN max(level) < 40 THEN max(level) END AS level, true AS leveled FROM walk GROUP BY ALL),
+  SELECT e.conv_id, e.call_id, w.level + 1 FROM tangled e JOIN walk w ON e.conv_id = w.conv_id AND e.target = w.call_id JOIN many m ON e.conv_id = m.conv_id WHERE w.level <= most),
+levels AS (SELECT conv_id, call_id, CASE WHEN max(level) <= any_value(most) THEN max(level) END AS level, true AS leveled FROM walk JOIN many USING (conv_id) GROUP BY ALL),
 first AS (SELECT conv_id, call_id, min(turn) AS turn, arg_min(content, (turn, content)) AS content FROM results GROUP BY ALL),
 u AS (
   SELECT c.conv_id, c.call_id, CASE WHEN f.turn IS NULL THEN 'no_result' WHEN f.turn < c.turn THEN 'early_result' ELSE 'linked' END AS status,

@@ -1,14 +1,16 @@
 """Toxicity, conversation repair and spelling variants against brute force and held-out labels."""
 
 import hashlib
+import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
-from siftline.llm import common, conversation_repair, embedding_dedup, quality, queries, spelling, toxicity
+from siftline.llm import chat_format, common, conversation_repair, embedding_dedup, quality, queries, spelling, toxicity
 
 
 def brute_words(text):
@@ -379,3 +381,81 @@ def test_forward_pass_of_the_classifier_by_brute_force():
             best = np.maximum(best, chunk[0] @ net.filters[0] + chunk[1] @ net.filters[1])
         want = 1 / (1 + math.exp(-(np.maximum(best + net.bias, 0) @ net.out + net.out_bias)))
         assert abs(quality.scores(net, [text])[0] - want) < 1e-4
+
+
+# op5
+
+
+def brute_levels(edges):
+    """Longest chain below each call that refers to something; none in circles or above them."""
+    memo = {}
+
+    def of(n, path):
+        if n not in edges:
+            return 0
+        if n in path:
+            return None
+        if n not in memo:
+            below = [of(t, path | {n}) for t in edges[n]]
+            memo[n] = None if None in below else 1 + max(below)
+        return memo[n]
+
+    circular = {n for n in edges if reaches(edges, n)}
+    out = {}
+    for n in edges:
+        memo.clear()
+        out[n] = None if leads(edges, n, circular) else of(n, frozenset())
+    return out
+
+
+def reaches(edges, start):
+    todo, seen = list(edges[start]), set()
+    while todo:
+        n = todo.pop()
+        if n == start:
+            return True
+        if n not in seen:
+            seen.add(n)
+            todo += edges.get(n, ())
+    return False
+
+
+def leads(edges, start, circular):
+    todo, seen = [start], set()
+    while todo:
+        n = todo.pop()
+        if n in circular:
+            return True
+        if n not in seen:
+            seen.add(n)
+            todo += edges.get(n, ())
+    return False
+
+
+def calls_of(spark, graphs):
+    rows = []
+    for c, edges in graphs.items():
+        names = sorted({*edges, *(t for to in edges.values() for t in to)})
+        for turn, n in enumerate(names):
+            rows.append((c, n, "tool", json.dumps([{"$ref": t} for t in edges.get(n, ())]), turn, 0))
+    return spark.createDataFrame(rows, "conv_id string, call_id string, name string, arguments string, turn long, nth int")
+
+
+def test_levels_against_brute_force(spark):
+    rng = random.Random(5)
+    graphs = {}
+    for c in [None, *map(str, range(40))]:
+        names = [f"n{i:02d}" for i in range(rng.randint(2, 14))]
+        graphs[c] = {n: rng.sample(names, rng.choice([1, 1, 1, 2, 3]) if len(names) > 2 else 1) for n in names if rng.random() < 0.7}
+        graphs[c]["n00"] = [names[-1]]  # looks ahead, so the conversation is concerned
+    got = {(r.conv_id, r.call_id): r.level for r in chat_format.levels(calls_of(spark, graphs)).collect()}
+    want = {(c, n): level for c, edges in graphs.items() for n, level in brute_levels(edges).items()}
+    assert got == want
+
+
+def test_a_chain_of_a_thousand_references(spark):
+    chain = {f"n{i:04d}": [f"n{i + 1:04d}"] for i in range(1000)}
+    began = time.time()
+    got = {r.call_id: r.level for r in chat_format.levels(calls_of(spark, {"c": chain})).collect()}
+    assert got == {f"n{i:04d}": 1000 - i for i in range(1000)}
+    assert time.time() - began < 60
