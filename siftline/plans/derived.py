@@ -275,7 +275,7 @@ def plan_reviews(spark, sf_dir):
 @plan(
     """WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS v, (c_custkey // 6) % 2 AS w FROM customer)
 SELECT 'a' || k AS artifact, CASE v WHEN 1 THEN 'no_artifact' WHEN 2 THEN 'no_control' WHEN 3 THEN 'unreadable' WHEN 4 THEN 'unreadable' WHEN 5 THEN 'control_failed' END AS gap,
-  CASE WHEN v IN (0, 5) THEN 1 END::BIGINT AS declared, CASE WHEN v IN (0, 5) THEN CASE WHEN v = 5 AND w = 0 THEN 1 ELSE 0 END END::BIGINT AS uncalled, CASE WHEN v IN (0, 5) THEN 2 END::BIGINT AS called_functions FROM c"""
+  CASE WHEN v IN (0, 5) THEN 1 ELSE -1 END::BIGINT AS declared, CASE WHEN v IN (0, 5) THEN CASE WHEN v = 5 AND w = 0 THEN 1 ELSE 0 END ELSE -1 END::BIGINT AS uncalled, CASE WHEN v IN (0, 5) THEN 2 ELSE -1 END::BIGINT AS called_functions FROM c"""
 )
 def coverage_gaps(spark, sf_dir):
     """Why an artifact is not believed: it is missing, has no control, it or its control cannot be read, the control's symbol was not called or too few functions were; and one that is."""
@@ -284,17 +284,19 @@ def coverage_gaps(spark, sf_dir):
     trace = F.concat(F.lit("SF:a.py\nFN:1,m.f"), "k", F.lit("\nFNDA:"), "n", F.lit(",m.f"), "k", F.lit("\nFN:9,g\nFNDA:1,g\nFNDA:0,h\n"), F.when(F.col("v") == 4, "").otherwise("end_of_record\n"))
     control = F.when(F.col("v") == 3, "symbols f\n").when((F.col("v") == 5) & (F.col("w") == 0), "symbol gone\n").otherwise(F.concat(F.lit("# made by hand\nsymbol f"), "k", F.when(F.col("v") == 5, "\nmin-called-functions 3\n").otherwise("\nmin-called-functions 2\n")))
     gaps, _, _ = coverage.load(c, c.where("v <> 1").select("artifact", trace.alias("text")), c.where("v <> 2").select("artifact", control.alias("text")))
-    return gaps
+    return gaps.fillna(-1, ["declared", "uncalled", "called_functions"])  # no control ran
 
 
 # Frameworks, coverage, reachability, layers ----------------------------------------------------------------------------
 
 
-_TRACE = ["artifact", "line", "key", "source", "name", "cast(number as long) as number", "cast(count as long) as count", "violation"]
+_TRACE = ["artifact", "line", "key", "source", "name", "coalesce(cast(number as long), -1) as number", "coalesce(cast(count as long), -1) as count", "violation"]
+_SHOWN = "SELECT artifact, line, key, source, name, coalesce(number, -1)::BIGINT AS number, coalesce(count, -1)::BIGINT AS count, violation FROM ("  # unknown numbers are -1
 
 
 @plan(
-    """WITH t AS (SELECT 'a' || o_orderkey AS artifact, o_orderkey % 8 AS v, o_custkey AS c, o_orderkey % 7 AS n FROM orders),
+    _SHOWN
+    + """WITH t AS (SELECT 'a' || o_orderkey AS artifact, o_orderkey % 8 AS v, o_custkey AS c, o_orderkey % 7 AS n FROM orders),
 s AS (SELECT *, 's/' || c || '.py' AS source, CASE WHEN v = 1 THEN 1 ELSE 0 END AS up FROM t)
 SELECT artifact, (2 + up)::BIGINT AS line, 'SF' AS key, source, NULL AS name, NULL::BIGINT AS number, NULL::BIGINT AS count, NULL AS violation FROM s
 UNION ALL SELECT artifact, 3 + up, 'FN', source, CASE v WHEN 5 THEN '' ELSE 'f(A, B)' END, c, NULL, CASE v WHEN 5 THEN 'no function name' END FROM s
@@ -304,7 +306,7 @@ UNION ALL SELECT artifact, 6 + up, 'DA', source, NULL, c, CASE WHEN v = 7 THEN 0
 UNION ALL SELECT artifact, 7 + up, 'end', source, NULL, NULL, NULL, NULL FROM s WHERE v <> 3
 UNION ALL SELECT artifact, 8, 'DA', source, NULL, c, n, 'a record without its end' FROM s WHERE v = 3
 UNION ALL SELECT artifact, 1, 'DA', NULL, NULL, 1, 1, 'data before any record' FROM s WHERE v = 1
-UNION ALL SELECT artifact, 8, 'end', NULL, NULL, NULL, NULL, 'an end outside of a record' FROM s WHERE v = 0"""
+UNION ALL SELECT artifact, 8, 'end', NULL, NULL, NULL, NULL, 'an end outside of a record' FROM s WHERE v = 0)"""
 )
 def lcov_records(spark, sf_dir):
     """A tracefile an order: both dialects of FN, names with commas, calls, lines with and without checksums, unknown counts; data before a record, an end without one, no end, no name, no number."""
@@ -319,7 +321,8 @@ def lcov_records(spark, sf_dir):
 
 
 @plan(
-    """WITH t AS (SELECT o_custkey AS c, o_orderkey AS part, o_orderkey % 3 AS v, o_orderkey % 7 AS n,
+    _SHOWN
+    + """WITH t AS (SELECT o_custkey AS c, o_orderkey AS part, o_orderkey % 3 AS v, o_orderkey % 7 AS n,
     coalesce(sum(CASE o_orderkey % 3 WHEN 2 THEN 4 ELSE 2 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
     CASE WHEN lag(o_orderkey % 3) OVER w = 0 THEN 'a' || lag(o_orderkey) OVER w || '.py' END AS source, lead(o_orderkey) OVER w IS NULL AS closes FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
 r AS (
@@ -330,7 +333,7 @@ r AS (
   UNION ALL SELECT c, above + 1, 'SF', 'b' || part || '.py', NULL, NULL, NULL FROM t WHERE v = 2
   UNION ALL SELECT c, above + 2, 'DA', 'b' || part || '.py', 3, n, NULL FROM t WHERE v = 2
   UNION ALL SELECT c, above + 3, 'end', 'b' || part || '.py', NULL, NULL, NULL FROM t WHERE v = 2)
-SELECT 'c' || c AS artifact, line::BIGINT AS line, key, source, NULL AS name, number::BIGINT AS number, count::BIGINT AS count, violation FROM r"""
+SELECT 'c' || c AS artifact, line::BIGINT AS line, key, source, NULL AS name, number::BIGINT AS number, count::BIGINT AS count, violation FROM r)"""
 )
 def lcov_parts(spark, sf_dir):
     """A tracefile a customer, in as many parts as there are orders: records that go on in the next part, lines numbered through, and what lies outside of any record."""

@@ -249,7 +249,7 @@ p AS (SELECT path, split_part(path, '/', 1) AS host, split_part(path, '/', 2) AS
 o AS (SELECT path, max(line) AS line FROM p JOIN l ON CASE k % 5 WHEN 0 THEN name = k::VARCHAR WHEN 1 THEN name = k || '.html' WHEN 2 THEN lang = 'fr' AND name = k::VARCHAR WHEN 3 THEN starts_with(name, k::VARCHAR) ELSE ends_with(name, k::VARCHAR) END GROUP BY path),
 d AS (SELECT p.path, CASE WHEN host LIKE 'blog.%' THEN '.gitignore' WHEN host LIKE 'th%.org' AND (lang = 'de' OR lang = 'en' AND name LIKE '5%') THEN host || '/.gitignore' WHEN o.line IS NOT NULL THEN '.gitignore' END AS source,
     CASE WHEN host LIKE 'blog.%' THEN 2 WHEN host LIKE 'th%.org' AND lang = 'de' THEN 1 WHEN host LIKE 'th%.org' AND lang = 'en' AND name LIKE '5%' THEN 2 ELSE o.line END AS line FROM p LEFT JOIN o USING (path))
-SELECT d.path, d.source, d.line::INT AS line, CASE WHEN d.source = '.gitignore' THEN CASE d.line WHEN 2 THEN 'blog.*/' ELSE l.pattern END WHEN d.line = 1 THEN 'de/' WHEN d.line = 2 THEN '!en/5*' END AS pattern,
+SELECT d.path, d.source, coalesce(d.line, 0)::INT AS line, CASE WHEN d.source = '.gitignore' THEN CASE d.line WHEN 2 THEN 'blog.*/' ELSE l.pattern END WHEN d.line = 1 THEN 'de/' WHEN d.line = 2 THEN '!en/5*' END AS pattern,
   coalesce(CASE WHEN d.source = '.gitignore' THEN CASE d.line WHEN 2 THEN true ELSE l.pattern NOT LIKE '!%' END ELSE d.line = 1 END, false) AND d.source IS NOT NULL AS ignored
 FROM d LEFT JOIN l ON d.line = l.line AND d.source = '.gitignore'"""
 )
@@ -261,4 +261,4 @@ def deciding_ignore(spark, sf_dir):
     text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "line"))), lambda x: x["line"]), "\n").alias("body"))
     root = text.select(F.lit(".gitignore").alias("path"), F.concat(F.lit("# by supplier\nblog.*/\n"), "body", F.lit("\n")).alias("text"))
     hosts = asked.select(F.substring_index("path", "/", 1).alias("host")).where("host like 'th%.org'").distinct()
-    return ignore.deciding_rule(asked, ignore.ignore_rules(root.unionByName(hosts.select(F.concat("host", F.lit("/.gitignore")).alias("path"), F.lit("de/\n!en/5*\n").alias("text"))))).select("path", "source", "line", "pattern", "ignored")
+    return ignore.deciding_rule(asked, ignore.ignore_rules(root.unionByName(hosts.select(F.concat("host", F.lit("/.gitignore")).alias("path"), F.lit("de/\n!en/5*\n").alias("text"))))).select("path", "source", F.coalesce("line", F.lit(0)).alias("line"), "pattern", "ignored")
