@@ -121,7 +121,8 @@ def located(roots: DataFrame, entries: DataFrame) -> DataFrame:
     third = third.withColumn("lfs_store", F.when(known, F.coalesce(paths.absolute(F.col("common_dir"), F.col("lfs.value")), F.concat("common_dir", F.lit("/lfs")))))
     out = resolved(third.select("repo", "root", "git_dir", "common_dir", "lfs_store", "store", "why"), links, "lfs_store")
     shown = lambda c: F.when(F.col("why").isNull(), F.col(c)).alias(c)
-    return out.select("repo", "root", shown("git_dir"), shown("common_dir"), shown("lfs_store"), F.when(F.col("why").isNull(), F.concat("common_dir", F.lit("/annex"))).alias("annex_store"), "store", "why")
+    # A row a tree, which gates then read more than once.
+    return kept(out.select("repo", "root", shown("git_dir"), shown("common_dir"), shown("lfs_store"), F.when(F.col("why").isNull(), F.concat("common_dir", F.lit("/annex"))).alias("annex_store"), "store", "why"))
 
 
 def regions(found: DataFrame) -> DataFrame:
