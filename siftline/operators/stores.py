@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import paths
-from siftline.sources.lineage import kept
+from siftline.sources.lineage import kept, large
 
 # The protected regions.
 REGIONS = ("git_dir", "common_dir", "lfs_store", "annex_store")
@@ -24,7 +24,7 @@ ROUNDS = 6
 def _through(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Of ``rows`` (repo, asked, now) those with a link on the way of ``now``, seen through the outermost one; null where that leads into a circle."""
     up = rows.select("repo", "asked", "now", F.posexplode(F.array_distinct(paths.ancestors(F.col("now")))).alias("level", "link"))
-    hit = up.join(links, ["repo", "link"]).groupBy("repo", "asked", "now").agg(F.min_by(F.struct("link", "target"), "level").alias("hit"))
+    hit = up.join(large(links), ["repo", "link"]).groupBy("repo", "asked", "now").agg(F.min_by(F.struct("link", "target"), "level").alias("hit"))
     return hit.select("repo", "asked", F.concat("hit.target", F.expr("substring(now, length(hit.link) + 1)")).alias("now"))
 
 
@@ -38,9 +38,9 @@ def links_of(entries: DataFrame) -> DataFrame:
         going = kept(going.withColumn("now", F.when((F.col("now") != F.col("asked")) & ~paths.is_inside(F.col("now"), F.col("asked")), F.col("now"))))  # back where it began: a circle
         if going.isEmpty():
             return links
-        links = kept(links.join(going.select("repo", F.col("asked").alias("link"), F.col("now"), F.lit(True).alias("went")), ["repo", "link"], "left").select("repo", "link", F.when(F.col("went"), F.col("now")).otherwise(F.col("target")).alias("target")))
+        links = kept(large(links).join(going.select("repo", F.col("asked").alias("link"), F.col("now"), F.lit(True).alias("went")), ["repo", "link"], "left").select("repo", "link", F.when(F.col("went"), F.col("now")).otherwise(F.col("target")).alias("target")))
     lost = going.select("repo", F.col("asked").alias("link"), F.lit(True).alias("lost"))
-    return links.join(lost, ["repo", "link"], "left").select("repo", "link", F.when(F.col("lost").isNull(), F.col("target")).alias("target"))
+    return large(links).join(lost, ["repo", "link"], "left").select("repo", "link", F.when(F.col("lost").isNull(), F.col("target")).alias("target"))
 
 
 def resolved(rows: DataFrame, links: DataFrame, path: str = "path") -> DataFrame:
@@ -57,7 +57,7 @@ def resolved(rows: DataFrame, links: DataFrame, path: str = "path") -> DataFrame
     if not steps:
         return rows
     last = reduce(DataFrame.unionByName, steps).groupBy("repo", "asked").agg(F.max_by("now", "n").alias("__now")).withColumnRenamed("asked", path)
-    return rows.join(last.withColumn("__went", F.lit(True)), ["repo", path], "left").withColumn(path, F.when(F.col("__went"), F.col("__now")).otherwise(F.col(path))).drop("__now", "__went")
+    return large(rows).join(last.withColumn("__went", F.lit(True)), ["repo", path], "left").withColumn(path, F.when(F.col("__went"), F.col("__now")).otherwise(F.col(path))).drop("__now", "__went")
 
 
 def lfs_storage(config: Column) -> Column:
@@ -94,7 +94,7 @@ def located(roots: DataFrame, entries: DataFrame) -> DataFrame:
     at = lambda c, n: F.try_element_at(F.col(c), F.lit(n))
 
     def look(rows: DataFrame, where: str, what: str) -> DataFrame:
-        return rows.join(dirs.select("repo", F.col("dir").alias(where), F.col("has").alias(what)), ["repo", where], "left")
+        return large(rows).join(dirs.select("repo", F.col("dir").alias(where), F.col("has").alias(what)), ["repo", where], "left")
 
     first = look(resolved(roots.select("repo", F.col("root"), F.col("root").alias("top")), links, "top"), "top", "here")
     git = at("here", ".git")

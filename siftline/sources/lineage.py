@@ -1,4 +1,4 @@
-"""Cutting the lineage of tables that rounds build on, in the folder that all machines share."""
+"""Tables that grow with the input: cutting the lineage of those that rounds build on, in the folder that all machines share, and keeping them off the driver."""
 
 from __future__ import annotations
 
@@ -8,6 +8,14 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df``, whose joins are to be shuffled and merged at every size.
+
+    The planner reckons what comes of compressed files, exploded arrays and checkpoints at a small part of its size, and would gather it on the driver to broadcast it.
+    """
+    return df.hint("merge")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df``, written once to ``spark.checkpoint.dir``; a local session without that setting gets a temporary folder, a cluster an error."""
     spark = df.sparkSession
