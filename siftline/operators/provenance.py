@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftline.functions import paths
 from siftline.functions.text import ascii_lower
 from siftline.operators import generated, veto
+from siftline.sources.lineage import kept, large
 
 #: Patterns from which no literal can be drawn are tested one by one on every path; there may be so many of them.
 MOST_LOOSE = 1_000
@@ -19,8 +20,8 @@ MOST_LOOSE = 1_000
 EVIDENCE = ("attribute", "submodule", "vendored", "generated_path", "generated_content")
 
 
-def required_literal(pattern: str | None) -> str:
-    """The longest run of ASCII characters that every match of a regular expression holds, in lower case; empty if none can be told.
+def required_literals(pattern: str | None) -> list[str]:
+    """All runs of ASCII characters that every match of a regular expression holds, in lower case; none if none can be told.
 
     Only what is matched always counts: no alternatives, nothing optional. What this reader of expressions does not know gives nothing.
     """
@@ -29,12 +30,15 @@ def required_literal(pattern: str | None) -> str:
             warnings.simplefilter("ignore")
             parsed = re._parser.parse(pattern or "")
     except (re.error, OverflowError, RecursionError):
-        return ""
-    best = run = ""
+        return []
+    runs: list[str] = []
+    run = ""
 
     def end() -> None:
-        nonlocal best, run
-        best, run = max(best, run, key=len), ""
+        nonlocal run
+        if run and run not in runs:
+            runs.append(run)
+        run = ""
 
     def walk(items) -> None:
         nonlocal run
@@ -54,23 +58,38 @@ def required_literal(pattern: str | None) -> str:
 
     walk(parsed)
     end()
-    return best
+    return runs
+
+
+def required_literal(pattern: str | None) -> str:
+    """The longest of ``required_literals``, the first of several; empty if there is none."""
+    return max(required_literals(pattern), key=len, default="")
+
+
+def meetings(rules: DataFrame, few: DataFrame) -> DataFrame:
+    """``path, kind, idx, pattern, rule``: of ``rules`` (no, kind, idx, pattern, rule, needles) those whose rarest literal a path of ``few`` holds."""
+    each = rules.select("no", F.explode("needles").alias("needle"))
+    held = kept(veto.containing(each, few.withColumn("content", ascii_lower(F.col("path")))).select("needle", "path"))
+    counts = held.groupBy("needle").agg(F.count(F.lit(1)).alias("paths"))
+    # A literal that no path holds is the rarest of all, and its patterns meet nothing.
+    rarest = large(each).join(counts, "needle", "left").groupBy("no").agg(F.min(F.struct(F.coalesce("paths", F.lit(0)).alias("paths"), "needle")).alias("r")).where("r.paths > 0").select("no", "r.needle")
+    ruled = large(rarest).join(rules.select("no", "kind", "idx", "pattern", "rule"), "no")
+    return large(held).join(ruled, "needle").select("path", "kind", "idx", "pattern", "rule")
 
 
 def all_matches(files: DataFrame, patterns: DataFrame) -> DataFrame:
     """``path, kind, idx, rule``: the ``patterns`` (kind, idx, pattern, rule) that find something in a path.
 
-    Every path meets only patterns whose required literal it holds: all literals are looked for in one pass over the paths, and the expression itself decides after an equi-join. Patterns without one,
-    at most ``MOST_LOOSE``, are tested on every path, without a join. Patterns are Java regular expressions.
+    Every path meets only patterns whose rarest required literal it holds (a host that many patterns and paths share says little beside a name of one): all literals are looked for in one pass over the
+    paths, which counts them, too, and the expression itself decides after an equi-join. Patterns without one, at most ``MOST_LOOSE``, are tested on every path, without a join. Patterns are Java regular expressions.
     """
-    literal = F.udf(lambda p: required_literal(p), "string")
-    rules = patterns.select("kind", "idx", "pattern", "rule", literal("pattern").alias("needle"))
-    loose = rules.where("needle = ''").select("kind", "idx", "pattern", "rule").limit(MOST_LOOSE + 1).collect()
+    literals = F.udf(lambda p: required_literals(p), "array<string>")
+    rules = kept(patterns.select("kind", "idx", "pattern", "rule", literals("pattern").alias("needles")).withColumn("no", F.monotonically_increasing_id()))
+    loose = rules.where("size(needles) = 0").select("kind", "idx", "pattern", "rule").limit(MOST_LOOSE + 1).collect()
     if len(loose) > MOST_LOOSE:
         raise ValueError(f"over {MOST_LOOSE} patterns without a literal")
     few = files.select("path").distinct()
-    held = veto.containing(rules.where("needle <> ''"), few.withColumn("content", ascii_lower(F.col("path")))).select("needle", "path")
-    hit = held.join(rules, "needle").where(F.regexp_like("path", F.col("pattern"))).select("path", "kind", "idx", "rule")
+    hit = meetings(rules, few).where(F.regexp_like("path", F.col("pattern"))).select("path", "kind", "idx", "rule")
     if loose:
         tests = [F.when(F.rlike(F.col("path"), F.lit(p)), F.struct(F.lit(k).alias("kind"), F.lit(i).cast(patterns.schema["idx"].dataType).alias("idx"), F.lit(r).alias("rule"))) for k, i, p, r in loose]
         found = few.select("path", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("r"))

@@ -13,19 +13,19 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import paths
 from siftline.functions.text import any_of
-from siftline.sources.lineage import kept
+from siftline.sources.lineage import kept, large
 
 #: Needle kinds in order; each strategy is a prefix of them.
 KINDS = ("basename", "stem", "parent_dir", "symbol")
 STRATEGIES = {"basename_only": 1, "with_stem": 2, "with_parent_dir": 3, "maximal": 4}
 MAX_HITS = 32
-GRAM = 3
 
 
 def derive_needles(candidates: DataFrame, strategy: str = "maximal") -> DataFrame:
@@ -38,10 +38,13 @@ def derive_needles(candidates: DataFrame, strategy: str = "maximal") -> DataFram
     return candidates.select("candidate", "path", F.explode(first).alias("n")).select("candidate", "path", "n.kind", "n.rank", "n.needle")
 
 
-def grams(text: Column) -> Column:
-    """All distinct runs of three characters."""
-    n = F.length(text)
-    return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+#: Needles of up to WIDE characters are looked for as they are, longer ones by a beginning of up to WIDEST.
+WIDE, WIDEST = 32, 128
+#: Bits of the filter of needles at most (32 MiB), and characters of a text that are looked at together.
+MOST_BITS, PIECE = 28, 1 << 18
+# Odd numbers that spread characters over 64 bits; UNBASE is what undoes BASE.
+BASE, UNBASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+MIXERS = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
 #: Needles, and their characters together, that are looked for in one pass by an automaton which every machine gets.
@@ -60,9 +63,8 @@ def _automaton_fits(wanted: DataFrame, exact_limit: int) -> bool:
 def containing(needles: DataFrame, corpus: DataFrame, text: str = "content", overlapping: bool = True, exact_limit: int = MANY) -> DataFrame:
     """``needle, path, offset`` of every file that contains a distinct needle, and where it first does; offsets count characters from 0.
 
-    Up to ``exact_limit`` needles (``LARGE`` characters) are one pass over each text by an Aho-Corasick automaton of all of them. More go through a three-gram index: a needle
-    meets the files that hold its rarest gram, and is then looked for itself; shorter needles, of which an alphabet has few, are scanned for. Nothing is missed: a file that
-    contains a needle contains all its grams. Without ``overlapping``, matches are leftmost-longest and do not overlap, and the needles must be few enough
+    Up to ``exact_limit`` needles (``LARGE`` characters) are one pass over each text by an Aho-Corasick automaton of all of them. More meet the windows of the texts that have
+    a needle's length (see ``_by_windows``). Without ``overlapping``, matches are leftmost-longest and do not overlap, and the needles must be few enough
     for the automaton.
     """
     wanted = needles.select("needle").distinct().persist()
@@ -80,21 +82,101 @@ def containing(needles: DataFrame, corpus: DataFrame, text: str = "content", ove
     wanted.unpersist()
     if not overlapping:
         raise ValueError(f"over {exact_limit} needles or {LARGE} characters")
-    return _by_grams(needles.select("needle").distinct(), corpus, text)
+    return _by_windows(needles, corpus, ["path"], text).select("needle", "path", "offset")
 
 
-def _by_grams(wanted: DataFrame, corpus: DataFrame, text: str) -> DataFrame:
-    content = F.col(text)
-    long, short = wanted.where(F.length("needle") >= GRAM), wanted.where(F.length("needle") < GRAM)
-    index = corpus.select("path", F.explode(grams(content)).alias("gram"))
-    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    asked = long.select("needle", F.explode(grams(F.col("needle"))).alias("gram")).join(counts, "gram", "left")
-    rarest = asked.groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("needle", F.col("g.gram").alias("gram"))
-    maybe = index.join(rarest, "gram").select("needle", "path")
-    hits = maybe.join(corpus.select("path", text), "path").where(F.contains(content, F.col("needle")))
-    hits = hits.select("needle", "path", (F.instr(content, F.col("needle")) - 1).alias("offset"))
-    tiny = corpus.select("path", text).join(short, F.contains(content, F.col("needle"))).select("needle", "path", (F.instr(content, F.col("needle")) - 1).alias("offset"))
-    return hits.unionByName(tiny)
+def _hashes(codes: np.ndarray, widths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """A 64-bit number of every window of each width over the code points of a text."""
+    powers = lambda of: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(codes), of, dtype=np.uint64))])
+    head = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers(BASE)[:-1])])
+    back = powers(UNBASE)
+    for n in widths:
+        m = len(codes) - n + 1
+        if m > 0:
+            yield n, (head[n:] - head[:m]) * back[:m] + np.uint64(n)
+
+
+def _place(h: np.ndarray, bits: int, odd: np.uint64) -> np.ndarray:
+    """A place of a number among 2**bits."""
+    x = (h ^ (h >> np.uint64(32))) * odd
+    return ((x ^ (x >> np.uint64(29))) * odd) >> np.uint64(64 - bits)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+
+
+def _windows(keys: DataFrame, corpus: DataFrame, ids: list[str], text: str, count: bool) -> DataFrame:
+    """``key, ids..., offset, n`` of every window of a text that may be one of ``keys`` (key): where it first stands, and how often it occurs (if ``count``).
+
+    A filter of all keys, of at most 2**MOST_BITS bits, is made by the machines and sent to them; a window that is none of the keys may pass it, so what comes is to be joined with the keys.
+    """
+    spark = corpus.sparkSession
+    n, widths = keys.agg(F.count(F.lit(1)), F.collect_set(F.length("key"))).first()  # a few dozen widths
+    bits = min(MOST_BITS, max(15, (32 * n).bit_length()))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h = [next(_hashes(_codes(k), [len(k)]))[1] for k in pdf["key"]]
+            if h:
+                yield pd.DataFrame({"at": np.concatenate([_place(np.concatenate(h), bits, odd) for odd in MIXERS]).astype(np.int64) + 1})
+
+    at = keys.mapInPandas(placed, "at long")
+    pieces = at.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # 2**MOST_BITS bits at most
+    held = bytearray(2**bits // 8)
+    for piece, some in pieces:
+        held[(piece - 1) * 4096 : (piece - 1) * 4096 + len(some)] = some
+    given = spark.sparkContext.broadcast(bytes(held))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.frombuffer(given.value, dtype=np.uint8)
+        names = ["key", *ids, "offset", "n"]
+        most = max(widths, default=1)
+        rows: list[tuple] = []
+        for pdf in batches:
+            for *of, t in pdf.itertuples(index=False, name=None):
+                met: dict[str, int] = {}
+                for start in range(0, len(t or ""), PIECE):
+                    part = t[start : start + PIECE + most - 1]
+                    for width, h in _hashes(_codes(part), widths):
+                        left = np.arange(min(len(h), PIECE))
+                        for odd in MIXERS:
+                            p = _place(h[left], bits, odd)
+                            left = left[(table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                        for i in left.tolist():
+                            met.setdefault(part[i : i + width], start + i)
+                rows += [(k, *of, o, t.count(k) if count else 0) for k, o in met.items()]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+    return corpus.select(*ids, text).mapInPandas(run, "key string, " + "".join(f"{c} string, " for c in ids) + "offset int, n long")
+
+
+def _key(needle: Column) -> Column:
+    """The needle, or the beginning by which a long one is looked for."""
+    n = F.length(needle)
+    return F.left(needle, F.when(n <= WIDE, n).otherwise(F.least(F.lit(WIDEST), n - n % 8)).cast("int"))
+
+
+def _by_windows(wanted: DataFrame, corpus: DataFrame, ids: list[str], text: str, count: bool = False) -> DataFrame:
+    """``needle, ids..., offset, n`` of each distinct needle and text that holds it, for any number of needles: windows of the texts meet needles by an equi-join, so texts never meet needles that they do not hold.
+
+    Needles of over ``WIDE`` characters meet by their beginning and are then looked for themselves.
+    """
+    keyed = kept(wanted.where("needle <> ''").select("needle").distinct().withColumn("key", _key(F.col("needle"))))
+    found = _windows(keyed.select("key").distinct(), corpus, ids, text, count)
+    whole = keyed.where("needle = key").select("key")
+    long = keyed.where("needle <> key")
+    if long.isEmpty():
+        return large(found).join(whole, "key").withColumnRenamed("key", "needle").select("needle", *ids, "offset", "n")
+    found = kept(found)
+    hit = large(found).join(whole, "key").withColumnRenamed("key", "needle").select("needle", *ids, "offset", "n")
+    maybe = large(large(found.select("key", *ids)).join(long, "key")).join(corpus.select(*ids, text), ids)
+    first = F.instr(F.col(text), F.col("needle"))
+    times = (F.length(text) - F.length(F.replace(F.col(text), F.col("needle"), F.lit("")))) / F.length("needle")
+    return hit.unionByName(maybe.where(first > 0).select("needle", *ids, (first - 1).cast("int").alias("offset"), times.cast("long").alias("n")))
 
 
 def _finder(words: list[str], overlapping: bool) -> Callable[[str], dict[str, int]]:
@@ -159,7 +241,7 @@ def literal_hits(candidates: DataFrame, corpus: DataFrame, strategy: str = "maxi
     """
     needles = derive_needles(candidates, strategy)
     own = needles.groupBy("candidate").agg(F.array_join(F.array_sort(F.collect_set("needle")), SEPARATOR).alias("words"))  # at most four
-    needles = needles.join(own, "candidate")
+    needles = large(needles).join(own, "candidate")
     sets = own.select("words").distinct().where(F.contains("words", F.lit(SEPARATOR)))
     readable = corpus.where("kind <> 'gitlink' and read_status = 'completed'").select("path", F.col("content").alias("text"))
     wanted = needles.select("needle").distinct()
@@ -189,8 +271,8 @@ def literal_hits(candidates: DataFrame, corpus: DataFrame, strategy: str = "maxi
         found = kept(readable.mapInPandas(run, "words string, needle string, file string, offset int"))
         first, other = found.where("words is null").drop("words"), found.where("words is not null")
     else:
-        first = kept(_by_grams(wanted, readable.withColumnRenamed("text", "content"), "content").withColumnRenamed("path", "file"))
-        held = needles.select("words", "needle").distinct().where(F.contains("words", F.lit(SEPARATOR))).join(first, "needle")
+        first = kept(_by_windows(wanted, readable, ["path"], "text").select("needle", F.col("path").alias("file"), "offset"))
+        held = needles.select("words", "needle").distinct().where(F.contains("words", F.lit(SEPARATOR))).join(large(first), "needle")
         pairs = held.groupBy("words", "file").agg(F.collect_list(F.struct("needle", "offset")).alias("met")).where(F.size("met") > 1)
 
         def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,15 +283,15 @@ def literal_hits(candidates: DataFrame, corpus: DataFrame, strategy: str = "maxi
                     rows += [(words, m["needle"], path, alone.get(m["needle"], -1)) for m in met if alone.get(m["needle"], -1) != m["offset"]]
                 yield pd.DataFrame(rows, columns=["words", "needle", "file", "offset"])
 
-        other = pairs.join(readable.withColumnRenamed("path", "file"), "file").select("words", "file", "met", "text").mapInPandas(settle, "words string, needle string, file string, offset int")
-    hits = needles.join(first, "needle").where("file <> path").join(other.withColumnRenamed("offset", "alone"), ["words", "needle", "file"], "left")
+        other = large(pairs).join(readable.withColumnRenamed("path", "file"), "file").select("words", "file", "met", "text").mapInPandas(settle, "words string, needle string, file string, offset int")
+    hits = large(large(needles).join(first, "needle").where("file <> path")).join(other.withColumnRenamed("offset", "alone"), ["words", "needle", "file"], "left")
     return hits.withColumn("offset", F.coalesce("alone", "offset")).where("offset >= 0").select("candidate", "kind", "rank", "needle", "file", "offset")
 
 
 def counted(needles: DataFrame, texts: DataFrame, exact_limit: int = MANY) -> DataFrame:
     """``mutant, needle, path, n`` of every text (mutant, path, text) that holds a needle (mutant, needle) of its own class: how often, without overlapping itself.
 
-    One pass over the texts: an automaton of all needles says which a text holds, and these alone are counted. More needles than it takes go through the three-gram index.
+    One pass over the texts: an automaton of all needles says which a text holds, and these alone are counted. More needles than it takes meet the windows of the texts, which are counted in the same pass.
     """
     wanted = needles.select("mutant", "needle").where("needle <> ''").distinct()
     if _automaton_fits(wanted, exact_limit):
@@ -225,10 +307,8 @@ def counted(needles: DataFrame, texts: DataFrame, exact_limit: int = MANY) -> Da
                 yield pd.DataFrame(rows, columns=["mutant", "needle", "path", "n"])
 
         return texts.select("mutant", "path", "text").mapInPandas(run, "mutant string, needle string, path string, n long")
-    keyed = texts.select("mutant", F.col("path").alias("of"), F.concat_ws(SEPARATOR, "mutant", "path").alias("path"), "text")
-    held = _by_grams(wanted.select("needle").distinct(), keyed.withColumnRenamed("text", "content"), "content").select("needle", "path")
-    times = (F.length("text") - F.length(F.replace(F.col("text"), F.col("needle"), F.lit("")))) / F.length("needle")
-    return held.join(keyed, "path").join(wanted, ["mutant", "needle"]).select("mutant", "needle", F.col("of").alias("path"), times.cast("long").alias("n"))
+    held = _by_windows(wanted, texts, ["mutant", "path"], "text", count=True)
+    return large(held).join(wanted, ["mutant", "needle"]).select("mutant", "needle", "path", "n")
 
 
 def capped_hits(hits: DataFrame, limit: int = MAX_HITS) -> DataFrame:
@@ -254,7 +334,7 @@ def literal_verdicts(candidates: DataFrame, corpus: DataFrame, strategy: str = "
     needles = derive_needles(candidates, strategy).groupBy("candidate").agg(F.count(F.lit(1)).alias("n_needles"))
     # Unreadable files, the candidate's own aside: their number, and the path if there is only one.
     gaps = corpus.where("kind <> 'gitlink' and read_status <> 'completed'").agg(F.count(F.lit(1)).alias("n_gaps"), F.min("path").alias("gap_path"), F.min_by("read_status", "path").alias("gap"))
-    j = candidates.join(hits, "candidate", "left").join(needles, "candidate", "left").crossJoin(F.broadcast(gaps))  # one row
+    j = large(large(candidates).join(hits, "candidate", "left")).join(needles, "candidate", "left").crossJoin(F.broadcast(gaps))  # one row
     open_gap = (F.col("n_gaps") > 1) | ((F.col("n_gaps") == 1) & (F.col("gap_path") != F.col("path")))
     reason = F.when(F.col("n_needles").isNull(), "errored").when(F.col("n_hits") > 0, "reference").when(open_gap, F.col("gap"))
     return j.select(
@@ -269,10 +349,10 @@ def reachability_verdicts(candidates: DataFrame, rooted: DataFrame, suffix_rules
     a candidate is exploded into the directories above it, whose number its depth bounds.
     """
     up = candidates.select("candidate", F.posexplode(paths.ancestors(F.col("path"))).alias("level", "path"))
-    near = up.join(rooted, "path").groupBy("candidate").agg(F.max_by("reason", "level").alias("rooted_by"))
+    near = large(up).join(rooted, "path").groupBy("candidate").agg(F.max_by("reason", "level").alias("rooted_by"))
     by_suffix = candidates.join(F.broadcast(suffix_rules), F.endswith("path", F.col("suffix"))).groupBy("candidate").agg(F.min_by("reason", "suffix").alias("suffix_by"))
     gap = incomplete.agg(F.min(F.struct("path", "reason")).alias("gap"))
-    j = candidates.join(near, "candidate", "left").join(by_suffix, "candidate", "left").crossJoin(F.broadcast(gap))  # one row
+    j = large(large(candidates).join(near, "candidate", "left")).join(by_suffix, "candidate", "left").crossJoin(F.broadcast(gap))  # one row
     reason = F.coalesce(F.col("gap.reason"), F.col("rooted_by"), F.col("suffix_by"))
     return j.select("candidate", F.when(reason.isNull(), "clear").otherwise("vetoed").alias("verdict"), reason.alias("reason"))
 

@@ -719,3 +719,53 @@ def test_deciding_ignore_rule_is_git_s(spark, tmp_path, seed):
     assert len(want) > 200 and sum(w[2] is not None for w in want.values()) > 50
     wrong = {p: (got[p], want[p]) for p in every if p not in is_dir and got[p] != want[p]}
     assert not wrong
+
+
+def test_tables_of_trees_are_not_gathered_on_the_driver(spark):
+    from siftline.operators import gates, roots, stores
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    trees = spark.createDataFrame([("r1", "/w/1/t"), ("r2", "/w/2/t")], "repo string, root string")
+    git = [("", ".git", "dir", None), ("/.git", "HEAD", "file", "ref: x"), ("/.git", "objects", "dir", None)]
+    entries = spark.createDataFrame([(r, f"{t}{d}/{n}", k, c, "completed", None) for r, t in (("r1", "/w/1/t"), ("r2", "/w/2/t")) for d, n, k, c in git], "repo string, path string, kind string, content string, read_status string, link_target string")
+    found = stores.located(trees, entries)
+    asked = trees.select("repo", F.lit("c").alias("candidate"), F.col("root").alias("path"))
+    links = trees.select("repo", F.col("root").alias("path"), F.lit(True).alias("resolves"))
+    for df in (gates.gate_0e(asked, stores.regions(found)), gates.gate_0a(asked, links, found)):
+        assert "BroadcastHashJoin" not in plan(df), plan(df)
+    files = spark.createDataFrame([("r1", "tests/test_a.py", "x", "completed"), ("r1", "requirements.txt", "pytest\n", "completed")], "repo string, path string, text string, read_status string")
+    roots_found, _ = roots.materialize(files)
+    assert "BroadcastHashJoin" not in plan(roots_found.where("tier = 'B'"))
+
+
+def test_many_needles_meet_only_texts_that_hold_them(spark):
+    """Windows of every width, long needles by their beginnings, characters outside of the BMP, texts in pieces, and no candidates by three characters that all texts share."""
+    body = [(f"f{i}", f"pub struct S{i} {{ }} \U0001f600 é{'z' * (i % 50)}end{'long' * (i % 40)}!") for i in range(200)] + [("empty", ""), ("null", None), ("big", "y" * (veto.PIECE - 2) + "S199 " + "w" * 40)]
+    words = [f"S{i}" for i in range(200)] + ["\U0001f600", "é", "z" * 33, "z" * 49 + "end", "long" * 30, "long" * 39 + "!", "nowhere" * 20, "", "y" * 40, "S199 w"]
+    corpus, wanted = spark.createDataFrame(body, "path string, content string"), spark.createDataFrame([(w,) for w in words], "needle string")
+    want = {(w, p): t.find(w) for w in set(words) - {""} for p, t in body if t and w in t}
+    got = veto.containing(wanted, corpus, exact_limit=0)
+    assert {(r.needle, r.path): r.offset for r in got.collect()} == want
+    texts = corpus.select(F.lit("m").alias("mutant"), "path", F.col("content").alias("text"))
+    counts = veto.counted(wanted.select(F.lit("m").alias("mutant"), "needle"), texts, exact_limit=0).collect()
+    assert {(r.needle, r.path): r.n for r in counts} == {(w, p): t.count(w) for w, p in want for q, t in body if q == p}
+    few = veto._by_windows(wanted.where("needle rlike '^S[0-9]+$'"), corpus, ["path"], "content")
+    assert few.count() == sum(1 for w, p in want if w[0] == "S" and w != "S199 w")
+    seen = veto._windows(wanted.where("needle rlike '^S[0-9]+$'").select(F.col("needle").alias("key")), corpus, ["path"], "content", False).count()
+    assert seen < 1.2 * few.count()
+
+
+def test_patterns_meet_paths_by_their_rarest_literal(spark):
+    """A thousand patterns share the longest literal with every path; each is tested only where its own number stands."""
+    from siftline.operators import provenance
+
+    assert provenance.required_literals(r"^m[.][a-z]+[.]example[.]net/.*17") == ["m.", ".example.net/", "17"]
+    files = spark.createDataFrame([(f"m.a.example.net/{i}x",) for i in range(300, 400)], "path string")
+    rules = spark.createDataFrame([("vendored", i, f"^m[.][a-z]+[.]example[.]net/.*{i}", f"r{i}") for i in range(100, 1100)], "kind string, idx long, pattern string, rule string")
+    found = provenance.all_matches(files, rules)
+    assert {(r.path, r.idx) for r in found.collect()} == {(f"m.a.example.net/{i}x", i) for i in range(300, 400)}
+    few = files.select("path")
+    ruled = rules.select(F.col("idx").alias("no"), "*", F.udf(provenance.required_literals, "array<string>")("pattern").alias("needles"))
+    assert provenance.meetings(ruled, few).count() == 100  # not 100,000
