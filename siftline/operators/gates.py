@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import paths
+from siftline.sources.lineage import large
 
 #: Recoverability classes from safest to least, and in own words how far back one would have to go for the content.
 RUNGS = {"TRACKED_PUSHED": "a remote has the commit", "TRACKED_UNPUSHED": "only this clone has the commit", "UNTRACKED": "git never had it: a backup, if there is one", "IGNORED": "git was told not to have it: a backup, if there is one"}
@@ -58,11 +59,11 @@ def gate_0a(candidates: DataFrame, links: DataFrame, store: str | DataFrame) ->
     keys = _keys(candidates)
     path = paths.strip_trailing_separators(F.col("path"))
     c = candidates.select(*keys, "candidate", path.alias("bare"), (path != F.col("path")).alias("separator"))
-    c = c.withColumn("store", F.lit(store)) if isinstance(store, str) else c.join(store.select(*keys, "store"), keys, "left").withColumn("store", F.coalesce("store", F.lit("unreadable")))
+    c = c.withColumn("store", F.lit(store)) if isinstance(store, str) else large(c).join(store.select(*keys, "store"), keys, "left").withColumn("store", F.coalesce("store", F.lit("unreadable")))
     up = c.select(*keys, "candidate", "bare", F.explode(F.array_distinct(paths.ancestors(F.col("bare")))).alias("path")).where("path <> bare and path <> ''")
-    on_way = up.join(links.select(*keys, "path"), [*keys, "path"]).groupBy(*keys, "candidate").agg(F.min("path").alias("linked_ancestor"))
+    on_way = large(up).join(links.select(*keys, "path"), [*keys, "path"]).groupBy(*keys, "candidate").agg(F.min("path").alias("linked_ancestor"))
     own = links.select(*keys, F.col("path").alias("bare"), "resolves", F.lit(True).alias("is_link"))
-    j = c.join(on_way, [*keys, "candidate"], "left").join(own, [*keys, "bare"], "left")
+    j = large(large(c).join(on_way, [*keys, "candidate"], "left")).join(own, [*keys, "bare"], "left")
     conditions = F.filter(
         F.array(
             F.when(F.col("linked_ancestor").isNotNull(), "linked_ancestor"),
@@ -87,13 +88,13 @@ def gate_0e(candidates: DataFrame, regions: DataFrame) -> DataFrame:
     c = candidates.select(*keys, "candidate", plain(F.col("path")).alias("path"), F.col("path").alias("as_given"))
     r = regions.select(*keys, "region", plain(F.col("region_path")).alias("region_path"))
     up = c.where("as_given like '/%'").select(*keys, "candidate", "path", F.explode(F.array_distinct(paths.ancestors(F.col("path")))).alias("region_path"))
-    at = up.join(r, [*keys, "region_path"]).select(*keys, "candidate", "region", F.when(F.col("path") == F.col("region_path"), "is").otherwise("inside").alias("relation"))
+    at = large(up).join(r, [*keys, "region_path"]).select(*keys, "candidate", "region", F.when(F.col("path") == F.col("region_path"), "is").otherwise("inside").alias("relation"))
     down = r.select(*keys, "region", "region_path", F.explode(F.array_distinct(paths.ancestors(F.col("region_path")))).alias("path")).where("path <> region_path")
-    over = c.where("as_given like '/%'").join(down, [*keys, "path"]).select(*keys, "candidate", "region", F.lit("contains").alias("relation"))
+    over = large(c.where("as_given like '/%'")).join(down, [*keys, "path"]).select(*keys, "candidate", "region", F.lit("contains").alias("relation"))
     hits = at.unionByName(over).groupBy(*keys, "candidate").agg(F.array_sort(F.collect_list(F.struct("region", "relation"))).alias("relations"))
-    j = c.join(hits, [*keys, "candidate"], "left")
+    j = large(c).join(hits, [*keys, "candidate"], "left")
     if keys:
-        j = j.join(regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        j = large(j).join(regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     else:
         j = j.crossJoin(F.broadcast(regions.agg(F.count(F.lit(1)).alias("n"))))  # one row
     verdict = F.when((F.col("n") == 0) | ~F.coalesce(F.col("as_given").like("/%"), F.lit(False)), "unreadable").when(F.col("relations").isNotNull(), "refuses").otherwise("clear")
