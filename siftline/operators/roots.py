@@ -15,7 +15,7 @@ from siftline.functions import paths
 from siftline.functions.globs import pathspec
 from siftline.functions.text import bare_suffixes, has_expired
 from siftline.sources import markers
-from siftline.sources.lineage import kept
+from siftline.sources.lineage import kept, large
 from siftline.sources.manifests import manifest_roots
 
 COLUMNS = ("tier", "rule", "origin", "origin_file", "path", "symbol", "target", "detail")
@@ -122,7 +122,7 @@ def convention_roots(files: DataFrame, detected: DataFrame) -> DataFrame:
     rules = [F.when(c, F.struct(F.lit(f).alias("framework"), F.lit(r).alias("rule"))) for f, r, c in layout_rules(F.col("path"))]
     keys = _keys(files)
     hit = files.select(*keys, "path", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("r")).select(*keys, "path", "r.*")
-    j = hit.join(detected, [*keys, "framework"])
+    j = large(hit).join(detected, [*keys, "framework"])
     none = F.lit(None).cast("string")
     return j.select(*keys, F.lit("B").alias("tier"), "rule", "framework", "evidence", "path", none.alias("symbol"), F.lit("path").alias("target"), F.col("via").alias("detail")).toDF(*keys, *COLUMNS).dropDuplicates([*keys, "path", "rule"])
 
@@ -131,7 +131,7 @@ def installed_apps(files: DataFrame, detected: DataFrame) -> tuple[DataFrame, Da
     """App configurations of Django: the classes in ``apps.py`` of the tree, and settings whose list of apps is not all literal, as gaps."""
     keys = _keys(files)
     django = detected.where("framework = 'django'").select(*keys, F.col("evidence").alias("detected_in"))
-    where_django = lambda df: df.join(django, keys) if keys else df.crossJoin(F.broadcast(django.limit(1)))  # noqa: E731  one row: a framework is detected once
+    where_django = lambda df: large(df).join(django, keys) if keys else df.crossJoin(F.broadcast(django.limit(1)))  # noqa: E731  one row: a framework is detected once
     none = F.lit(None).cast("string")
     names = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?m)^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)\s*\([^)]*AppConfig[^)]*\)"), F.lit(1))
     apps = files.where(paths.basename(F.col("path")) == "apps.py").select(*keys, "path", F.explode(names).alias("symbol"))
@@ -205,7 +205,7 @@ def resolve(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Tier A out of manifest rows: a path target that is neither a file nor a directory of the tree is unresolved."""
     keys = _keys(files)
     there = files.select(*keys, F.explode(paths.ancestors(F.col("path"))).alias("target")).distinct().withColumn("there", F.lit(True))
-    j = manifest.where("kind <> 'error'").join(there, [*keys, "target"], "left")
+    j = large(manifest.where("kind <> 'error'")).join(there, [*keys, "target"], "left")
     kind = F.when((F.col("target_kind") == "path") & F.col("there").isNull(), "unresolved").otherwise(F.col("target_kind"))
     path = F.when(kind == "path", F.col("target"))
     return j.select(*keys, "tier", "kind", "key", F.col("path").alias("origin_file"), path.alias("path"), F.when(F.col("target_kind") == "reference", F.regexp_replace("target", "^.*:", "")).alias("symbol"), kind.alias("target"), F.col("target").alias("detail")).toDF(*keys, *COLUMNS)
@@ -222,7 +222,7 @@ def materialize(files: DataFrame, declared: DataFrame | None = None) -> tuple[Da
         return found.drop("repo"), gaps.drop("repo")
     manifest = kept(manifest_roots(files))  # read by Python, once
     errors = manifest.where("kind = 'error'").select("repo", "tier", F.col("path").alias("origin_file"), "detail")
-    tier_a = resolve(manifest, files).join(errors.select("repo").distinct(), "repo", "left_anti")
+    tier_a = large(resolve(manifest, files)).join(errors.select("repo").distinct(), "repo", "left_anti")
     detected = kept(detect(files))
     apps, unresolved = installed_apps(files, detected)
     every = tier_a.unionByName(source_roots(files)).unionByName(convention_roots(files, detected)).unionByName(apps)
@@ -234,9 +234,9 @@ def materialize(files: DataFrame, declared: DataFrame | None = None) -> tuple[Da
 def rescues(claims: DataFrame, roots: DataFrame) -> DataFrame:
     """``kind, claim, rule``: a path is rescued by a root that is exactly it, a symbol by a root's symbol that it names; the first root in order."""
     order = F.struct("tier", F.coalesce("path", F.lit("")).alias("p"), "rule", F.coalesce("origin", F.lit("")).alias("o"))
-    p = claims.where("kind = 'path'").select("kind", "claim").distinct().join(roots.where("path is not null").withColumn("claim", F.col("path")), "claim")
+    p = claims.where("kind = 'path'").select("kind", "claim").distinct().join(large(roots.where("path is not null").withColumn("claim", F.col("path"))), "claim")
     s = claims.where("kind = 'symbol'").select("kind", "claim").distinct().withColumn("key", F.explode(bare_suffixes(F.col("claim"))))
-    s = s.join(roots.where("symbol is not null").withColumn("key", F.col("symbol")), "key").drop("key")
+    s = s.join(large(roots.where("symbol is not null").withColumn("key", F.col("symbol"))), "key").drop("key")
     both = p.select("kind", "claim", *COLUMNS).unionByName(s.select("kind", "claim", *COLUMNS))
     return both.groupBy("kind", "claim").agg(F.min_by("rule", order).alias("rule"))
 
