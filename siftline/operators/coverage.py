@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import paths
 from siftline.functions.text import bare_suffixes, names_same_symbol
 from siftline.sources import coverage as lcov
+from siftline.sources.lineage import large
 
 
 def merge(functions: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +35,7 @@ def rescued_paths(claims: DataFrame, executed: DataFrame) -> DataFrame:
     The suffixes of a source are its keys: an equi-join, and not a comparison of all with all.
     """
     keyed = executed.select("source", F.explode(paths.suffixes(F.regexp_replace(F.replace(F.col("source"), F.lit("\\"), F.lit("/")), "^(?:\\./)+", ""))).alias("claim"))
-    return claims.select("claim").distinct().join(keyed, "claim").groupBy("claim").agg(F.min_by("source", F.struct(F.length("source"), "source")).alias("source"))
+    return claims.select("claim").distinct().join(large(keyed), "claim").groupBy("claim").agg(F.min_by("source", F.struct(F.length("source"), "source")).alias("source"))
 
 
 def rescued_symbols(claims: DataFrame, functions: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def rescued_symbols(claims: DataFrame, functions: DataFrame) -> DataFrame:
     by_bare = called.select("source", "name", F.explode(bare_suffixes(F.col("name"))).alias("key"))
     asked = claims.select("claim").distinct().where("claim <> ''").select("claim", F.explode(bare_suffixes(F.col("claim"))).alias("key"))
     # One of the two is a tail of the other, and that tail is a key of both.
-    both = asked.join(by_bare, "key").where(names_same_symbol(F.col("claim"), F.col("name")))
+    both = large(asked).join(by_bare, "key").where(names_same_symbol(F.col("claim"), F.col("name")))
     return both.groupBy("claim").agg(F.min(F.struct("source", "name")).alias("r")).select("claim", "r.source", "r.name")
 
 

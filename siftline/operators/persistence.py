@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import paths
 from siftline.functions.text import any_of, ascii_lower
+from siftline.sources.lineage import large
 
 # Markers and frameworks.
 SERIALIZATION = (
@@ -70,7 +71,7 @@ def nearby(marked: DataFrame, all_lines: DataFrame, within: int = NEAR) -> DataF
     """
     reach = marked.select("path", "line", "marker", "symbol", F.explode(F.sequence(F.lit(0), F.lit(within))).alias("off")).withColumn("at", F.col("line") + F.col("off"))
     t = all_lines.select("path", F.col("line").alias("at"), "text")
-    seen = reach.join(t, ["path", "at"]).withColumn("blank", (F.col("off") > 0) & (F.trim("text") == ""))
+    seen = large(reach).join(t, ["path", "at"]).withColumn("blank", (F.col("off") > 0) & (F.trim("text") == ""))
     bare = F.regexp_extract("symbol", r"([^.:/#]*)$", 1)
     word = F.regexp_like("text", F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), bare, F.lit(r"\E(?![A-Za-z0-9_])"))) & (bare != "")
     g = seen.groupBy("path", "line", "marker", "symbol").agg(F.min(F.when(F.col("blank"), F.col("off"))).alias("stop"), F.min(F.when(word, F.col("off"))).alias("hit"))
@@ -83,7 +84,7 @@ def scan(candidates: DataFrame, files: DataFrame) -> DataFrame:
     ``candidates(candidate, path, symbol)``; files that could not be read have no row in ``files`` and yield nothing here. A symbol
     without a declaration site has a null path and passes.
     """
-    wanted = files.join(candidates.select("path").distinct(), "path", "left_semi")
+    wanted = large(files).join(candidates.select("path").distinct(), "path", "left_semi")
     every = lines(wanted)
     marks = [F.when(marker_matches(F.col("text"), m), F.struct(F.lit("serializable").alias("condition"), F.lit(m).alias("marker"))) for m in SERIALIZATION]
     derive = F.contains("text", F.lit("#[derive(")) & (F.contains("text", F.lit("Serialize")) | F.contains("text", F.lit("Deserialize")))
@@ -91,10 +92,10 @@ def scan(candidates: DataFrame, files: DataFrame) -> DataFrame:
     marks += [F.when(marker_matches(F.col("text"), m), F.struct(F.lit("abi_export").alias("condition"), F.lit(m).alias("marker"))) for m in ABI]
     hit = every.select("path", "line", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).select("path", "line", "m.*")
     c = candidates.select("candidate", "path", "symbol")
-    of = hit.join(c, "path")
+    of = large(hit).join(c, "path")
     whole = of.where("condition = 'serializable' or symbol is null").select("candidate", "condition", "marker", F.col("path").alias("found_in"), "line")
     asked = of.where("condition = 'abi_export' and symbol is not null").select("path", "line", "marker", "symbol").distinct()
-    near = nearby(asked, every).join(c, ["path", "symbol"]).select("candidate", F.lit("abi_export").alias("condition"), "marker", F.col("path").alias("found_in"), "line")
-    queue = queue_references(wanted, frameworks(files)).join(c, "path").select("candidate", F.lit("queue_payload").alias("condition"), F.col("framework").alias("marker"), "found_in", "line")
+    near = large(nearby(asked, every)).join(c, ["path", "symbol"]).select("candidate", F.lit("abi_export").alias("condition"), "marker", F.col("path").alias("found_in"), "line")
+    queue = large(queue_references(wanted, frameworks(files))).join(c, "path").select("candidate", F.lit("queue_payload").alias("condition"), F.col("framework").alias("marker"), "found_in", "line")
     rows = whole.unionByName(near).unionByName(queue)
     return rows.groupBy("candidate", "condition", "marker").agg(F.min_by("found_in", "line").alias("found_in"), F.min("line").alias("line"))

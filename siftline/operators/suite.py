@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftline.functions.paths import basename, extension, normalize, stem
 from siftline.functions.text import bare_suffixes
 from siftline.operators import veto
-from siftline.sources.lineage import kept
+from siftline.sources.lineage import kept, large
 
 _PAIR = "array<struct<path:string,symbol:string>>"
 
@@ -112,9 +112,9 @@ def naive_claims(parsed: DataFrame, symbols: DataFrame, candidates: DataFrame |
     names = a.select("mutant", F.explode(F.array("base", "stem")).alias("needle")).unionByName(symbols.select("mutant", F.col("symbol").alias("needle")))
     held = kept(veto.counted(names, parsed, exact_limit).groupBy("mutant", "needle").agg(F.min("path").alias("lo"), F.max("path").alias("hi"), F.sum("n").alias("n")))
     asked = a.select("mutant", "claim", F.explode(F.array_distinct(F.array("base", "stem"))).alias("needle"))
-    named = asked.join(held, ["mutant", "needle"]).where((F.col("lo") != F.col("claim")) | (F.col("hi") != F.col("claim"))).select("mutant", "claim").distinct()
-    dead = a.select("mutant", "claim").distinct().join(named, ["mutant", "claim"], "left_anti").select("mutant", F.lit("naive").alias("sut"), F.lit("path").alias("kind"), "claim", F.lit(None).cast("string").alias("declared_in"))
-    counts = symbols.join(held.select("mutant", F.col("needle").alias("symbol"), "n"), ["mutant", "symbol"], "left").where(F.coalesce("n", F.lit(0)) <= 1)
+    named = large(asked).join(held, ["mutant", "needle"]).where((F.col("lo") != F.col("claim")) | (F.col("hi") != F.col("claim"))).select("mutant", "claim").distinct()
+    dead = large(a.select("mutant", "claim").distinct()).join(named, ["mutant", "claim"], "left_anti").select("mutant", F.lit("naive").alias("sut"), F.lit("path").alias("kind"), "claim", F.lit(None).cast("string").alias("declared_in"))
+    counts = large(symbols).join(held.select("mutant", F.col("needle").alias("symbol"), "n"), ["mutant", "symbol"], "left").where(F.coalesce("n", F.lit(0)) <= 1)
     return dead.unionByName(counts.select("mutant", F.lit("naive").alias("sut"), F.lit("symbol").alias("kind"), F.col("symbol").alias("claim"), "declared_in"))
 
 
@@ -142,8 +142,8 @@ def apply_layers(claims: DataFrame, layers: list[tuple[str, DataFrame]], key: tu
     if rescued is None:
         return claims, claims.limit(0).select(*key, F.lit("").alias("layer"), F.lit(0).alias("layer_idx"), F.lit("").alias("rule"))
     first = rescued.groupBy(*key).agg(F.min(F.struct("layer_idx", "layer", "rule")).alias("r")).select(*key, "r.*")
-    survived = claims.join(first.select(*key), list(key), "left_anti")
-    return survived, claims.join(first, list(key)).select(*key, "layer", "layer_idx", "rule")
+    survived = large(claims).join(first.select(*key), list(key), "left_anti")
+    return survived, large(claims).join(first, list(key)).select(*key, "layer", "layer_idx", "rule")
 
 
 def layer_runs(claims: DataFrame, dropped: DataFrame, layers: list[str], by: str = "mutant") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import paths
 from siftline.operators.veto import enumerating_files, first_reason
+from siftline.sources.lineage import large
 
 # YAML keys that hold paths, and that hold commands.
 PATH_KEYS = ("path", "paths")
@@ -179,14 +180,14 @@ def tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             yield pd.DataFrame([r for r in rows if r[2] and "://" not in r[2] and not r[2].startswith("/")], columns=["file", "construct", "literal", "pos"])
 
     read = files.where("read_status = 'completed' and content is not null")
-    listed = enumerating_files(read).join(read.select("path", "content"), "path")
+    listed = large(enumerating_files(read)).join(read.select("path", "content"), "path")
     asked = listed.select("path", "construct", "content").mapInPandas(literals, "file string, construct string, literal string, pos int")
     prefix = paths.literal_prefix(F.col("literal"))
     resolved = asked.select("file", "construct", "pos", F.explode(F.array(paths.join_rel(paths.parent(F.col("file")), prefix), paths.normalize(prefix))).alias("path")).where("path is not null and path <> ''")
     names = files.select("path").distinct()
     dirs = names.select(F.explode(paths.ancestors(paths.parent(F.col("path")))).alias("path")).distinct()
-    as_dir = resolved.join(dirs, "path", "left_semi")
-    as_file = resolved.join(names, "path", "left_semi").withColumn("path", paths.parent(F.col("path"))).where("path <> ''")
+    as_dir = large(resolved).join(dirs, "path", "left_semi")
+    as_file = large(resolved).join(names, "path", "left_semi").withColumn("path", paths.parent(F.col("path"))).where("path <> ''")
     own = listed.select(F.col("path").alias("file"), "construct", F.lit(-1).alias("pos"), paths.parent(F.col("path")).alias("path"))
     why = F.concat(F.lit("enumerated by "), "construct", F.lit(" in "), "file").alias("reason")
     by_code = own.unionByName(as_dir.select(*own.columns)).unionByName(as_file.select(*own.columns)).select("path", why, "file", F.lit(0).alias("kind_rank"), "pos")
