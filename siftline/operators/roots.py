@@ -164,7 +164,7 @@ def deciding(files: DataFrame, declared: DataFrame) -> DataFrame:
     keys, own = _keys(files), _keys(declared)
     matches = F.regexp_like("path", F.col("regex"))
     some = files.select(*keys, "path")
-    hit = some.join(declared, own).where(matches) if keys and own else some.join(declared, matches)
+    hit = large(some).join(declared, own).where(matches) if keys and own else some.join(F.broadcast(declared), matches)  # without trees, entries are a list that people wrote
     return hit.groupBy(*keys, "path").agg(F.max("idx").alias("idx"))
 
 
@@ -172,7 +172,7 @@ def declared_roots(files: DataFrame, declared: DataFrame) -> DataFrame:
     """Tier C: the deciding entry makes a root, unless it is negated or was rejected."""
     keys = _keys(files)
     own = [k for k in _keys(declared) if k in keys]
-    j = deciding(files, declared).join(declared, [*own, "idx"]).where("not negated and status <> 'rejected'")
+    j = (large(deciding(files, declared)).join(declared, [*own, "idx"]) if own else deciding(files, declared).join(F.broadcast(declared), "idx")).where("not negated and status <> 'rejected'")
     none = F.lit(None).cast("string")
     return j.select(*keys, F.lit("C").alias("tier"), F.lit("declared").alias("rule"), "pathspec", none.alias("origin_file"), "path", none.alias("symbol"), F.lit("path").alias("target"), "reason").toDF(*keys, *COLUMNS)
 
