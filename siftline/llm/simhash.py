@@ -242,7 +242,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def heads(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``id, copy, n, head, bits, wide``: a digest of the shingle set, its size, its first members in an order that all documents share, and a bitmap of it.
+    """``id, fp, copy, n, head, bits, wide``: the fingerprint, a digest of the shingle set, its size, its first members in an order that all documents share, and bitmaps of it.
 
     Two sets with a Jaccard similarity of at least ``similarity`` share one of their first ``n - ceil(similarity * n) + 1`` members
     in any common order. The order is by the count in a sample, then by hash, so that what a source repeats comes last; the
@@ -252,9 +252,10 @@ def heads(docs: DataFrame, k: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in small(batches):
-            copy, size, head, bits, wide = [], [], [], [], []
+            fps, copy, size, head, bits, wide = [], [], [], [], [], []
             for t in pdf["text"]:
                 h = _hashes(t, k)
+                fps.append(fingerprint(t))
                 bits.append(_bitmap(h, BITS))
                 wide.append(_bitmap(h, min(WIDEST, max(BITS, 1 << (4 * len(h)).bit_length()))))
                 copy.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -263,9 +264,9 @@ def heads(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, times[at], 0), kind="stable")]
                 head.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "copy": copy, "n": size, "head": head, "bits": bits, "wide": wide})
+            yield pd.DataFrame({"id": pdf["id"], "fp": np.array(fps, np.uint64).view(np.int64), "copy": copy, "n": size, "head": head, "bits": bits, "wide": wide})
 
-    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, copy binary, n int, head array<long>, bits binary, wide binary")
+    return docs.select("id", "text").mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, fp long, copy binary, n int, head array<long>, bits binary, wide binary")
 
 
 def _bitmap(h: np.ndarray, bits: int) -> bytes:
@@ -363,11 +364,19 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(left, "a").join(right, "b").where((either == 0) | (both >= F.lit(similarity) * either)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def tree_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """``a, b`` (a < b): links that span what the shards' BK-trees find within the radius among ``prints`` (``id, fp``), and rows of equal fingerprints with the smallest of their ids."""
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprints")
+    equal = prints.join(nodes.hint("merge"), "fp").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    return near_links(nodes, radius).toDF("a", "b").where("a < b").unionByName(equal)
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id, group_id``: documents with near copies, and the smallest id of their group.
 
     Near copies share ``similarity`` of their ``shingle``-word shingles (Jaccard, words as in ``words``), and no pair of them is missed:
-    candidates share one of the rarest shingles of both (see ``heads``). Equal sets are merged before. First each document is verified against
+    candidates are what the shards' BK-trees link (see ``tree_pairs``) and, as such a pair may differ in more bits than any radius, what shares one of the rarest
+    shingles of both (see ``heads``). Equal sets are merged before. First the links of the trees are verified, and each document that they link to no smaller one against
     the smallest id it meets, then every candidate pair whose ends are still in different groups, so that a large group costs a few
     comparisons a member and not one for each pair. Bitmaps of the sets rule out most candidates before any set moves. Documents without near copies and null ids are not in the result. Null
     texts have no words; documents without words are alike.
@@ -387,7 +396,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fits = (F.least("n", "first.n") >= similarity * F.greatest("n", "first.n") - 1e-9) & (
         F.least(F.col("n") - F.col("at"), F.col("first.n") - F.col("first.at")) >= similarity / (1 + similarity) * (F.col("n") + F.col("first.n")) - 1e-9
     )
-    best = written(entries.where((F.col("id") > F.col("first.id")) & fits).groupBy("id").agg(F.min("first.id").alias("a")).select("a", F.col("id").alias("b")), "pairs")
+    trees = written(tree_pairs(apart.select("id", "fp")), "trees")
+    smallest = entries.where((F.col("id") > F.col("first.id")) & fits).groupBy("id").agg(F.min("first.id").alias("a")).select("a", F.col("id").alias("b"))
+    best = written(trees.unionByName(smallest.join(trees.select("b").distinct().hint("merge"), "b", "left_anti").select("a", "b")), "pairs")
 
     def alike(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()

@@ -598,6 +598,26 @@ def test_no_pair_at_the_threshold_is_lost(spark):
     assert got == want
 
 
+def test_near_stage_takes_links_of_the_trees(spark, monkeypatch):
+    """With no comparison after the first one, pairs within two bits are found by the BK-trees alone; what these link and is not alike stays."""
+    import corpus_pipeline as cp
+
+    asked, links = [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda *how: asked.append(links(*how)) or asked[-1])
+    monkeypatch.setattr(simhash, "rest_pairs", lambda *_: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(14)
+    texts = [prose(rng, 400) for _ in range(20)]
+    texts += [t + " new" for t in texts]
+    spam = "one two three " * 400  # rules the fingerprint, and is three shingles of the set
+    texts += [spam + prose(rng, 30), spam + prose(rng, 30)]
+    bits = [simhash.fingerprint(t) for t in texts]
+    close = {(i, i + 20) for i in range(20) if 0 < (bits[i] ^ bits[i + 20]).bit_count() <= 2}
+    assert len(close) > 5 and (bits[40] ^ bits[41]).bit_count() <= 2
+    left = {r.doc_id for r in cp.near_stage(spark, docs_of(spark, texts), "").collect()}
+    assert len(asked) == 1 and close <= {(r.src, r.dst) for r in asked[0].collect()}
+    assert left == {*range(20), 40, 41}
+
+
 def test_components(spark):
     mk = lambda e: spark.createDataFrame(e, "src long, dst long")
     path = [(i, i + 1) for i in range(40)]
