@@ -52,10 +52,11 @@ def _hit(line: Column, how: str, needles: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b if how == "any" else a & b, tests)
 
 
-def generated(path: Column, text: Column) -> Column:
-    """The first rule that holds, null if none; a last empty line counts, as a file that ends with a line break has one."""
+def generated(path: Column, text: Column, base: Column | None = None) -> Column:
+    """The first rule that holds, null if none; a last empty line counts, as a file that ends with a line break has one. ``base`` is a column with the basename, if there is one."""
     lines = F.split(text, "\n", -1)
-    base, low, n = paths.basename(path), ascii_lower(paths.basename(path)), F.size(lines)
+    base = paths.basename(path) if base is None else base
+    low, n = ascii_lower(base), F.size(lines)
 
     def check(where: tuple[str, int], how: str, needles: tuple[str, ...]) -> Column:
         kind, k = where

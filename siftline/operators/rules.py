@@ -7,6 +7,7 @@ table order wins; tables that users bring are joined as rows instead. Classes st
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,10 +121,33 @@ API_GROUPS = {"argoproj.io": "argocd", "fluxcd.io": "flux", "crossplane.io": "cr
 MARKERS_SHOWN = 8
 
 
-def matches(matcher: str, path: Column, literal: Column) -> Column:
+@dataclass(frozen=True)
+class Parts:
+    """What the matchers look at in a path: expressions, or columns that hold their values."""
+
+    base: Column
+    low: Column
+    directory: Column
+    extension: Column
+
+
+def parts_of(path: Column) -> Parts:
+    base = paths.basename(path)
+    return Parts(base, ascii_lower(base), F.concat(F.lit("/"), paths.parent(path), F.lit("/")), paths.extension(path))
+
+
+def with_parts(files: DataFrame) -> tuple[DataFrame, Parts]:
+    """``files`` with the parts of ``path`` as columns, so that tables of rules evaluate each once a row, and these columns."""
+    of = parts_of(F.col("path"))
+    names = {"__base": of.base, "__directory": of.directory, "__extension": of.extension}
+    held = files.withColumns(names).withColumn("__low", ascii_lower(F.col("__base")))
+    return held, Parts(*map(F.col, ("__base", "__low", "__directory", "__extension")))
+
+
+def matches(matcher: str, path: Column, literal: Column, parts: Parts | None = None) -> Column:
     """The matcher algebra: all shapes are plain string tests."""
-    base, low = paths.basename(path), ascii_lower(paths.basename(path))
-    directory = F.concat(F.lit("/"), paths.parent(path), F.lit("/"))
+    parts = parts or parts_of(path)
+    base, low, directory = parts.base, parts.low, parts.directory
     shapes = {
         "anchored": F.startswith(path, literal) | F.contains(path, F.concat(F.lit("/"), literal)),
         "contains": F.contains(path, literal),
@@ -135,7 +159,7 @@ def matches(matcher: str, path: Column, literal: Column) -> Column:
         "base_suffix_ci": F.endswith(low, ascii_lower(literal)),
         "base_ci": low == ascii_lower(literal),
         "inside": F.contains(directory, F.concat(F.lit("/"), literal, F.lit("/"))),
-        "extension": paths.extension(path) == literal,
+        "extension": parts.extension == literal,
     }
     return shapes[matcher]
 
@@ -143,12 +167,15 @@ def matches(matcher: str, path: Column, literal: Column) -> Column:
 MATCHERS = ("anchored", "contains", "prefix", "exact", "base_suffix", "base", "base_prefix", "base_suffix_ci", "base_ci", "inside", "extension")
 
 
-def first_rule(path: Column, table: tuple[Rule, ...]) -> Column:
-    """What the first matching rule is called; null if none matches."""
+def first_rule(path: Column, table: tuple[Rule, ...], parts: Parts | None = None) -> Column:
+    """What the first matching rule is called; null if none matches. Neighbours that ask for a whole name, and are called by it, are one test."""
+    parts = parts or parts_of(path)
     out = None
-    for r in table:
-        hit = matches(r.matcher, path, F.lit(r.literal))
-        out = F.when(hit, r.label) if out is None else out.when(hit, r.label)
+    for named, rules in groupby(table, lambda r: r.matcher == "base" and r.label == r.literal):
+        rules = list(rules)
+        tests = [(parts.base.isin(*[r.literal for r in rules]), parts.base)] if named else [(matches(r.matcher, path, F.lit(r.literal), parts), r.label) for r in rules]
+        for hit, label in tests:
+            out = F.when(hit, label) if out is None else out.when(hit, label)
     return F.lit(None).cast("string") if out is None else out
 
 
@@ -166,9 +193,8 @@ def best_evidence(rows: DataFrame) -> DataFrame:
     return g.select("path", "class", "r.via", "r.evidence")
 
 
-def _name_evidence(path: Column) -> list[tuple[str, Column, str]]:
-    base = paths.basename(path)
-    low, ext = ascii_lower(base), ascii_lower(paths.extension(path))
+def _name_evidence(path: Column, of: Parts) -> list[tuple[str, Column, str]]:
+    base, low, ext = of.base, of.low, ascii_lower(of.extension)
     parts = F.split(path, "/")
     template = F.arrays_overlap(F.split(low, r"\."), F.array(*map(F.lit, TEMPLATE_TOKENS)))
     out = [
@@ -186,9 +212,18 @@ def _name_evidence(path: Column) -> list[tuple[str, Column, str]]:
     return out
 
 
+def _each(files: DataFrame, rows: list[Column]) -> DataFrame:
+    """``path, r``: a row for each of ``rows`` that is not null.
+
+    The array is a column and goes through no higher-order function, and explode_outer infers no test of it: Spark interprets what stands within either, row by row.
+    """
+    return files.select("path", F.array(*rows).alias("found")).select("path", F.explode_outer("found").alias("r")).where("r is not null")
+
+
 def state_evidence(files: DataFrame) -> DataFrame:
     """``path, class (1b-1f), via, evidence, seq``: by magic bytes, by store pointers, by names; unread content is incomplete evidence of every class."""
     path, head = F.col("path"), F.col("head")
+    files, parts = with_parts(files)
     rows = []
     for i, (c, at, sig, label) in enumerate(MAGICS):
         rows.append(F.when(F.substring(head, at + 1, len(sig)) == sig, F.struct(F.lit(c).alias("class"), F.lit("magic").alias("via"), F.lit(label).alias("evidence"), F.lit(i).alias("seq"))))
@@ -196,11 +231,11 @@ def state_evidence(files: DataFrame) -> DataFrame:
     for needle, store in ((".git/annex/objects", "annex"), ("/annex/objects/", "annex"), (".dvc/cache", "dvc"), (".git/lfs/objects", "lfs")):
         rows.append(F.when(F.contains(pointer, F.lit(needle)), F.struct(F.lit("1f").alias("class"), F.lit("pointer").alias("via"), F.lit(store).alias("evidence"), F.lit(100).alias("seq"))))
     rows.append(F.when(F.startswith(path, F.lit(".dvc/")), F.struct(F.lit("1f").alias("class"), F.lit("in_store").alias("via"), F.lit("dvc").alias("evidence"), F.lit(200).alias("seq"))))
-    for i, (c, hit, label) in enumerate(_name_evidence(path)):
+    for i, (c, hit, label) in enumerate(_name_evidence(path, parts)):
         rows.append(F.when(hit, F.struct(F.lit(c).alias("class"), F.lit("name").alias("via"), F.lit(label).alias("evidence"), F.lit(300 + i).alias("seq"))))
     for c in ("1b", "1c", "1d", "1e", "1f"):
         rows.append(F.when(F.col("read_status") != "completed", F.struct(F.lit(c).alias("class"), F.lit("incomplete").alias("via"), F.col("read_status").alias("evidence"), F.lit(900).alias("seq"))))
-    return files.select("path", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("path", "r.*")
+    return _each(files, rows).select("path", "r.*")
 
 
 def survey(files: DataFrame) -> DataFrame:
@@ -285,29 +320,33 @@ def migrations(files: DataFrame) -> DataFrame:
     return ranked.unionByName(other)
 
 
-def legal(path: Column, text: Column) -> Column:
+def legal(path: Column, text: Column, parts: Parts | None = None) -> Column:
     """1i: the legal stem, path rule or SPDX declaration in the first lines; null if none."""
-    upper = F.translate(paths.basename(path), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    stem = F.coalesce(*[F.when(upper.rlike(f"^{x}(?:[._-].*)?$"), x) for x in LEGAL_STEMS])
+    parts = parts or parts_of(path)
+    upper = F.translate(parts.base, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    stem = F.nullif(F.regexp_extract(upper, f"^({'|'.join(LEGAL_STEMS)})(?:[._-].*)?$", 1), F.lit(""))  # no stem begins another that goes on with such a mark
     lines = F.slice(F.split(text, "\n"), F.lit(1), F.lit(SPDX_LINES))
     tails = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(SPDX_MARKER))), lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_extract(x, SPDX_MARKER + "(.*)$", 1)), r"(?:\*/)+$", "")))
     spdx = F.get(F.filter(tails, lambda t: t != ""), F.lit(0))
-    return F.coalesce(stem, first_rule(path, LEGAL_PATHS), F.when(spdx.isNotNull(), F.concat(F.lit("SPDX "), spdx)))
+    return F.coalesce(stem, first_rule(path, LEGAL_PATHS, parts), F.when(spdx.isNotNull(), F.concat(F.lit("SPDX "), spdx)))
 
 
-def minified(path: Column, text: Column) -> Column:
+def minified(path: Column, text: Column, parts: Parts | None = None) -> Column:
     """1j by content: a mean line length in bytes above the threshold (integer division), or a source map in the last two lines."""
     lines = F.split(text, "\n", -1)
     total = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
-    ext = any_of([F.endswith(ascii_lower(paths.basename(path)), F.lit(e)) & (F.length(paths.basename(path)) > len(e)) for e in MINIFIED_EXTENSIONS])
+    parts = parts or parts_of(path)
+    ext = any_of([F.endswith(parts.low, F.lit(e)) & (F.length(parts.base) > len(e)) for e in MINIFIED_EXTENSIONS])
     tail = F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), F.lit(2))
     mapped = F.exists(tail, lambda x: x.rlike(r"^(?://[#@] source(?:Mapping)?URL|/\*[#@] source(?:Mapping)?URL)") | F.contains(x, F.lit("sourceURL=")))
     return ext & ((F.floor(total / F.size(lines)) > MINIFIED_MEAN) | mapped)
 
 
-def unknown_type(path: Column, head: Column) -> Column:
-    """1p: neither name, contract, extension, leading bytes nor text says what it is."""
-    known = paths.basename(path).isin(*KNOWN_NAMES) | first_rule(path, CONTRACTS).isNotNull() | ascii_lower(paths.extension(path)).isin(*KNOWN_EXTENSIONS)
+def unknown_type(path: Column, head: Column, parts: Parts | None = None, contract: Column | None = None) -> Column:
+    """1p: neither name, contract (worked out here unless it is given), extension, leading bytes nor text says what it is."""
+    parts = parts or parts_of(path)
+    contract = first_rule(path, CONTRACTS, parts) if contract is None else contract
+    known = parts.base.isin(*KNOWN_NAMES) | contract.isNotNull() | ascii_lower(parts.extension).isin(*KNOWN_EXTENSIONS)
     magic = any_of([F.startswith(head, F.lit(m)) for m in TYPE_MAGICS])
     return ~(known | F.coalesce(magic, F.lit(False)))
 
@@ -330,30 +369,34 @@ def judge(files: DataFrame, attributes: DataFrame | None = None, own_artifacts:
         base = base.join(won, "path", "left")
     else:
         base = base.withColumn("attribute", F.lit(None).cast("string"))
-    base = with_sequence(base)
+    base, parts = with_parts(with_sequence(base))
     in_migrations = F.arrays_overlap(F.split(ascii_lower(paths.parent(path)), "/"), F.array(*map(F.lit, MIGRATION_DIRECTORIES)))
     pair = lambda c, e: F.struct(F.lit(c).alias("class"), e.alias("evidence"))
-    made = generated(path, F.col("text"))
-    law, session, upload = legal(path, F.col("text")), first_rule(path, SESSIONS), first_rule(path, UPLOADS)
+    # Each rule is a column of its own, so that it is evaluated once, and compiled.
+    said = {
+        "__made": generated(path, F.col("text"), parts.base), "__law": legal(path, F.col("text"), parts), "__session": first_rule(path, SESSIONS, parts), "__upload": first_rule(path, UPLOADS, parts),
+        "__contract": first_rule(path, CONTRACTS, parts), "__artifact": first_rule(path, own_artifacts + EVIDENCE_ARTIFACTS, parts), "__ledger": first_rule(path, own_ledgers, parts),
+    }
+    base = base.withColumns(said)
+    made, law, session, upload, contract, artifact, ledger = map(F.col, said)
     content = (
         F.when(F.col("attribute").isNotNull(), pair("1j", F.col("attribute")))
         .when(made.isNotNull(), pair("1j", made))
-        .when(minified(path, F.col("text")), pair("1j", F.lit("minified")))
+        .when(minified(path, F.col("text"), parts), pair("1j", F.lit("minified")))
         .when(F.col("scheme").isNotNull(), pair("1k", F.col("ordinal")))
         .when(in_migrations, pair("1k", F.lit("migrations directory")))
         .when(law.isNotNull(), pair("1i", law))
         .when(session.isNotNull(), pair("1h", session))
         .when(upload.isNotNull(), pair("1g", upload))
     )
-    contract, artifact, ledger = first_rule(path, CONTRACTS), first_rule(path, own_artifacts + EVIDENCE_ARTIFACTS), first_rule(path, own_ledgers)
-    found = F.array(
+    found = [
         content,
         F.when(contract.isNotNull(), pair("1l", contract)),
         F.when(ledger.isNotNull(), pair("1n", ledger)),
         F.when(artifact.isNotNull(), pair("1o", artifact)),
-        F.when(unknown_type(path, F.col("head")), pair("1p", F.lit("unknown type"))),
-    )
-    stacked = base.select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("r")).select("path", "r.class", "r.evidence")
+        F.when(unknown_type(path, F.col("head"), parts, contract), pair("1p", F.lit("unknown type"))),
+    ]
+    stacked = _each(base, found).select("path", "r.class", "r.evidence")
     return best_evidence(state_evidence(files)).select("path", "class", "evidence").unionByName(stacked)
 
 

@@ -12,6 +12,7 @@ from siftline.operators import coverage, gates, persistence, ratchet, roots, rul
 from siftline.plans.tables import NOW, plan, table
 from siftline.sources import coverage as lcov
 from siftline.sources import sarif
+from siftline.sources.lineage import spread
 
 # SARIF and the ratchet -------------------------------------------------------------------------------------------------
 
@@ -191,7 +192,7 @@ def _tree(spark, sf_dir):
     name = F.replace(F.element_at(F.array(*[F.lit(n) for n, _, _ in _TREE]), i), F.lit("{k}"), k)
     head = F.element_at(F.array(*[F.lit(h) for _, h, _ in _TREE]), i)
     none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "part").select(name.alias("path"), head.alias("head"), none.alias("link_target"), F.lit("completed").alias("read_status"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(name.alias("path"), head.alias("head"), none.alias("link_target"), F.lit("completed").alias("read_status"))
 
 
 @plan(
@@ -235,7 +236,7 @@ def judged_classes(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     path = F.replace(F.element_at(F.array(*[F.lit(p) for p, _ in _JUDGED]), (F.col("p_partkey") % len(_JUDGED) + 1).cast("int")), F.lit("{k}"), k)
     none = F.lit(None).cast("string")
-    files = table(spark, sf_dir, "part").select(path.alias("path"), F.lit("x = 1\n").alias("head"), F.lit("x = 1\n").alias("text"), none.alias("link_target"), F.lit("completed").alias("read_status"))
+    files = spread(table(spark, sf_dir, "part").select("p_partkey")).select(path.alias("path"), F.lit("x = 1\n").alias("head"), F.lit("x = 1\n").alias("text"), none.alias("link_target"), F.lit("completed").alias("read_status"))
     return rules.judge(files, own_ledgers=(rules.Rule("base", "own.ledger"),)).select("path", "class", "evidence")
 
 

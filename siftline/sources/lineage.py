@@ -16,6 +16,14 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to all cores by a hash of themselves.
+
+    A table of small rows is read by as many tasks as its compressed bytes ask for, a handful for millions of rows, and so would be all that is worked out of each row.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *rows.columns)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df``, written once to ``spark.checkpoint.dir``; a local session without that setting gets a temporary folder, a cluster an error."""
     spark = df.sparkSession

@@ -768,3 +768,27 @@ def test_patterns_meet_paths_by_their_rarest_literal(spark):
     few = files.select("path")
     ruled = rules.select(F.col("idx").alias("no"), "*", F.udf(provenance.required_literals, "array<string>")("pattern").alias("needles"))
     assert provenance.meetings(ruled, few).count() == 100  # not 100,000
+
+
+def test_rules_are_compiled_and_dealt_to_all_cores(spark, sf):
+    """What stands in a higher-order function or an explode is interpreted, and a small file is read in one task: neither may hold the rules."""
+    from siftline.plans import derived
+
+    for query in (derived.judged_classes, derived.state_classes):
+        plan = query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "filter(array(" not in plan and "explode(array(" not in plan and "explode(filter(" not in plan
+        assert "RepartitionByExpression" in plan
+
+
+def test_first_rule_is_the_first_of_single_tests(spark):
+    table = (*rules.CONTRACTS, rules.Rule("base", "action.yml", "named"), *rules.SESSIONS, *rules.LEGAL_PATHS, *rules.EVIDENCE_ARTIFACTS)
+    names = [r.literal.strip("/") for r in table] + ["x.orig", "COPYING", "b.SPDX", "", "x\n", "a.profraw", "licence-mit", "LICENSED.md", "notice\n", "owners.", "THIRD_PARTY_NOTICES.txt"]
+    some = spark.createDataFrame([(p,) for n in names for p in (n, f"d/{n}", f"{n}/f", f"d/{n}/VERSION")] + [(None,)], "path string")
+    path = F.col("path")
+    plain = F.coalesce(*[F.when(rules.matches(r.matcher, path, F.lit(r.literal)), r.label) for r in table])
+    upper = F.translate(rules.paths.basename(path), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    stem = F.coalesce(*[F.when(upper.rlike(f"^{x}(?:[._-].*)?$"), x) for x in rules.LEGAL_STEMS], rules.first_rule(path, rules.LEGAL_PATHS))
+    held, parts = rules.with_parts(some)
+    got = held.select(path, rules.first_rule(path, table, parts).alias("a"), plain.alias("b"), rules.legal(path, F.lit(""), parts).alias("c"), stem.alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got)
+    assert sum(r.a is not None for r in got) > 200 and sum(r.c is not None for r in got) > 20
