@@ -64,27 +64,38 @@ def notifications(found: DataFrame) -> DataFrame:
     return n.select("log", "run", "idx", "nth", F.coalesce(_get(F.col("n"), "$.level", "string"), F.lit("warning")).alias("level"), message.alias("message"))
 
 
+def _uri(a: Column) -> Column:
+    return F.coalesce(_get(a, "$.location.uri", "string"), _get(a, "$.location_uri", "string"))
+
+
 def artifacts(found: DataFrame) -> DataFrame:
     rows = found.select("log", "run", F.posexplode(_each(F.col("doc"), "$.artifacts")).alias("idx", "a"))
-    uri = F.coalesce(_get(F.col("a"), "$.location.uri", "string"), _get(F.col("a"), "$.location_uri", "string"))
-    return rows.select("log", "run", "idx", uri.alias("uri"), F.coalesce(_get(F.col("a"), "$.roles", "array<string>"), F.array().cast("array<string>")).alias("roles"))
+    return rows.select("log", "run", "idx", _uri(F.col("a")).alias("uri"), F.coalesce(_get(F.col("a"), "$.roles", "array<string>"), F.array().cast("array<string>")).alias("roles"))
+
+
+def _rule(r: Column) -> tuple[Column, Column]:
+    return _get(r, "$.id", "string").alias("id"), _get(r, "$.defaultConfiguration.level", "string").alias("level")
 
 
 def rules(found: DataFrame) -> DataFrame:
     rows = found.select("log", "run", F.posexplode(_each(F.col("doc"), "$.tool.driver.rules")).alias("idx", "r"))
-    return rows.select("log", "run", "idx", _get(F.col("r"), "$.id", "string").alias("id"), _get(F.col("r"), "$.defaultConfiguration.level", "string").alias("level"))
+    return rows.select("log", "run", "idx", *_rule(F.col("r")))
 
 
 def findings(found: DataFrame) -> DataFrame:
     """``log, run, seq, rule_id, level, message, uri, locations, partial_fingerprints, baseline_state, suppressions, violation``: a row for each result.
 
     The rule is named by its id, else by its index; the level is the result's, the rule's by id, by index, or warning; a location's own uri
-    beats its index into the artifacts. Whatever does not resolve or leaves its domain is said in ``violation``.
+    beats its index into the artifacts. Whatever does not resolve or leaves its domain is said in ``violation``. A run's rules and artifacts stand in
+    its own document and go along with its results, so nothing is joined or moved.
     """
-    d = F.col("r")
-    res = found.where("violation is null").select("log", "run", F.posexplode(_each(F.col("doc"), "$.results")).alias("seq", "r"))
-    one = res.select(
-        "log", "run", "seq",
+    d, doc = F.col("r"), F.col("doc")
+    own = found.where("violation is null").select(
+        "log", "run", F.transform(_each(doc, "$.tool.driver.rules"), lambda r: F.struct(*_rule(r))).alias("rules"), F.transform(_each(doc, "$.artifacts"), _uri).alias("uris"), _each(doc, "$.results").alias("results")
+    )
+    res = own.select("log", "run", "rules", "uris", F.posexplode("results").alias("seq", "r"))
+    j = res.select(
+        "log", "run", "seq", "rules", "uris",
         F.coalesce(_get(d, "$.ruleId", "string"), _get(d, "$.rule_id", "string")).alias("own_rule"),
         _get(d, "$.ruleIndex", "long").alias("rule_index"),
         _get(d, "$.level", "string").alias("own_level"),
@@ -98,9 +109,6 @@ def findings(found: DataFrame) -> DataFrame:
             F.coalesce(_get(x, "$.physicalLocation.region.startLine", "long"), _get(x, "$.start_line", "long")).alias("start_line"),
         )).alias("given"),
     )
-    table = rules(found).groupBy("log", "run").agg(F.array_sort(F.collect_list(F.struct("idx", "id", "level"))).alias("rules"))
-    known = artifacts(found).groupBy("log", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "uri"))), lambda a: a["uri"]).alias("uris"))
-    j = one.join(table, ["log", "run"], "left").join(known, ["log", "run"], "left")
     by_index = F.get("rules", F.col("rule_index").cast("int"))
     rule = F.coalesce("own_rule", by_index["id"])
     by_id = F.get(F.filter("rules", lambda r: r["id"] == rule), F.lit(0))["level"]

@@ -792,3 +792,24 @@ def test_first_rule_is_the_first_of_single_tests(spark):
     got = held.select(path, rules.first_rule(path, table, parts).alias("a"), plain.alias("b"), rules.legal(path, F.lit(""), parts).alias("c"), stem.alias("d")).collect()
     assert all(r.a == r.b and r.c == r.d for r in got)
     assert sum(r.a is not None for r in got) > 200 and sum(r.c is not None for r in got) > 20
+
+
+def test_joins_of_the_ratchet_are_merged(spark):
+    """What grows with the input is not broadcast, however small its compressed bytes look; a run's rules and artifacts are not joined at all."""
+    findings = spark.createDataFrame([(0, "f", "r", "a.py")], "seq long, fingerprint string, rule_id string, uri string")
+    baseline = spark.createDataFrame([(0, "g", "r", "b.py", None, "1", None, None)], "seq long, fingerprint string, rule_id string, uri string, symbol string, first_seen string, expires string, justification string")
+    health = ratchet.run_health(
+        spark.createDataFrame([(0, "t", 1)], "run int, tool string, expected_targets int"), spark.createDataFrame([(0, 0, True)], "run int, idx int, execution_successful boolean"),
+        spark.createDataFrame([(0, 0, 0, "error", "w")], "run int, idx int, nth int, level string, message string"), spark.createDataFrame([(0, ["analysisTarget"])], "run int, roles array<string>"),
+    )
+    entries, _ = ratchet.update(findings, baseline, "2")
+    found = [(ratchet.detect_rot(baseline, findings, baseline.select(F.col("uri").alias("path")), "2"), 2), (ratchet.new_findings(findings, baseline), 1), (ratchet.unchanged_findings(findings, baseline), 1),
+             (ratchet.with_baseline_state(findings, baseline), 1), (health, 3), (entries, 1)]
+    for df, n in found:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Left") == plan.count("strategy=merge") == n, plan
+    logs = spark.createDataFrame([("l", json.dumps({"runs": [{"tool": {"driver": {"name": "t", "rules": [{"id": x}]}}, "artifacts": [{"location": {"uri": f"{x}.py"}}], "results": [
+        {"ruleIndex": 0, "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"index": 0}}}]}]}]})) for x in "ab"], "log string, text string")
+    got = sarif.findings(sarif.runs(logs))
+    assert rows(got, "rule_id", "uri", "violation") == [("a", "a.py", None), ("b", "b.py", None)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
