@@ -24,6 +24,7 @@ CHANNELS = 7
 FILTERS = 24
 PERIODS = range(2, 25)
 SEGMENT = 1 << 20
+BATCH = 1 << 17  # bytes of texts that are scored at once, some 60 bytes of working memory for each; a longer text is scored alone
 PAD = 512  # symbols: byte + 256 * repeated, and padding
 
 
@@ -93,12 +94,12 @@ def scores(net: Net, texts) -> np.ndarray:
     for i, t in enumerate(texts):
         n = i + 1
         for piece in _segments(t.encode("utf-8", "surrogatepass") if t else b""):
+            if held and size + len(piece) + 2 * HALF > BATCH:
+                best.append(pooled(net, held))
+                held, size = [], 0
             held.append(piece)
             owner.append(i)
             size += len(piece) + 2 * HALF
-            if size > SEGMENT:
-                best.append(pooled(net, held))
-                held, size = [], 0
     if held:
         best.append(pooled(net, held))
     if not n:

@@ -895,3 +895,15 @@ def test_pipeline(spark, sf):
         docs = out
     for name, stage in cp.STAGES[:-1]:
         assert stage(spark, empty(docs), sf).count() == 0, name
+
+
+def test_quality_holds_few_texts_at_once(monkeypatch):
+    """Texts are scored in small batches, whatever comes in an Arrow batch; a longer one alone; the scores are those of each text by itself."""
+    net = quality.fit(["good words here " * 9, "x x x x x x x x x x"], [1, 0], epochs=2)
+    texts = [None, "", "a long text " * 30_000, *[f"text {i} " * (i % 300) for i in range(900)], "b" * 200_000, "é" * 70]
+    held, whole = [], quality.pooled
+    monkeypatch.setattr(quality, "pooled", lambda n, datas: held.append([len(d) for d in datas]) or whole(n, datas))
+    got = quality.scores(net, texts)
+    assert sum(map(len, held)) == len(texts)
+    assert all(len(x) == 1 or sum(x) <= quality.BATCH for x in held) and quality.BATCH <= 1 << 17
+    assert np.allclose(got, [quality.scores(net, [t])[0] for t in texts], atol=1e-5)
