@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import connected_components, removed, slim, small, sorted_chunks, with_filter, without, written
+from siftline.llm.common import connected_components, freed, removed, slim, small, sorted_chunks, with_filter, without, written
 
 SEED = 42
 #: bytes.translate table that lower-cases A-Z only.
@@ -396,6 +396,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fits = (F.least("n", "first.n") >= similarity * F.greatest("n", "first.n") - 1e-9) & (
         F.least(F.col("n") - F.col("at"), F.col("first.n") - F.col("first.at")) >= similarity / (1 + similarity) * (F.col("n") + F.col("first.n")) - 1e-9
     )
+    freed(docs.sparkSession)
     trees = written(tree_pairs(apart.select("id", "fp")), "trees")
     smallest = entries.where((F.col("id") > F.col("first.id")) & fits).groupBy("id").agg(F.min("first.id").alias("a")).select("a", F.col("id").alias("b"))
     best = written(trees.unionByName(smallest.join(trees.select("b").distinct().hint("merge"), "b", "left_anti").select("a", "b")), "pairs")
@@ -409,15 +410,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return found
 
     links = alike(written(plausible(best, bitmaps, similarity), "pairs"))
+    freed(docs.sparkSession)
     comp = connected_components(links).toDF("id", "c")
     told = written(meet.join(comp.hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id")), "entries")
     removed(meet)
+    freed(docs.sparkSession)
     mixed = told.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("token")
     some = rest_pairs(told.join(mixed.hint("merge"), "token"), apart.select("id", "bits"), similarity).join(best, ["a", "b"], "left_anti")
     rest = written(plausible(written(some, "pairs"), bitmaps, similarity), "pairs")
     removed(told)
     removed(made)
-    more = links.unionByName(alike(rest)).unionByName(same.select("src", "dst"))
+    freed(docs.sparkSession)
+    # The components stand for the links that made them: stars have short ways.
+    more = comp.select(F.col("c").alias("src"), F.col("id").alias("dst")).unionByName(alike(rest)).unionByName(same.select("src", "dst"))
     return connected_components(more).select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 

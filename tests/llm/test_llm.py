@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -627,6 +628,29 @@ def test_components(spark):
     assert common.connected_components(mk([])).count() == 0
 
 
+def test_components_take_few_steps(spark, monkeypatch):
+    steps, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: steps.append(1) or cut(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(1000 + i, 2000) for i in range(50)], "src long, dst long")
+    got = {r.node: r.component for r in common.connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(101)}, **{1000 + i: 1000 for i in range(50)}, 2000: 1000}
+    assert len(steps) <= 12  # 15 where pointers were followed by doubling
+
+
+def test_freed_lets_broadcasts_go(spark):
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().memoryStore()
+    df = spark.range(10).join(F.broadcast(spark.range(50_000).withColumn("x", F.rand())), "id")
+    assert df.count() == 10
+    held = store.memoryUsed()
+    del df
+    common.freed(spark)
+    for _ in range(40):  # the cleaner works in a thread of its own
+        if held - store.memoryUsed() > 500_000:
+            break
+        time.sleep(0.25)
+    assert held - store.memoryUsed() > 500_000
+
+
 # op8
 
 
