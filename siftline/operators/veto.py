@@ -7,6 +7,8 @@ an incomplete search vetoes.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import heapq
 import itertools
 import re
@@ -40,8 +42,10 @@ def derive_needles(candidates: DataFrame, strategy: str = "maximal") -> DataFram
 
 #: Needles of up to WIDE characters are looked for as they are, longer ones by a beginning of up to WIDEST.
 WIDE, WIDEST = 32, 128
-#: Bits of the filter of needles at most (32 MiB), and characters of a text that are looked at together.
-MOST_BITS, PIECE = 28, 1 << 18
+#: Bits of the filter of needles at most (32 MiB), and characters of texts that are looked at together.
+MOST_BITS, PIECE = 28, 1 << 16
+#: A beginning of so many characters says, by its place among 2**SLOT_BITS, which widths of needles begin like that; a window is only looked at where its width may.
+HEADS, SLOT_BITS = (1, 4, 8), 18
 # Odd numbers that spread characters over 64 bits; UNBASE is what undoes BASE.
 BASE, UNBASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 MIXERS = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -85,15 +89,14 @@ def containing(needles: DataFrame, corpus: DataFrame, text: str = "content", ove
     return _by_windows(needles, corpus, ["path"], text).select("needle", "path", "offset")
 
 
-def _hashes(codes: np.ndarray, widths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """A 64-bit number of every window of each width over the code points of a text."""
-    powers = lambda of: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(codes), of, dtype=np.uint64))])
-    head = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers(BASE)[:-1])])
-    back = powers(UNBASE)
-    for n in widths:
-        m = len(codes) - n + 1
-        if m > 0:
-            yield n, (head[n:] - head[:m]) * back[:m] + np.uint64(n)
+def _powers(of: np.uint64, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, of, dtype=np.uint64))])
+
+
+@functools.lru_cache(4096)
+def _seed(of: str | None) -> np.uint64:
+    """A number of a class of texts, so that its texts meet its own needles only."""
+    return np.uint64(int.from_bytes(hashlib.blake2b((of or "").encode(), digest_size=8).digest(), "little"))
 
 
 def _place(h: np.ndarray, bits: int, odd: np.uint64) -> np.ndarray:
@@ -106,50 +109,111 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
 
 
-def _windows(keys: DataFrame, corpus: DataFrame, ids: list[str], text: str, count: bool) -> DataFrame:
-    """``key, ids..., offset, n`` of every window of a text that may be one of ``keys`` (key): where it first stands, and how often it occurs (if ``count``).
+def _finder_of_windows(keys: DataFrame, by: list[str]) -> Callable[[], Callable[[list, list | None], Iterator[tuple]]]:
+    """Of texts (and their classes, with ``by``), every window that may be one of ``keys`` (by..., key): lists of its row, where it stands and itself, with their width and the first row that is not done with.
 
-    A filter of all keys, of at most 2**MOST_BITS bits, is made by the machines and sent to them; a window that is none of the keys may pass it, so what comes is to be joined with the keys.
+    A filter of all keys, of at most 2**MOST_BITS bits, and one of their beginnings are made by the machines and sent to them; a window that is none of the keys may pass, so what comes is to be joined with the keys.
     """
-    spark = corpus.sparkSession
-    n, widths = keys.agg(F.count(F.lit(1)), F.collect_set(F.length("key"))).first()  # a few dozen widths
+    n, widths = keys.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.length("key")))).first()  # a few dozen widths
     bits = min(MOST_BITS, max(15, (32 * n).bit_length()))
+    heads = [(a, b) for a, b in zip(HEADS, (*HEADS[1:], WIDEST + 1)) if any(a <= w < b for w in widths)]
+    size = 2**bits + len(heads) * 2 ** (SLOT_BITS + 6)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up = _powers(BASE, WIDEST)
         for pdf in batches:
-            h = [next(_hashes(_codes(k), [len(k)]))[1] for k in pdf["key"]]
-            if h:
-                yield pd.DataFrame({"at": np.concatenate([_place(np.concatenate(h), bits, odd) for odd in MIXERS]).astype(np.int64) + 1})
-
-    at = keys.mapInPandas(placed, "at long")
-    pieces = at.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # 2**MOST_BITS bits at most
-    held = bytearray(2**bits // 8)
+            for width, some in pdf.groupby(pdf["key"].str.len()):
+                width = int(width)
+                codes = (_codes("".join(some["key"])).reshape(-1, width) + np.uint64(1)) * up[:width]
+                seeds = np.array([_seed(x) for x in some[by[0]]]) if by else np.uint64(0)
+                number = lambda m: (codes[:, :m].sum(axis=1, dtype=np.uint64) + np.uint64(m)) ^ seeds  # noqa: E731, B023
+                at = [_place(number(width), bits, odd) for odd in MIXERS]
+                at += [(_place(number(a), SLOT_BITS, MIXERS[0]) << np.uint64(6)) + np.uint64(2**bits + i * 2 ** (SLOT_BITS + 6) + widths.index(width)) for i, (a, _) in enumerate(heads) if a <= width]
+                yield pd.DataFrame({"at": np.unique(np.concatenate(at)).astype(np.int64) + 1})
+
+    at = keys.select(*by, "key").mapInPandas(placed, "at long")
+    pieces = at.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # size bits at most
+    held = bytearray(size // 8)
     for piece, some in pieces:
         held[(piece - 1) * 4096 : (piece - 1) * 4096 + len(some)] = some
-    given = spark.sparkContext.broadcast(bytes(held))
+    given = keys.sparkSession.sparkContext.broadcast(bytes(held))
+    most = max(widths, default=1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list, list | None], Iterator[tuple]]:
         table = np.frombuffer(given.value, dtype=np.uint8)
-        names = ["key", *ids, "offset", "n"]
-        most = max(widths, default=1)
-        rows: list[tuple] = []
-        for pdf in batches:
-            for *of, t in pdf.itertuples(index=False, name=None):
-                met: dict[str, int] = {}
+        slots = [table[2**bits // 8 :].view("<u8")[i << SLOT_BITS : (i + 1) << SLOT_BITS] for i in range(len(heads))]
+        up, back = _powers(BASE, 2 * PIECE + most), _powers(UNBASE, 2 * PIECE + most)
+
+        def looked(parts: list[tuple[int, int, str]], classes: list | None) -> Iterator[tuple]:
+            whole = "".join(p for *_, p in parts)
+            row, begin, lengths = (np.array(x) for x in zip(*((r, start, len(p)) for r, start, p in parts)))
+            ends = np.cumsum(lengths)
+            part = np.repeat(np.arange(len(parts)), lengths)
+            offset = np.arange(len(whole)) - (ends - lengths)[part]
+            room = np.where(offset < PIECE, lengths[part] - offset, 0)  # characters to the end of the part; none where the next part of a text begins
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_codes(whole) + np.uint64(1)) * up[: len(whole)])])
+            seeds = None if classes is None else np.array([_seed(classes[r]) for r in row])[part]
+
+            def number(left: np.ndarray, width: int) -> np.ndarray:
+                h = (sums[left + width] - sums[left]) * back[left] + np.uint64(width)
+                return h if seeds is None else h ^ seeds[left]
+
+            left = np.arange(len(whole))
+            for (a, b), slot in zip(heads, slots):
+                left = left[room[left] >= a]
+                may = slot[_place(number(left, a), SLOT_BITS, MIXERS[0]).astype(np.int64)]
+                left, may = left[may > 0], may[may > 0]
+                for i, width in enumerate(widths):
+                    if not a <= width < b:
+                        continue
+                    some = left[(may >> np.uint64(i)) & np.uint64(1) > 0]
+                    some = some[room[some] >= width]
+                    h = number(some, width)
+                    for odd in MIXERS:
+                        p = _place(h, bits, odd)
+                        there = (table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        some, h = some[there], h[there]
+                    if len(some):
+                        yield width, int(row[0]), row[part[some]].tolist(), (begin[part[some]] + offset[some]).tolist(), [whole[i : i + width] for i in some.tolist()]
+                left = left[may >= np.uint64(1 << next((i for i, w in enumerate(widths) if w >= b), 63))]
+
+        def find(texts: list, classes: list | None) -> Iterator[tuple]:
+            parts, size = [], 0
+            for row, t in enumerate(texts):
                 for start in range(0, len(t or ""), PIECE):
-                    part = t[start : start + PIECE + most - 1]
-                    for width, h in _hashes(_codes(part), widths):
-                        left = np.arange(min(len(h), PIECE))
-                        for odd in MIXERS:
-                            p = _place(h[left], bits, odd)
-                            left = left[(table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-                        for i in left.tolist():
-                            met.setdefault(part[i : i + width], start + i)
-                rows += [(k, *of, o, t.count(k) if count else 0) for k, o in met.items()]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-        yield pd.DataFrame(rows, columns=names)
+                    parts.append((row, start, t[start : start + PIECE + most - 1]))
+                    size += len(parts[-1][-1])
+                    if size >= PIECE:
+                        yield from looked(parts, classes)
+                        parts, size = [], 0
+            if parts:
+                yield from looked(parts, classes)
+
+        return find
+
+    return make
+
+
+def _windows(keys: DataFrame, corpus: DataFrame, ids: list[str], text: str, count: bool, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """``key, ids..., offset, n`` of every window of a text that may be one of ``keys`` (by..., key): where it first stands, and how often it occurs without overlapping itself (if ``count``). ``by``, at most one of ``ids``, is the class that texts and keys are of."""
+    make = _finder_of_windows(keys, by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = make()
+        for pdf in batches:
+            of = list(pdf[ids].itertuples(index=False, name=None))
+            rows = lambda some: pd.DataFrame([(k, *of[r], at, n if count else 0) for (r, k), (at, _, n) in some.items()], columns=["key", *ids, "offset", "n"])  # noqa: E731, B023
+            met: dict[tuple[int, str], tuple[int, int, int]] = {}
+            seen = 0
+            for width, first, places, offsets, words in find(pdf[text].tolist(), pdf[by[0]].tolist() if by else None):
+                if first > seen and len(met) > 50_000:
+                    yield rows({x: met.pop(x) for x in list(met) if x[0] < first})
+                seen = first
+                for r, o, k in zip(places, offsets, words):
+                    at, free, n = met.get((r, k)) or (o, o, 0)
+                    if o >= free:
+                        met[r, k] = at, o + width, n + 1
+            yield rows(met)
 
     return corpus.select(*ids, text).mapInPandas(run, "key string, " + "".join(f"{c} string, " for c in ids) + "offset int, n long")
 
@@ -160,20 +224,21 @@ def _key(needle: Column) -> Column:
     return F.left(needle, F.when(n <= WIDE, n).otherwise(F.least(F.lit(WIDEST), n - n % 8)).cast("int"))
 
 
-def _by_windows(wanted: DataFrame, corpus: DataFrame, ids: list[str], text: str, count: bool = False) -> DataFrame:
+def _by_windows(wanted: DataFrame, corpus: DataFrame, ids: list[str], text: str, count: bool = False, by: list[str] = []) -> DataFrame:  # noqa: B006
     """``needle, ids..., offset, n`` of each distinct needle and text that holds it, for any number of needles: windows of the texts meet needles by an equi-join, so texts never meet needles that they do not hold.
+    With ``by`` (see ``_windows``) needles are those of a text's own class.
 
     Needles of over ``WIDE`` characters meet by their beginning and are then looked for themselves.
     """
-    keyed = kept(wanted.where("needle <> ''").select("needle").distinct().withColumn("key", _key(F.col("needle"))))
-    found = _windows(keyed.select("key").distinct(), corpus, ids, text, count)
-    whole = keyed.where("needle = key").select("key")
+    keyed = kept(wanted.where("needle <> ''").select(*by, "needle").distinct().withColumn("key", _key(F.col("needle"))))
+    found = _windows(keyed.select(*by, "key").distinct(), corpus, ids, text, count, by)
+    whole = keyed.where("needle = key").select(*by, "key")
     long = keyed.where("needle <> key")
     if long.isEmpty():
-        return large(found).join(whole, "key").withColumnRenamed("key", "needle").select("needle", *ids, "offset", "n")
+        return large(found).join(whole, [*by, "key"]).withColumnRenamed("key", "needle").select("needle", *ids, "offset", "n")
     found = kept(found)
-    hit = large(found).join(whole, "key").withColumnRenamed("key", "needle").select("needle", *ids, "offset", "n")
-    maybe = large(large(found.select("key", *ids)).join(long, "key")).join(corpus.select(*ids, text), ids)
+    hit = large(found).join(whole, [*by, "key"]).withColumnRenamed("key", "needle").select("needle", *ids, "offset", "n")
+    maybe = large(large(found.select("key", *ids)).join(long, [*by, "key"])).join(corpus.select(*ids, text), ids)
     first = F.instr(F.col(text), F.col("needle"))
     times = (F.length(text) - F.length(F.replace(F.col(text), F.col("needle"), F.lit("")))) / F.length("needle")
     return hit.unionByName(maybe.where(first > 0).select("needle", *ids, (first - 1).cast("int").alias("offset"), times.cast("long").alias("n")))
@@ -307,8 +372,7 @@ def counted(needles: DataFrame, texts: DataFrame, exact_limit: int = MANY) -> Da
                 yield pd.DataFrame(rows, columns=["mutant", "needle", "path", "n"])
 
         return texts.select("mutant", "path", "text").mapInPandas(run, "mutant string, needle string, path string, n long")
-    held = _by_windows(wanted, texts, ["mutant", "path"], "text", count=True)
-    return large(held).join(wanted, ["mutant", "needle"]).select("mutant", "needle", "path", "n")
+    return _by_windows(wanted, texts, ["mutant", "path"], "text", True, ["mutant"]).select("mutant", "needle", "path", "n")
 
 
 def capped_hits(hits: DataFrame, limit: int = MAX_HITS) -> DataFrame:

@@ -8,7 +8,7 @@ from siftline.operators import ratchet
 from siftline.plans import evidence
 from siftline.plans.tables import NOW, plan, table
 from siftline.sources import sarif
-from siftline.sources.lineage import spread
+from siftline.sources.lineage import kept, spread
 
 # Claim, its files (path, text), and the layer that saves it; a symbol is claimed with the place that declares it.
 _CLAIMS = [
@@ -36,11 +36,11 @@ def whole_stack(spark, sf_dir):
         of = F.array(*[F.struct(fill(p).alias("path"), fill(t).alias("text")) for p, t in some])
         one = F.struct(F.lit("m").alias("mutant"), F.lit("s").alias("sut"), F.lit(kind).alias("kind"), fill(name).alias("claim"), fill(place).alias("declared_in"))
         rows, claim = (F.when(v == i, of), F.when(v == i, one)) if rows is None else (rows.when(v == i, of), claim.when(v == i, one))
-    part = table(spark, sf_dir, "part")
-    tree = part.select(F.explode(rows).alias("f")).select("f.path", "f.text")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey"))
+    tree = kept(part.select(F.explode(rows).alias("f")).select("f.path", "f.text"))  # some forty branches read it
     none = F.lit(None).cast("string")
     files = tree.select("path", F.lit("blob").alias("kind"), F.col("text").alias("content"), "text", F.left(F.col("text"), F.lit(64)).alias("head"), none.alias("link_target"), F.lit("completed").alias("read_status"))
-    claims = part.select(claim.alias("c")).select("c.*")
+    claims = kept(part.select(claim.alias("c")).select("c.*"))
     ran = part.where(v == 3).select(F.concat(F.lit("/build/src/ran"), k, F.lit(".py")).alias("source"))
     called = ran.select("source", F.lit("main").alias("name"), F.lit(None).cast("long").alias("start_line"), F.lit(1).cast("decimal(20,0)").alias("calls"))
     lines = ran.select("source", F.lit(1).cast("long").alias("lines_found"), F.lit(1).cast("long").alias("lines_hit"))

@@ -813,3 +813,36 @@ def test_joins_of_the_ratchet_are_merged(spark):
     got = sarif.findings(sarif.runs(logs))
     assert rows(got, "rule_id", "uri", "violation") == [("a", "a.py", None), ("b", "b.py", None)]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_texts_are_looked_at_together(spark, monkeypatch):
+    """Thousands of short texts are a few passes, not some for each of them; windows do not reach from one text into the next, nor a class' needles into another's texts."""
+    keys = spark.createDataFrame([("m", f"name{i}") for i in range(300)] + [("n", "a b"), ("m", "c"), (None, "c")], "mutant string, key string")
+    find = veto._finder_of_windows(keys, ["mutant"])()
+    passes = []
+    monkeypatch.setattr(veto, "_place", lambda *x, place=veto._place: passes.append(1) or place(*x))
+    texts = [f"c name{i} a" for i in range(3000)] + [" b", None, "", "x" * (veto.PIECE - 3) + "name7 name7"]
+    classes = ["m" if i % 2 else "n" for i in range(3000)] + ["n", "m", "m", "m"]
+    got = {(r, o, w) for width, _, rows_, places, words in find(texts, classes) for r, o, w in zip(rows_, places, words) if len(w) == width}
+    wanted = {k.key for k in keys.where("mutant = 'm'").collect()}
+    want = {(i, t.find(w), w) for i, (t, m) in enumerate(zip(texts[:-1], classes)) if t and m == "m" for w in {"c", *(t[2 : 2 + n] for n in range(5, 8))} & wanted}
+    assert got == want | {(3003, veto.PIECE - 3, "name7"), (3003, veto.PIECE + 3, "name7")}
+    assert len(passes) < 200
+
+
+def test_a_derived_tree_is_dealt_out_and_made_once(spark, sf, monkeypatch):
+    """The branches of the whole stack read a tree that is kept, in as many parts as there are cores, and not each the small table it is made of."""
+    from siftline.plans import evidence, whole
+
+    seen = []
+
+    def survivors(claims, files, *_):
+        seen.extend((claims, files))
+        return claims, claims.withColumn("layer", F.lit("x"))
+
+    monkeypatch.setattr(evidence, "survivors", survivors)
+    whole.whole_stack(spark, sf)
+    assert len(seen) == 2
+    for df in seen:
+        assert "parquet" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert df.rdd.getNumPartitions() >= 4
