@@ -46,6 +46,8 @@ WIDE, WIDEST = 32, 128
 MOST_BITS, PIECE = 28, 1 << 16
 #: A beginning of so many characters says, by its place among 2**SLOT_BITS, which widths of needles begin like that; a window is only looked at where its width may.
 HEADS, SLOT_BITS = (1, 4, 8), 18
+#: Names whose sums a task holds before it hands them on.
+MOST_SUMS = 200_000
 # Odd numbers that spread characters over 64 bits; UNBASE is what undoes BASE.
 BASE, UNBASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 MIXERS = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -375,6 +377,52 @@ def counted(needles: DataFrame, texts: DataFrame, exact_limit: int = MANY) -> Da
     return _by_windows(wanted, texts, ["mutant", "path"], "text", True, ["mutant"]).select("mutant", "needle", "path", "n")
 
 
+def totals(needles: DataFrame, texts: DataFrame, exact_limit: int = MANY) -> DataFrame:
+    """``mutant, needle, lo, hi, n`` of every needle (mutant, needle) that a text (mutant, path, text) of its own class holds: the first and the last of their paths, and how often it occurs in all, without overlapping itself.
+
+    What ``counted`` says, summed where the texts are: a task hands on a row a name and not a row a text and name, so that what is shuffled grows with the names.
+    """
+    wanted = kept(needles.select("mutant", "needle").where("needle <> ''").distinct())
+    if _automaton_fits(wanted, exact_limit):
+        return counted(wanted, texts, exact_limit).groupBy("mutant", "needle").agg(F.min("path").alias("lo"), F.max("path").alias("hi"), F.sum("n").alias("n"))
+    short, long = wanted.where(F.length("needle") <= WIDE), wanted.where(F.length("needle") > WIDE)
+    make = _finder_of_windows(short.withColumnRenamed("needle", "key"), ["mutant"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = make()
+        sums: dict[tuple, list] = {}
+        rows = lambda: pd.DataFrame([(*of, *x[:3]) for of, x in sums.items()], columns=["mutant", "needle", "lo", "hi", "n"])
+        base = 0
+        for pdf in batches:
+            mutants, paths = pdf["mutant"].tolist(), pdf["path"].tolist()
+            for width, _, places, offsets, words in find(pdf["text"].tolist(), mutants):
+                for r, o, k in zip(places, offsets, words):
+                    of, p = (mutants[r], k), paths[r]
+                    x = sums.get(of)
+                    if x is None:
+                        sums[of] = [p, p, 1, base + r, o + width]
+                    elif x[3] != base + r:
+                        x[2] += 1
+                        x[3], x[4] = base + r, o + width
+                        if p is not None:
+                            x[0], x[1] = p if x[0] is None or p < x[0] else x[0], p if x[1] is None or p > x[1] else x[1]
+                    elif o >= x[4]:
+                        x[2] += 1
+                        x[4] = o + width
+            base += len(pdf)
+            if len(sums) > MOST_SUMS:
+                yield rows()
+                sums.clear()
+        yield rows()
+
+    found = texts.select("mutant", "path", "text").mapInPandas(run, "mutant string, needle string, lo string, hi string, n long")
+    if not long.isEmpty():
+        more = _by_windows(long, texts, ["mutant", "path"], "text", True, ["mutant"])
+        found = found.unionByName(more.select("mutant", "needle", F.col("path").alias("lo"), F.col("path").alias("hi"), "n"))
+    summed = found.groupBy("mutant", "needle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    return large(summed).join(wanted, ["mutant", "needle"])
+
+
 def capped_hits(hits: DataFrame, limit: int = MAX_HITS) -> DataFrame:
     """``candidate, n_hits, capped, hits``: the first hits by (file, offset, rank, needle, kind) for the report; the count is the true one.
 

@@ -846,3 +846,22 @@ def test_a_derived_tree_is_dealt_out_and_made_once(spark, sf, monkeypatch):
     for df in seen:
         assert "parquet" not in df._jdf.queryExecution().optimizedPlan().toString()
         assert df.rdd.getNumPartitions() >= 4
+
+
+def test_names_are_summed_where_the_texts_are(spark, sf):
+    """Of a name the first and last path and the sum, by windows as by the automaton and by brute force; declarations are worked out once."""
+    body = [("m", f"p{i:03}", f"fn f{i % 7}() aaaaa {'q' * 40 if i % 3 else 'q' * 31}é") for i in range(120)] + [("n", "p0", "f1 f1"), ("n", None, "aa f1"), ("m", "x", None), (None, "y", "f1"), ("m", "z" * 3, "y" * (veto.PIECE - 1) + "f3" + "y" * veto.PIECE + "aaa")]
+    names = [(m, w) for m in "mn" for w in ("f1", "f3", "aa", "aaa", "q" * 31, "q" * 32, "q" * 33, "q" * 40 + "é", "nowhere", "", "é")] + [("o", "f1"), ("n", "f1")]
+    texts, needles = spark.createDataFrame(body, "mutant string, path string, text string"), spark.createDataFrame(names, "mutant string, needle string")
+    want = {}
+    for m, w in set(names):
+        held = [(p, t.count(w)) for c, p, t in body if c == m and w and t and w in t]
+        if held:
+            paths = [p for p, _ in held if p is not None]
+            want[m, w] = (min(paths, default=None), max(paths, default=None), sum(n for _, n in held))
+    for limit in (veto.MANY, 0):
+        got = veto.totals(needles, texts, limit).collect()
+        assert {(r.mutant, r.needle): (r.lo, r.hi, r.n) for r in got} == want and len(got) == len(want)
+    from siftline.plans import tables
+
+    assert "explode(split(" not in tables.naive_cleaner(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
