@@ -865,3 +865,14 @@ def test_names_are_summed_where_the_texts_are(spark, sf):
     from siftline.plans import tables
 
     assert "explode(split(" not in tables.naive_cleaner(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_enumerations_are_looked_for_in_one_pass(spark):
+    """Files are chosen by one expression, and not by a lower-cased copy of the text for each construct; A-Z alone have a lower case."""
+    words = [w for c in veto.ENUMERATIONS for w in (c, f"x{c.upper()}y\nglob(")] + ["", "x\ny", "walk", "ſcandir(", "İx dir[", "walK("]
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    found = veto.enumerating_files(spark.createDataFrame([(str(i), w) for i, w in enumerate(words)] + [("none", None)], "path string, content string"))
+    want = {str(i): min((lower(w).find(c), c) for c in veto.ENUMERATIONS if c in lower(w)) for i, w in enumerate(words) if any(c in lower(w) for c in veto.ENUMERATIONS)}
+    assert {r.path: (r.offset, r.construct) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan.split("Filter", 1)[-1].split("\n", 1)[0]
